@@ -157,7 +157,22 @@ def table(schema: pa.Schema, **columns) -> pa.Table:
     return pa.table([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
-def map_text(df, fn, schema: str, arrow_schema: pa.Schema, extra: tuple[str, ...] = ()):
+def trim(buf: np.ndarray, start: np.ndarray, end: np.ndarray, chars: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Spans less the given ASCII bytes at either end; a span of nothing else becomes empty."""
+    odd = np.zeros(256, bool)
+    odd[list(chars)] = True
+    flag = odd[buf]
+    start, end = start.copy(), end.copy()
+    for at, move, edge in ((end, -1, -1), (start, 1, 0)):
+        live = np.flatnonzero(end > start)
+        while len(live):
+            live = live[flag[at[live] + edge]]
+            at[live] += move
+            live = live[end[live] > start[live]]
+    return start, end
+
+
+def map_text(df, fn, schema: str, arrow_schema: pa.Schema, extra: tuple[str, ...] = (), limit: int = BLOCK):
     """Apply fn(block of dicts of lists) -> dict of columns to (doc_id, text as bytes, *extra), a block at a time."""
     from pyspark.sql import functions as F
 
@@ -166,7 +181,7 @@ def map_text(df, fn, schema: str, arrow_schema: pa.Schema, extra: tuple[str, ...
     def run(batches):
         for batch in batches:
             cols = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
-            for lo, hi in blocks(cols["text"]):
+            for lo, hi in blocks(cols["text"], limit):
                 out = fn({n: c[lo:hi] for n, c in cols.items()})
                 if out is not None:
                     yield from table(arrow_schema, **out).to_batches()
