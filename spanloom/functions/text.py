@@ -26,6 +26,11 @@ HALLUCINATIONS = [
 ]
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, also where body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     """Words split at Unicode white space, as an array without blanks."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
@@ -57,7 +62,7 @@ def profile(text: Column, rules: dict) -> Column:
     """Struct of the seven category scores, weak_start and tags (categories of 0.5 or more)."""
     cats = [*lexicon.CATEGORIES, "weak_start"]
     scores = F.struct(*[rule_score(text, rules[c]).alias(c) for c in cats])
-    return F.transform(F.array(scores), lambda s: F.struct(*[s[c].alias(c) for c in cats], F.filter(F.array(*[F.when(s[c] >= 0.5, F.lit(c)) for c in lexicon.CATEGORIES]), lambda t: t.isNotNull()).alias("tags")))[0]
+    return let(scores, lambda s: F.struct(*[s[c].alias(c) for c in cats], F.filter(F.array(*[F.when(s[c] >= 0.5, F.lit(c)) for c in lexicon.CATEGORIES]), lambda t: t.isNotNull()).alias("tags")))
 
 
 def is_transition(text: Column) -> Column:

@@ -124,20 +124,21 @@ def topic_shift(rows: DataFrame, key: str, order: str, text: str = "text", windo
 
 def topic_array(built: DataFrame, window: int = 6) -> DataFrame:
     """built with `topic`, the normalised shift of each sentence, worked out on the transcript's own array: no shuffle."""
-    tok = F.transform("sentences", lambda s: T.topic_tokens(s["text"]))
-    d = built.withColumn("_tok", tok)
-    n = F.size("_tok")
-
-    def raw(x, i):
-        l = F.array_distinct(F.flatten(F.slice("_tok", i - window + 1, F.lit(window))))
-        r = F.array_distinct(F.flatten(F.slice("_tok", i + 1, F.lit(window))))
-        ready = (i >= window) & (i < n - window)
-        pair = F.transform(F.when(ready, F.array(F.struct(l.alias("l"), r.alias("r")))).otherwise(F.array().cast("array<struct<l:array<string>,r:array<string>>>")), lambda p: F.when(F.least(F.size(p["l"]), F.size(p["r"])) > 0, 1.0 - F.size(F.array_intersect(p["l"], p["r"])) / F.least(F.size(p["l"]), F.size(p["r"]))).otherwise(0.0))
-        return F.coalesce(F.get(pair, 0), F.lit(0.0))
-
-    d = d.withColumn("_raw", F.transform("_tok", raw))
-    top = F.coalesce(F.nullif(F.array_max("_raw"), F.lit(0.0)), F.lit(1.0))
-    return d.withColumn("topic", F.transform("_raw", lambda v: F.round(v / top, 3))).drop("_tok", "_raw")
+
+    def shifts(tok):
+        def one(x, i):
+            ready = (i >= window) & (i < F.size(tok) - window)
+            sides = F.struct(F.array_distinct(F.flatten(F.slice(tok, i - window + 1, F.lit(window)))).alias("l"), F.array_distinct(F.flatten(F.slice(tok, i + 1, F.lit(window)))).alias("r"))
+            return F.when(ready, T.let(sides, lambda p: F.coalesce(F.try_divide(F.size(F.array_intersect(p["l"], p["r"])), F.least(F.size(p["l"]), F.size(p["r"]))), F.lit(1.0)))).otherwise(1.0)
+
+        return F.transform(tok, one)
+
+    def scaled(raw):
+        top = F.coalesce(F.nullif(1.0 - F.array_min(raw), F.lit(0.0)), F.lit(1.0))
+        return T.let(top, lambda t: F.transform(raw, lambda v: F.round((1.0 - v) / t, 3)))
+
+    tokens = F.transform("sentences", lambda s: T.topic_tokens(s["text"]))
+    return built.withColumn("topic", T.let(T.let(tokens, shifts), scaled))
 
 
 def blocks(start: np.ndarray, end: np.ndarray, seconds: float = 420.0, overlap: float = 45.0) -> list[tuple[int, int]]:

@@ -14,16 +14,26 @@ WORD_SECONDS, TURN_PAUSE = 0.4, 1.5
 
 def even_words(text, start, end):
     """The words of a text spread evenly over a span."""
-    w = T.words(text)
-    step = (end - start) / F.size(w)
-    return F.transform(w, lambda x, i: F.struct((start + step * i).alias("start"), (start + step * (i + 1)).alias("end"), x.alias("text"), F.lit(1.0).alias("prob")))
+
+    def spread(w):
+        step = (end - start) / F.size(w)
+        return F.transform(w, lambda x, i: F.struct((start + step * i).alias("start"), (start + step * (i + 1)).alias("end"), x.alias("text"), F.lit(1.0).alias("prob")))
+
+    return T.let(T.words(text), spread)
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
     """A row (transcript_id, language, duration, words) for each document: one segment, words WORD_SECONDS apart."""
-    n = T.word_count(F.col("text")).cast("double") * WORD_SECONDS
+
+    def timed(w):
+        return F.transform(w, lambda x, i: F.struct((i * F.lit(WORD_SECONDS)).alias("start"), ((i + 1) * F.lit(WORD_SECONDS)).alias("end"), x.alias("text"), F.lit(1.0).alias("prob")))
+
+    text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
-        F.col("doc_id").cast("string").alias("transcript_id"), F.coalesce(F.lower(F.substring("lang", 1, 2)), F.lit("en")).alias("language"), n.alias("duration"), even_words(F.coalesce(F.col("text"), F.lit("")), F.lit(0.0), n).alias("words")
+        F.col("doc_id").cast("string").alias("transcript_id"),
+        F.coalesce(F.lower(F.substring("lang", 1, 2)), F.lit("en")).alias("language"),
+        (T.word_count(text).cast("double") * WORD_SECONDS).alias("duration"),
+        T.let(T.words(text), timed).alias("words"),
     )
 
 
