@@ -2,9 +2,12 @@
 
 Writer: a response record for each page; of pages with equal payloads the one
 with the largest id is the response and the others are revisits that refer to it.
-Archives are uncompressed WARC/1.1 written by Spark's own text writer (records
-end in CR LF CR LF, the writer adds the last LF), so its commit protocol holds
-and a lost executor leaves no half archive.
+Archives are WARC/1.1, a gzip member for each record, and are written by Spark's
+own text writer, so its commit protocol holds and a lost executor leaves no half
+archive.  That writer ends each row with a separator; a gzip member ends with the
+high byte of its length, which is zero below 16 MiB, so with a zero byte as the
+separator a row is a member less its last byte.  A longer record is followed by
+an empty member, which ends in zero as well.
 
 Reader: records are parsed in order.  After a failed check (version line,
 headers, length, closing blank lines, block digest, or a gzip member that does
@@ -28,6 +31,8 @@ from spanloom.llm import kern, scratch
 _DATE = "2024-01-01T00:00:00Z"
 #: Archives up to so many bytes come through Spark's binary reader, longer ones are streamed from their store.
 WHOLE = 64 << 20
+#: Bytes given to the inflater at once.
+_FEED = 1 << 16
 #: Records in an archive at most.
 PER_ARCHIVE = 4000
 
@@ -71,14 +76,24 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
             out = []
             for page_id, u, data, digest, keeper in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 revisit = keeper is not None and keeper != page_id
-                out.append(record(page_id, u, data, base64.b32encode(bytes.fromhex(digest)).decode(), keeper, revisit)[:-1])
+                out.append(member(record(page_id, u, data, base64.b32encode(bytes.fromhex(digest)).decode(), keeper, revisit))[:-1])
                 if len(out) == 256:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    p.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", PER_ARCHIVE).text(path)
+    p.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", PER_ARCHIVE).option("lineSep", "\0").text(path)
+
+
+def member(data: bytes) -> bytes:
+    """A record as gzip, ending in a zero byte."""
+    def pack(x: bytes) -> bytes:
+        z = zlib.compressobj(1, zlib.DEFLATED, 31)
+        return z.compress(x) + z.flush()
+
+    out = pack(data)
+    return out if out.endswith(b"\0") else out + pack(b"")
 
 
 # ---- salvage -----------------------------------------------------------------
@@ -130,14 +145,16 @@ def _parse(data: bytes, at: int) -> tuple[Record | None, str]:
 
 def _member(data: bytes, at: int) -> tuple[list[Record] | None, int, str]:
     """The records of the gzip member at an offset and the member's length, or why there is none."""
-    inflate = zlib.decompressobj(31)
+    inflate, view, parts, fed = zlib.decompressobj(31), memoryview(data), [], at
     try:
-        plain = inflate.decompress(data[at:]) + inflate.flush()
+        while not inflate.eof and fed < len(data):
+            parts.append(inflate.decompress(view[fed : fed + _FEED]))
+            fed = min(len(data), fed + _FEED)
     except zlib.error as e:
         return None, 0, f"gzip: {str(e).partition(':')[2].strip() or 'error'}"
     if not inflate.eof:
         return None, 0, "truncated"
-    length = len(data) - at - len(inflate.unused_data)
+    plain, length = b"".join(parts), fed - at - len(inflate.unused_data)
     out, p = [], 0
     while p < len(plain):
         r, why = _parse(plain, p)

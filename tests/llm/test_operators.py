@@ -254,6 +254,12 @@ def test_salvage_recovers_all_other_records(zipped, damage):
     assert sum({(r.offset, r.length) for r in got} and [b for _, b in {(r.offset, r.length) for r in got}]) + gaps[0].length == len(data)
 
 
+def test_members_end_in_zero_and_inflate():
+    small, large = warc.member(b"x" * 100), warc.member(bytes(17 << 20))
+    assert small.endswith(b"\0") and large.endswith(b"\0") and gzip.decompress(small) == b"x" * 100 and gzip.decompress(large) == bytes(17 << 20)
+    assert warc.salvage(gzip.compress(b"")) == ([], [])
+
+
 def test_salvage_of_truncated_and_empty():
     recs = _archive(3)
     got, gaps = warc.salvage(b"".join(recs)[:-20])
