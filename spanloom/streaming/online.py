@@ -23,8 +23,8 @@ def counts(events: DataFrame, ts: str = "ts", window: str = "1 hour", late: str
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def sentences(words: DataFrame, idle_ms: int = 60_000) -> DataFrame:
-    """Sentences of a stream of words (transcript_id, start, end, text), each sent when a later word shows that it is closed, or after idle time.
+def sentences(words: DataFrame, idle_ms: int | None = 60_000) -> DataFrame:
+    """Sentences of a stream of words (transcript_id, start, end, text), each sent when a later word shows that it is closed, or after `idle_ms` (None: never).
 
     State is the open words of a transcript: fewer than a sentence's most words.
     """
@@ -43,7 +43,8 @@ def sentences(words: DataFrame, idle_ms: int = 60_000) -> DataFrame:
             r = segment.sentence_ranges([w[0] for w in open_], [w[1] for w in open_], [w[2] for w in open_])
             done, rest = [open_[a : b + 1] for a, b in r[:-1]], open_[r[-1][0] :] if r else []
             state.update(([str(x) for w in rest for x in w],))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], w[0][0], w[-1][1], segment.sentence_text([x[2] for x in w])) for w in done], columns=["transcript_id", "start", "end", "text"])
 
-    return words.groupBy("transcript_id").applyInPandasWithState(step, "transcript_id string, start double, end double, text string", "open array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return words.groupBy("transcript_id").applyInPandasWithState(step, "transcript_id string, start double, end double, text string", "open array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
