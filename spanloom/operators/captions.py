@@ -127,14 +127,15 @@ def phrases(rows: DataFrame, max_words: int = 4, longest: float = 2.4, max_chars
     def run(frames):
         for f in frames:
             out = []
-            for tid, words in zip(f["transcript_id"], f["words"]):
-                w = [x for x in (words if words is not None else []) if (x["text"] or "").strip()]
-                a, b, t = [x["start"] for x in w], [x["end"] for x in w], [x["text"].strip() for x in w]
+            for tid, start, end, text in zip(f["transcript_id"], f["_start"], f["_end"], f["_text"]):
+                w = [x for x in zip(start.tolist(), end.tolist(), text) if (x[2] or "").strip()] if start is not None else []
+                a, b, t = [x[0] for x in w], [x[1] for x in w], [x[2].strip() for x in w]
                 cut = [*phrase_starts(a, b, t, max_words, longest, GAP_BREAK, max_chars), len(w)]
                 out += [(tid, k, a[x], b[y - 1], y - x, " ".join(t[x:y])) for k, (x, y) in enumerate(zip(cut, cut[1:]))]
             yield pd.DataFrame(out, columns=["transcript_id", "phrase", "start", "end", "n_words", "text"])
 
-    return rows.select("transcript_id", "words").mapInPandas(run, "transcript_id string, phrase int, start double, end double, n_words int, text string")
+    fields = [F.col(f"words.{c}").alias(f"_{c}") for c in ("start", "end", "text")]
+    return rows.select("transcript_id", *fields).mapInPandas(run, "transcript_id string, phrase int, start double, end double, n_words int, text string")
 
 
 def subtitles(clips: DataFrame, width: int = 1080, height: int = 1920, style: dict | None = None) -> DataFrame:

@@ -90,13 +90,14 @@ def build(transcripts: DataFrame, o: Options = Options()) -> DataFrame:
     def run(frames):
         for f in frames:
             rows = []
-            for words in f["words"]:
-                w = list(words) if words is not None else []
-                got = sentences(np.array([x["start"] for x in w], float), np.array([x["end"] for x in w], float), [x["text"] for x in w], o)
+            for start, end, text in zip(f["_start"], f["_end"], f["_text"]):
+                got = sentences(*((np.asarray(start, float), np.asarray(end, float), list(text)) if start is not None else (np.zeros(0), np.zeros(0), [])), o)
                 rows.append([{"idx": k, **{c: got[c][k] for c in ("start", "end", "text", "pause_before", "pause_after", "n_words")}} for k in range(len(got["text"]))])
             yield pd.DataFrame({"transcript_id": f["transcript_id"], "language": f["language"], "duration": f["duration"], "sentences": rows})
 
-    return transcripts.select("transcript_id", "language", "duration", "words").mapInPandas(run, f"transcript_id string, language string, duration double, sentences array<{schemas.SENTENCE}>")
+    # arrays by field: Arrow hands them over as arrays, where structs would be an object a word
+    fields = [F.col(f"words.{c}").alias(f"_{c}") for c in ("start", "end", "text")]
+    return transcripts.select("transcript_id", "language", "duration", *fields).mapInPandas(run, f"transcript_id string, language string, duration double, sentences array<{schemas.SENTENCE}>")
 
 
 def explode(built: DataFrame) -> DataFrame:

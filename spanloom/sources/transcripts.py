@@ -22,6 +22,12 @@ def even_words(text, start, end):
     return T.let(T.words(text), spread)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over the cores if they come in fewer partitions than there are cores (few or unsplittable files); else as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
     """A row (transcript_id, language, duration, words) for each document: one segment, words WORD_SECONDS apart."""
 
@@ -29,7 +35,7 @@ def from_documents(docs: DataFrame) -> DataFrame:
         return F.transform(w, lambda x, i: F.struct((i * F.lit(WORD_SECONDS)).alias("start"), ((i + 1) * F.lit(WORD_SECONDS)).alias("end"), x.alias("text"), F.lit(1.0).alias("prob")))
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    return spread(docs.select("doc_id", "lang", "text")).select(
         F.col("doc_id").cast("string").alias("transcript_id"),
         F.coalesce(F.lower(F.substring("lang", 1, 2)), F.lit("en")).alias("language"),
         (T.word_count(text).cast("double") * WORD_SECONDS).alias("duration"),
