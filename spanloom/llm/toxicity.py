@@ -13,8 +13,10 @@ by a pad that both dictionaries hold.  The pad makes zstandard emit a compressed
 block in either case, so the header costs cancel and the difference is that of
 the word alone.  Equal windows of a block are compressed once.
 
-Dictionaries are raw content: zstandard's trainer adds entropy tables, and their
-differences drowned those of the words (held-out AUC 0.60-0.88 against 0.999).
+Dictionaries are raw content, filled here from the training documents, not made
+by zstandard's own trainer.  Trials with the trainer, before the shared pad was
+added, reached a held-out AUC of 0.66-0.88 where raw content reached 0.91; raw
+content with the pad reached over 0.999.  The trainer was not tried with the pad.
 """
 
 from __future__ import annotations
