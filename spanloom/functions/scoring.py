@@ -66,3 +66,10 @@ def iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Intersection over hull of two intervals, 0 if they do not overlap."""
     hull = F.greatest(a1, b1) - F.least(a0, b0)
     return F.when(hull > 0, F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0)) / hull).otherwise(F.lit(0.0))
+
+
+def padding(start: Column, end: Column, pause_before: Column, pause_after: Column, lead: float = 0.25, tail: float = 0.40) -> Column:
+    """Struct of start and end, moved outwards into the pauses: by 0.6 of each at most, never before zero."""
+    first = F.greatest(F.lit(0.0), start - F.least(F.lit(lead), 0.6 * pause_before))
+    last = end + F.least(F.lit(tail), 0.6 * F.greatest(F.lit(0.0), pause_after))
+    return F.struct(first.alias("start"), last.alias("end"))

@@ -143,3 +143,8 @@ def chars_per_line(width: Column, font_size: Column, margin: Column) -> Column:
 def as_number(value: Column) -> Column:
     """First token, comma as point, other characters dropped; null if nothing is left."""
     return F.regexp_replace(F.replace(F.element_at(F.concat(words(value), F.array(F.lit(""))), 1), F.lit(","), F.lit(".")), r"[^0-9.\-]", "").try_cast("double")
+
+
+def merge_maps(left: Column, right: Column) -> Column:
+    """One map of both; where a key is in both, the right value unless it is null."""
+    return F.map_zip_with(left, right, lambda _, a, b: F.coalesce(b, a))

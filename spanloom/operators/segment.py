@@ -179,3 +179,9 @@ def require_speech(sents: DataFrame, media: DataFrame | None = None) -> DataFram
     """Per transcript: sentences, words, speech seconds, and whether there is enough speech (4 sentences, 25 words)."""
     g = sents.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n_words").alias("n_words"), F.sum(F.col("end") - F.col("start")).alias("speech_seconds"))
     return g.withColumn("enough", (F.col("n_sentences") >= 4) & (F.col("n_words") >= 25))
+
+
+def duration_guard(media: DataFrame, low: float = 20.0, duration: str = "duration") -> DataFrame:
+    """media with `verdict`: too_short under `low` seconds (or unknown), few_clips under three times that, else ok."""
+    d = F.coalesce(F.col(duration), F.lit(0.0))
+    return media.withColumn("verdict", F.when(d < low, F.lit("too_short")).when(d < 3 * low, F.lit("few_clips")).otherwise(F.lit("ok")))

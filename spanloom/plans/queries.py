@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.functions import lexicon, scoring
+from spanloom.functions import jsonrepair, lexicon, scoring
 from spanloom.functions import text as T
 from spanloom.operators import camera, captions, insights, intervals, rank, segment, trimming, windows
 from spanloom.plans import analyze
 from spanloom.sinks import exports
+from spanloom.sources import media
 from spanloom.sources import transcripts as TR
 
 QUERIES: dict = {}
@@ -321,7 +322,7 @@ def windows_in_band(spark, d):
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
 x AS (SELECT doc_id, unnest(range(len(ws))) AS k, ws FROM w)
-SELECT doc_id::VARCHAR AS transcript_id, k::INT AS pos, greatest(k * 0.4, 10.1) AS start, least((k + 1) * 0.4, 20.3) AS "end", ws[k + 1] AS text FROM x WHERE (k + 1) * 0.4 > 10.1 AND k * 0.4 < 20.3""")
+SELECT doc_id::VARCHAR AS transcript_id, k::INT AS pos, greatest(k * 0.4::DOUBLE, 10.1::DOUBLE) AS start, least((k + 1) * 0.4::DOUBLE, 20.3::DOUBLE) AS "end", ws[k + 1] AS text FROM x WHERE (k + 1) * 0.4::DOUBLE > 10.1::DOUBLE AND k * 0.4::DOUBLE < 20.3::DOUBLE""")
 def words_in_range(spark, d):
     """Evenly spread words that overlap 10.1-20.3 s, cut to it."""
     w = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("transcript_id"), F.posexplode(T.words("text")).alias("pos", "text"))
@@ -507,3 +508,136 @@ def subtitles(spark, d):
 def speech_check(spark, d):
     """Whether a transcript holds enough speech."""
     return segment.require_speech(segment.explode(segment.build(_documents(spark, d))))
+
+
+# ---- predicates and scalars over lines of a fixed set -------------------------------
+
+_LINES = ["Yeah.", "okay", "OK, so we left", "Let's move on to it", "thanks", "um", "Uh,", "...hmm!", "Anyway, that was it", "[music]", "Thank you for watching!", "  ", "you", "we should probably talk about it", "exactly right you are", "Sure!"]
+_LINES_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _LINES) + "]"
+_PART_LINES = f"l AS (SELECT p_partkey, CASE WHEN p_partkey % 17 = 16 THEN p_name ELSE ({_LINES_SQL})[(p_partkey % 17)::INT + 1] END AS line, (p_size % 10) / 10.0 AS ns, -(p_size % 7) / 5.0 AS lp FROM part)"
+
+
+def _lines(spark, d) -> DataFrame:
+    p = table(spark, d, "part")
+    line = F.when(F.col("p_partkey") % 17 == 16, F.col("p_name")).otherwise(F.get(F.array(*[F.lit(x) for x in _LINES]), (F.col("p_partkey") % 17).cast("int")))
+    return p.select("p_partkey", line.alias("line"), (F.col("p_size") % 10 / 10.0).alias("ns"), (-(F.col("p_size") % 7) / 5.0).alias("lp"))
+
+
+def _any(rules) -> str:
+    return "(" + " OR ".join("regexp_matches(line, '(?i)" + p.replace("'", "''") + "')" for p, _ in rules) + ")"
+
+
+def _among(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_N_WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
+
+
+@query(f"WITH {_PART_LINES} SELECT p_partkey, {_any(lexicon.FILLER_ONLY)} AND {_N_WORDS.format('line')} <= 5 AS filler, {_any(lexicon.TRANSITION_OUT)} AS transition FROM l")
+def line_kinds(spark, d):
+    """Bare acknowledgements and lines that change the subject."""
+    return _lines(spark, d).select("p_partkey", T.is_filler(F.col("line")).alias("filler"), T.is_transition(F.col("line")).alias("transition"))
+
+
+@query(f"WITH {_PART_LINES} SELECT p_partkey, lower(regexp_replace(line, '^[ .,!?…-]+|[ .,!?…-]+$', '', 'g')) IN ({_among(T.FILLER_WORDS)}) AS filler_word FROM l")
+def filler_words(spark, d):
+    """P5: words that only fill a pause."""
+    return _lines(spark, d).select("p_partkey", T.is_filler_word(F.col("line")).alias("filler_word"))
+
+
+@query(rf"""WITH {_PART_LINES}, n AS (SELECT *, trim(line) AS t, trim(regexp_replace(lower(line), '[^\pL\pN\s]', '', 'g')) AS n FROM l)
+SELECT p_partkey, line FROM n WHERE NOT (t = '' OR (ns >= 0.6 AND lp < -0.5 AND {_N_WORDS.format('n')} <= 3) OR regexp_full_match(t, '[\[(♪].*[\])♪]') OR t = '♪' OR (ns >= 0.5 AND n IN ({_among(T.HALLUCINATIONS)})))""")
+def hallucination_filter(spark, d):
+    """Lines left without what a recogniser makes up over silence."""
+    return _lines(spark, d).where(~T.is_hallucination(F.col("line"), F.col("ns"), F.col("lp"))).select("p_partkey", "line")
+
+
+@query(f"""WITH {_PART_LINES} SELECT p_partkey, translate(upper(regexp_replace(trim(line), '[,.!?;:"“”«»]+$', '', 'g')), '{{}}', '()') AS caption FROM l""")
+def caption_text(spark, d):
+    """the words of a caption, upper case without closing punctuation."""
+    return _lines(spark, d).select("p_partkey", T.caption_text(F.col("line")).alias("caption"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey)::INT AS rank FROM lineitem QUALIFY rank <= 3")
+def top_k_per_group(spark, d):
+    """The best three of each group, ranked."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return rank.top_k(rows, ["l_orderkey"], [F.desc("l_extendedprice"), "l_linenumber", "l_partkey", "l_suppkey"], 3)
+
+
+@query("""SELECT o_orderkey, greatest(0.0, s - least(0.25, 0.6 * b)) AS start, e + least(0.4, 0.6 * greatest(0.0, a)) AS "end" FROM (
+SELECT o_orderkey, (o_orderkey % 50) / 8.0 AS s, (o_orderkey % 50) / 8.0 + 20 AS e, (o_custkey % 9) / 10.0 AS b, (o_custkey % 7 - 1) / 5.0 AS a FROM orders)""")
+def padding(spark, d):
+    """a span moved outwards into the pauses around it."""
+    o = table(spark, d, "orders")
+    s = F.col("o_orderkey") % 50 / 8.0
+    return o.select("o_orderkey", scoring.padding(s, s + 20, F.col("o_custkey") % 9 / 10.0, (F.col("o_custkey") % 7 - 1) / 5.0).alias("p")).select("o_orderkey", "p.start", "p.end")
+
+
+@query("SELECT s_suppkey, CASE WHEN s < 20 THEN 'too_short' WHEN s < 60 THEN 'few_clips' ELSE 'ok' END AS verdict FROM (SELECT s_suppkey, s_acctbal / 100 AS s FROM supplier)")
+def duration_guard(spark, d):
+    """P10: media too short for one clip, or for several."""
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("duration"))
+    return segment.duration_guard(s).select("s_suppkey", "verdict")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE 1 END AS a, 2 AS b, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS c FROM customer")
+def merge_maps(spark, d):
+    """Settings over defaults, the right one wins."""
+    left = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))
+    right = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("a"), F.lit(5))).otherwise(F.create_map(F.lit("c"), F.col("c_nationkey")))
+    m = table(spark, d, "customer").select("c_custkey", T.merge_maps(left, right).alias("m"))
+    return m.select("c_custkey", *[F.try_element_at("m", F.lit(k)).alias(k) for k in "abc"])
+
+
+@query("""SELECT p_partkey, (p_size * 10.5)::DOUBLE AS duration, 320 + p_size AS width, 240 + p_size AS height, CASE WHEN p_partkey % 4 = 0 THEN 0.0 ELSE 30000 / 1001.0 END AS fps,
+  p_partkey * 1000 AS size_bytes, 'h264' AS vcodec, CASE WHEN p_partkey % 2 = 0 THEN 'aac' ELSE '' END AS acodec, p_partkey % 2 = 0 AS has_audio, 'v' || p_partkey || '.mp4' AS filename FROM part""")
+def media_probe(spark, d):
+    """One row of media columns for each probe document."""
+    k, s = F.col("p_partkey").cast("string"), F.col("p_size")
+    cover = F.lit('{"codec_type":"video","codec_name":"mjpeg","width":9,"height":9,"disposition":{"attached_pic":1}},')
+    rate = F.when(F.col("p_partkey") % 4 == 0, F.lit("0/0")).otherwise(F.lit("30000/1001"))
+    video = F.concat(F.lit('{"codec_type":"video","codec_name":"h264","width":'), (s + 320).cast("string"), F.lit(',"height":'), (s + 240).cast("string"), F.lit(',"avg_frame_rate":"'), rate, F.lit('","duration":"'), (s * 10.5).cast("string"), F.lit('"}'))
+    audio = F.when(F.col("p_partkey") % 2 == 0, F.lit(',{"codec_type":"audio","codec_name":"aac"}')).otherwise(F.lit(""))
+    form = F.concat(F.lit('],"format":{"filename":"/in/v'), k, F.lit('.mp4","size":"'), (F.col("p_partkey") * 1000).cast("string"), F.lit('","duration":"'), (s * 10).cast("string"), F.lit('"}}'))
+    raw = table(spark, d, "part").select("p_partkey", F.concat(F.lit('{"streams":['), cover, video, audio, form).alias("probe"))
+    return media.parse_probe(raw).drop("probe")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN 0 ELSE 2 END AS n, CASE WHEN p_partkey % 5 < 4 THEN p_size END AS first FROM part""")
+def json_repair(spark, d):
+    """Objects of replies that are fenced, cut off, commented or no JSON at all."""
+    s = F.col("p_size").cast("string")
+    a, b = F.concat(F.lit('{"start_index": '), s, F.lit("}")), F.lit('{"start_index": 7}')
+    reply = (
+        F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit('```json\n{"candidates": ['), a, F.lit(", "), b, F.lit("]}\n```")))
+        .when(F.col("p_partkey") % 5 == 1, F.concat(F.lit('{"candidates":['), a, F.lit(","), b, F.lit(',{"start_in')))
+        .when(F.col("p_partkey") % 5 == 2, F.concat(F.lit('Sure: {"candidates": ['), a, F.lit(", "), b, F.lit(",],}")))
+        .when(F.col("p_partkey") % 5 == 3, F.concat(F.lit("["), a, F.lit(","), b, F.lit("]")))
+        .otherwise(F.lit("I cannot help with that."))
+    )
+    r = jsonrepair.repair(table(spark, d, "part").select("p_partkey", "p_size", reply.alias("reply")), "reply", "candidates")
+    return r.select("p_partkey", F.size("items").alias("n"), F.get_json_object(F.get("items", F.lit(0)), "$.start_index").cast("int").alias("first"))
+
+
+@query("""WITH c AS (SELECT o_custkey::VARCHAR AS video_hash, o_orderkey AS rank, o_orderpriority AS clip_type, o_totalprice AS overall FROM orders),
+e AS (SELECT o_custkey::VARCHAR AS video_hash, o_orderkey + o_orderkey % 2 AS rank, CASE WHEN o_orderkey % 3 = 0 THEN 'story' END AS clip_type, o_orderkey % 100 AS views FROM orders)
+SELECT video_hash, rank, coalesce(e.clip_type, c.clip_type) AS clip_type, views, overall FROM e LEFT JOIN c USING (video_hash, rank)""")
+def performance_log(spark, d):
+    """Requests filled from the snapshots of their clips."""
+    o = table(spark, d, "orders")
+    v = F.col("o_custkey").cast("string").alias("video_hash")
+    clips = o.select(v, F.col("o_orderkey").alias("rank"), F.col("o_orderpriority").alias("clip_type"), F.col("o_totalprice").alias("overall"))
+    entries = o.select(v, (F.col("o_orderkey") + F.col("o_orderkey") % 2).alias("rank"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("story")).alias("clip_type"), (F.col("o_orderkey") % 100).alias("views"))
+    return insights.log(clips, entries).select("video_hash", "rank", "clip_type", "views", "overall")
+
+
+@query("""WITH s AS (SELECT conv_id::VARCHAR AS transcript_id, turn::INT AS idx, (turn + 1) * 7.0 AS e FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+p AS (SELECT DISTINCT conv_id::VARCHAR AS transcript_id, (x * 9.0)::DOUBLE AS t FROM conversations, range(8) r(x))
+SELECT p.transcript_id, t, coalesce(min(idx) FILTER (e >= t), max(idx)) AS idx FROM p JOIN s USING (transcript_id) GROUP BY ALL""")
+def sentence_at(spark, d):
+    """The sentence at a time, or the last one."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("transcript_id"), F.col("turn").cast("int").alias("idx")).distinct()
+    points = c.select("transcript_id").distinct().select("transcript_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("x")).select("transcript_id", (F.col("x") * F.lit(9.0)).alias("t"))
+    return segment.sentence_at(c.withColumn("end", (F.col("idx") + 1) * F.lit(7.0)), points).select("transcript_id", "t", "idx")
