@@ -10,12 +10,16 @@ each cut off in the shared folder.
 
 With `min_ratio` (fingerprints of shingle sets, for similarity joins) tiles are
 also cut by the number of shingles: two sets of Jaccard similarity s have sizes
-within a factor s of each other.
+within a factor s of each other.  Fingerprints give candidates only there: inside
+each component of candidates the shingle sets themselves are compared, and only
+pairs whose Jaccard similarity reaches the threshold link.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from spanloom.llm import kern, scratch
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints in a sub-tile of the size-cut tiles.
 TILE = 2048
+#: Shingle sets in a block of the exact comparison.
+SETS = 512
 
 
 def _shingles(w: kern.Words, text: bytes, doc: int, k: int) -> list[bytes]:
@@ -47,13 +53,8 @@ def _normal(w: kern.Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data[np.cumsum(delta[: len(data)], dtype=np.int8) > 0].tobytes(), start, start + size
 
 
-def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE, lanes: int = 1, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(documents x lanes) 64-bit words of the SimHash, and the number of shingles.
-
-    Lane 0 votes with XXH64 (seed 42) of each shingle of lower-cased words; further
-    lanes with mixes of it.  A bit is 1 if set in over half the hashes.  `distinct`
-    counts a shingle once a document.
-    """
+def shingle_hashes(texts: list[bytes | None], shingle: int = SHINGLE, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of each shingle of lower-cased words, and their number by document; `distinct`: each once a document, ascending."""
     w = kern.Words(texts, lower=True)
     data, start, end = _normal(w)
     view = memoryview(data)
@@ -69,12 +70,27 @@ def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE, lanes: int =
         new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
         h, doc = h[new], doc[new]
         n = np.bincount(doc, minlength=len(texts))
-    out = np.zeros((len(texts), lanes), np.uint64)
+    return h, n
+
+
+def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE, lanes: int = 1, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(documents x lanes) 64-bit words of the SimHash, and the number of shingles.
+
+    Lane 0 votes with XXH64 (seed 42) of each shingle of lower-cased words; further
+    lanes with mixes of it.  A bit is 1 if set in over half the hashes.  `distinct`
+    counts a shingle once a document.
+    """
+    h, n = shingle_hashes(texts, shingle, distinct)
+    return _vote(h, n, lanes), n
+
+
+def _vote(h: np.ndarray, n: np.ndarray, lanes: int) -> np.ndarray:
+    out = np.zeros((len(n), lanes), np.uint64)
     cut = np.concatenate([[0], np.cumsum(n)])
     step = 1 << 15
     for lane in range(lanes):
         x = h if lane == 0 else kern.mix(h + np.uint64(lane * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-        votes = np.zeros((len(texts), 64), np.int64)
+        votes = np.zeros((len(n), 64), np.int64)
         for a in range(0, len(x), step):
             b = min(len(x), a + step)
             bits = np.unpackbits(x[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -84,7 +100,7 @@ def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE, lanes: int =
             full = hi > lo
             votes[full] += acc[hi[full]] - acc[lo[full]]
         out[:, lane] = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
-    return out, n
+    return out
 
 
 # ---- tiles ---------------------------------------------------------------
@@ -98,19 +114,16 @@ def _counts(fp: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the radius: lane 0 first, the other lanes for what it leaves."""
-    d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    """Index pairs within the radius (some may repeat): such a pair has radius // lanes or less in one lane at least."""
     lanes = a.shape[1]
-    # Lanes are independent draws of the same distance: a pair at the radius has radius / lanes in lane 0,
-    # and over 12 more with probability below 1e-5 (hypergeometric, for 4 lanes and a radius under 48).
-    i, j = np.nonzero(d <= (radius if lanes == 1 else min(64, radius // lanes + 12)))
-    if lanes > 1 and len(i):
-        total = d[i, j].astype(np.int32)
-        for lane in range(1, lanes):
-            total += np.bitwise_count(a[i, lane] ^ b[j, lane])
-            ok = total <= radius
-            i, j, total = i[ok], j[ok], total[ok]
-    return i, j
+    out = []
+    for lane in range(lanes):
+        i, j = np.nonzero(np.bitwise_count(np.ascontiguousarray(a[:, lane])[:, None] ^ np.ascontiguousarray(b[:, lane])[None]) <= radius // lanes)
+        if lanes > 1 and len(i):
+            ok = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int32) <= radius
+            i, j = i[ok], j[ok]
+        out.append((i, j))
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
 
 
 class _Forest:
@@ -261,6 +274,93 @@ def links_by_size(fps: DataFrame, radius: int, min_ratio: float, lanes: int) ->
     return packed.select("size", "sub", "l", "n").mapInArrow(shed, "job string, own boolean, fps binary, n binary").groupBy("job").applyInArrow(compare, "a binary, b binary")
 
 
+# ---- exact sets ----------------------------------------------------------
+
+
+def jaccard_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest (row, row) of all pairs whose exact Jaccard similarity is at least the given one.
+
+    Breadth first: each set meets, by postings, those that nothing has reached yet.
+    """
+    n = np.array([len(x) for x in sets])
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    cut = np.concatenate([[0], np.cumsum(n)])
+    holder = np.repeat(np.arange(len(sets)), n)[np.argsort(token, kind="stable")]
+    post = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=1))])
+    fresh = np.ones(len(sets), bool)
+    out = []
+    for seed in range(len(sets)):
+        queue = [seed] if fresh[seed] else []
+        fresh[seed] = False
+        while queue and fresh.any():
+            i = queue.pop()
+            t = token[cut[i] : cut[i + 1]]
+            size = post[t + 1] - post[t]
+            at = np.arange(size.sum()) + np.repeat(post[t] - (np.cumsum(size) - size), size)
+            met = np.bincount(holder[at], minlength=len(sets))
+            near = np.flatnonzero(fresh & (met + 1e-9 >= similarity * (n[i] + n - met)))
+            fresh[near] = False
+            out += [(j, i) for j in near.tolist()]
+            queue += near.tolist()
+    return out
+
+
+def links_by_sets(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between ids of classes (id, at, fp, n) whose shingle sets have the Jaccard similarity or more.
+
+    Candidates are the components of `near` (a, b), links between fingerprints.  One text stands for
+    a class: docs has it at `_at`.  Small components are bundled; one of over SETS classes is cut into
+    blocks by size of set, and a job compares two blocks of the same or of adjacent size classes.
+    """
+    roots = components(near, "near").withColumnRenamed("node", "fp")
+    fps = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("m")).join(roots, "fp", "left").where("root is not null or m > 1").select("fp", F.coalesce("root", "fp").alias("root"))
+    # a little wider than 1 / similarity, so that no pair at the threshold is two classes apart
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / (1e-9 - math.log(similarity))).cast("int")
+    cand = scratch.stored(classes.join(fps, "fp").select("id", F.col("at").alias("_at"), "root", band.alias("band")), "candidates")
+    bundles = max(1, cand.count() // (2 * SETS))
+    sizes = cand.groupBy("root", "band").count()
+    large = sizes.groupBy("root").agg(F.sum("count").alias("m"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("count") / SETS).cast("int")))).alias("parts")).where(F.col("m") > SETS).drop("m")
+    # a row for each SETS candidates at most
+    cand = cand.join(F.broadcast(large), "root", "left").withColumn("bundle", F.pmod(F.xxhash64("root"), F.lit(bundles)).cast("string"))
+
+    def shed(batches):
+        for batch in batches:
+            text, ids, root, bands, parts, bundle = (batch.column(i).to_pylist() for i in range(6))
+            for lo, hi in kern.blocks(text):
+                h, n = shingle_hashes(text[lo:hi], shingle, True)
+                cut = np.concatenate([[0], np.cumsum(n)])
+                rows = []
+                for k in range(lo, hi):
+                    blob = h[cut[k - lo] : cut[k - lo + 1]].tobytes()
+                    if _digest(blob) != ids[k]:  # another text under the same key
+                        continue
+                    jobs = [bundle[k]]
+                    if parts[k] is not None:
+                        held, z = dict(parts[k]), bands[k]
+                        own = int.from_bytes(ids[k][:4]) % held[z]
+                        jobs = [(z, min(i, own), z, max(i, own)) for i in range(held[z])]
+                        jobs += [(z, own, z + 1, j) for j in range(held.get(z + 1, 0))] + [(z - 1, i, z, own) for i in range(held.get(z - 1, 0))]
+                        jobs = [root[k].hex() + "," + ",".join(map(str, j)) for j in jobs]
+                    rows += [(j, root[k], ids[k], blob) for j in jobs]
+                if rows:
+                    cols = list(zip(*rows))
+                    yield from pa.table({"job": pa.array(cols[0], pa.string()), **{c: pa.array(x, pa.binary()) for c, x in zip(("root", "id", "blob"), cols[1:])}}).to_batches()
+
+    def compare(key, tab):
+        groups = {}
+        for root, i, blob in zip(kern.column(tab, "root"), kern.column(tab, "id"), kern.column(tab, "blob")):
+            groups.setdefault(root, {})[i] = np.frombuffer(blob, np.uint64)
+        found = [(ids[i], ids[j]) for ids, sets in ((list(g), list(g.values())) for g in groups.values()) for i, j in jaccard_forest(sets, similarity)]
+        return kern.table(_EDGE, a=[x for x, _ in found], b=[x for _, x in found])
+
+    texts = docs.select(F.col("text").cast("binary").alias("text"), "_at").join(cand, "_at").select("text", "id", "root", "band", "parts", "bundle")
+    return texts.mapInArrow(shed, "job string, root binary, id binary, blob binary").groupBy("job").applyInArrow(compare, "a binary, b binary")
+
+
+def _digest(blob: bytes) -> bytes:
+    return hashlib.blake2b(blob, digest_size=16).digest()
+
+
 # ---- components -----------------------------------------------------------
 
 
@@ -291,7 +391,7 @@ def components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame
 
 # ---- operator ---------------------------------------------------------------
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("n", pa.int64())])
+_FP = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("fp", pa.binary()), ("n", pa.int64()), ("id", pa.binary())])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, lanes: int = 1, distinct: bool = False, min_ratio: float | None = None) -> DataFrame:
@@ -302,34 +402,64 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     rows are documents with the same fingerprint.  An empty table gives an empty
     table.  Columns other than doc_id and text are ignored.  Very long texts are
     hashed whole, block by block.
+
+    With `min_ratio` (and `distinct`) the radius only finds candidates: documents link if the Jaccard
+    similarity of their sets of shingles, taken as 64-bit hashes, is at least min_ratio.
     """
 
     def run(block):
-        fp, n = fingerprints(block["text"], shingle, lanes, distinct)
-        return {"doc_id": block["doc_id"], "fp": [x.byteswap().tobytes() for x in fp], "n": n}
-
-    all_ = scratch.stored(kern.map_text(docs, run, "doc_id long, fp binary, n long", _FP), "fingerprints")
-    classes = scratch.stored(all_.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
+        h, n = shingle_hashes(block["text"], shingle, distinct)
+        fp = [x.byteswap().tobytes() for x in _vote(h, n, lanes)]
+        cut = np.concatenate([[0], np.cumsum(n)])
+        ids = fp if min_ratio is None else [_digest(h[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+        return {"doc_id": block["doc_id"], "at": block["_at"], "fp": fp, "n": n, "id": ids}
+
+    # a null doc_id takes its text's hash as key, so that null keys do not all meet
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("_at"))
+    all_ = scratch.stored(kern.map_text(docs, run, "doc_id long, at long, fp binary, n long, id binary", _FP, ("_at",)), "fingerprints")
+    classes = scratch.stored(all_.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.min("at").alias("at"), F.max("n").alias("n")), "classes")
     if min_ratio is None:
         n = classes.count()
         parts = 4 if n < 1 << 20 else 8 if n < 1 << 27 else 16
         edges = links_by_counts(classes.select("fp"), radius, parts)
     else:
-        edges = links_by_size(classes.select("fp", "n"), radius, min_ratio, lanes)
+        near = links_by_size(classes.select("fp", "n").distinct(), radius, min_ratio, lanes)
+        edges = links_by_sets(docs, classes, near, shingle, min_ratio)
     roots = components(edges)
-    joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return all_.join(named, "fp").select("doc_id", "fp", "component_id")
+    joined = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
+    return all_.join(named, "id").select("doc_id", "fp", "component_id")
+
+
+@lru_cache
+def candidate_radius(similarity: float, bits: int) -> int:
+    """Three deviations over the expected distance at the Jaccard similarity.
+
+    For large sets bits differ with probability acos(c) / pi, cosine c = 2s / (1 + s); for small ones,
+    whose votes tie, the worst pair of sizes is counted out.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for both in range(1, 13):
+        for x in range(both + 1):
+            for y in range(x, both + 1):
+                if x + y and both >= similarity * (both + x + y) - 1e-9:
+                    odd = sum(
+                        math.comb(both, s) * math.comb(x, i) * math.comb(y, j)
+                        for s in range(both + 1) for i in range(x + 1) for j in range(y + 1)
+                        if (2 * (s + i) > both + x) != (2 * (s + j) > both + y)
+                    )
+                    p = max(p, odd / 2 ** (both + x + y))
+    return round(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
     """The rows of docs less near-duplicates: of each group one stays, the first by doc_id.
 
-    Fingerprints of `lanes` x 64 bits over distinct shingles of `shingle` words; two
-    documents link if their distance is at most the expected distance at the given
-    Jaccard similarity: with cosine c = 2s / (1 + s), bits differ with probability acos(c) / pi.
+    Two documents link if the Jaccard similarity of their sets of `shingle`-word shingles reaches
+    `similarity`, counted on the sets.  Candidates come from fingerprints of `lanes` x 64 bits, three
+    deviations beyond the expected distance: about one pair in a thousand right at the threshold is lost.
     Rows that share a doc_id stay or go together; rows with a null doc_id stay.
     """
-    radius = round(64 * lanes * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    radius = candidate_radius(similarity, 64 * lanes)
     gone = near_duplicates(docs, shingle, radius, lanes, True, similarity).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

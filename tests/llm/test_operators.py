@@ -176,6 +176,36 @@ def test_keep_one_drops_near_copies_only(spark):
     assert kept == set(range(30)) | {40}
 
 
+def test_keep_one_decides_by_exact_jaccard(spark):
+    """Pairs on either side of 0.8: the 256-bit estimate alone gets many of them wrong."""
+    r = random.Random(4)
+    texts = []
+    for k in range(80):
+        a = [f"w{k}x{i}" for i in range(204)]
+        b, at = list(a), r.randrange(0, 3)
+        # every changed word takes five shingles: 4 leave 180 of 220 (0.82), 5 leave 175 of 225 (0.78)
+        for c in range(4 + k % 2):
+            b[at + 20 + 30 * c] = f"other{k}x{c}"
+        texts += [" ".join(a), " ".join(b)]
+    short = ["a b c d e f g h i", "a b c d e f g h", "q r s t u v w x y", "q r s t u v w z"]  # 4 of 5; 3 of 6
+    d = spark.createDataFrame(list(enumerate(texts + short)), "doc_id long, text string")
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    want = {i for i in range(0, 164, 2)} | {i + 1 for i in range(0, 164, 2) if len((x := shingles((texts + short)[i])) & (y := shingles((texts + short)[i + 1]))) / len(x | y) < 0.8}
+    old, simhash.SETS = simhash.SETS, 512
+    try:
+        assert {x.doc_id for x in simhash.keep_one(d).collect()} == want
+        # one large component of near copies is cut into blocks
+        chain = [(i, " ".join(f"s{j}" for j in range(6 * i, 6 * i + 104))) for i in range(40)]
+        simhash.SETS = 5
+        assert [x.doc_id for x in simhash.keep_one(spark.createDataFrame(chain, "doc_id long, text string")).collect()] == [0]
+    finally:
+        simhash.SETS = old
+
+
 def test_allot():
     t = mixing.allot({0: 100, 1: 100, 2: 1000}, {0: 5, 1: 2, 2: 1}, 1200)
     assert t[0] == 300 and t[1] == 300 and t[2] == 600
