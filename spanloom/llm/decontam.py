@@ -2,7 +2,8 @@
 
 Words become template tokens: numbers, units after a number, and capitalised
 words inside a sentence turn into typed placeholders; other words are
-lower-cased and lose outer punctuation.  Hashes of windows of template tokens are
+lower-cased and lose outer punctuation.  A capitalised word that begins a sentence
+may be a name or not: windows are hashed in both readings.  Hashes of windows of template tokens are
 joined between documents and benchmark items.  Where enough of an item's windows
 meet, the slots are compared: every value of the item must map to one value of
 the document and no two of a type to the same, else the match is chance.  So a
@@ -29,6 +30,7 @@ WINDOW = 8
 #: Literal (not placeholder) tokens a window needs to be indexed, share of an item's windows that must meet, and a run of windows that is enough.
 LITERALS, COVERAGE, RUN = 4, 0.5, 12
 INDEX_BYTES = 8 << 20
+_BASE = np.uint64(0xD6E8FEB86659FD93)
 _STRIP = b".,;:!?\"'()[]"
 #: Units of measure and currency (fixed values).
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g gram grams kg kilogram kilograms lb lbs pound pounds oz ounce ounces ml l litre litres liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent % $ € £ dollar dollars euro euros cent cents degrees kmh mph kph".split()
@@ -53,6 +55,7 @@ class Template:
         h = kern.span_hashes(low, self.start, self.end)
         buf, n = w.buf, len(w.start)
         self.kind = np.zeros(n, np.int8)
+        self.either = np.zeros(n, bool)  # literals that may be names
         if n:
             size = self.end - self.start
             first = buf[np.minimum(self.start, len(buf) - 1)]
@@ -74,15 +77,40 @@ class Template:
             stop[1:] |= line[w.start[1:]] != line[w.start[:-1]]
             second = buf[np.minimum(self.start + 1, len(buf) - 1)]
             capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-            self.kind[capital & ~stop & (self.kind == 0) & (size > 1)] = 3
+            capital &= (self.kind == 0) & (size > 1)
+            self.kind[capital & ~stop] = 3
+            self.either = capital & stop
+        self.doc = w.doc
         self.hash = np.where(self.kind == 0, h, np.choose(self.kind, [np.uint64(0), _NUM, _UNIT, _NAME]))
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        h, at = self.words.windows(self.hash, k)
+        """Hashes of windows of k tokens with enough literals, in each reading, and the first token of each."""
+        n = len(self.hash) - k + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(k - 1, _BASE)]))
+        total = np.zeros(n, np.uint64)
+        for j in range(k):
+            total += self.hash[j : n + j] * power[j]
+        inside = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
         literal = np.concatenate([[0], np.cumsum(self.kind == 0)])
-        need = min(LITERALS, k)
-        good = literal[at + k] - literal[at] >= need
-        return h[good], at[good]
+        spare = literal[inside + k] - literal[inside] - min(LITERALS, k)
+        open_ = np.flatnonzero(self.either)
+        lo = np.searchsorted(open_, inside)
+        m = np.searchsorted(open_, inside + k) - lo
+        hashes, at = [kern.mix(total[inside[spare >= 0]])], [inside[spare >= 0]]
+        for some in range(1, int(m.max(initial=0)) + 1):
+            pick = np.flatnonzero((m == some) & (spare >= 1))
+            if not len(pick):
+                continue
+            where = open_[lo[pick][:, None] + np.arange(some)]
+            change = (_NAME - self.hash[where]) * power[where - inside[pick][:, None]]
+            for names in range(1, 1 << some):
+                ok = spare[pick] >= names.bit_count()
+                bits = [i for i in range(some) if names >> i & 1]
+                hashes.append(kern.mix(total[inside[pick[ok]]] + change[ok][:, bits].sum(axis=1, dtype=np.uint64)))
+                at.append(inside[pick[ok]])
+        return np.concatenate(hashes), np.concatenate(at)
 
     def value(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.end[i]].lower()
@@ -92,6 +120,7 @@ class Template:
 class Item:
     item_id: int
     kinds: tuple[int, ...]
+    either: tuple[bool, ...]
     values: tuple[bytes, ...]
     windows: int
 
@@ -113,7 +142,7 @@ class Index:
             h, at = t.windows(length) if length >= 4 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             if len(h):
                 found[length] += [(x, len(items), a) for x, a in zip(h.tolist(), at.tolist())]
-                items.append(Item(item_id, tuple(t.kind.tolist()), tuple(t.value(i) for i in range(n)), len(h)))
+                items.append(Item(item_id, tuple(t.kind.tolist()), tuple(t.either.tolist()), tuple(t.value(i) for i in range(n)), len(set(at.tolist()))))
         tables = {}
         for length, hits in found.items():
             hits.sort()
@@ -123,14 +152,20 @@ class Index:
 
 def _consistent(item: Item, t: Template, pairs: list[tuple[int, int]], k: int) -> tuple[bool, bool]:
     """(slots map one to one, all tokens are the same) over the aligned windows."""
-    forward, back, same = {}, {}, True
+    forward, back, same, kept = {}, {}, True, set()
     for at, of in pairs:
         for j in range(k):
             a, b, kind = item.values[of + j], t.value(at + j), item.kinds[of + j]
             same &= a == b
+            if item.either[of + j] or kind == 0 and t.either[at + j]:
+                if a == b:
+                    kept.add((3, a))
+                    continue
+                kind = 3
             if kind and (forward.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a):
                 return False, False
-    return True, same
+    # a word that opens a sentence and stays the same is no name that changes elsewhere
+    return all(forward.get(x, x[1]) == x[1] for x in kept), same
 
 
 def match(texts: list[bytes | None], index: Index, k: int = WINDOW) -> list[tuple[int, Item, int, float, str]]:

@@ -252,6 +252,18 @@ def test_decontamination(spark, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def _held(item, doc, **k):
+    return [kind for *_, kind in decontam.match([doc.encode()], decontam.Index.of([(1, item.encode())]))]
+
+
+def test_decontamination_names_that_begin_sentences():
+    item = "Alice has 3 red apples. Bob has 5 green apples. How many apples are there?"
+    assert _held(item, "Carol has 4 red apples. David has 9 green apples. How many apples are there?") == ["reparameterised"]
+    assert _held(item, "Once Carol has 4 red apples. David has 9 green apples. Then how many apples are there?") == ["reparameterised"]
+    assert _held(item, "Carol has 4 red apples. Carol has 9 green apples. How many apples are there?") == []  # two names become one
+    assert _held(item, item) == ["verbatim"]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/x", "<p>one</p>"), (2, "http://b/é\r\n", "<p>WARC/1.1\r\n\r\n</p>"), (3, None, None), (4, "http://c", ""), (5, "http://d", "<p>one</p>"), (6, "u", "été\n" * 50), (9, "v", "<p>one</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
