@@ -3,7 +3,8 @@
 Words become template tokens: numbers, units after a number, and capitalised
 words inside a sentence turn into typed placeholders; other words are
 lower-cased and lose outer punctuation.  A capitalised word that begins a sentence
-may be a name or not: windows are hashed in both readings.  Hashes of windows of template tokens are
+may be a name or not: windows are hashed in both readings.  Names in a row are one
+placeholder.  Hashes of windows of template tokens are
 joined between documents and benchmark items.  Where enough of an item's windows
 meet, the slots are compared: every value of the item must map to one value of
 the document and no two of a type to the same, else the match is chance.  So a
@@ -29,6 +30,8 @@ from spanloom.llm import kern
 WINDOW = 8
 #: Literal (not placeholder) tokens a window needs to be indexed, share of an item's windows that must meet, and a run of windows that is enough.
 LITERALS, COVERAGE, RUN = 4, 0.5, 12
+#: Tokens by which the alignment may shift from one met window to the next.
+DRIFT = 8
 INDEX_BYTES = 8 << 20
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _STRIP = b".,;:!?\"'()[]"
@@ -43,11 +46,15 @@ def _word_hash(words: list[bytes]) -> np.ndarray:
 
 
 class Template:
-    """Template tokens of a block of texts: hash, kind (0 literal, 1 number, 2 unit, 3 name) and byte span of each word."""
+    """Template tokens of a block of texts: hash, kind (0 literal, 1 number, 2 unit, 3 name), byte span and document of each.
+
+    Names in a row without punctuation between them are one token.  `joined`: so is a capitalised
+    word that begins a sentence with the names after it, else it stands alone.
+    """
 
     _units: np.ndarray | None = None
 
-    def __init__(self, texts: list[bytes | None]):
+    def __init__(self, texts: list[bytes | None], joined: bool = False):
         self.words = w = kern.Words(texts)
         self.start, self.end = kern.trim(w.buf, w.start, w.end, _STRIP)
         low = np.frombuffer(w.raw.lower(), np.uint8)
@@ -81,6 +88,16 @@ class Template:
             self.kind[capital & ~stop] = 3
             self.either = capital & stop
         self.doc = w.doc
+        if n > 1:
+            name = self.kind == 3
+            run = name[1:] & (name[:-1] | (self.either[:-1] & joined)) & (self.end[:-1] == w.end[:-1]) & (self.start[1:] == w.start[1:]) & (w.doc[1:] == w.doc[:-1])
+            head = np.append(True, ~run)
+            if not head.all():
+                at = np.flatnonzero(head)
+                self.kind[at[np.append(run, False)[at]]] = 3
+                self.either[self.kind == 3] = False
+                self.end = self.end[np.append(at[1:], n) - 1]
+                self.start, self.kind, self.either, self.doc, h = self.start[at], self.kind[at], self.either[at], w.doc[at], h[at]
         self.hash = np.where(self.kind == 0, h, np.choose(self.kind, [np.uint64(0), _NUM, _UNIT, _NAME]))
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +130,13 @@ class Template:
         return np.concatenate(hashes), np.concatenate(at)
 
     def value(self, i: int) -> bytes:
-        return self.raw[self.start[i] : self.end[i]].lower()
+        return b" ".join(self.raw[self.start[i] : self.end[i]].lower().split())
 
 
 @dataclass(frozen=True)
 class Item:
     item_id: int
+    number: int
     kinds: tuple[int, ...]
     either: tuple[bool, ...]
     values: tuple[bytes, ...]
@@ -135,14 +153,19 @@ class Index:
     @staticmethod
     def of(rows: list[tuple[int, bytes]], k: int = WINDOW) -> "Index":
         items, found = [], defaultdict(list)
-        for item_id, text in rows:
-            t = Template([text])
-            n = len(t.kind)
-            length = min(k, n)
-            h, at = t.windows(length) if length >= 4 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            if len(h):
-                found[length] += [(x, len(items), a) for x, a in zip(h.tolist(), at.tolist())]
-                items.append(Item(item_id, tuple(t.kind.tolist()), tuple(t.either.tolist()), tuple(t.value(i) for i in range(n)), len(set(at.tolist()))))
+        for number, (item_id, text) in enumerate(rows):
+            kinds = None
+            for joined in (False, True):
+                t = Template([text], joined)
+                n = len(t.kind)
+                if kinds == t.kind.tolist():
+                    continue
+                kinds = t.kind.tolist()
+                length = min(k, n)
+                h, at = t.windows(length) if length >= 4 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                if len(h):
+                    found[length] += [(x, len(items), a) for x, a in zip(h.tolist(), at.tolist())]
+                    items.append(Item(item_id, number, tuple(kinds), tuple(t.either.tolist()), tuple(t.value(i) for i in range(n)), len(set(at.tolist()))))
         tables = {}
         for length, hits in found.items():
             hits.sort()
@@ -150,55 +173,86 @@ class Index:
         return Index(tuple(items), tables)
 
 
+def _clash(held: dict, key: tuple[int, bytes], value: bytes) -> bool:
+    """The key already has another value; a name may be given in full or in part."""
+    old = held.setdefault(key, value)
+    if old == value:
+        return False
+    a, b = set(old.split()), set(value.split())
+    return key[0] != 3 or not (a <= b or b <= a)
+
+
 def _consistent(item: Item, t: Template, pairs: list[tuple[int, int]], k: int) -> tuple[bool, bool]:
     """(slots map one to one, all tokens are the same) over the aligned windows."""
     forward, back, same, kept = {}, {}, True, set()
-    for at, of in pairs:
-        for j in range(k):
-            a, b, kind = item.values[of + j], t.value(at + j), item.kinds[of + j]
-            same &= a == b
-            if item.either[of + j] or kind == 0 and t.either[at + j]:
-                if a == b:
-                    kept.add((3, a))
-                    continue
-                kind = 3
-            if kind and (forward.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a):
-                return False, False
+    for i, of in dict.fromkeys((at + j, of + j) for at, of in pairs for j in range(k)):
+        a, b, kind = item.values[of], t.value(i), item.kinds[of]
+        same &= a == b
+        if item.either[of] or kind == 0 and t.either[i]:
+            if a == b:
+                kept.add((3, a))
+                continue
+            kind = 3
+        if kind and (_clash(forward, (kind, a), b) or _clash(back, (kind, b), a)):
+            return False, False
     # a word that opens a sentence and stays the same is no name that changes elsewhere
     return all(forward.get(x, x[1]) == x[1] for x in kept), same
 
 
+def _chain(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
+    """The longest run of met windows that ascend in document and item, each within DRIFT of the alignment before it."""
+    pairs = sorted(set(pairs))
+    size, back, lo = [1] * len(pairs), [-1] * len(pairs), 0
+    for i, (a, of) in enumerate(pairs):
+        while pairs[lo][0] < a - reach - DRIFT:
+            lo += 1
+        for j in range(lo, i):
+            b, og = pairs[j]
+            if b < a and og < of and abs((a - of) - (b - og)) <= DRIFT and size[j] >= size[i]:
+                size[i], back[i] = size[j] + 1, j
+    at = max(range(len(pairs)), key=size.__getitem__)
+    out = []
+    while at >= 0:
+        out.append(pairs[at])
+        at = back[at]
+    return out[::-1]
+
+
 def match(texts: list[bytes | None], index: Index, k: int = WINDOW) -> list[tuple[int, Item, int, float, str]]:
     """(document, item, windows met, coverage, kind) of every contaminated pair."""
-    t = Template(texts)
-    out = []
-    for length, (hashes, items, offsets) in index.by_length.items():
-        h, at = t.windows(length)
-        hit = np.flatnonzero(kern.member(h, hashes))
-        if not len(hit):
-            continue
-        lo, hi = np.searchsorted(hashes, h[hit], "left"), np.searchsorted(hashes, h[hit], "right")
-        met = defaultdict(list)
-        for a, x, y in zip(at[hit].tolist(), lo.tolist(), hi.tolist()):
-            for e in range(x, y):
-                met[(int(t.words.doc[a]), int(items[e]))].append((a, int(offsets[e])))
-        for (doc, number), pairs in sorted(met.items()):
-            item = index.items[number]
-            # windows align on diagonals; the best one decides, a repeated passage is one match
-            lines = defaultdict(list)
-            for a, of in pairs:
-                lines[a - of].append((a, of))
-            best = None
-            for shift in sorted(lines):
-                line = lines[shift]
-                n = len({of for _, of in line})
-                if n >= min(RUN, COVERAGE * item.windows) and (best is None or n > best[0]):
-                    ok, same = _consistent(item, t, line, length)
-                    if ok:
-                        best = (n, "verbatim" if same else "reparameterised")
-            if best:
-                out.append((doc, item, best[0], best[0] / item.windows, best[1]))
-    return out
+    best = {}
+    for t in (Template(texts), Template(texts, True)):
+        for length, (hashes, items, offsets) in index.by_length.items():
+            h, at = t.windows(length)
+            hit = np.flatnonzero(kern.member(h, hashes))
+            if not len(hit):
+                continue
+            lo, hi = np.searchsorted(hashes, h[hit], "left"), np.searchsorted(hashes, h[hit], "right")
+            met = defaultdict(list)
+            for a, x, y in zip(at[hit].tolist(), lo.tolist(), hi.tolist()):
+                for e in range(x, y):
+                    met[(int(t.doc[a]), int(items[e]))].append((a, int(offsets[e])))
+            for (doc, entry), pairs in sorted(met.items()):
+                item = index.items[entry]
+                need = min(RUN, COVERAGE * item.windows)
+                if len({of for _, of in pairs}) < need:
+                    continue
+                # windows align on diagonals, and an inserted or missing word shifts to another; the best run decides, a repeated passage is one match
+                lines = defaultdict(list)
+                for a, of in pairs:
+                    lines[a - of].append((a, of))
+                runs = [lines[shift] for shift in sorted(lines)]
+                if len(runs) > 1 and max(len({of for _, of in run}) for run in runs) < item.windows:
+                    runs.insert(0, _chain(pairs, len(item.kinds)))
+                for run in runs:
+                    n = len({of for _, of in run})
+                    old = best.get((doc, item.number))
+                    if n >= need and (old is None or n / item.windows > old[3]):
+                        ok, same = _consistent(item, t, run, length)
+                        if ok:
+                            shifts = {a - of for a, of in run}
+                            best[doc, item.number] = (doc, item, n, n / item.windows, "verbatim" if same and len(shifts) == 1 else "reparameterised")
+    return [best[x] for x in sorted(best)]
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("coverage", pa.float64()), ("kind", pa.string())])
@@ -219,7 +273,7 @@ def _indexes(benchmark: DataFrame, item: str, text: str, k: int) -> list[Index]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
     """A row (doc_id, item_id, n_windows, coverage, kind) for each document and benchmark item that it holds; clean documents have none.
 
-    kind: verbatim if all aligned tokens are equal, else reparameterised.  Items of 4 to
+    kind: verbatim if all aligned tokens are equal and none is inserted or missing between them, else reparameterised.  Items of 4 to
     window - 1 tokens match whole; shorter ones and null texts never.  Null or empty documents
     hold nothing.  Repeated rows each give their matches; equal items share hashes and each
     give a row.  Empty tables: no rows.  Other columns are ignored.  Texts are scanned whole.

@@ -264,6 +264,22 @@ def test_decontamination_names_that_begin_sentences():
     assert _held(item, item) == ["verbatim"]
 
 
+def test_decontamination_adds_up_over_inserted_words():
+    words = [f"word{i}" for i in range(30)]
+    item = " ".join(words)
+    assert _held(item, " ".join(words[:15] + ["extra"] + words[15:])) == ["reparameterised"]
+    assert _held(item, " ".join(words[:14] + words[15:])) == ["reparameterised"]
+    # far apart, or in another order, the halves are no match
+    far = [f"else{i}" for i in range(40)]
+    assert _held(item, " ".join(words[:15] + far + words[15:])) == []
+    assert _held(item, " ".join(words[15:] + words[:15])) == []
+    story = "every day after school Tom walks to the old town library and reads 4 pages before Tom goes home for dinner"
+    assert _held(story, story.replace("Tom walks", "Carl Lee walks").replace("Tom goes", "Carl goes").replace("4", "9")) == ["reparameterised"]
+    assert _held(story, story.replace("Tom walks", "Carl Lee walks").replace("Tom goes", "Peter goes")) == []
+    first = "Tom walks to the old town library. Mary reads 4 long pages there before going home for dinner"
+    assert _held(first, first.replace("Tom", "Carl Lee").replace("Mary", "Ann Maria Jones")) == ["reparameterised"]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/x", "<p>one</p>"), (2, "http://b/é\r\n", "<p>WARC/1.1\r\n\r\n</p>"), (3, None, None), (4, "http://c", ""), (5, "http://d", "<p>one</p>"), (6, "u", "été\n" * 50), (9, "v", "<p>one</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
