@@ -49,12 +49,13 @@ class Template:
     """Template tokens of a block of texts: hash, kind (0 literal, 1 number, 2 unit, 3 name), byte span and document of each.
 
     Names in a row without punctuation between them are one token.  `joined`: so is a capitalised
-    word that begins a sentence with the names after it, else it stands alone.
+    word that begins a sentence with the names after it, else it stands alone.  `raw`: no placeholders,
+    every token is its lower-cased word.
     """
 
     _units: np.ndarray | None = None
 
-    def __init__(self, texts: list[bytes | None], joined: bool = False):
+    def __init__(self, texts: list[bytes | None], joined: bool = False, raw: bool = False):
         self.words = w = kern.Words(texts)
         self.start, self.end = kern.trim(w.buf, w.start, w.end, _STRIP)
         low = np.frombuffer(w.raw.lower(), np.uint8)
@@ -63,7 +64,7 @@ class Template:
         buf, n = w.buf, len(w.start)
         self.kind = np.zeros(n, np.int8)
         self.either = np.zeros(n, bool)  # literals that may be names
-        if n:
+        if n and not raw:
             size = self.end - self.start
             first = buf[np.minimum(self.start, len(buf) - 1)]
             digit = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57))])
@@ -148,13 +149,13 @@ class Index:
     """For each window length: sorted hashes with the item number and first token of each."""
 
     items: tuple[Item, ...]
-    by_length: dict
+    by_length: dict  # raw or not, length: table
 
     @staticmethod
     def of(rows: list[tuple[int, bytes]], k: int = WINDOW) -> "Index":
         items, found = [], defaultdict(list)
         for number, (item_id, text) in enumerate(rows):
-            kinds = None
+            kinds, empty = None, True
             for joined in (False, True):
                 t = Template([text], joined)
                 n = len(t.kind)
@@ -164,8 +165,16 @@ class Index:
                 length = min(k, n)
                 h, at = t.windows(length) if length >= 4 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 if len(h):
-                    found[length] += [(x, len(items), a) for x, a in zip(h.tolist(), at.tolist())]
+                    empty = False
+                    found[False, length] += [(x, len(items), a) for x, a in zip(h.tolist(), at.tolist())]
                     items.append(Item(item_id, number, tuple(kinds), tuple(t.either.tolist()), tuple(t.value(i) for i in range(n)), len(set(at.tolist()))))
+            # too few literals in every window: the words themselves
+            t = Template([text], raw=True)
+            n = len(t.kind)
+            if empty and n >= 4:
+                h, at = t.windows(min(k, n))
+                found[True, min(k, n)] += [(x, len(items), a) for x, a in zip(h.tolist(), at.tolist())]
+                items.append(Item(item_id, number, tuple(t.kind.tolist()), tuple(t.either.tolist()), tuple(t.value(i) for i in range(n)), len(h)))
         tables = {}
         for length, hits in found.items():
             hits.sort()
@@ -221,8 +230,11 @@ def _chain(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
 def match(texts: list[bytes | None], index: Index, k: int = WINDOW) -> list[tuple[int, Item, int, float, str]]:
     """(document, item, windows met, coverage, kind) of every contaminated pair."""
     best = {}
-    for t in (Template(texts), Template(texts, True)):
-        for length, (hashes, items, offsets) in index.by_length.items():
+    raws = {raw for raw, _ in index.by_length}
+    for t, raw in [(Template(texts, joined, raw), raw) for joined, raw in ((False, False), (True, False), (False, True)) if raw in raws]:
+        for (of_raw, length), (hashes, items, offsets) in index.by_length.items():
+            if of_raw != raw:
+                continue
             h, at = t.windows(length)
             hit = np.flatnonzero(kern.member(h, hashes))
             if not len(hit):
@@ -248,7 +260,7 @@ def match(texts: list[bytes | None], index: Index, k: int = WINDOW) -> list[tupl
                     n = len({of for _, of in run})
                     old = best.get((doc, item.number))
                     if n >= need and (old is None or n / item.windows > old[3]):
-                        ok, same = _consistent(item, t, run, length)
+                        ok, same = (True, True) if raw else _consistent(item, t, run, length)
                         if ok:
                             shifts = {a - of for a, of in run}
                             best[doc, item.number] = (doc, item, n, n / item.windows, "verbatim" if same and len(shifts) == 1 else "reparameterised")
@@ -274,7 +286,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, it
     """A row (doc_id, item_id, n_windows, coverage, kind) for each document and benchmark item that it holds; clean documents have none.
 
     kind: verbatim if all aligned tokens are equal and none is inserted or missing between them, else reparameterised.  Items of 4 to
-    window - 1 tokens match whole; shorter ones and null texts never.  Null or empty documents
+    window - 1 tokens match whole; shorter ones and null texts never.  An item none of whose windows
+    holds LITERALS literals (lists of numbers or names) is matched by its words as they are, not
+    with other names or numbers.  Null or empty documents
     hold nothing.  Repeated rows each give their matches; equal items share hashes and each
     give a row.  Empty tables: no rows.  Other columns are ignored.  Texts are scanned whole.
     """

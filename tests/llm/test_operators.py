@@ -280,6 +280,13 @@ def test_decontamination_adds_up_over_inserted_words():
     assert _held(first, first.replace("Tom", "Carl Lee").replace("Mary", "Ann Maria Jones")) == ["reparameterised"]
 
 
+def test_decontamination_items_of_few_literals():
+    for item in ("1 2 3 5 8 13 21 34 55 89", "Anna Tom Maria Peter Lucy Karl Jones Smith Brown", "Add 12 and 30", "2 4 6 8"):
+        assert _held(item, f"some words before {item} and some after") == ["verbatim"]
+        assert _held(item, "some words before 7 7 1 9 Berta Otto 4 4 and some after") == []
+    assert _held("2 4 6", "2 4 6") == []
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/x", "<p>one</p>"), (2, "http://b/é\r\n", "<p>WARC/1.1\r\n\r\n</p>"), (3, None, None), (4, "http://c", ""), (5, "http://d", "<p>one</p>"), (6, "u", "été\n" * 50), (9, "v", "<p>one</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
