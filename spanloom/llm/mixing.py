@@ -3,8 +3,8 @@
 Every source gets a token budget.  Whole epochs of the source come first; the
 rest of the budget is drawn without replacement: a document's key is an
 exponential variate divided by its quality weight, keys are sorted within the
-source, and documents are taken while the prefix sum of their sizes stays within
-the budget.
+source, and documents are taken until the prefix sum of their sizes meets the
+budget; the document at the border is taken in part.
 
 The sort is distributed: keys fall into range buckets by a monotone map, bucket
 sums (a few numbers for each source) give every bucket its starting prefix, and
@@ -53,7 +53,8 @@ def mix(docs: DataFrame, size: Column, weight: Column | None = None, source: str
     Source weights repeat `weights` over the sources in code point order, null last;
     targets share the total of all sizes.  Reruns agree: variates are hashes of the key,
     and ties order by key.  Documents of equal key draw equal variates.  A null or
-    non-positive quality weight counts as 1e-6.  A document of size 0 is never taken.  Empty
+    non-positive quality weight counts as 1e-6.  A document of size 0 is never taken.  What a source's
+documents give sums to its target, rounded down.  Empty
     table: empty table.  The number of sources must be small (a row for each goes to the driver).
     """
     taken = ("size", "source_size", "target", "taken")
@@ -81,5 +82,8 @@ def mix(docs: DataFrame, size: Column, weight: Column | None = None, source: str
     d = d.join(before, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))).drop("_s", "_p")
     inside = W.partitionBy(source, "_part").orderBy("_key", key).rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("_sum", F.col("_before") + F.sum("size").over(inside))
-    d = d.withColumn("taken", F.col("_epochs") * F.col("size") + F.when((F.col("_sum") <= F.col("_rest")) & (F.col("_epochs") < cap), F.col("size")).otherwise(F.lit(0)))
+    # what the budget leaves after the documents before; size at most, so taken stays within cap times it
+    rest = F.least(F.col("size"), F.greatest(F.lit(0), F.floor(F.col("_rest") + 1e-6).cast("long") - (F.col("_sum") - F.col("size"))))
+    over = (F.floor(F.lit(cap) * F.col("size")) - F.col("_epochs") * F.col("size")).cast("long")
+    d = d.withColumn("taken", F.col("_epochs") * F.col("size") + F.least(rest, over))
     return d.select(*[c for c in base.columns if c != "size"], "size", "source_size", "target", "taken")

@@ -237,6 +237,14 @@ def test_mixing_many_buckets(spark):
     assert all(0 <= r.g - r.t <= 50 for r in g)
 
 
+def test_mixing_takes_the_border_document_in_part(spark):
+    d = spark.createDataFrame([(1, "a", 1000), (2, "b", 30), (3, "b", 5000), (4, "b", 40), (5, "c", 700), (6, "c", 7)], "doc_id long, source string, n long")
+    rows = mixing.mix(d, F.col("n")).collect()
+    for s in "abc":
+        g = [r for r in rows if r.source == s]
+        assert 0 <= g[0].target - sum(r.taken for r in g) < 1 and all(0 <= r.taken <= 3 * r["size"] for r in g)
+
+
 def test_decontamination(spark, empty):
     item = "Anna Smith said that Tom bought 12 apples for 3 dollars and later gave 4 apples to Maria so how many apples did Tom keep at home"
     other = "the quick brown fox jumps over the lazy dog near the river bank every single morning in spring"
