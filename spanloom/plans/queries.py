@@ -426,10 +426,10 @@ def phrases(spark, d):
 
 @query()
 def keep_spans(spark, d):
-    """spans to keep after cutting fillers and long pauses, the first 60 seconds of each conversation."""
+    """spans to keep after cutting fillers and long pauses, each conversation whole."""
     c = _conversations(spark, d)
     words = c.select(F.col("transcript_id").alias("clip_id"), F.explode("words").alias("w")).select("clip_id", "w.start", "w.end", "w.text")
-    clips = c.select(F.col("transcript_id").alias("clip_id"), F.lit(0.0).alias("start"), F.least(F.lit(60.0), F.col("duration")).alias("end"))
+    clips = c.select(F.col("transcript_id").alias("clip_id"), F.lit(0.0).alias("start"), F.col("duration").alias("end"))
     return trimming.keep_spans(words, clips)
 
 

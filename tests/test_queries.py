@@ -37,3 +37,11 @@ def test_query_equals_its_sql(spark, duck, name):
     names = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(names)
     assert ordered([tuple(r) for r in df.collect()], df.columns) == ordered(want.fetchall(), names)
+
+
+def test_keep_spans_plans_whole_conversations(spark):
+    ends = {r.transcript_id: r.duration for r in queries._conversations(spark, DIR).select("transcript_id", "duration").collect()}
+    last = {}
+    for r in queries.QUERIES["keep_spans"](spark, DIR).collect():
+        last[r.clip_id] = max(r.end, last.get(r.clip_id, 0.0))
+    assert max(ends.values()) > 60 and all(ends[k] - 1.0 < v <= ends[k] + 1e-6 for k, v in last.items())
