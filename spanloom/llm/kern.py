@@ -172,6 +172,21 @@ def trim(buf: np.ndarray, start: np.ndarray, end: np.ndarray, chars: bytes) -> t
     return start, end
 
 
+def fresh(taken, stem: str) -> str:
+    """A column name that is not taken, in any case."""
+    low = {c.lower() for c in taken}
+    while stem.lower() in low:
+        stem += "_"
+    return stem
+
+
+def cols(names) -> list:
+    """Columns by their exact names, dots and backticks included."""
+    from pyspark.sql import functions as F
+
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def map_text(df, fn, schema: str, arrow_schema: pa.Schema, extra: tuple[str, ...] = (), limit: int = BLOCK):
     """Apply fn(block of dicts of lists) -> dict of columns to (doc_id, text as bytes, *extra), a block at a time."""
     from pyspark.sql import functions as F

@@ -16,6 +16,8 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm import kern
+
 _STEP = 128
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Words that speak for a kind when they stand within CONTEXT characters before a span (fixed values).
@@ -137,25 +139,32 @@ def _apart(spans: Column, others: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(others, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
+def _found(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """docs with the spans of each kind in columns of fresh names, and the base spans and all spans as columns over them."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    held = [kern.fresh(docs.columns, f"_k{i}") for i in range(len(KINDS))]
+    d = docs.select(*kern.cols(docs.columns), *[_find(text, k).alias(h) for h, k in zip(held, KINDS)])
+    base = F.concat(*[F.col(h) for h, k in zip(held, KINDS) if not k.added])
+    parts = []
+    for name in dict.fromkeys(k.name for k in KINDS):
+        own = [F.col(h) for h, k in zip(held, KINDS) if k.name == name and not k.added]
+        more = [F.col(h) for h, k in zip(held, KINDS) if k.name == name and k.added]
+        if own and more:
+            more = [_apart(x, own[0]) for x in more]
+        parts.append(F.array_sort(F.concat(*own, *more), lambda a, b: (a["start"] - b["start"]).cast("int")) if more and own else (own + more)[0])
+    return d, base, F.concat(*parts)
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """docs with base (spans of the base kinds) and spans (all; by kind, then start): arrays of kind, start, end (code points, end exclusive), score.
 
     Null or empty text has no spans.  Added spans that overlap a base span of the same
     kind are left out.  Rows repeat as they come; an empty table gives an empty table.
-    Columns of docs named base, spans or _k0 ... _k5 are replaced.
+    Columns of docs named base or spans are replaced, all others stay.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("base", "spans") and not c.startswith("_k")], *[_find(text, k).alias(f"_k{i}") for i, k in enumerate(KINDS)])
-    order = list(dict.fromkeys(k.name for k in KINDS))
-    base = F.concat(*[F.col(f"_k{i}") for i, k in enumerate(KINDS) if not k.added])
-    parts = []
-    for name in order:
-        own = [F.col(f"_k{i}") for i, k in enumerate(KINDS) if k.name == name and not k.added]
-        more = [F.col(f"_k{i}") for i, k in enumerate(KINDS) if k.name == name and k.added]
-        if own and more:
-            more = [_apart(x, own[0]) for x in more]
-        parts.append(F.array_sort(F.concat(*own, *more), lambda a, b: (a["start"] - b["start"]).cast("int")) if more and own else (own + more)[0])
-    return d.withColumns({"base": base, "spans": F.concat(*parts)}).drop(*[f"_k{i}" for i in range(len(KINDS))])
+    names = [c for c in docs.columns if c.lower() not in ("base", "spans")]
+    d, base, spans = _found(docs.select(*kern.cols(names)))
+    return d.select(*kern.cols(names), base.alias("base"), spans.alias("spans"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -169,23 +178,49 @@ def digest(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", *counts, F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
 
 
+def _running_end(s: Column) -> Column:
+    """The largest end of the spans before each one, 0 for the first and one more for all; in two levels, as positions are."""
+    most = lambda part, at: F.aggregate(part, at, lambda a, p: F.greatest(a, p["end"]))
+    chunks = F.sequence(F.lit(0), F.floor(F.size(s) / _STEP).cast("int"))
+    level = F.aggregate(chunks, F.array(F.lit(0).cast("long")), lambda acc, c: F.concat(acc, F.array(most(F.slice(s, c * _STEP + 1, F.lit(_STEP)), F.element_at(acc, -1)))))
+
+    def one(level: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: most(F.slice(s, i - i % _STEP + 1, i % _STEP), F.get(level, F.floor(i / _STEP).cast("int"))))
+
+    return _let(level, one)
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by its kind in angle brackets and n_chars, if there, set to the new length; texts without spans stay as they are."""
+    """docs with every span replaced by its kind in angle brackets and n_chars, if there, set to the new length.
+
+    Spans may overlap or lie inside others, in any number: no character of a span stays.  Null
+    and empty texts and texts without spans stay as they are; all other columns stay, whatever
+    their names.  Rows repeat as they come; an empty table gives an empty table.
+    """
     names = docs.columns
-    d = detect(docs.drop("base", "spans"))
+    d, _, spans = _found(docs)
+    held, new = kern.fresh(d.columns, "_spans"), kern.fresh(d.columns, "_new")
+    by_start = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], (a["start"] - b["start"])).otherwise(b["end"] - a["end"]).cast("int"))
+    d = d.withColumn(held, by_start)
 
     def rebuild(s: Column) -> Column:
-        # a span starts, at the earliest, where the 64 before it end
-        def cut(x: Column, i: Column) -> Column:
-            past = F.aggregate(F.slice(s, F.greatest(F.lit(1), i - 63), F.least(i, F.lit(64))), F.lit(0).cast("long"), lambda a, p: F.greatest(a, p["end"]))
-            piece = F.substr(F.col("text"), (past + 1).cast("int"), F.greatest(F.lit(0), x["start"] - past).cast("int"))
-            return F.concat(piece, F.when(x["end"] > past, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(F.lit("")))
-
-        end = F.aggregate(F.slice(s, F.greatest(F.lit(1), F.size(s) - 63), F.lit(64)), F.lit(0).cast("long"), lambda a, p: F.greatest(a, p["end"]))
-        return F.concat(F.array_join(F.transform(s, cut), ""), F.substr(F.col("text"), (end + 1).cast("int")))
-
-    by_start = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], (a["start"] - b["start"])).otherwise(b["end"] - a["end"]).cast("int"))
-    text = F.when(F.size("spans") > 0, _let(by_start, rebuild)).otherwise(F.col("text"))
-    d = d.withColumn("_new", text)
-    cols = [F.col("_new").alias("text") if c == "text" else F.when(F.size("spans") > 0, F.length("_new")).otherwise(F.col(c)).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names if c in d.columns]
-    return d.select(*cols)
+        def with_ends(ends: Column) -> Column:
+            def cut(x: Column, i: Column) -> Column:
+                past = F.get(ends, i)
+                piece = F.substr(F.col("text"), (past + 1).cast("int"), F.greatest(F.lit(0), x["start"] - past).cast("int"))
+                return F.concat(piece, F.when(x["end"] > past, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(F.lit("")))
+
+            return F.concat(F.array_join(F.transform(s, cut), ""), F.substr(F.col("text"), (F.element_at(ends, -1) + 1).cast("int")))
+
+        return _let(_running_end(s), with_ends)
+
+    some = F.size(held) > 0
+    d = d.withColumn(new, F.when(some, _let(F.col(held), rebuild)).otherwise(F.col("text")))
+    kinds = dict(docs.dtypes)
+
+    def out(c: str) -> Column:
+        if c == "text":
+            return F.col(new).alias("text")
+        return F.when(some, F.length(new)).otherwise(F.col(c)).cast(kinds[c]).alias(c) if c == "n_chars" else kern.cols([c])[0]
+
+    return d.select(*[out(c) for c in names])

@@ -423,6 +423,32 @@ def test_pii_added_kinds_and_redaction(spark, empty):
     assert pii.digest(empty).count() == 0 and pii.redact(empty).columns == empty.columns
 
 
+def test_redaction_leaves_no_character_of_a_span(spark):
+    """Hundreds of spans inside one another, against a loop over all spans that detection found."""
+    r = random.Random(12)
+    alphabet = ["1.1.1.1.", "2.2.2.2", "a@b.co", "+1 (555) 010-9999", " ", ".", "x", "é", "@c.org", "4111 1111 1111 1111 ", "DE89370400440532013000"]
+    texts = ["mail " + "1.1.1.1." * n + "secret@corp.example.org end" for n in (1, 63, 64, 65, 80, 127, 128, 129, 300)] + ["a@b.co " * 700, None, "", "plain"]
+    texts += ["".join(r.choice(alphabet) for _ in range(r.randint(1, 400))) for _ in range(60)]
+    d = spark.createDataFrame([(i, t, 0, "mine", "k", "n", 7) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, base string, _k0 string, _new string, `a.b` int")
+    found = {x.doc_id: x.spans for x in pii.detect(d.select("doc_id", "text")).collect()}
+    got = pii.redact(d)
+    assert got.columns == d.columns
+    for x in got.collect():
+        t = texts[x.doc_id]
+        assert (x.base, x._k0, x._new, x["a.b"]) == ("mine", "k", "n", 7)
+        if not found[x.doc_id]:
+            assert x.text == t and x.n_chars == 0
+            continue
+        out, past = [], 0
+        for s in sorted(found[x.doc_id], key=lambda s: (s.start, -s.end)):
+            if s.end > past:
+                out += [t[past : max(past, s.start)], f"<{s.kind.upper()}>"]
+            past = max(past, s.end)
+        assert x.text == "".join(out) + t[past:] and x.n_chars == len(x.text)
+        if t.startswith("mail "):
+            assert x.text == "mail <EMAIL> end"
+
+
 def test_langid(spark, empty):
     r = random.Random(2)
     vocab = {x: vocabulary(k, 200) for k, x in enumerate(["en", "de", "fr", "es"])}
