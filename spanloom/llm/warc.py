@@ -13,12 +13,17 @@ Reader: records are parsed in order.  After a failed check (version line,
 headers, length, closing blank lines, block digest, or a gzip member that does
 not inflate) the reader searches for the next version line or gzip member that
 passes all checks, goes on there and logs the bytes between as a quarantined gap.
+The same holds inside a gzip member, which may hold one record or a whole
+archive: it is inflated piece by piece, and records before and after a bad one,
+or before the point where the member breaks, are recovered.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -29,12 +34,12 @@ from pyspark.sql import functions as F
 from spanloom.llm import kern, scratch
 
 _DATE = "2024-01-01T00:00:00Z"
-#: Archives up to so many bytes come through Spark's binary reader, longer ones are streamed from their store.
-WHOLE = 64 << 20
-#: Bytes given to the inflater at once.
-_FEED = 1 << 16
+#: Bytes given to the inflater and taken from it at once, and the smallest piece tried where a member breaks.
+_FEED, _DRAWN, _LEAST = 1 << 16, 1 << 20, 64
+#: Headers and block of a record at most; longer ones could not be rows, and a broken length must not hold the rest of a member.
+MOST_HEAD, MOST_BLOCK = 64 << 20, 1 << 30
 #: Records in an archive at most.
-PER_ARCHIVE = 4000
+PER_ARCHIVE = 1000
 
 
 def sha1_base32(data: bytes) -> str:
@@ -101,106 +106,211 @@ def member(data: bytes) -> bytes:
 
 @dataclass
 class Record:
+    """offset and length: bytes of the archive; inside: (offset, length) in the inflated gzip member; checked: the block digest was there and right."""
+
     offset: int
     length: int
     headers: dict
     block: bytes
+    checked: bool
+    inside: tuple[int, int] | None = None
 
 
 @dataclass
 class Gap:
+    """Quarantined bytes; inside: where in the inflated member, whose own bytes are sound."""
+
     offset: int
     length: int
     reason: str
-
-
-def _parse(data: bytes, at: int) -> tuple[Record | None, str]:
-    """The record at an offset of plain WARC bytes, or why there is none."""
-    if data[at : at + 5] != b"WARC/":
-        return None, "no version line"
-    line = data.find(b"\r\n", at, at + 16)
-    if line < 0 or data[at:line] not in (b"WARC/0.17", b"WARC/0.18", b"WARC/1.0", b"WARC/1.1"):
-        return None, "bad version line"
-    end = data.find(b"\r\n\r\n", line, line + (1 << 16))
-    if end < 0:
-        return None, "headers do not end"
-    headers = {}
-    for row in data[line + 2 : end].split(b"\r\n"):
+    inside: tuple[int, int] | None = None
+
+
+_VERSION = re.compile(rb"WARC/(?:0\.17|0\.18|1\.0|1\.1)\r\n")
+_LINE_END = re.compile(rb"\r\n")
+#: A version line or a gzip member; the fourth byte of a member has its upper three bits clear.
+_MARKER = re.compile(rb"WARC/|\x1f\x8b\x08[\x00-\x1f]")
+
+
+def _parse(data, at: int, final: bool = True) -> tuple[Record | None, str, int]:
+    """(record, reason, bytes needed): the record at an offset of plain WARC bytes, why there is none, or how many bytes it takes to tell."""
+    left = len(data) - at
+    if not final and left < 11:
+        return None, "", 11
+    head = _VERSION.match(data, at, at + 11)
+    if not head:
+        return None, "no version line" if bytes(data[at : at + 5]) != b"WARC/" else "bad version line", 0
+    headers, start = {}, head.end()
+    while True:
+        line = _LINE_END.search(data, start, at + MOST_HEAD)
+        if not line:
+            return (None, "", 2 * left) if not final and left < MOST_HEAD else (None, "headers do not end", 0)
+        row, start = bytes(data[start : line.start()]), line.end()
+        if not row:
+            break
         name, colon, value = row.partition(b":")
         if not colon:
-            return None, "bad header line"
+            return None, "bad header line", 0
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
-        return None, "bad Content-Length"
-    start, stop = end + 4, end + 4 + int(size)
-    if data[stop : stop + 4] != b"\r\n\r\n":
-        return None, "block does not end in blank lines" if stop + 4 <= len(data) else "truncated"
-    block = data[start:stop]
+        return None, "bad Content-Length", 0
+    if len(size) > 18 or int(size) > MOST_BLOCK:
+        return None, "block too long", 0
+    stop = start + int(size)
+    if len(data) < stop + 4:
+        return (None, "", stop + 4 - at) if not final else (None, "truncated", 0)
+    if bytes(data[stop : stop + 4]) != b"\r\n\r\n":
+        return None, "block does not end in blank lines", 0
+    block = bytes(data[start:stop])
     want = headers.get("warc-block-digest", "")
-    if want.lower().startswith("sha1:") and want[5:].upper() != sha1_base32(block):
-        return None, "block digest differs"
-    return Record(at, stop + 4 - at, headers, block), ""
-
-
-def _member(data: bytes, at: int) -> tuple[list[Record] | None, int, str]:
-    """The records of the gzip member at an offset and the member's length, or why there is none."""
-    inflate, view, parts, fed = zlib.decompressobj(31), memoryview(data), [], at
-    try:
-        while not inflate.eof and fed < len(data):
-            parts.append(inflate.decompress(view[fed : fed + _FEED]))
-            fed = min(len(data), fed + _FEED)
-    except zlib.error as e:
-        return None, 0, f"gzip: {str(e).partition(':')[2].strip() or 'error'}"
-    if not inflate.eof:
-        return None, 0, "truncated"
-    plain, length = b"".join(parts), fed - at - len(inflate.unused_data)
-    out, p = [], 0
-    while p < len(plain):
-        r, why = _parse(plain, p)
-        if r is None:
-            return None, 0, why
-        out.append(Record(at, length, r.headers, r.block))
-        p += r.length
-    return out, length, ""
-
-
-def salvage(data: bytes) -> tuple[list[Record], list[Gap]]:
-    """All records of an archive (plain, or gzip by member) that pass every check, in order, and the byte gaps between them."""
-    records: list[Record] = []
-    gaps: list[Gap] = []
-    at = 0
-    bad, why = -1, ""
-    while at < len(data):
-        if data[at : at + 2] == b"\x1f\x8b":
-            got, length, reason = _member(data, at)
+    known = want.lower().startswith("sha1:")
+    if known and want[5:].upper() != sha1_base32(block):
+        return None, "block digest differs", 0
+    return Record(at, stop + 4 - at, headers, block, known), "", 0
+
+
+class _Plain:
+    """Salvages records from plain bytes that come in pieces; holds no more than the record at hand."""
+
+    def __init__(self):
+        self.buf, self.base, self.at, self.need = bytearray(), 0, 0, 0
+        self.bad, self.why, self.lost = -1, "", False
+
+    def feed(self, piece: bytes, final: bool = False):
+        """The (inside, record or reason) that the bytes so far settle: records, and gaps as reasons."""
+        self.buf += piece
+        while self.at < len(self.buf):
+            if self.lost:
+                hit = self.buf.find(b"WARC/", self.at)
+                if hit < 0:
+                    self.at = len(self.buf) if final else max(self.at, len(self.buf) - 4)
+                    break
+                self.at, self.lost = hit, False
+            if not final and len(self.buf) - self.at < self.need:
+                break
+            record, why, self.need = _parse(self.buf, self.at, final)
+            if self.need:
+                break
+            here = self.base + self.at
+            if record is None:
+                if self.bad < 0:
+                    self.bad, self.why = here, why
+                self.at, self.lost = self.at + 1, True
+                continue
+            if self.bad >= 0:
+                yield (self.bad, here - self.bad), self.why
+                self.bad = -1
+            yield (here, record.length), record
+            self.at += record.length
+        if self.at > _DRAWN or final:
+            del self.buf[: self.at]
+            self.base, self.at = self.base + self.at, 0
+        if final and self.bad >= 0:
+            yield (self.bad, self.base - self.bad), self.why
+
+
+def _inflated(view, at: int):
+    """Pieces of the gzip member at an offset; returns (bytes of the member, "") or (0, reason) where it breaks, after all that inflates before that."""
+    z, fed, rest = zlib.decompressobj(31), at, b""
+    while not z.eof:
+        before = z.copy() if fed > at else zlib.decompressobj(31)
+        if not rest:
+            if fed >= len(view):
+                return 0, "truncated"
+            rest = view[fed : fed + _FEED]
+            fed += len(rest)
+        try:
+            out = z.decompress(rest, _DRAWN)
+        except zlib.error as e:
+            # the failing call's output is lost: go there again in small steps
+            try:
+                for a in range(0, len(rest), _LEAST):
+                    yield before.decompress(rest[a : a + _LEAST])
+            except zlib.error:
+                pass
+            return 0, f"gzip: {str(e).partition(':')[2].strip() or 'error'}"
+        rest = z.unconsumed_tail
+        yield out
+    return fed - at - len(z.unused_data), ""
+
+
+def _drained(pieces):
+    """What a generator returns."""
+    while True:
+        try:
+            next(pieces)
+        except StopIteration as e:
+            return e.value
+
+
+def scan(data):
+    """Every record of an archive (plain, or gzip by record, by several or whole) that passes all checks, and every gap, as they are met.
+
+    Sound members, plain records and gaps without `inside` cover the archive once.  Records
+    from a member that breaks lie in its gap.  The bytes are searched once from front to end.
+    """
+    view = memoryview(data).cast("B")
+    at, bad, why = 0, -1, ""
+    while at < len(view):
+        length, found = 0, False
+        if view[at : at + 3] == b"\x1f\x8b\x08":
+            # once for its length, once for its records, so that neither is held
+            length, reason = _drained(_inflated(view, at))
+            plain, held = _Plain(), []
+            for piece in itertools.chain(_inflated(view, at), [None]):
+                for inside, got in plain.feed(piece or b"", piece is None):
+                    if isinstance(got, Record):
+                        found = True
+                        yield Record(at, length, got.headers, got.block, got.checked, inside)
+                    else:
+                        held.append((inside, got))
+            if length and held and not found:
+                length, reason = 0, held[0][1]
+            elif length:
+                for inside, got in held:
+                    yield Gap(at, length, got, inside)
         else:
-            r, reason = _parse(data, at)
-            got, length = ([r], r.length) if r else (None, 0)
-        if got is not None:
+            record, reason, _ = _parse(view, at)
+            if record:
+                length = record.length
+        if length:
             if bad >= 0:
-                gaps.append(Gap(bad, at - bad, why))
+                yield Gap(bad, at - bad, why)
                 bad = -1
-            records += got
+            if view[at] != 0x1F:
+                yield record
             at += length
             continue
         if bad < 0:
             bad, why = at, reason
-        nxt = [x for x in (data.find(b"WARC/", at + 1), data.find(b"\x1f\x8b\x08", at + 1)) if x >= 0]
-        at = min(nxt, default=len(data))
+        hit = _MARKER.search(view, at + 1)
+        at = hit.start() if hit else len(view)
     if bad >= 0:
-        gaps.append(Gap(bad, len(data) - bad, why))
-    return records, gaps
+        yield Gap(bad, len(view) - bad, why)
+
+
+def salvage(data: bytes) -> tuple[list[Record], list[Gap]]:
+    """All of scan at once, for archives that fit in memory with their blocks."""
+    found = list(scan(data))
+    return [x for x in found if isinstance(x, Record)], [x for x in found if isinstance(x, Gap)]
 
 
 _ROW = pa.schema(
-    [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("gap", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("refers_to", pa.string())]
-    + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
+    [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("inside", pa.int64()), ("inside_length", pa.int64()), ("gap", pa.string()), ("record_type", pa.string()), ("record_id", pa.string())]
+    + [("uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("checked", pa.bool_()), ("payload", pa.binary())]
 )
-_ROW_SQL = "path string, offset long, length long, gap string, record_type string, record_id string, uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+_ROW_SQL = "path string, offset long, length long, inside long, inside_length long, gap string, record_type string, record_id string, uri string, refers_to string, payload_bytes long, payload_digest string, checked boolean, payload binary"
+#: Bytes of payload and rows in a batch that leaves the reader.
+_BATCH, _ROWS = 4 << 20, 512
 
 
-def _row(path: str, r: Record, with_payload: bool) -> dict:
+def _row(path: str, r: Record | Gap, with_payload: bool) -> dict:
+    row = dict.fromkeys(_ROW.names) | {"path": path, "offset": r.offset, "length": r.length}
+    if r.inside:
+        row |= {"inside": r.inside[0], "inside_length": r.inside[1]}
+    if isinstance(r, Gap):
+        return row | {"gap": r.reason}
     h = r.headers
     head, split, payload = r.block.partition(b"\r\n\r\n") if h.get("content-type", "").startswith("application/http") else (b"", b"", r.block)
     digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
@@ -209,39 +319,40 @@ def _row(path: str, r: Record, with_payload: bool) -> dict:
         size = next((int(x.partition(b":")[2]) for x in head.lower().split(b"\r\n") if x.startswith(b"content-length:") and x.partition(b":")[2].strip().isdigit()), None)
     else:
         digest = sha1_base32(payload)
-    refers = h.get("warc-refers-to")
-    return {"path": path, "offset": r.offset, "length": r.length, "gap": None, "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "uri": h.get("warc-target-uri"), "refers_to": refers, "payload_bytes": size, "payload_digest": digest, "payload": payload if with_payload else None}
+    row |= {"record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "uri": h.get("warc-target-uri"), "refers_to": h.get("warc-refers-to")}
+    return row | {"payload_bytes": size, "payload_digest": digest, "checked": r.checked, "payload": payload if with_payload else None}
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """A row for each record salvaged from the archives under `path`, and one with `gap` set (the reason) for each quarantined gap.
 
-    An archive is a task's unit; rows leave it in small batches.  An empty folder gives no rows.
+    offset and length are bytes of the archive (length 0: from a member that breaks), inside and
+    inside_length those of the inflated gzip member.  checked: the block digest was there and right.
+    An archive is a task's unit and comes through Spark's binary reader, so any store that Spark
+    opens will do; its bytes are held once by the reader and once by the task (2 GiB at most, by
+    Spark's own limit), what it inflates to only record by record.  An empty folder gives no rows;
+    an empty archive none either.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = files.where(F.col("length") <= WHOLE).select("path", "content")
-    large = files.where(F.col("length") > WHOLE).select("path", F.lit(None).cast("binary").alias("content"))
 
     def run(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if data is None:
-                    import pyarrow.fs as pfs
-
-                    fs, at = pfs.FileSystem.from_uri(name)
-                    with fs.open_input_stream(at, compression=None) as f:
-                        data = f.read()
-                records, gaps = salvage(data)
-                rows = [_row(name, r, with_payload) for r in records]
-                rows += [dict.fromkeys(_ROW.names) | {"path": name, "offset": g.offset, "length": g.length, "gap": g.reason} for g in gaps]
-                for a in range(0, len(rows), 512):
-                    yield from pa.Table.from_pylist(rows[a : a + 512], schema=_ROW).to_batches()
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows, size = [], 0
+                for r in scan(data.as_buffer()):
+                    rows.append(_row(name, r, with_payload))
+                    size += len(rows[-1]["payload"] or b"")
+                    if len(rows) >= _ROWS or size >= _BATCH:
+                        yield from pa.Table.from_pylist(rows, schema=_ROW).to_batches()
+                        rows, size = [], 0
+                if rows:
+                    yield from pa.Table.from_pylist(rows, schema=_ROW).to_batches()
 
-    return small.union(large).mapInArrow(run, _ROW_SQL)
+    return files.select("path", "content").mapInArrow(run, _ROW_SQL)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages to the shared folder and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the pages to the shared folder and read them back (other columns are ignored, whatever their names): page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     path = scratch.place(spark, "warc")
     write(pages, path)
