@@ -68,7 +68,49 @@ QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_salvage, op3_ur
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+
+def _url_sql() -> str:
+    """Rules, exact n-gram counts of ruled URLs, the interpolated ratio and the calibrated threshold."""
+    o = range(url_filter.ORDER + 1)
+    rules = sorted(URL_RULES, key=lambda r: (len(r.text), r.text), reverse=True)
+    fits = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}'" for r in rules)
+    allowed = ", ".join(f"'{r.text}'" for r in rules if r.allow)
+    pad = url_filter.ORDER
+    p = {"a": "1 / 256.0::DOUBLE", "r": "1 / 256.0::DOUBLE"}
+    for k in o:
+        p = {x: f"((coalesce(g{k}.{x}, 0) + {url_filter.ESCAPE} * {p[x]}) / (coalesce(c{k}.{x}, 0) + {url_filter.ESCAPE}))" for x in p}
+    joins = " ".join(f"LEFT JOIN gram g{k} ON g{k}.o = {k} AND g{k}.k = substr(s, i + {pad - k}, {k + 1}) LEFT JOIN ctx c{k} ON c{k}.o = {k} AND c{k}.k = substr(s, i + {pad - k}, {k})" for k in o)
+    return f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+h AS (SELECT *, CASE WHEN instr(u, '://') > 0 THEN substr(u, instr(u, '://') + 3) ELSE '' END AS rest FROM u),
+hp AS (SELECT page_id, u, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM h),
+p AS (SELECT *, CASE {fits} END AS rule, coalesce(('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 5, 0) = 0 AS held, row_number() OVER () AS n, repeat(chr(2), {pad}) || u || chr(1) AS s FROM hp),
+pos AS (SELECT n, s, rule, held, unnest(range(1, length(s) - {pad - 1})) AS i FROM p),
+n AS (SELECT rule IN ({allowed}) AS ok, o, substr(s, i + {pad} - o, o + 1) AS gram, substr(s, i + {pad} - o, o) AS ctx FROM pos, range({len(o)}) t(o) WHERE rule IS NOT NULL AND NOT held),
+gram AS (SELECT o, gram AS k, count(*) FILTER (ok) AS a, count(*) FILTER (NOT ok) AS r FROM n GROUP BY ALL),
+ctx AS (SELECT o, ctx AS k, count(*) FILTER (ok) AS a, count(*) FILTER (NOT ok) AS r FROM n GROUP BY ALL),
+score AS (SELECT n, avg(ln({p["a"]}) - ln({p["r"]})) AS ratio FROM pos {joins} GROUP BY n),
+b AS (SELECT rule IN ({allowed}) AS ok, least({url_filter.BINS - 1}, greatest(0, floor((ratio + 4) * {url_filter.BINS} / 8))) AS bin FROM p JOIN score USING (n) WHERE rule IS NOT NULL AND held),
+e AS (SELECT x, count(*) FILTER (ok AND bin < x) / (count(*) FILTER (ok))::DOUBLE + 1 - count(*) FILTER (NOT ok AND bin < x) / (count(*) FILTER (NOT ok))::DOUBLE AS error FROM b, range({url_filter.BINS + 1}) t(x) GROUP BY x HAVING count(*) FILTER (ok) > 0 AND count(*) FILTER (NOT ok) > 0),
+cut AS (SELECT coalesce(list_sort(list(x))[len(list(x)) // 2 + 1] * 8.0 / {url_filter.BINS} - 4, 0.0) AS cut FROM e WHERE error <= (SELECT min(error) FROM e) + 1e-12)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({allowed}) OR (rule IS NULL AND ratio >= cut) THEN 'allow' ELSE 'block' END AS verdict FROM p JOIN score USING (n), cut"""
+
+
 ORACLE_SQL = {
+    "op3_url_filter": _url_sql(),
+    "op5_source_mixing": f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS z FROM documents),
+q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1),
+k AS (SELECT d.*, -ln((('0x' || substr(md5(doc_id::VARCHAR || ':42'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE) / CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS key FROM d LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, sum(z)::BIGINT AS z, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS w FROM d GROUP BY source),
+o AS (SELECT *, (sum(z) OVER ())::DOUBLE - coalesce(sum(3.0::DOUBLE * z) OVER b, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS free FROM s WHERE z > 0
+  WINDOW b AS (ORDER BY 3.0::DOUBLE * z / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, s.z AS source_size, CASE WHEN s.z > 0 THEN least(3.0::DOUBLE * s.z, s.w * (SELECT max(rest / free) FROM o)) ELSE 0.0 END AS target FROM s),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN trunc(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+r AS (SELECT k.*, source_size, target, epochs, floor(target - epochs * source_size + 1e-6)::BIGINT AS rest, coalesce(sum(z) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, z AS size, source_size, target, (epochs * z + least(z, greatest(0, rest - before), 3 * z - epochs * z))::BIGINT AS taken FROM r""",
     "op4_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 w AS (SELECT doc_id, unnest(range(len(ws) - 34)) AS i, ws FROM d WHERE len(ws) >= 35),

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -206,10 +207,65 @@ def test_keep_one_decides_by_exact_jaccard(spark):
         simhash.SETS = old
 
 
-def test_allot():
-    t = mixing.allot({0: 100, 1: 100, 2: 1000}, {0: 5, 1: 2, 2: 1}, 1200)
-    assert t[0] == 300 and t[1] == 300 and t[2] == 600
-    assert mixing.allot({0: 0, 1: 10}, {0: 5, 1: 2}, 10) == {0: 0.0, 1: 10.0}
+def _allotted(sizes, weights, total, cap):
+    """Share by weight, stop what is above, share the excess again, until none is above."""
+    left, free, out = float(total), {k for k in sizes if sizes[k] > 0}, {k: 0.0 for k in sizes}
+    while free:
+        w = sum(weights[k] for k in free)
+        over = [k for k in free if left * weights[k] / w > cap * sizes[k]]
+        if not over:
+            return out | {k: left * weights[k] / w for k in free}
+        out |= {k: cap * sizes[k] for k in over}
+        left -= sum(out[k] for k in over)
+        free -= set(over)
+    return out
+
+
+def test_allot(spark):
+    r = random.Random(3)
+    cases = [[100, 100, 1000], [0, 10], [0], [1, 1, 1, 10**6], [r.randint(0, 10 ** r.randint(1, 7)) for _ in range(30)], [r.randint(0, 50) for _ in range(9)]]
+    for sizes in cases:
+        names = [f"s{i:02d}" if i else None for i in range(len(sizes))]
+        order = sorted(range(len(sizes)), key=lambda i: (names[i] is None, names[i] or ""))
+        weights = {i: (5, 2, 1)[k % 3] for k, i in enumerate(order)}
+        want = _allotted(dict(enumerate(sizes)), weights, sum(sizes), 3.0)
+        got = {x.source: x.target for x in mixing.allot(spark.createDataFrame(list(zip(names, sizes)), "source string, size long")).collect()}
+        assert all(abs(got[names[i]] - want[i]) < 1e-6 * max(1, want[i]) for i in want)
+
+
+def _mixed(rows, weights=(5, 2, 1), cap=3.0):
+    """taken of rows (id, source, size, weight) by one sort for each source."""
+    sizes = {}
+    for _, s, z, _ in rows:
+        sizes[s] = sizes.get(s, 0) + z
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = _allotted(sizes, {s: weights[k % 3] for k, s in enumerate(order)}, sum(sizes.values()), cap)
+    out = {}
+    for s in sizes:
+        mine = [(-math.log((int(hashlib.md5(f"{i}:42".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / (w if w and w > 1e-6 else 1e-6), i, z) for i, t, z, w in rows if t == s]
+        epochs = int(target[s] / sizes[s]) if sizes[s] else 0
+        rest = math.floor(target[s] - epochs * sizes[s] + 1e-6)
+        for _, i, z in sorted(mine):
+            out[i] = epochs * z + min(z, max(0, rest), math.floor(cap * z) - epochs * z)
+            rest -= z
+    return out
+
+
+def test_mixing_against_one_sort(spark):
+    """Hot source, tiny, null, NaN and zero weights, many range buckets, clashing names."""
+    r = random.Random(14)
+    rows = [(i, r.choice(["hot", "hot", "hot", "b", "c", None, "d"]), r.choice([0, 1, 5, 40, 3000]), r.choice([1.0, 2.0, 0.5, 0.0, -3.0, 1e-9, None])) for i in range(4000)]
+    d = spark.createDataFrame([(*x, "mine", 1, 2, 3) for x in rows], "doc_id long, source string, n long, q double, _key string, part int, `a.b` int, u int").repartition(5)
+    old, mixing.BUCKET_ROWS = mixing.BUCKET_ROWS, 50
+    try:
+        m = mixing.mix(d, F.col("n"), F.col("q"))
+        got = m.collect()
+    finally:
+        mixing.BUCKET_ROWS = old
+    assert m.columns == [*d.columns, "size", "source_size", "target", "taken"] and {(x._key, x.part, x["a.b"], x.u) for x in got} == {("mine", 1, 2, 3)}
+    assert {x.doc_id: x.taken for x in got} == _mixed(rows)
+    none = spark.createDataFrame([(None, None, 7), (None, None, 9), (None, "a", None)], "doc_id long, source string, n long")
+    assert sorted(x.taken for x in mixing.mix(none, F.col("n")).collect()) == [0, 7, 9]
 
 
 def test_mixing(docs, rows, empty, spark):
