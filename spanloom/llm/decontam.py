@@ -1,23 +1,28 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, units after a number, and capitalised
-words inside a sentence turn into typed placeholders; other words are
-lower-cased and lose outer punctuation.  A capitalised word that begins a sentence
-may be a name or not: windows are hashed in both readings.  Names in a row are one
-placeholder.  Hashes of windows of template tokens are
+Words become template tokens: numbers (also in words, and glued to a unit), units
+after a number, and capitalised words turn into typed placeholders; other words are
+lower-cased and lose outer punctuation.  Capitalised function words stay words, so a
+name may begin a sentence.  Names in a row are one placeholder, and so are number
+words.  Hashes of windows of template tokens are
 joined between documents and benchmark items.  Where enough of an item's windows
-meet, the slots are compared: every value of the item must map to one value of
-the document and no two of a type to the same, else the match is chance.  So a
-question with other names and numbers is found, and told apart from text that
-merely has its shape.
+meet, on one alignment or on nearby ones in order, the slots are compared: every value
+of the item must map to one value of the document, and different names to different
+ones, else the match is chance.  So a question with other names and numbers is found,
+and told apart from text that merely has its shape.
 
-Documents are read once and never shuffled.  The item index is broadcast in
-blocks of at most INDEX_BYTES; a larger benchmark takes one pass for each block.
+The words themselves, lower-cased, are a second reading, with stricter demands: it
+finds copies in another capitalisation and items that are all numbers or names.
+
+A benchmark of at most INDEX_BYTES is an index that is broadcast; documents are then read once
+and never shuffled.  For a larger one the windows of both sides meet in a join, and
+only documents and items that share enough of them are compared.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,161 +30,159 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm import kern
+from spanloom.llm import kern, scratch
 
 WINDOW = 8
-#: Literal (not placeholder) tokens a window needs to be indexed, share of an item's windows that must meet, and a run of windows that is enough.
-LITERALS, COVERAGE, RUN = 4, 0.5, 12
+#: Literal (not placeholder) tokens a window needs, as a share, and the least where no window of an item has so many; such an item must meet whole.
+LITERALS, FEWEST = 0.5, 2
+#: Numbers of an item that may stand for two values each: by chance two slots of an item can hold the same number.
+SPLIT = 1
+#: Share of an item's windows that must meet, and a run of windows that is enough: of template tokens, of plain words.
+COVERAGE, RUN = (0.5, 0.75), (12, 24)
 #: Tokens by which the alignment may shift from one met window to the next.
 DRIFT = 8
 INDEX_BYTES = 8 << 20
-_BASE = np.uint64(0xD6E8FEB86659FD93)
 _STRIP = b".,;:!?\"'()[]"
 #: Units of measure and currency (fixed values).
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g gram grams kg kilogram kilograms lb lbs pound pounds oz ounce ounces ml l litre litres liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent % $ € £ dollar dollars euro euros cent cents degrees kmh mph kph".split()
+#: Number words (fixed values).
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+#: Words that stay words with a capital as well (fixed values).
+FUNCTION = (
+    "a about after all also although an and any are as at be because before both but by can could did do does during each every find few first for from given had has have he her here his how if in into is it its "
+    "last let later many more most much my next no not now of on once one only or other our out over she should since so some such than that the their them then there these they this those through to under until up "
+    "was we were what when where which while who whom whose why will with would yet you your"
+).split()
+_GLUED = re.compile(rb"([0-9][0-9.,]*)([a-z%\x80-\xff]+)")
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0x6E756D, 0x756E6974, 0x6E616D65))
+_SETS: dict[str, np.ndarray] = {}
 
 
-def _word_hash(words: list[bytes]) -> np.ndarray:
-    w = kern.Words(words)
-    return w.hashes()
+def _listed(name: str, words: list[str]) -> np.ndarray:
+    if name not in _SETS:
+        _SETS[name] = np.sort(kern.Words([x.encode() for x in words]).hashes())
+    return _SETS[name]
 
 
 class Template:
-    """Template tokens of a block of texts: hash, kind (0 literal, 1 number, 2 unit, 3 name), byte span and document of each.
-
-    Names in a row without punctuation between them are one token.  `joined`: so is a capitalised
-    word that begins a sentence with the names after it, else it stands alone.  `raw`: no placeholders,
-    every token is its lower-cased word.
-    """
-
-    _units: np.ndarray | None = None
-
-    def __init__(self, texts: list[bytes | None], joined: bool = False, raw: bool = False):
-        self.words = w = kern.Words(texts)
-        self.start, self.end = kern.trim(w.buf, w.start, w.end, _STRIP)
-        low = np.frombuffer(w.raw.lower(), np.uint8)
-        self.raw = w.raw
-        h = kern.span_hashes(low, self.start, self.end)
-        buf, n = w.buf, len(w.start)
-        self.kind = np.zeros(n, np.int8)
-        self.either = np.zeros(n, bool)  # literals that may be names
-        if n and not raw:
-            size = self.end - self.start
-            first = buf[np.minimum(self.start, len(buf) - 1)]
-            digit = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57))])
-            numeric = np.zeros(256, bool)
-            numeric[list(b"0123456789.,:/%+-$")] = True
-            ok = np.concatenate([[0], np.cumsum(numeric[buf])])
-            has = digit[self.end] - digit[self.start]
-            self.kind[(has > 0) & (ok[self.end] - ok[self.start] == size)] = 1
-            after = np.append(False, self.kind[:-1] == 1) & np.append(False, w.doc[1:] == w.doc[:-1])
-            if Template._units is None:
-                Template._units = np.sort(_word_hash([u.encode() for u in UNITS]))
-            self.kind[after & kern.member(h, Template._units)] = 2
-            # a sentence starts at a document's or line's first word and after . ! ?
-            last = buf[w.end - 1]
-            stop = np.append(True, np.isin(last[:-1], list(b".!?")))
-            stop[np.minimum(w.first[w.count > 0], n - 1)] = True
-            line = np.concatenate([[0], np.cumsum(buf == 10)])
-            stop[1:] |= line[w.start[1:]] != line[w.start[:-1]]
-            second = buf[np.minimum(self.start + 1, len(buf) - 1)]
-            capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-            capital &= (self.kind == 0) & (size > 1)
-            self.kind[capital & ~stop] = 3
-            self.either = capital & stop
-        self.doc = w.doc
-        if n > 1:
-            name = self.kind == 3
-            run = name[1:] & (name[:-1] | (self.either[:-1] & joined)) & (self.end[:-1] == w.end[:-1]) & (self.start[1:] == w.start[1:]) & (w.doc[1:] == w.doc[:-1])
-            head = np.append(True, ~run)
-            if not head.all():
-                at = np.flatnonzero(head)
-                self.kind[at[np.append(run, False)[at]]] = 3
-                self.either[self.kind == 3] = False
-                self.end = self.end[np.append(at[1:], n) - 1]
-                self.start, self.kind, self.either, self.doc, h = self.start[at], self.kind[at], self.either[at], w.doc[at], h[at]
-        self.hash = np.where(self.kind == 0, h, np.choose(self.kind, [np.uint64(0), _NUM, _UNIT, _NAME]))
-
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of windows of k tokens with enough literals, in each reading, and the first token of each."""
-        n = len(self.hash) - k + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(k - 1, _BASE)]))
-        total = np.zeros(n, np.uint64)
-        for j in range(k):
-            total += self.hash[j : n + j] * power[j]
-        inside = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
+    """Template tokens of a block of texts: hash, kind (0 literal, 1 number, 2 unit, 3 name), byte span and document of each; `raw`: the words."""
+
+    def __init__(self, texts: list[bytes | None]):
+        w = kern.Words(texts)
+        start, end = kern.trim(w.buf, w.start, w.end, _STRIP)
+        low = w.raw.lower()
+        h = kern.span_hashes(np.frombuffer(low, np.uint8), start, end)
+        self.text, self.raw = low, (h, w.doc, start, end)
+        self.hash, self.doc, self.start, self.end, self.kind = h, w.doc, start, end, np.zeros(len(h), np.int8)
+        if len(h):
+            self._canonicalise(w, low)
+
+    def _canonicalise(self, w: kern.Words, low: bytes) -> None:
+        h, start, end, kind, buf = self.hash, self.start, self.end, self.kind, w.buf
+        size = end - start
+        first = buf[np.minimum(start, len(buf) - 1)]
+        digit = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57))])
+        numeric = np.zeros(256, bool)
+        numeric[list(b"0123456789.,:/%+-$")] = True
+        ok = np.concatenate([[0], np.cumsum(numeric[buf])])
+        has = digit[end] > digit[start]
+        kind[has & (ok[end] - ok[start] == size)] = 1
+        glued = {}
+        for i in np.flatnonzero(has & (kind == 0) & (first >= 48) & (first <= 57)).tolist():
+            m = _GLUED.fullmatch(low, start[i], end[i])
+            if m and m[2].decode("utf-8", "replace") in UNITS:
+                glued[i] = m.end(1)
+        spoken = (kind == 0) & kern.member(h, _listed("numbers", NUMBERS))
+        kind[spoken] = 1
+        near = np.append(False, (kind[:-1] == 1) & (w.doc[1:] == w.doc[:-1]))
+        kind[near & (kind == 0) & kern.member(h, _listed("units", UNITS))] = 2
+        second = buf[np.minimum(start + 1, len(buf) - 1)]
+        capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+        kind[capital & (kind == 0) & (size > 1) & ~kern.member(h, _listed("function", FUNCTION))] = 3
+        doc = w.doc
+        # names, or number words, in a row without punctuation between them are one token
+        joins = ((kind == 3)[1:] & (kind == 3)[:-1]) | (spoken[1:] & spoken[:-1])
+        head = np.append(True, ~(joins & (end[:-1] == w.end[:-1]) & (start[1:] == w.start[1:]) & (doc[1:] == doc[:-1])))
+        at = np.flatnonzero(head)
+        end = end[np.append(at[1:], len(h)) - 1]
+        start, kind, doc, h = start[at], kind[at], doc[at], h[at]
+        if glued:  # a number and its unit are two tokens
+            i = np.searchsorted(at, np.array(list(glued)))
+            twice = np.ones(len(at), np.int64)
+            twice[i] = 2
+            here = np.cumsum(twice) - twice
+            start, end, kind, doc, h = (np.repeat(x, twice) for x in (start, end, kind, doc, h))
+            cut = np.array(list(glued.values()))
+            end[here[i]], start[here[i] + 1] = cut, cut
+            kind[here[i]], kind[here[i] + 1] = 1, 2
+        self.hash = np.where(kind == 0, h, np.choose(kind, [np.uint64(0), _NUM, _UNIT, _NAME]))
+        self.start, self.end, self.kind, self.doc = start, end, kind, doc
+
+    def windows(self, k: int, raw: bool = False, weak: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of windows of k tokens, and the first token of each: of plain words, or of template tokens with enough literals."""
+        if raw:
+            return kern.windows(self.raw[1], self.raw[0], k)
+        h, at = kern.windows(self.doc, self.hash, k)
         literal = np.concatenate([[0], np.cumsum(self.kind == 0)])
-        spare = literal[inside + k] - literal[inside] - min(LITERALS, k)
-        open_ = np.flatnonzero(self.either)
-        lo = np.searchsorted(open_, inside)
-        m = np.searchsorted(open_, inside + k) - lo
-        hashes, at = [kern.mix(total[inside[spare >= 0]])], [inside[spare >= 0]]
-        for some in range(1, int(m.max(initial=0)) + 1):
-            pick = np.flatnonzero((m == some) & (spare >= 1))
-            if not len(pick):
-                continue
-            where = open_[lo[pick][:, None] + np.arange(some)]
-            change = (_NAME - self.hash[where]) * power[where - inside[pick][:, None]]
-            for names in range(1, 1 << some):
-                ok = spare[pick] >= names.bit_count()
-                bits = [i for i in range(some) if names >> i & 1]
-                hashes.append(kern.mix(total[inside[pick[ok]]] + change[ok][:, bits].sum(axis=1, dtype=np.uint64)))
-                at.append(inside[pick[ok]])
-        return np.concatenate(hashes), np.concatenate(at)
+        keep = literal[at + k] - literal[at] >= (FEWEST if weak else LITERALS * k) if len(at) else np.zeros(0, bool)
+        return h[keep], at[keep]
 
-    def value(self, i: int) -> bytes:
-        return b" ".join(self.raw[self.start[i] : self.end[i]].lower().split())
+    def value(self, i: int, raw: bool = False) -> bytes:
+        start, end = self.raw[2:] if raw else (self.start, self.end)
+        return b" ".join(self.text[start[i] : end[i]].split())
 
 
 @dataclass(frozen=True)
 class Item:
+    """One reading of a benchmark item: kinds and values of its tokens, its windows, and how many must meet."""
+
     item_id: int
     number: int
     kinds: tuple[int, ...]
-    either: tuple[bool, ...]
     values: tuple[bytes, ...]
     windows: int
+    need: float
 
 
 @dataclass(frozen=True)
 class Index:
-    """For each window length: sorted hashes with the item number and first token of each."""
+    """For each (raw or not, window length): sorted hashes with the reading's number and first token of each."""
 
     items: tuple[Item, ...]
-    by_length: dict  # raw or not, length: table
+    tables: dict
+    weak: bool
 
     @staticmethod
     def of(rows: list[tuple[int, bytes]], k: int = WINDOW) -> "Index":
-        items, found = [], defaultdict(list)
+        items, found, weak = [], defaultdict(list), False
         for number, (item_id, text) in enumerate(rows):
-            kinds, empty = None, True
-            for joined in (False, True):
-                t = Template([text], joined)
-                n = len(t.kind)
-                if kinds == t.kind.tolist():
-                    continue
-                kinds = t.kind.tolist()
-                length = min(k, n)
-                h, at = t.windows(length) if length >= 4 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                if len(h):
-                    empty = False
-                    found[False, length] += [(x, len(items), a) for x, a in zip(h.tolist(), at.tolist())]
-                    items.append(Item(item_id, number, tuple(kinds), tuple(t.either.tolist()), tuple(t.value(i) for i in range(n)), len(set(at.tolist()))))
-            # too few literals in every window: the words themselves
-            t = Template([text], raw=True)
-            n = len(t.kind)
-            if empty and n >= 4:
-                h, at = t.windows(min(k, n))
-                found[True, min(k, n)] += [(x, len(items), a) for x, a in zip(h.tolist(), at.tolist())]
-                items.append(Item(item_id, number, tuple(t.kind.tolist()), tuple(t.either.tolist()), tuple(t.value(i) for i in range(n)), len(h)))
+            for raw, length, need, h, at, t in readings(text, k):
+                kinds = (0,) * len(t.raw[0]) if raw else tuple(t.kind.tolist())
+                found[raw, length] += [(x, len(items), a) for x, a in zip(h.tolist(), at.tolist())]
+                items.append(Item(item_id, number, kinds, tuple(t.value(i, raw) for i in range(len(kinds))), len(h), need))
+                weak |= not raw and need >= len(h)
         tables = {}
-        for length, hits in found.items():
+        for key, hits in found.items():
             hits.sort()
-            tables[length] = (np.array([x[0] for x in hits], np.uint64), np.array([x[1] for x in hits]), np.array([x[2] for x in hits]))
-        return Index(tuple(items), tables)
+            tables[key] = (np.array([x[0] for x in hits], np.uint64), np.array([x[1] for x in hits]), np.array([x[2] for x in hits]))
+        return Index(tuple(items), tables, weak)
+
+
+def readings(text: bytes, k: int = WINDOW):
+    """(raw or not, window length, windows that must meet, hashes, first tokens, template) of an item's readings; of fewer than 4 tokens there is none."""
+    t = Template([text])
+    for raw, n in ((False, len(t.kind)), (True, len(t.raw[0]))):
+        if n < 4:
+            continue
+        # short templates have shorter windows, so that one inserted word does not spoil most of them
+        length = min(k, n) if raw or n < k else min(k, max(4, (n - 3) // 2))
+        h, at = t.windows(length, raw)
+        need = len(h) if n < k else min(RUN[raw], COVERAGE[raw] * len(h))
+        if not len(h):
+            h, at = t.windows(length, raw, True)
+            need = len(h)
+        if len(h):
+            yield raw, length, need, h, at, t
 
 
 def _clash(held: dict, key: tuple[int, bytes], value: bytes) -> bool:
@@ -191,21 +194,17 @@ def _clash(held: dict, key: tuple[int, bytes], value: bytes) -> bool:
     return key[0] != 3 or not (a <= b or b <= a)
 
 
-def _consistent(item: Item, t: Template, pairs: list[tuple[int, int]], k: int) -> tuple[bool, bool]:
-    """(slots map one to one, all tokens are the same) over the aligned windows."""
-    forward, back, same, kept = {}, {}, True, set()
+def _consistent(item: Item, t: Template, pairs: list[tuple[int, int]], k: int, raw: bool) -> tuple[bool, bool]:
+    """(slots map to one value each and names apart, all tokens are the same) over the aligned windows."""
+    forward, back, same, split = {}, {}, True, set()
     for i, of in dict.fromkeys((at + j, of + j) for at, of in pairs for j in range(k)):
-        a, b, kind = item.values[of], t.value(i), item.kinds[of]
+        a, b, kind = item.values[of], t.value(i, raw), item.kinds[of]
         same &= a == b
-        if item.either[of] or kind == 0 and t.either[i]:
-            if a == b:
-                kept.add((3, a))
-                continue
-            kind = 3
-        if kind and (_clash(forward, (kind, a), b) or _clash(back, (kind, b), a)):
+        if kind and _clash(forward, (kind, a), b):
+            split.add((kind, a))
+        if kind == 3 and _clash(back, (kind, b), a):
             return False, False
-    # a word that opens a sentence and stays the same is no name that changes elsewhere
-    return all(forward.get(x, x[1]) == x[1] for x in kept), same
+    return len(split) <= SPLIT and all(kind != 3 for kind, _ in split), same
 
 
 def _chain(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
@@ -229,100 +228,150 @@ def _chain(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
 
 def match(texts: list[bytes | None], index: Index, k: int = WINDOW) -> list[tuple[int, Item, int, float, str]]:
     """(document, item, windows met, coverage, kind) of every contaminated pair."""
-    best = {}
-    raws = {raw for raw, _ in index.by_length}
-    for t, raw in [(Template(texts, joined, raw), raw) for joined, raw in ((False, False), (True, False), (False, True)) if raw in raws]:
-        for (of_raw, length), (hashes, items, offsets) in index.by_length.items():
-            if of_raw != raw:
+    best: dict = {}
+    t = Template(texts)
+    for (raw, length), (hashes, items, offsets) in index.tables.items():
+        h, at = t.windows(length, raw, index.weak)
+        doc_of = t.raw[1] if raw else t.doc
+        hit = np.flatnonzero(kern.member(h, hashes))
+        if not len(hit):
+            continue
+        lo, hi = np.searchsorted(hashes, h[hit], "left"), np.searchsorted(hashes, h[hit], "right")
+        met = defaultdict(list)
+        for a, x, y in zip(at[hit].tolist(), lo.tolist(), hi.tolist()):
+            for e in range(x, y):
+                met[(int(doc_of[a]), int(items[e]))].append((a, int(offsets[e])))
+        for (doc, entry), pairs in sorted(met.items()):
+            item = index.items[entry]
+            if len({of for _, of in pairs}) < item.need:
                 continue
-            h, at = t.windows(length)
-            hit = np.flatnonzero(kern.member(h, hashes))
-            if not len(hit):
-                continue
-            lo, hi = np.searchsorted(hashes, h[hit], "left"), np.searchsorted(hashes, h[hit], "right")
-            met = defaultdict(list)
-            for a, x, y in zip(at[hit].tolist(), lo.tolist(), hi.tolist()):
-                for e in range(x, y):
-                    met[(int(t.doc[a]), int(items[e]))].append((a, int(offsets[e])))
-            for (doc, entry), pairs in sorted(met.items()):
-                item = index.items[entry]
-                need = min(RUN, COVERAGE * item.windows)
-                if len({of for _, of in pairs}) < need:
-                    continue
-                # windows align on diagonals, and an inserted or missing word shifts to another; the best run decides, a repeated passage is one match
-                lines = defaultdict(list)
-                for a, of in pairs:
-                    lines[a - of].append((a, of))
-                runs = [lines[shift] for shift in sorted(lines)]
-                if len(runs) > 1 and max(len({of for _, of in run}) for run in runs) < item.windows:
-                    runs.insert(0, _chain(pairs, len(item.kinds)))
-                for run in runs:
-                    n = len({of for _, of in run})
-                    old = best.get((doc, item.number))
-                    if n >= need and (old is None or n / item.windows > old[3]):
-                        ok, same = (True, True) if raw else _consistent(item, t, run, length)
-                        if ok:
-                            shifts = {a - of for a, of in run}
-                            best[doc, item.number] = (doc, item, n, n / item.windows, "verbatim" if same and len(shifts) == 1 else "reparameterised")
+            # windows align on diagonals, and an inserted or missing word shifts to another; the best run decides, a repeated passage is one match
+            lines = defaultdict(list)
+            for a, of in pairs:
+                lines[a - of].append((a, of))
+            runs = [lines[shift] for shift in sorted(lines)]
+            if len(runs) > 1 and max(len({of for _, of in run}) for run in runs) < item.windows:
+                runs.insert(0, _chain(pairs, len(item.kinds)))
+            for run in runs:
+                n = len({of for _, of in run})
+                old = best.get((doc, item.number))
+                if n >= item.need and (old is None or n / item.windows > old[3]):
+                    ok, same = _consistent(item, t, run, length, raw)
+                    if ok:
+                        one = len({a - of for a, of in run}) == 1
+                        kind = "reparameterised" if not (same and one) else "verbatim" if n == item.windows else "partial"
+                        best[doc, item.number] = (doc, item, n, n / item.windows, kind)
     return [best[x] for x in sorted(best)]
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("coverage", pa.float64()), ("kind", pa.string())])
+_OUT_SQL = "doc_id long, item_id long, n_windows long, coverage double, kind string"
 
 
-def _indexes(benchmark: DataFrame, item: str, text: str, k: int) -> list[Index]:
-    """The benchmark in blocks whose texts take INDEX_BYTES at most, each an index to broadcast."""
-    b = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("binary").alias("text")).where(F.col("text").isNotNull())
-    total = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    parts = max(1, -(-total // INDEX_BYTES))
-    out = []
-    for p in range(parts):
-        rows = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).distinct().collect()  # bounded by INDEX_BYTES
-        out.append(Index.of(sorted((r.item_id if r.item_id is not None else -1, bytes(r.text)) for r in rows), k))
-    return out
+def _columns(ids, found) -> dict:
+    return {"doc_id": [ids[d] for d, *_ in found], "item_id": [i.item_id for _, i, *_ in found], "n_windows": [f[2] for f in found], "coverage": [f[3] for f in found], "kind": [f[4] for f in found]}
+
+
+def _items(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, bool]:
+    """Distinct (item_id, text as bytes) of the benchmark, and whether they fit in INDEX_BYTES."""
+    b = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("binary").alias("item_text")).where(F.col("item_text").isNotNull()).distinct()
+    return b, b.agg(F.coalesce(F.sum(F.octet_length("item_text") + 16), F.lit(0)).alias("n")).first().n <= INDEX_BYTES
+
+
+def _index(b: DataFrame, k: int) -> Index:
+    return Index.of(sorted((r.item_id if r.item_id is not None else -1, bytes(r.item_text)) for r in b.collect()), k)  # bounded by INDEX_BYTES
+
+
+_PAIR = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("need", pa.int32())])
+
+
+def _by_join(rows: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """Matches of rows (row, text as bytes) with items, as _OUT with row for doc_id, by a join of window hashes."""
+    b = scratch.stored(b.withColumn("item", F.monotonically_increasing_id()), "items")
+
+    def salted(h, raw, length):
+        return kern.mix(h + np.uint64(length * 2 + raw)).view(np.int64)
+
+    def of_items(batches):
+        for batch in batches:
+            for text, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for raw, length, need, h, _, _ in readings(text, k):
+                    # so many distinct windows must meet at least, if those that repeat in the item are met first
+                    times = np.sort(np.unique(h, return_counts=True)[1])[::-1]
+                    least = int(np.searchsorted(np.cumsum(times), need)) + 1
+                    u = salted(np.unique(h), raw, length)
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.full(len(u), 2 * item + raw)), pa.array(np.full(len(u), least, np.int32))], schema=_PAIR)
+
+    def of_rows(batches):
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, hi in kern.blocks(texts):
+                t = Template(texts[lo:hi])
+                for length in range(4, k + 1):
+                    for raw in (False, True):
+                        h, at = t.windows(length, raw, True)
+                        doc = (t.raw[1] if raw else t.doc)[at]
+                        u = np.unique(np.stack([salted(h, raw, length), doc]), axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(np.array(ids[lo:hi], np.int64)[u[1]]), pa.array(np.zeros(u.shape[1], np.int32))], schema=_PAIR)
+
+    of_b = b.select("item_text", "item").mapInArrow(of_items, "h long, row long, need int").withColumnRenamed("row", "reading")
+    pairs = rows.select("row", "text").mapInArrow(of_rows, "h long, row long, need int").drop("need").join(of_b, "h").groupBy("row", "reading").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    pairs = pairs.where("n >= need").select("row", F.shiftright("reading", 1).alias("item")).distinct()
+    found = pairs.join(b, "item").join(rows.select("row", "text"), "row").select("row", "text", "item_id", "item_text")
+
+    def compare(batches):
+        for batch in batches:
+            out = {n: [] for n in _OUT.names}
+            for row, text, item_id, item_text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for n, c in _columns([row], match([text], Index.of([(item_id if item_id is not None else -1, item_text)], k), k)).items():
+                    out[n] += c
+            yield from kern.table(_OUT, **out).to_batches()
+
+    return found.mapInArrow(compare, _OUT_SQL).withColumnRenamed("doc_id", "row")
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column of row numbers, written, so that every pass sees the same numbers."""
+    return scratch.stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
     """A row (doc_id, item_id, n_windows, coverage, kind) for each document and benchmark item that it holds; clean documents have none.
 
-    kind: verbatim if all aligned tokens are equal and none is inserted or missing between them, else reparameterised.  Items of 4 to
-    window - 1 tokens match whole; shorter ones and null texts never.  An item none of whose windows
-    holds LITERALS literals (lists of numbers or names) is matched by its words as they are, not
+    kind: verbatim if the whole item is there and all tokens are equal, partial if all that met is equal but some windows did not
+    meet, else reparameterised.  Items of 4 to window - 1 tokens must meet whole; shorter ones and null texts never.  An item none of whose
+    windows is at least half literals must meet whole; one with fewer than FEWEST is matched by its words as they are, not
     with other names or numbers.  Null or empty documents
     hold nothing.  Repeated rows each give their matches; equal items share hashes and each
-    give a row.  Empty tables: no rows.  Other columns are ignored.  Texts are scanned whole.
+    give a row; a null item_id counts as -1.  Empty tables: no rows.  Other columns are ignored, whatever their names.  Texts are scanned whole.
     """
-    spark = docs.sparkSession
-    out = None
-    for index in _indexes(benchmark, item, text, window):
-        held = spark.sparkContext.broadcast(index)
+    b, small = _items(benchmark, item, text)
+    if not small:
+        rows = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), "row")
+        return _by_join(rows, b, window).join(rows.select("row", "doc_id"), "row").select(*_OUT.names)
+    held = docs.sparkSession.sparkContext.broadcast(_index(b, window))
 
-        def run(block, held=held):
-            found = match(block["text"], held.value, window)
-            if not found:
-                return None
-            return {"doc_id": [block["doc_id"][d] for d, *_ in found], "item_id": [i.item_id for _, i, *_ in found], "n_windows": [f[2] for f in found], "coverage": [f[3] for f in found], "kind": [f[4] for f in found]}
+    def run(block):
+        found = match(block["text"], held.value, window)
+        return _columns(block["doc_id"], found) if found else None
 
-        part = kern.map_text(docs, run, "doc_id long, item_id long, n_windows long, coverage double, kind string", _OUT)
-        out = part if out is None else out.union(part)
-    return out
+    return kern.map_text(docs, run, _OUT_SQL, _OUT)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark item."""
-    for index in _indexes(benchmark, "item_id", "text", window):
-        held = docs.sparkSession.sparkContext.broadcast(index)
-        names = docs.columns
-
-        def run(batches, held=held, n=len(names)):
-            for batch in batches:
-                texts = batch.column(n).to_pylist()
-                keep = np.ones(len(texts), bool)
-                for lo, hi in kern.blocks(texts):
-                    for d, *_ in match(texts[lo:hi], held.value, window):
-                        keep[lo + d] = False
-                rest = pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)], schema=pa.schema([batch.schema.field(i) for i in range(n)]))
-                yield rest.filter(pa.array(keep))
-
-        docs = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("binary").alias("_text_bytes")).mapInArrow(run, docs.schema)
-    return docs
+    """The rows of docs, all columns, that hold no benchmark item; null and empty texts, repeated rows and columns of any name stay as they are."""
+    b, small = _items(benchmark, "item_id", "text")
+    names = docs.columns
+    if not small:
+        mark = kern.fresh(names, "row")
+        rows = _numbered(docs, mark)
+        found = _by_join(rows.select(F.col(mark).alias("row"), F.col("text").cast("binary").alias("text")), b, window).select(F.col("row").alias(mark)).distinct()
+        return rows.join(found, mark, "left_anti").select(*kern.cols(names))
+    held = docs.sparkSession.sparkContext.broadcast(_index(b, window))
+    return kern.keep_by_text(docs, lambda texts: _clean(texts, held.value, window))
+
+
+def _clean(texts: list[bytes | None], index: Index, k: int) -> np.ndarray:
+    keep = np.ones(len(texts), bool)
+    keep[[d for d, *_ in match(texts, index, k)]] = False
+    return keep

@@ -81,20 +81,25 @@ class Words:
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rabin-Karp hashes of every k-word window inside one document, and the index of its first word."""
-        n = len(hashes) - k + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        out = np.empty(n, np.uint64)
-        step = BLOCK
-        pw, inv = _powers(_WBASE, min(n, step) + k)
-        for a in range(0, n, step):
-            b = min(n, a + step)
-            part = hashes[a : b + k - 1]
-            acc = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(part * pw[: len(part)], out=acc[1:])
-            out[a:b] = mix((acc[k:] - acc[:-k]) * inv[: b - a])
-        at = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
-        return out[at], at
+        return windows(self.doc, hashes, k)
+
+
+def windows(doc: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rabin-Karp hashes of every window of k tokens of one document, and the index of its first token."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out = np.empty(n, np.uint64)
+    step = BLOCK
+    pw, inv = _powers(_WBASE, min(n, step) + k)
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        part = hashes[a : b + k - 1]
+        acc = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * pw[: len(part)], out=acc[1:])
+        out[a:b] = mix((acc[k:] - acc[:-k]) * inv[: b - a])
+    at = np.flatnonzero(doc[:n] == doc[k - 1 :])
+    return out[at], at
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -202,3 +207,23 @@ def map_text(df, fn, schema: str, arrow_schema: pa.Schema, extra: tuple[str, ...
                     yield from table(arrow_schema, **out).to_batches()
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *extra).mapInArrow(run, schema)
+
+
+def keep_by_text(df, fn, limit: int = BLOCK):
+    """The rows of df, all columns, for whose texts fn(list of bytes or None) -> array of booleans is true."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    n = len(df.columns)
+    # mapInArrow takes no names with dots
+    held = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(df.schema.fields)])
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(n).to_pylist()
+            keep = np.concatenate([np.zeros(0, bool), *(fn(texts[lo:hi]) for lo, hi in blocks(texts, limit))])
+            rest = pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)], schema=pa.schema([batch.schema.field(i) for i in range(n)]))
+            yield rest.filter(pa.array(keep))
+
+    plain = [c.alias(f"c{i}") for i, c in enumerate(cols(df.columns))]
+    return df.select(*plain, F.col("text").cast("binary").alias("bytes")).mapInArrow(run, held).toDF(*df.columns)

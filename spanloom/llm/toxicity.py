@@ -208,14 +208,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, whose score is below 0.5; every row is judged by its own text."""
-    names = docs.columns
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
-            keep = np.concatenate([scores(texts[lo:hi], model) < 0.5 for lo, hi in kern.blocks(texts, 4 << 20)]) if texts else np.zeros(0, bool)
-            rest = pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))], schema=pa.schema([batch.schema.field(i) for i in range(len(names))]))
-            yield rest.filter(pa.array(keep))
-
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("binary").alias("_text_bytes")).mapInArrow(run, docs.schema)
+    """The rows of docs, all columns, whose score is below 0.5; every row is judged by its own text, null and empty ones as score says."""
+    return kern.keep_by_text(docs, lambda texts: scores(texts, model) < 0.5, 4 << 20)

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontam, kern, langid, mixing, pii, quality, simhash, substring_dedup, toxicity, url_filter, warc
+from tests.llm import brute, reparam
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, words int, kept string"
@@ -351,6 +352,55 @@ def test_decontamination_items_of_few_literals():
     assert _held("2 4 6", "2 4 6") == []
 
 
+def test_decontamination_finds_reparameterised_items():
+    """A generated suite: recall by kind of change, and false alarms on other questions of the same words."""
+    hit, total = Counter(), Counter()
+    before, after = "It was a quiet afternoon and nothing had happened there. ", " After that everybody went home and slept until the next morning."
+    for change, item, text in reparam.suite():
+        total[change] += 1
+        hit[change] += bool(_held(item, before + text + after))
+    assert min(hit[c] / total[c] for c in total) >= 0.9 and sum(hit.values()) >= 0.97 * sum(total.values())
+    wrong = [bool(_held(item, text)) for item, text in reparam.chance()]
+    assert sum(wrong) <= 0.01 * len(wrong)
+
+
+def test_decontamination_against_loops():
+    """Where all that aligns is one shift and slots are consistent, a pair matches just if enough windows meet."""
+    r = random.Random(31)
+    words = ["Anna", "Bob", "apples", "has", "3", "12", "kg", "5kg", "Seven", "twenty", "five", "the", "The", "red", "box", "of", "é", "Éva", "gives,", "to.", "$4", "1/2", "--", "(two)", "walks", "home"]
+    both = Counter()
+    for _ in range(600):
+        item = " ".join(r.choice(words) for _ in range(r.randint(3, 24)))
+        cut = item.split()
+        a, b = sorted((r.randrange(len(cut)), r.randrange(len(cut) + 1)))
+        text = " ".join(["odd", "start", "here", *cut[a:b], "odd", "end"])
+        want = any(n >= need for n, _, need in brute.met(item, text))
+        got = bool(_held(item, text))
+        assert got == want, (item, text)
+        both[want] += 1
+    assert min(both.values()) > 50
+
+
+def test_decontamination_join_gives_what_the_index_gives(spark):
+    """A benchmark too large to broadcast meets the documents in a join."""
+    r = random.Random(8)
+    found = list(reparam.suite(3, 2))
+    bench = spark.createDataFrame([(i, item) for i, (_, item, _) in enumerate(found)] + [(900, None), (901, "too short"), (902, "Add 12 and 30"), (None, "4 5 6 7 8 9"), (5, found[5][1])], "item_id long, text string")
+    rows = [(i, text, 1, 2) for i, (_, _, text) in enumerate(found)] + [(None, found[3][2], 1, 2), (7, found[3][2], 1, 2), (500, None, 1, 2), (501, "", 1, 2), (502, "so 4 5 6 7 8 9 and Add 12 and 30 " + "filler words go here " * 300, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, `a.b` int").repartition(3)
+    by_index = sorted(map(str, decontam.contaminated(docs, bench).collect()))
+    kept = sorted(map(str, decontam.keep_clean(docs, bench).collect()))
+    old, decontam.INDEX_BYTES = decontam.INDEX_BYTES, 100
+    try:
+        assert sorted(map(str, decontam.contaminated(docs, bench).collect())) == by_index and len(by_index) > len(found)
+        clean = decontam.keep_clean(docs, bench)
+        assert sorted(map(str, clean.collect())) == kept and clean.columns == docs.columns
+        assert decontam.contaminated(docs.limit(0), bench).count() == 0
+    finally:
+        decontam.INDEX_BYTES = old
+    assert {"verbatim", "reparameterised"} <= {x.split("kind='")[1][:-2] for x in by_index}
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/x", "<p>one</p>"), (2, "http://b/é\r\n", "<p>WARC/1.1\r\n\r\n</p>"), (3, None, None), (4, "http://c", ""), (5, "http://d", "<p>one</p>"), (6, "u", "été\n" * 50), (9, "v", "<p>one</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
