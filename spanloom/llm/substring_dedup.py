@@ -1,6 +1,7 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length token window, counted in Spark.
 
-1. Documents are dealt into chunks by a hash of doc_id.
+1. Documents are dealt into chunks by a hash of doc_id and text, so that neither a null or
+   repeated id nor a text with many copies fills one chunk.
 2. Each chunk hashes every window of `window` words with a rolling polynomial
    hash modulo 2**64 and sends each distinct hash once to a bucket of the hash
    space, in sorted packed blobs, with those it saw twice apart.  However common
@@ -29,6 +30,8 @@ from spanloom.llm import kern
 #: Words in a window, as in the published exact-substring filters' 50 tokens, set by the query.
 WINDOW = 35
 CHUNK_BYTES, BUCKET_BYTES, LEAST = 4 << 20, 8 << 20, 48
+#: Chunks and buckets grow by one for each so many bytes of text, up to so many times: a chunk's blob for a bucket keeps hundreds of hashes at 1 TB.
+GROW_BYTES, MOST_GROWTH = 64 << 30, 8
 
 _FP = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("once", pa.binary()), ("many", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int32()), ("hashes", pa.binary())])
@@ -77,12 +80,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     An empty table gives an empty table.
     """
     total = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    n_chunks = max(LEAST, -(-total // CHUNK_BYTES))
-    n_buckets = max(LEAST, -(-total // BUCKET_BYTES))
+    growth = min(MOST_GROWTH, 1 + total // GROW_BYTES)
+    n_chunks = max(LEAST, -(-total // (CHUNK_BYTES * growth)))
+    n_buckets = max(LEAST, -(-total // (BUCKET_BYTES * growth)))
     shift = np.float64(n_buckets) / np.float64(2**64)
 
     d = docs.select(
-        F.coalesce(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(n_chunks)), F.lit(0)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("text"),
     )
@@ -90,11 +94,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     def send(key, tab):
         once, many = _count(kern.column(tab, "text"), window)
         cut = [np.minimum((x.astype(np.float64) * shift).astype(np.int64), n_buckets - 1) for x in (once, many)]
-        at = [np.searchsorted(c, np.arange(n_buckets + 1)) for c in cut]
-        full = [b for b in range(n_buckets) if at[0][b] < at[0][b + 1] or at[1][b] < at[1][b + 1]]
-        return kern.table(
-            _FP, bucket=full, chunk=[key[0].as_py()] * len(full), once=[kern.pack(once[at[0][b] : at[0][b + 1]]) for b in full], many=[kern.pack(many[at[1][b] : at[1][b + 1]]) for b in full]
-        )
+        full = np.union1d(*cut)  # only buckets that get something
+        lo, hi = ([np.searchsorted(c, full, side).tolist() for c in cut] for side in ("left", "right"))
+        once, many = ([kern.pack(x[a:b]) for a, b in zip(p, q)] for x, p, q in zip((once, many), lo, hi))
+        return kern.table(_FP, bucket=full, chunk=[key[0].as_py()] * len(full), once=once, many=many)
 
     def count(key, tab):
         chunk, once, many = (kern.column(tab, c) for c in ("chunk", "once", "many"))
