@@ -98,6 +98,12 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ({allowed}) OR (rule IS NULL
 
 
 ORACLE_SQL = {
+    "op2_warc_salvage": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (5 * (3 - i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM d""",
     "op3_url_filter": _url_sql(),
     "op5_source_mixing": f"""
 WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS z FROM documents),

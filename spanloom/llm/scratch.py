@@ -22,8 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Folders made by this process, in order.
+_MADE: list[str] = []
+
+
 def place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -32,10 +37,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = place(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._spanloom_path = path
+    return out
+
 
+def mark() -> int:
+    """Where the list of folders stands now."""
+    return len(_MADE)
 
-def drop(spark: SparkSession, path: str) -> None:
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that place made."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for path in paths:
+        if path in _MADE:
+            _MADE.remove(path)
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the folders made since a mark, less the stored tables to keep; nothing else may still read them."""
+    drop(spark, *[p for p in _MADE[since:] if p not in {k._spanloom_path for k in keep}])

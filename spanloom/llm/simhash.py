@@ -369,8 +369,10 @@ def components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame
 
     Every round each node takes the least label among itself and its neighbours and
     then that label's own label (pointer jumping), until nothing changes; rounds are
-    about the logarithm of the longest path.  Each round is written to the shared folder.
+    about the logarithm of the longest path.  Each round is written to the shared folder, and
+    deleted when the next one is.
     """
+    spark, since = edges.sparkSession, scratch.mark()
     e = edges.where(F.col("a") != F.col("b"))
     e = scratch.stored(e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
     labels = scratch.stored(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), name)
@@ -384,7 +386,9 @@ def components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
         new = scratch.stored(step.join(jump, "root", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "was"), name)
         labels = new.select("node", "root")
-        if new.where(F.col("root") != F.col("was")).isEmpty():
+        done = new.where(F.col("root") != F.col("was")).isEmpty()
+        scratch.release(spark, since, new, *([] if done else [e]))
+        if done:
             return labels
     raise RuntimeError("components did not settle")
 
