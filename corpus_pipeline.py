@@ -35,15 +35,17 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("toxicity", stage_toxicity), ("near_dedup", stage_near_dedup), ("decontamination", stage_decontamination), ("pii", stage_pii), ("mixing", stage_mixing)]
 
-#: Compression lengths, SimHash and the draw have no SQL; tests compare the stages with brute-force versions.
+#: Compression lengths and SimHash have no SQL; tests/llm compares each stage with a plain-loop version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each one's rows are written to the shared folder and reread as the next one's input."""
+    """All stages; each one's rows are written to the shared folder and reread as the next one's input, and what it needed on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = scratch.mark()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.stored(docs, f"pipeline-{name}")
+            scratch.release(spark, since, docs)
     return docs
