@@ -462,8 +462,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes:
     Two documents link if the Jaccard similarity of their sets of `shingle`-word shingles reaches
     `similarity`, counted on the sets.  Candidates come from fingerprints of `lanes` x 64 bits, three
     deviations beyond the expected distance: about one pair in a thousand right at the threshold is lost.
-    Rows that share a doc_id stay or go together; rows with a null doc_id stay.
+    Rows that share a doc_id stay or go together; rows with a null doc_id stay.  Null and empty
+    texts are copies of each other.  An empty table gives an empty table; columns of any name stay.
     """
-    radius = candidate_radius(similarity, 64 * lanes)
-    gone = near_duplicates(docs, shingle, radius, lanes, True, similarity).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    radius, gone = candidate_radius(similarity, 64 * lanes), kern.fresh(docs.columns, "_gone")
+    near = near_duplicates(docs, shingle, radius, lanes, True, similarity)
+    return docs.join(near.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone)).distinct(), F.col("doc_id") == F.col(gone), "left_anti")

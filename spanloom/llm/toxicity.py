@@ -153,7 +153,7 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     """Dictionaries on all documents; the calibration on two halves, each measured with the dictionaries of the other."""
     prior = len(toxic) / max(1, len(toxic) + len(ordinary))
     if len(toxic) < 4 or len(ordinary) < 4:
-        return Model(b"", b"", (), prior)
+        return Model(b"", b"", (), min(prior, 0.49))
     x, y = [], []
     for a in (0, 1):
         d = dictionaries(toxic[a::2], ordinary[a::2])
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 if score >= 0.5) of every document, from its whole text alone.
 
     Null or empty text: the score of a document without toxic windows.  Without
-    enough labels the score is the label's share.  Rows repeat as they come; an empty
+    enough labels of either kind the score is the label's share, but below 0.5: nothing speaks against any document.  Rows repeat as they come; an empty
     table gives an empty table; columns other than doc_id and text are ignored.
     """
 
