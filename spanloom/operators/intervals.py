@@ -62,6 +62,35 @@ def clip_to(words: DataFrame, ranges: DataFrame, group: str, key: str) -> DataFr
     return j.withColumns({"start": F.greatest("start", "r_start"), "end": F.least("end", "r_end")}).drop("r_start", "r_end")
 
 
+def words_between(rows: DataFrame, start, end) -> DataFrame:
+    """(transcript_id, pos, start, end, text) of the words that overlap a range of their row (columns or numbers), cut to it.
+
+    The array is filtered before it is exploded, and only its own row is read: no join, no shuffle.
+    """
+    a, b = (x if isinstance(x, Column) else F.lit(float(x)) for x in (start, end))
+    inside = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.greatest(w["start"], a).alias("start"), F.least(w["end"], b).alias("end"), w["text"].alias("text"))), lambda w: w["end"] > w["start"])
+    return rows.select("transcript_id", F.explode(inside).alias("w")).select("transcript_id", "w.*")
+
+
+def spans_in_band(rows: DataFrame, group: str, idx: str, start: str, end: str, low: float, high: float) -> DataFrame:
+    """(group, i, j, span) of all runs of rows whose span from the start of i to the end of j is low to high seconds.
+
+    Starts and ends meet in time bins as wide as the band, so each start meets the two
+    or three bins where its partners can end, not all of a long group.
+    """
+    width = max(high - low, 1e-9)
+    a = rows.select(group, F.col(idx).alias("i"), F.col(start).alias("_a"))
+    a = a.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_a") + low) / width), F.floor((F.col("_a") + high) / width))))
+    b = rows.select(group, F.col(idx).alias("j"), F.col(end).alias("_b"), F.floor(F.col(end) / width).alias("_bin"))
+    span = F.col("_b") - F.col("_a")
+    return a.join(b, [group, "_bin"]).where((F.col("j") >= F.col("i")) & span.between(low, high)).select(group, "i", "j", span.alias("span"))
+
+
+def total_duration(spans: DataFrame, group: str, start: str, end: str) -> DataFrame:
+    """(group, spans, kept): number and total length of each group's spans."""
+    return spans.groupBy(group).agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col(end) - F.col(start)).alias("kept"))
+
+
 def running_offset(rows: DataFrame, group: str, order: list, length: str) -> DataFrame:
     """Sum of the lengths before each row."""
     w = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)

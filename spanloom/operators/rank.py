@@ -154,7 +154,7 @@ def finish(ready: DataFrame, o: dict | None = None) -> DataFrame:
     flagged = ready.withColumn("_flags", F.transform("sentences", lambda s: F.struct((T.is_transition(s["text"]) | T.is_filler(s["text"])).alias("tail"), T.is_filler(s["text"]).alias("head"))))
 
     def run(frames):
-        cols = [c.split()[0] for c in schemas.CLIP.split(", ")] + ["virality", "title", "hook_line"]
+        cols = [c.split()[0] for c in schemas.CLIP.split(", ")] + ["virality", "title", "hook_line", "text"]
         for f in frames:
             rows = []
             for tid, duration, sents, profs, topic, flags in zip(*(f[c] for c in ("transcript_id", "duration", "sentences", "profiles", "topic", "_flags"))):
@@ -168,11 +168,11 @@ def finish(ready: DataFrame, o: dict | None = None) -> DataFrame:
                     i, j = trim_edges(s, c["start_idx"], c["end_idx"], o["min_duration"], [x["tail"] for x in flags], [x["head"] for x in flags])
                     a, b = padded(s, i, j)
                     body = " ".join(s["text"][i : j + 1]).strip()
-                    c = c | c["scores"] | {"transcript_id": tid, "start_idx": i, "end_idx": j, "start": a, "end": b, "virality": virality(c["scores"], c["clip_type"]), "title": (body.split(".")[0] or body)[:70].strip(), "hook_line": s["text"][i][:200]}
+                    c = c | c["scores"] | {"transcript_id": tid, "start_idx": i, "end_idx": j, "start": a, "end": b, "virality": virality(c["scores"], c["clip_type"]), "title": (body.split(".")[0] or body)[:70].strip(), "hook_line": s["text"][i][:200], "text": body}
                     rows.append([c[k] for k in cols])
             yield pd.DataFrame(rows, columns=cols)
 
-    return flagged.select("transcript_id", "duration", "sentences", "profiles", "topic", "_flags").mapInPandas(run, schemas.CLIP + ", virality double, title string, hook_line string")
+    return flagged.select("transcript_id", "duration", "sentences", "profiles", "topic", "_flags").mapInPandas(run, schemas.CLIP + ", virality double, title string, hook_line string, text string")
 
 
 # ---- relational pieces ---------------------------------------------------------

@@ -169,16 +169,47 @@ def block_rows(built: DataFrame, seconds: float = 420.0, overlap: float = 45.0)
     return built.select("transcript_id", "sentences").mapInPandas(run, "transcript_id string, block int, start_idx int, end_idx int")
 
 
+def pauses(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows (start, end) with the pause before and after each in order, none below zero: the first has its own start, the last 2 s."""
+    w = W.partitionBy(key).orderBy(order)
+    before = F.greatest(F.lit(0.0), F.col("start") - F.coalesce(F.lag("end").over(w), F.lit(0.0)))
+    after = F.greatest(F.lit(0.0), F.coalesce(F.lead("start").over(w) - F.col("end"), F.lit(2.0)))
+    return rows.withColumns({"pause_before": before, "pause_after": after})
+
+
 def sentence_at(sents: DataFrame, points: DataFrame) -> DataFrame:
-    """For each point (transcript_id, t): the first sentence that ends at or after t, else the last."""
-    s = sents.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("idx", "end"))).alias("_s"))
-    return points.join(s, "transcript_id").withColumn("idx", F.coalesce(F.get(F.filter("_s", lambda x: x["end"] >= F.col("t")), 0)["idx"], F.element_at("_s", -1)["idx"])).drop("_s")
+    """For each point (transcript_id, t): the first sentence that ends at or after t, else the last.
+
+    Points and sentence ends are one sequence; a point takes the next end after it.
+    """
+    s = sents.select("transcript_id", F.col("end").alias("t"), F.col("idx").alias("_idx"))
+    p = points.select("transcript_id", "t").distinct().withColumn("_idx", F.lit(None).cast(dict(sents.dtypes)["idx"]))
+    w = W.partitionBy("transcript_id").orderBy("t", F.col("_idx").asc_nulls_first())
+    after = F.first("_idx", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    last = F.max("_idx").over(W.partitionBy("transcript_id"))
+    at = s.unionByName(p).withColumns({"idx": F.coalesce(after, last), "_known": F.col("_idx").isNotNull()}).where("not _known and idx is not null").select("transcript_id", "t", "idx")
+    return points.join(at, ["transcript_id", "t"])
+
+
+def snap_range(sents: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges (transcript_id, start, end) with start_idx and end_idx, the sentences at either end, in order."""
+    points = ranges.select("transcript_id", F.col("start").alias("t")).union(ranges.select("transcript_id", F.col("end").alias("t"))).distinct()
+    at = sentence_at(sents, points)
+    first, last = at.select("transcript_id", F.col("t").alias("start"), F.col("idx").alias("_a")), at.select("transcript_id", F.col("t").alias("end"), F.col("idx").alias("_b"))
+    d = ranges.join(first, ["transcript_id", "start"]).join(last, ["transcript_id", "end"])
+    return d.withColumns({"start_idx": F.least("_a", "_b"), "end_idx": F.greatest("_a", "_b")}).drop("_a", "_b")
 
 
 def require_speech(sents: DataFrame, media: DataFrame | None = None) -> DataFrame:
-    """Per transcript: sentences, words, speech seconds, and whether there is enough speech (4 sentences, 25 words)."""
+    """Per transcript: sentences, words, speech seconds, and whether there is enough speech (4 sentences, 25 words); with media (transcript_id, duration) also the share of speech."""
     g = sents.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n_words").alias("n_words"), F.sum(F.col("end") - F.col("start")).alias("speech_seconds"))
-    return g.withColumn("enough", (F.col("n_sentences") >= 4) & (F.col("n_words") >= 25))
+    g = g.withColumn("enough", (F.col("n_sentences") >= 4) & (F.col("n_words") >= 25))
+    if media is None:
+        return g
+    m = media.select("transcript_id", F.col("duration").alias("_d")).join(g, "transcript_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast(dict(g.dtypes)[c])) for c in ("n_sentences", "n_words", "speech_seconds")}
+    m = m.withColumns(zero | {"enough": F.coalesce("enough", F.lit(False))})
+    return m.withColumn("speech_ratio", F.when(F.col("_d") > 0, F.least(F.lit(1.0), F.col("speech_seconds") / F.col("_d"))).otherwise(0.0)).drop("_d")
 
 
 def duration_guard(media: DataFrame, low: float = 20.0, duration: str = "duration") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import jsonrepair, lexicon, scoring
 from spanloom.functions import text as T
 from spanloom.operators import camera, captions, insights, intervals, rank, segment, trimming, windows
-from spanloom.plans import analyze
+from spanloom.plans import analyze, folds
 from spanloom.sinks import exports
 from spanloom.sources import media
 from spanloom.sources import transcripts as TR
@@ -158,11 +158,7 @@ def engagement_topk(spark, d):
 @query("SELECT l_returnflag, list_sort(list(l_extendedprice))[(count(*) // 2) + 1] AS median FROM lineitem GROUP BY 1")
 def median_upper(spark, d):
     """A10: upper median by index."""
-    # an exact order statistic by rank: the sort is spread over the shuffle instead of one group's list
-    w = W.partitionBy("l_returnflag")
-    li = table(spark, d, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.count(F.lit(1)).alias("c"))
-    r = li.withColumns({"upto": F.sum("c").over(w.orderBy("l_extendedprice").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
-    return r.where((F.col("upto") > F.floor(F.col("n") / 2)) & (F.col("upto") - F.col("c") <= F.floor(F.col("n") / 2))).select("l_returnflag", F.col("l_extendedprice").alias("median"))
+    return insights.upper_median(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice")
 
 
 @query(f"""WITH {_EV}, m AS (SELECT user_id, min(s) AS start, max(e) AS fin, arg_max(s, (value, -s)) FILTER (event_type = 'click') AS t FROM ev GROUP BY user_id)
@@ -292,10 +288,7 @@ seg AS (SELECT conv_id, turn, text, sum(n + 1.5) OVER w - 1.5 - n AS s, sum(n +
 def pause_fields(spark, d):
     """Pauses beside each turn."""
     s = TR.segments_from_conversations(table(spark, d, "conversations"))
-    w = W.partitionBy("transcript_id").orderBy("seg_idx")
-    before = F.greatest(F.lit(0.0), F.col("start") - F.coalesce(F.lag("end").over(w), F.lit(0.0)))
-    after = F.greatest(F.lit(0.0), F.coalesce(F.lead("start").over(w) - F.col("end"), F.lit(2.0)))
-    return s.select("transcript_id", "seg_idx", "start", "end", before.alias("pause_before"), after.alias("pause_after"))
+    return segment.pauses(s, "transcript_id", "seg_idx").select("transcript_id", "seg_idx", "start", "end", "pause_before", "pause_after")
 
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(T.STOPWORDS))
@@ -314,10 +307,7 @@ def topic_shift(spark, d):
 def windows_in_band(spark, d):
     """All windows of turns of 20 to 90 seconds."""
     s = TR.segments_from_conversations(table(spark, d, "conversations"))
-    a = s.select("transcript_id", F.col("seg_idx").alias("i"), F.col("start").alias("a"))
-    b = s.select("transcript_id", F.col("seg_idx").alias("j"), F.col("end").alias("b"))
-    span = F.col("b") - F.col("a")
-    return a.join(b, "transcript_id").where((F.col("j") >= F.col("i")) & span.between(20.0, 90.0)).select("transcript_id", "i", "j", span.alias("span"))
+    return intervals.spans_in_band(s, "transcript_id", "seg_idx", "start", "end", 20.0, 90.0)
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
@@ -325,10 +315,7 @@ x AS (SELECT doc_id, unnest(range(len(ws))) AS k, ws FROM w)
 SELECT doc_id::VARCHAR AS transcript_id, k::INT AS pos, greatest(k * 0.4::DOUBLE, 10.1::DOUBLE) AS start, least((k + 1) * 0.4::DOUBLE, 20.3::DOUBLE) AS "end", ws[k + 1] AS text FROM x WHERE (k + 1) * 0.4::DOUBLE > 10.1::DOUBLE AND k * 0.4::DOUBLE < 20.3::DOUBLE""")
 def words_in_range(spark, d):
     """Evenly spread words that overlap 10.1-20.3 s, cut to it."""
-    w = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("transcript_id"), F.posexplode(T.words("text")).alias("pos", "text"))
-    w = w.withColumns({"start": F.col("pos") * F.lit(0.4), "end": (F.col("pos") + 1) * F.lit(0.4)})
-    ranges = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("transcript_id"), F.lit(10.1).alias("r_start"), F.lit(20.3).alias("r_end"))
-    return intervals.clip_to(w, ranges, "transcript_id", "transcript_id").select("transcript_id", "pos", "start", "end", "text")
+    return intervals.words_between(_documents(spark, d), 10.1, 20.3)
 
 
 @query(f"""WITH {_EV}, b AS (SELECT user_id, min(s) AS s0 FROM ev GROUP BY 1), c AS (SELECT ev.*, floor((s - s0) / 86400)::INT AS block FROM ev JOIN b USING (user_id)),
@@ -356,10 +343,10 @@ def total_duration(spark, d):
     """Total length and number of spans."""
     ev = intervals_of_events(spark, d).withColumn("dy", F.floor(F.col("s") / 86400))
     c = ev.groupBy("user_id", "dy").agg(F.min("s").alias("fs"), F.max("e").alias("fe"))
-    return c.groupBy("user_id").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col("fe") - F.col("fs")).alias("kept"))
+    return intervals.total_duration(c, "user_id", "fs", "fe")
 
 
-# ---- order-dependent operators: no SQL, tested against brute force ----------------
+# ---- order-dependent operators: SQL where a recursive query can say it, else tested against brute force ----
 
 
 def _documents(spark, d):
@@ -381,13 +368,13 @@ def analyze_conversations(spark, d):
     return analyze.clips(_conversations(spark, d), {"min_duration": 5.0, "max_duration": 60.0})
 
 
-@query()
+@query(folds.SENTENCES)
 def sentences(spark, d):
     """Sentences of conversations, with pauses."""
     return segment.explode(segment.build(_conversations(spark, d)))
 
 
-@query()
+@query(folds.SENTENCES_DOCUMENTS)
 def sentences_documents(spark, d):
     return segment.explode(segment.build(_documents(spark, d)))
 
@@ -412,19 +399,19 @@ def nms(spark, d):
     return windows.windows(analyze.ready(_documents(spark, d)))
 
 
-@query()
+@query(folds.BLOCKS)
 def blocks(spark, d):
     """Overlapping blocks."""
     return segment.block_rows(segment.build(_documents(spark, d)))
 
 
-@query()
+@query(folds.PHRASES)
 def phrases(spark, d):
     """Caption phrases."""
     return captions.phrases(_documents(spark, d))
 
 
-@query()
+@query(folds.KEEP_SPANS)
 def keep_spans(spark, d):
     """spans to keep after cutting fillers and long pauses, each conversation whole."""
     c = _conversations(spark, d)
@@ -448,37 +435,33 @@ def camera_path(spark, d):
     return camera.paths(s, s.groupBy("transcript_id").agg(F.max("t").alias("duration")))
 
 
-@query()
+@query(folds.RETENTION_ORDER)
 def retention_order(spark, d):
     """T6 with swaps."""
     o = table(spark, d, "orders").withColumn("payoff", (F.col("o_orderkey") % 97).cast("double"))
     return rank.retention(o, "o_custkey", "o_totalprice", "payoff", "o_orderpriority", "o_orderkey").select("o_custkey", "o_orderkey", "position")
 
 
-def _clips_with_text(spark, d):
-    ready = analyze.ready(_documents(spark, d))
-    c = rank.finish(ready)
-    s = ready.select("transcript_id", "sentences")
-    body = F.array_join(F.transform(F.slice("sentences", F.col("start_idx") + 1, F.col("end_idx") - F.col("start_idx") + 1), lambda x: x["text"]), " ")
-    return c.join(s, "transcript_id").withColumns({"text": body, "reason": F.lit("")}).drop("sentences")
+def _reported(spark, d) -> DataFrame:
+    return analyze.clips(_documents(spark, d)).withColumn("reason", F.lit(""))
 
 
 @query()
 def export_csv(spark, d):
     """K2: the CSV export's rows."""
-    return exports.csv_rows(_clips_with_text(spark, d))
+    return exports.csv_rows(_reported(spark, d))
 
 
 @query()
 def export_json(spark, d):
     """K1: one JSON document a transcript."""
-    return exports.json_rows(_clips_with_text(spark, d))
+    return exports.json_rows(_reported(spark, d))
 
 
 @query()
 def export_text(spark, d):
     """K3: text reports."""
-    return exports.text_rows(_clips_with_text(spark, d))
+    return exports.text_rows(_reported(spark, d))
 
 
 @query()
@@ -504,7 +487,7 @@ def subtitles(spark, d):
     return captions.subtitles(c.withColumn("words", w))
 
 
-@query()
+@query(folds.SPEECH_CHECK)
 def speech_check(spark, d):
     """Whether a transcript holds enough speech."""
     return segment.require_speech(segment.explode(segment.build(_documents(spark, d))))
