@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spanloom.functions import lexicon
 from spanloom.functions import text as T
 from spanloom.operators import segment
 
@@ -88,3 +89,75 @@ s AS (SELECT o_custkey, k, t, n, 3::BIGINT AS i FROM z UNION ALL
       SELECT *, CASE WHEN t[i] = t[i - 1] THEN coalesce(list_position(list_transform(t[i + 1 : n - 1], lambda v: v <> t[i - 1]), true), 0) ELSE 0 END AS x FROM s) WHERE n > 3 AND i <= n - 1),
 e AS (SELECT o_custkey, k, n FROM s QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY i DESC) = 1)
 SELECT o_custkey, unnest(k) AS o_orderkey, unnest(range(1, n + 1))::BIGINT AS position FROM e"""
+
+
+# ---- signals and windows of documents -----------------------------------------------
+
+_ACCENTS = dict(zip("éèêàç", "45678"))
+
+
+def _rule(pattern: str) -> str:
+    """A rule over `plain`, whose letters beyond ASCII are underscores, or over `kept`, where the rules' own accents are digits: DuckDB's word edges know ASCII only."""
+    mapped = "".join(_ACCENTS.get(c, c) for c in pattern)
+    return f"regexp_matches({'plain' if mapped == pattern else 'kept'}, '(?i){mapped.replace(chr(39), chr(39) * 2)}')"
+
+
+def _score(category: str) -> str:
+    def of(rules) -> str:
+        return "1 - exp(-(" + " + ".join(f"CASE WHEN {_rule(p)} THEN {w:.2f}::DOUBLE ELSE 0.0 END" for p, w in rules[category]) + "))"
+
+    return f"CASE WHEN language = 'fr' THEN {of(lexicon.LANGUAGES['fr'])} ELSE {of(lexicon.EN)} END AS {category}"
+
+
+_CATEGORIES = [*lexicon.CATEGORIES, "weak_start"]
+
+#: CTEs down to prof: the sentences of documents with the score of each category.
+PROFILES = f"""WITH RECURSIVE {sentences(DOCUMENT_WORDS)},
+pl AS (SELECT *, regexp_replace(lower(text), '[^\\x00-\\x7F\\PL]', '_', 'g') AS plain, regexp_replace(translate(lower(text), '{"".join(_ACCENTS)}', '{"".join(_ACCENTS.values())}'), '[^\\x00-\\x7F\\PL]', '_', 'g') AS kept FROM sent),
+prof AS MATERIALIZED (SELECT tid, language, idx, start, "end", text, pause_before, pause_after, n_words, {", ".join(map(_score, _CATEGORIES))} FROM pl)"""
+
+SIGNAL_PROFILES = f"""{PROFILES} SELECT tid AS transcript_id, idx, {", ".join(_CATEGORIES)}, concat_ws(',', {", ".join(f"CASE WHEN {c} >= 0.5 THEN '{c}' END" for c in lexicon.CATEGORIES)}) AS tags FROM prof"""
+
+_LISTS = ", ".join(f"list({c} ORDER BY idx) AS {c}" for c in _CATEGORIES)
+_STOPS = _quoted(dict.fromkeys(T.STOPWORDS))
+
+
+def _top(category: str, lo: str, hi: str) -> str:
+    return f"list_max({category}[{lo} + 1 : {hi} + 1])"
+
+
+#: CTEs down to win (tid, i, j, start, end, score): every window of 20 to 90 s by its features.  Topic shifts are rounded as they print.
+WINDOWS = f"""{PROFILES},
+tk AS (SELECT tid, idx, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\pL]{{3,}}'), lambda x: NOT list_contains([{_STOPS}], x))) AS k FROM prof),
+tl AS (SELECT tid, list(k ORDER BY idx) AS k, count(*) AS n FROM tk GROUP BY tid),
+ts AS (SELECT tid, i, n, list_distinct(flatten(k[i - 5 : i])) AS l, list_distinct(flatten(k[i + 1 : i + 6])) AS r FROM tl, range(n) x(i) WHERE i >= 6 AND i < n - 6),
+tr AS (SELECT tid, i, CASE WHEN least(len(l), len(r)) > 0 THEN 1 - len(list_intersect(l, r)) / least(len(l), len(r))::DOUBLE ELSE 0.0 END AS s FROM ts),
+tq AS (SELECT tid, i, s / coalesce(nullif(max(s) OVER (PARTITION BY tid), 0.0), 1.0) AS x FROM tr),
+tp AS (SELECT tid, i, round((x::VARCHAR)::DECIMAL(38, 20), 3)::DOUBLE AS topic FROM tq),
+ar AS (SELECT prof.tid AS tid, list(start ORDER BY idx) AS s, list("end" ORDER BY idx) AS e, list(pause_before ORDER BY idx) AS pb, list(pause_after ORDER BY idx) AS pa, list(n_words ORDER BY idx) AS nw, {_LISTS},
+  list(regexp_matches(lower(trim(text)), '^(and|but|so|because|which|that''?s why|et|mais|donc|parce)') ORDER BY idx) AS opens, list(regexp_matches(text, '[.!?…。！？؟][''"»”\\)\\]]*\\s*$') ORDER BY idx) AS closes, list(coalesce(topic, 0.0) ORDER BY idx) AS topic
+  FROM prof LEFT JOIN tp ON prof.tid = tp.tid AND idx = i GROUP BY prof.tid),
+sp AS (SELECT a.tid, a.idx AS i, b.idx AS j FROM prof a JOIN prof b ON a.tid = b.tid AND b.idx >= a.idx AND b."end" - a.start BETWEEN 20.0 AND 90.0 WHERE a.weak_start < 0.95),
+ft AS (SELECT *, j - i + 1 AS n, e[j + 1] - s[i + 1] AS span, least(j, i + 2) AS head, least(j, i + greatest(1, trunc((j - i + 1) * 0.55::DOUBLE)::INT)) AS tail, least(j, i + trunc((j - i + 1) * 0.7::DOUBLE)::INT) AS early, weak_start[i + 1] AS weak, topic[i + 1] AS shift FROM sp JOIN ar USING (tid)),
+pt AS (SELECT tid, i, j, s[i + 1] AS start, e[j + 1] AS "end", span,
+  least(1.0, greatest({_top("hook", "i", "head")}, 0.6 * {_top("curiosity", "i", "head")}, 0.5 * {_top("opinion", "i", "head")}) * (1.0 - 0.45 * weak) + 0.15 * shift) AS hook,
+  least(1.0, greatest({_top("payoff", "tail", "j")}, 0.75 * {_top("value", "tail", "j")}, 0.6 * {_top("emotion", "tail", "j")})) AS payoff,
+  least(1.0, 0.7 * {_top("emotion", "i", "j")} + 0.3 * list_sum(emotion[i + 1 : j + 1]) / n) AS emotion,
+  least(1.0, greatest({_top("curiosity", "i", "early")}, 0.5 * {_top("story", "i", "j")})) AS curiosity,
+  greatest(0.0, least(1.0, 1.0 - 0.6 * weak + 0.25 * shift) * CASE WHEN opens[i + 1] THEN 0.75 ELSE 1.0 END) AS standalone,
+  least(1.0, greatest(0.0, 0.35 + least(0.3, pb[i + 1] / 1.2 * 0.3) + least(0.25, pa[j + 1] / 1.2 * 0.25) + CASE WHEN closes[j + 1] THEN 0.15 ELSE -0.10 END)) AS editability,
+  list_sum(nw[i + 1 : j + 1]) / span AS pace FROM ft),
+win AS (SELECT tid, i, j, start, "end", CASE WHEN span > 0 THEN (25::DOUBLE * hook + 25 * payoff + 15 * emotion + 15 * curiosity + 10 * standalone + 10 * editability)
+  * (0.72 + 0.18 * exp(-((span - 45.0) ** 2) / (2 * 22.0 * 22.0)) + 0.10 * CASE WHEN pace < 2.6 THEN least(1.0, pace / 2.6) ELSE greatest(0.5, 1.0 - (pace - 2.6) / 4) END) ELSE 0.0 END AS score FROM pt)"""
+
+WINDOW_SCORES = f'{WINDOWS} SELECT tid AS transcript_id, i AS start_idx, j AS end_idx, start, "end", score FROM win'
+
+_KINDS = "CASE " + " ".join(f"WHEN top = t[{k}] THEN '{lexicon.TYPE_OF[c]}'" for k, c in enumerate(lexicon.CATEGORIES, 1)) + " END"
+
+#: The best window left is kept and what overlaps it by over 0.6 goes, until none is left or 400 are kept.
+NMS = f"""{WINDOWS},
+n AS (SELECT tid, i, j, start, "end", score, false AS kept, 0 AS step FROM win UNION ALL
+  SELECT tid, i, j, start, "end", score, first, step + 1 FROM (SELECT *, row_number() OVER o = 1 AS first, first_value(start) OVER o AS ts, first_value("end") OVER o AS te FROM n WHERE NOT kept AND step < 400 WINDOW o AS (PARTITION BY tid ORDER BY score DESC, i DESC, j DESC))
+  WHERE first OR NOT (greatest(te, "end") - least(ts, start) > 0 AND greatest(0.0, least(te, "end") - greatest(ts, start)) / (greatest(te, "end") - least(ts, start)) > 0.6)),
+k AS (SELECT n.*, list_transform([{", ".join(lexicon.CATEGORIES)}], lambda x: list_sum(x[i + 1 : j + 1])) AS t FROM n JOIN ar USING (tid) WHERE kept)
+SELECT tid AS transcript_id, i AS start_idx, j AS end_idx, start, "end", score, CASE WHEN top > 0.6 THEN {_KINDS} ELSE 'other' END AS clip_type FROM (SELECT *, list_max(t) AS top FROM k)"""

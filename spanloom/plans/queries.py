@@ -379,21 +379,22 @@ def sentences_documents(spark, d):
     return segment.explode(segment.build(_documents(spark, d)))
 
 
-@query()
+@query(folds.SIGNAL_PROFILES)
 def signal_profiles(spark, d):
     """signal scores and tags of each sentence, by language."""
     s = segment.explode(segment.build(_documents(spark, d)))
     p = F.when(F.col("language") == "fr", T.profile(F.col("text"), lexicon.FR)).otherwise(T.profile(F.col("text"), lexicon.EN))
-    return s.select("transcript_id", "idx", p.alias("p")).select("transcript_id", "idx", "p.*")
+    p = s.select("transcript_id", "idx", p.alias("p")).select("transcript_id", "idx", "p.*")
+    return p.withColumn("tags", F.array_join("tags", ","))
 
 
-@query()
+@query(folds.WINDOW_SCORES)
 def window_scores(spark, d):
     """Every window of the band with its score."""
     return windows.windows(analyze.ready(_documents(spark, d)), all_windows=True).drop("clip_type")
 
 
-@query()
+@query(folds.NMS)
 def nms(spark, d):
     """Windows that survive greedy suppression."""
     return windows.windows(analyze.ready(_documents(spark, d)))
