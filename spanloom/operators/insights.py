@@ -84,3 +84,44 @@ def log(clips: DataFrame, entries: DataFrame) -> DataFrame:
     j = entries.alias("e").join(clips.alias("c"), ["video_hash", "rank"], "left")
     rest = [c for c in dict.fromkeys([*entries.columns, *clips.columns]) if c not in ("video_hash", "rank", *both)]
     return j.select("video_hash", "rank", *[F.coalesce(F.col(f"e.{c}"), F.col(f"c.{c}")).alias(c) for c in both], *rest)
+
+
+def entries(requests: DataFrame) -> DataFrame:
+    """Requests coerced to performance rows: counts as whole numbers, scores as numbers, nulls as zero, platform `other` where unsaid."""
+    kinds = {c: "long" for c in ("views", "likes", "comments", "shares")} | {c: "double" for c in ("duration", "overall", "virality")}
+    out = {c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).cast(t) for c, t in kinds.items() if c in requests.columns}
+    if "platform" in requests.columns:
+        out["platform"] = F.coalesce(F.when(F.col("platform") != "", F.col("platform")), F.lit("other"))
+    if "scores" in requests.columns:
+        out["scores"] = F.to_json(F.create_map(*[x for k in scoring.SCORE_KEYS for x in (F.lit(k), F.coalesce(F.get_json_object("scores", f"$.{k}").try_cast("double"), F.lit(0.0)))]))
+    return requests.withColumns(out)
+
+
+def scan(performance: DataFrame, limit: int = 1000, video: str | None = None) -> DataFrame:
+    """The newest rows with their scores decoded from JSON (broken JSON: no scores) and their engagement."""
+    return newest(performance, limit, video).withColumn("scores", F.coalesce(F.from_json("scores", "map<string,double>"), F.create_map().cast("map<string,double>")))
+
+
+def without(performance: DataFrame, ids: DataFrame) -> DataFrame:
+    """The log less the rows of some ids (a table with `id`)."""
+    return performance.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def readiness(performance: DataFrame, group: str = "video_hash", value: str = "engagement") -> DataFrame:
+    """One row: rows logged, rows with a signal (two or more in their group, with spread), how many it takes, and whether that is enough."""
+    some = zscores(performance, group, value).agg(F.count(F.lit(1)).alias("with_signal")).withColumn("_one", F.lit(1))
+    both = performance.agg(F.count(F.lit(1)).alias("count")).withColumn("_one", F.lit(1)).join(some, "_one").drop("_one")
+    reason = F.when(F.col("count") == 0, "No performance logged yet.").when(F.col("with_signal") < MIN_SAMPLE, F.concat(F.lit("only "), F.col("with_signal").cast("string"), F.lit(f" rows can be compared, {MIN_SAMPLE} are needed")))
+    return both.select("count", "with_signal", F.lit(MIN_SAMPLE).alias("need"), (F.col("with_signal") >= MIN_SAMPLE).alias("ready"), reason.alias("reason"))
+
+
+def run_stats(sentences: DataFrame, blocks: DataFrame, pool: DataFrame, merged: DataFrame, final: DataFrame, requested: int, key: str = "transcript_id") -> DataFrame:
+    """A row for each transcript: what was requested, and how many sentences, blocks, candidates (before and after merging) and final clips there are, with the final ones by type."""
+    counts = [(sentences, "sentences"), (blocks, "blocks"), (pool, "candidates_pass1"), (merged, "candidates_after_merge"), (final, "final")]
+    out = None
+    for d, name in counts:
+        n = d.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+        out = n if out is None else out.join(n, key, "left")
+    kinds = final.groupBy(key, "clip_type").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("clip_type", "n")))).alias("types"))
+    out = out.join(kinds, key, "left").withColumns({name: F.coalesce(name, F.lit(0)) for _, name in counts})
+    return out.withColumn("requested", F.lit(requested))

@@ -186,6 +186,65 @@ def top_k(rows: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def pick_ranks(clips: DataFrame, ranks: list[int]) -> DataFrame:
+    return clips.where(F.col("rank").isin([int(r) for r in ranks]))
+
+
+def compilation_pick(clips: DataFrame, most: int, group: str = "transcript_id") -> DataFrame:
+    """The clips of a compilation: the most viral `most` (two at least) of each group, the overall score where there is no virality."""
+    worth = F.coalesce(F.when(F.col("virality") != 0, F.col("virality")), F.col("overall"))
+    return clips.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(F.desc(worth), "rank"))).where(F.col("place") <= max(2, most))
+
+
+def prune_jobs(jobs: DataFrame, keep: int = 12) -> DataFrame:
+    """Jobs (id, status, finished_at) less the oldest finished ones beyond `keep`; jobs that still run stay."""
+    over = jobs.agg(F.greatest(F.lit(0), F.count(F.lit(1)) - keep).alias("_over"))
+    done = jobs.where(F.col("status").isin("done", "error", "cancelled"))
+    # one row against one row: the count goes with each finished job by a join on a constant
+    old = done.withColumns({"_age": F.row_number().over(W.partitionBy(F.lit(1)).orderBy("finished_at", "id")), "_one": F.lit(1)}).join(over.withColumn("_one", F.lit(1)), "_one").where(F.col("_age") <= F.col("_over"))
+    return jobs.join(old.select("id"), "id", "left_anti")
+
+
+def rescored(pool: DataFrame, ranked: DataFrame, target: int) -> DataFrame:
+    """pool (transcript_id, id, start, end, overall, confidence, merged_from, title, reason, clip_type, verdict) after a reply that compares its clips.
+
+    ranked: transcript_id, pos, id, final_score, title, verdict, clip_type, absorbed (ids).  The first mention of a clip
+    counts.  A clip is absorbed if another that overlaps it, or one the pool lacks, names it, unless it is among
+    the first `target` itself; one named by a clip it does not overlap is demoted.  Mentioned clips blend the new score in
+    (marks out of ten are scaled where the old score is over 20), the others lose a little, demoted ones more.
+    """
+    key = ["transcript_id", "id"]
+    first = ranked.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy("pos"))).where("_n = 1").drop("_n")
+    spans = pool.select("transcript_id", "id", "start", "end", "merged_from")
+    named = ranked.select("transcript_id", F.col("id").alias("by"), F.explode("absorbed").alias("id")).where(F.col("id") != F.col("by")).join(spans, key)
+    by = spans.select("transcript_id", F.col("id").alias("by"), F.col("start").alias("b0"), F.col("end").alias("b1"))
+    named = named.join(by, ["transcript_id", "by"], "left").withColumn("apart", F.coalesce(F.least("end", "b1") - F.greatest("start", "b0") <= 0, F.lit(False)))
+    safe = ranked.where(F.col("pos") < target).select(*key).distinct()
+    gone = named.where("not apart").join(safe, key, "left_anti")
+    absorbed = gone.select(*key).distinct()
+    demoted = named.where("apart").select(*key).distinct().withColumn("demoted", F.lit(True))
+    # a clip takes over what its first mention names, if that is gone at all
+    gain = first.select("transcript_id", F.col("id").alias("by"), F.explode("absorbed").alias("id")).join(spans.join(absorbed, key), key).groupBy("transcript_id", F.col("by").alias("id")).agg(F.sum("merged_from").alias("gain"))
+    new = first.select(*key, F.lit(True).alias("seen"), F.col("final_score").alias("_f"), F.trim("title").alias("_t"), F.trim("verdict").alias("_v"), F.col("clip_type").alias("_k"))
+    d = pool.join(absorbed, key, "left_anti").join(new, key, "left").join(gain, key, "left").join(demoted, key, "left")
+    mark = F.coalesce("_f", "overall")
+    mark = F.when((mark > 0) & (mark <= 10) & (F.col("overall") > 20), mark * 10).otherwise(mark)
+    blended = F.bround(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 0.65 * mark + 0.35 * F.col("overall"))), 1)
+    lesser = F.bround(F.col("overall") * F.when(F.col("demoted"), 0.80).otherwise(0.92), 1)
+    seen = F.coalesce("seen", F.lit(False))
+    say = seen & (F.col("_v") != "")
+    out = {
+        "overall": F.when(seen, blended).otherwise(lesser),
+        "confidence": F.when(seen, F.least(F.lit(1.0), F.col("confidence") + 0.1)).otherwise(F.col("confidence")),
+        "merged_from": F.when(seen, F.col("merged_from") + F.coalesce("gain", F.lit(0))).otherwise(F.col("merged_from")).cast(dict(pool.dtypes)["merged_from"]),
+        "title": F.when(seen & (F.length("_t") > 4), F.left("_t", F.lit(120))).otherwise(F.col("title")),
+        "reason": F.when(say & (F.coalesce("reason", F.lit("")) == ""), F.col("_v")).otherwise(F.col("reason")),
+        "verdict": F.when(say, F.left("_v", F.lit(400))).otherwise(F.col("verdict")),
+        "clip_type": F.when(seen & (F.trim("_k") != ""), scoring.normalise_type(F.col("_k"))).otherwise(F.col("clip_type")),
+    }
+    return d.withColumns(out).select(*pool.columns)
+
+
 def zigzag(rows: DataFrame, group: str, score: str, payoff: str, tie: str) -> DataFrame:
     """Retention order before swaps: the best first, the highest payoff of the rest last, the others alternating high and low."""
     g = W.partitionBy(group)
@@ -224,44 +283,6 @@ def retention(rows: DataFrame, group: str, score: str, payoff: str, clip_type: s
     return z.groupBy(group).applyInPandas(run, z.schema)
 
 
-def second_pass(pool: list[dict], ranked: list[dict], target: int) -> list[dict]:
-    """Merge a reply that ranks the pool (ids from 1) into it: blended scores, absorbed and demoted clips."""
-    from spanloom.functions.jsonrepair import as_float, as_int
-
-    by = {n: dict(c) for n, c in enumerate(pool, 1)}
-    ids = [as_int(r.get("id"), -1) for r in ranked]
-    absorbed, demoted = set(), set()
-    for rid, r in zip(ids, ranked):
-        for oid in (as_int(x, -1) for x in r.get("absorbed") or []):
-            if oid in by and oid != rid:
-                (demoted if rid in by and overlap(by[oid], by[rid]) <= 0 else absorbed).add(oid)
-    absorbed -= {x for x in ids[:target] if x in by}
-    out, seen = [], set()
-    for rid, r in zip(ids, ranked):
-        if rid not in by or rid in absorbed or rid in seen:
-            continue
-        seen.add(rid)
-        c = by[rid]
-        c["merged_from"] += sum(by[x]["merged_from"] for x in (as_int(x, -1) for x in r.get("absorbed") or []) if x in absorbed)
-        final = as_float(r.get("final_score", c["overall"]), c["overall"])
-        final = final * 10 if 0 < final <= 10 and c["overall"] > 20 else final
-        c["overall"] = round(min(100.0, max(0.0, 0.65 * final + 0.35 * c["overall"])), 1)
-        title = str(r.get("title") or "").strip().strip('"')
-        c["title"] = title[:120] if len(title) > 4 else c.get("title", "")
-        verdict = str(r.get("verdict") or "").strip()
-        if verdict:
-            c["verdict"], c["reason"] = verdict[:400], c.get("reason") or verdict
-        if str(r.get("clip_type") or "").strip():
-            c["clip_type"] = normal_type(r["clip_type"])
-        c["confidence"] = min(1.0, c["confidence"] + 0.1)
-        out.append(c)
-    for n, c in by.items():
-        if n not in absorbed and n not in seen:
-            c["overall"] = round(c["overall"] * (0.80 if n in demoted else 0.92), 1)
-            out.append(c)
-    return sorted(out, key=lambda c: -c["overall"])
-
-
 def normal_type(value) -> str:
     t = str(value or "other").strip().lower().replace(" ", "_").replace("-", "_")
     return t if t in scoring.CLIP_TYPES else next((of for alias, of in scoring.TYPE_ALIASES.items() if alias in t), "other")

@@ -58,10 +58,37 @@ def text_rows(clips: DataFrame) -> DataFrame:
 
 
 def write_reports(clips: DataFrame, path: str) -> None:
-    """CSV, JSON lines and text under one folder, each partitioned by transcript so that a rerun replaces only its own."""
-    csv_rows(clips).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    json_rows(clips).select("json").write.mode("overwrite").text(f"{path}/json")
-    text_rows(clips).select(F.col("report").alias("value")).write.mode("overwrite").text(f"{path}/txt")
+    """CSV, JSON lines and text under one folder, each partitioned by transcript: a rerun replaces its own transcripts and no other."""
+
+    def put(d: DataFrame):
+        return d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("transcript_id")
+
+    put(csv_rows(clips)).option("header", True).csv(f"{path}/csv")
+    put(json_rows(clips)).text(f"{path}/json")
+    put(text_rows(clips).select("transcript_id", F.col("report").alias("value"))).text(f"{path}/txt")
+
+
+def csv_document(clips: DataFrame) -> DataFrame:
+    """(transcript_id, csv): the whole CSV file of a transcript as spreadsheets read it, byte order mark and header first, a line for each clip."""
+    cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), '"', '""') for c in CSV_COLUMNS]
+    line = F.array_join(F.array(*[F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c) for c in cells]), ",")
+    d = csv_rows(clips).select("transcript_id", F.struct("rank", line.alias("line")).alias("r")).groupBy("transcript_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return d.select("transcript_id", F.concat(F.lit("\ufeff" + ",".join(CSV_COLUMNS) + "\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.lit("\n")).alias("csv"))
+
+
+def stem(name: Column, at: Column) -> Column:
+    """Stem of a transcript's export files: its name and the time of the export."""
+    return F.concat(T.safe_stem(name), F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"))
+
+
+def clear_cache(spark, root: str, name: str | None = None, reserved=("models", "thumbs")) -> list[str]:
+    """Delete one folder under a cache root, or all but the reserved ones; the names that went."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [s.getPath() for s in fs.listStatus(top) if s.isDirectory() and s.getPath().getName() not in reserved] if fs.exists(top) else []
+    gone = [p for p in there if name is None or p.getName() == name]
+    return sorted(p.getName() for p in gone if fs.delete(p, True))
 
 
 def write_cache(transcripts: DataFrame, path: str) -> None:
@@ -131,3 +158,92 @@ def video_filter(src: tuple[int, int], fmt: str, segs=(), layout: str = "crop",
     margin = str(max(0, round(min(w, h) * size("margin", 0.04, 0.0, 0.4))))
     x, y = (p.replace("M", margin) for p in CORNERS.get(watermark.get("position", "top_right"), CORNERS["top_right"]))
     return f"[0:v]{chain}[base];[1:v]scale={max(2, round(w * size('scale', 0.18, 0.02, 0.9)))}:-1,format=rgba,colorchannelmixer=aa={size('opacity', 0.85, 0.05, 1.0):.3f}[wm];[base][wm]overlay=x={x}:y={y}:format=auto[vout]"
+
+
+# ---- command plans ------------------------------------------------------------------
+# Argument vectors, formats and switches are fixed values: they are another program's interface.
+
+QUIET = ("ffmpeg", "-y", "-hide_banner", "-loglevel", "error")
+ENCODERS = {"nvenc": ("-c:v", "h264_nvenc", "-preset", "p4", "-rc", "vbr", "-cq", "23", "-b:v", "0", "-pix_fmt", "yuv420p"), "cpu": ("-c:v", "libx264", "-preset", "veryfast", "-crf", "21", "-pix_fmt", "yuv420p")}
+SOUND = ("-c:a", "aac", "-b:a", "192k", "-movflags", "+faststart")
+
+
+def _argv(*parts) -> Column:
+    """One array of literals (str) and columns."""
+    return F.array(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
+def _seconds(c: Column) -> Column:
+    return F.format_string("%.3f", F.greatest(F.lit(0.0), c.cast("double")))
+
+
+def audio_command(source: Column, out: Column, rate: int = 16000) -> Column:
+    """Mono PCM of the first audio stream."""
+    return _argv(*QUIET, "-i", source, "-vn", "-sn", "-dn", "-ac", "1", "-ar", str(rate), "-acodec", "pcm_s16le", "-map", "0:a:0?", out)
+
+
+def concat_list(files: Column) -> Column:
+    """The list file of a concatenation."""
+    return F.array_join(F.transform(files, lambda f: F.concat(F.lit("file '"), f, F.lit("'"))), "\n")
+
+
+def concat_command(list_file: Column, out: Column, encoder: str | None = None) -> Column:
+    """Join segments by stream copy, or by encoding them anew."""
+    how = ("-c", "copy", "-movflags", "+faststart") if encoder is None else (*ENCODERS[encoder], *SOUND)
+    return _argv(*QUIET, "-f", "concat", "-safe", "0", "-i", list_file, *how, out)
+
+
+def render_command(source: Column, start: Column, end: Column, graph: Column, out: Column, inputs: tuple = (), labelled: bool = False, sound: str = "0:a?", encoder: str = "cpu") -> Column:
+    """Encode a span through a filter chain, or a labelled graph that ends in [vout]; at least 0.2 s."""
+    more = [x for i in inputs for x in ("-i", i)]
+    how = ("-filter_complex", graph, "-map", "[vout]", "-map", sound) if labelled else ("-vf", graph)
+    return _argv(*QUIET, "-ss", _seconds(start), "-i", source, *more, "-t", _seconds(F.greatest(F.lit(0.2), end - start)), *how, *ENCODERS[encoder], *SOUND, out)
+
+
+def burn_command(source: Column, start: Column, end: Column, subtitle: Column, out: Column, fonts: str | None = None, encoder: str = "cpu") -> Column:
+    """Encode a span with a subtitle file burnt in."""
+    return render_command(source, start, end, F.concat(F.lit("subtitles="), subtitle, F.lit(f":fontsdir={fonts}" if fonts else "")), out, encoder=encoder)
+
+
+def frame_command(source: Column, at: Column, out: Column, graph: Column | None = None) -> Column:
+    """One frame, through a filter chain if there is one."""
+    return _argv(*QUIET, "-ss", _seconds(at), "-i", source, *(() if graph is None else ("-vf", graph)), "-frames:v", "1", "-q:v", "2", out)
+
+
+def thumbnail_command(source: Column, at: Column, out: Column, width: int = 480) -> Column:
+    return _argv(*QUIET, "-ss", _seconds(at), "-i", source, "-frames:v", "1", "-vf", f"scale={width}:-2", out)
+
+
+# ---- metadata text ------------------------------------------------------------------
+
+#: The closing section of a metadata file (fixed value: the text must equal the established one).
+TIPS = (
+    "ALGORITHM TIPS", "-" * 66,
+    "- Post the hook frame first - no logo/intro before the payoff starts.",
+    "- Reply to the first comments within the first hour; early replies signal",
+    "  the algorithm to keep pushing the clip.",
+    "- TikTok/Reels: completion rate and rewatches matter more than likes -",
+    "  this clip's boundaries were already trimmed to open and close tight.",
+    "- Post consistently rather than chasing perfect timing; the account's",
+    "  posting cadence matters more than the hour of the day.",
+    "",
+)
+
+
+def metadata_text(clips: DataFrame) -> DataFrame:
+    """clips (rank, title, start, end, metadata as JSON) with `file` and `body`: the metadata text of each clip that has metadata."""
+    d = clips.where(F.col("metadata").isNotNull())
+    word = lambda k: F.coalesce(F.get_json_object("metadata", f"$.{k}"), F.lit(""))
+    listed = lambda k, sep: F.array_join(F.coalesce(F.from_json(F.get_json_object("metadata", f"$.{k}"), "array<string>"), F.array().cast("array<string>")), sep)
+    title, rule = F.coalesce("title", F.lit("")), F.lit("-" * 66)
+    head = F.concat(F.lit("CLIP #"), F.col("rank").cast("string"), F.lit(" — "), title)
+    times = F.concat(T.fmt_ts(F.col("start")), F.lit(" -> "), T.fmt_ts(F.col("end")), F.lit("  ("), F.bround(F.col("end") - F.col("start")).cast("long").cast("string"), F.lit("s)"))
+    lines = [head, times, F.lit("=" * 66), F.lit("")]
+    lines += [F.lit("YOUTUBE"), rule, F.concat(F.lit("Title: "), word("youtube_title")), F.lit("Description:"), word("youtube_description"), F.concat(F.lit("Tags: "), listed("youtube_tags", ", ")), F.lit("")]
+    for name in ("tiktok", "instagram"):
+        lines += [F.lit(name.upper()), rule, F.lit("Description:"), word(f"{name}_description"), F.concat(F.lit("Hashtags: "), listed(f"{name}_hashtags", " ")), F.lit("")]
+    mentions = listed("mentions", ", ")
+    asked = F.when(mentions != "", F.array(F.lit("MENTIONS (required by the campaign brief)"), rule, mentions, F.lit(""))).otherwise(F.array().cast("array<string>"))
+    body = F.array_join(F.concat(F.array(*lines), asked, F.array(*[F.lit(x) for x in TIPS])), "\n")
+    name = F.concat(F.lit("clip_"), F.lpad(F.col("rank").cast("string"), 2, "0"), F.lit("_"), F.when(F.trim(title) != "", T.safe_stem(F.trim(title), 40)).otherwise(F.col("clip_type")), F.lit("_metadata.txt"))
+    return d.withColumns({"file": name, "body": body})

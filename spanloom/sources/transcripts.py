@@ -84,3 +84,45 @@ def read_cached(spark: SparkSession, path: str) -> DataFrame:
 def cached_segments(cached: DataFrame) -> DataFrame:
     s = cached.select("transcript_id", "language", "duration", F.posexplode("raw_segments").alias("seg_idx", "s"))
     return s.select("transcript_id", "language", "duration", "seg_idx", "s.*")
+
+
+def cache_key(model, language):
+    """File name of a cached transcript: version, model and language; characters that names do not take become underscores (fixed format)."""
+    return F.concat(F.lit("transcript_v2_"), F.regexp_replace(F.concat(model, F.lit("_"), F.coalesce(F.when(language != "", language), F.lit("auto"))), r"(?U)[^\w.-]", "_"), F.lit(".json"))
+
+
+def read_json_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Cached metadata or results, one JSON document a file, by the folder they lie in; corrupt documents are left out."""
+    d = spark.read.schema(schema + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(path)
+    d = d.withColumn("transcript_id", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
+    return d.where(F.col("_corrupt").isNull()).drop("_corrupt")
+
+
+def clip_words(words):
+    """Words of a clip from JSON text, an array of {start, end, text} or [start, end, text]; items that are neither are skipped."""
+    items = F.coalesce(F.from_json(words, "array<string>"), F.array().cast("array<string>"))
+
+    def one(x):
+        listed = F.from_json(x, "array<string>")
+        at = lambda k, name: F.when(x.startswith("["), F.get(listed, F.lit(k))).otherwise(F.get_json_object(x, f"$.{name}"))
+        return F.struct(at(0, "start").try_cast("double").alias("start"), at(1, "end").try_cast("double").alias("end"), F.when(x.startswith("["), F.get(listed, F.lit(2))).otherwise(F.coalesce(F.get_json_object(x, "$.text"), F.lit(""))).alias("text"))
+
+    return F.filter(F.transform(items, one), lambda w: w["start"].isNotNull() & w["end"].isNotNull() & w["text"].isNotNull())
+
+
+#: Lead-in of a stretch that is transcribed again (fixed value).
+GAP_PAD = 0.20
+
+
+def fill_gaps(segments: DataFrame, again: DataFrame) -> DataFrame:
+    """segments and what was heard again in their gaps, in order of start.
+
+    again: rows like segments with gap_start; times count from GAP_PAD before the gap, so they are shifted;
+    made-up lines go.  seg_idx numbers the whole anew; `recovered` tells the two apart.
+    """
+    from pyspark.sql import Window as W
+
+    at = F.greatest(F.lit(0.0), F.col("gap_start") - GAP_PAD)
+    heard = drop_hallucinations(again).withColumns({"start": F.col("start") + at, "end": F.col("end") + at, "recovered": F.lit(True)}).drop("gap_start")
+    both = segments.withColumn("recovered", F.lit(False)).unionByName(heard, allowMissingColumns=True)
+    return both.withColumn("seg_idx", (F.row_number().over(W.partitionBy("transcript_id").orderBy("start", "recovered", "end")) - 1).cast("int"))

@@ -118,10 +118,36 @@ def test_select_golden():
     assert all(rank.overlap(x, y) <= 0.05 and (x["start"] >= y["end"] + 5 or y["start"] >= x["end"] + 5) for x in out for y in out if x is not y)
 
 
-def test_second_pass():
+def test_second_pass(spark):
     pool = [clip(0, 40, 80), clip(10, 45, 70), clip(100, 140, 60), clip(200, 240, 50)]
-    out = rank.second_pass(pool, [{"id": 1, "final_score": 9, "absorbed": [2, 3], "title": "A new title", "clip_type": "twist"}, {"id": 99}], 2)
-    assert [c["overall"] for c in out] == [86.5, 48.0, 46.0] and out[0]["merged_from"] == 2 and out[0]["clip_type"] == "reveal"
+    rows = [("t", n, c["start"], c["end"], float(c["overall"]), 0.5, 1, "", "", "story", "") for n, c in enumerate(pool, 1)]
+    p = spark.createDataFrame(rows, "transcript_id string, id int, start double, end double, overall double, confidence double, merged_from int, title string, reason string, clip_type string, verdict string")
+    replied = spark.createDataFrame([("t", '{"ranked": [{"id": 1, "final_score": 9, "absorbed": [2, 3], "title": "A new title", "clip_type": "twist"}, {"id": 99}]}'), ("u", "no json")], "transcript_id string, reply string")
+    out = sorted(rank.rescored(p, models.read_ranking(replied), 2).collect(), key=lambda c: -c.overall)
+    assert [c.overall for c in out] == [86.5, 48.0, 46.0] and out[0].merged_from == 2 and out[0].clip_type == "reveal" and out[0].title == "A new title" and out[0].confidence == pytest.approx(0.6)
+
+
+class Replies:
+    """A model that proposes two moments of each block, leaves bounds alone and prefers the second finalist."""
+
+    def complete(self, system, user, schema):
+        if "candidates" in user:
+            first = int(user.split("\n[")[1].split("]")[0])
+            item = '{"start_index": %d, "end_index": %d, "hook": 20, "payoff": 20, "emotion": 10, "curiosity": 10, "standalone": 9, "editability": 9, "clip_type": "story", "suggested_title": "From the model", "confidence": 0.8}'
+            return '{"candidates": [' + item % (first + 1, first + 4) + "," + item % (first + 9, first + 12) + "]}"
+        return '{"ranked": [{"id": 2, "final_score": 99, "title": "The chosen one", "verdict": "best"}, {"id": 1, "final_score": 20}]}' if "ranked" in user else "I would not move it."
+
+
+def test_plan_with_a_model(spark):
+    text = " ".join(f"This is sentence number {i} and it goes on for a few more words here." for i in range(80))
+    docs = spark.createDataFrame([(1, text, "en"), (2, "Too short.", "en"), (3, None, None)], "doc_id long, text string, lang string")
+    t = transcripts.from_documents(docs)
+    got = analyze.with_model(t, Replies(), {"wait": 0.0}).collect()
+    top = next(r for r in got if r.rank == 1)
+    assert {r.transcript_id for r in got} == {"1"} and top.title == "The chosen one" and top.verdict == "best" and top.source == "llm"
+    assert sorted(r.rank for r in got) == list(range(1, len(got) + 1)) and all(r.end - r.start >= 19 for r in got)
+    plain = {(r.start, r.end) for r in analyze.clips(t).collect()}
+    assert {(r.start, r.end) for r in analyze.with_model(t, models.Offline()).collect()} == plain
 
 
 def test_top_up():
