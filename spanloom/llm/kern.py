@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document is a block of its own.
 BLOCK = 1 << 20
@@ -192,38 +193,47 @@ def cols(names) -> list:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def text_blocks(column, limit: int):
+    """Runs (lo, hi, texts as bytes) of about `limit` bytes of an Arrow column of texts; only one run at a time becomes Python values."""
+    raw = column.cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo, n = 0, len(ends)
+    while lo < n:
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield lo, hi, raw.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
 def map_text(df, fn, schema: str, arrow_schema: pa.Schema, extra: tuple[str, ...] = (), limit: int = BLOCK):
     """Apply fn(block of dicts of lists) -> dict of columns to (doc_id, text as bytes, *extra), a block at a time."""
     from pyspark.sql import functions as F
 
-    names = ["doc_id", "text", *extra]
-
     def run(batches):
         for batch in batches:
-            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
-            for lo, hi in blocks(cols["text"], limit):
-                out = fn({n: c[lo:hi] for n, c in cols.items()})
+            for lo, hi, texts in text_blocks(batch.column(1), limit):
+                block = {"doc_id": batch.column(0).slice(lo, hi - lo).to_pylist(), "text": texts}
+                out = fn(block | {n: batch.column(2 + i).slice(lo, hi - lo).to_pylist() for i, n in enumerate(extra)})
                 if out is not None:
                     yield from table(arrow_schema, **out).to_batches()
+            pa.default_memory_pool().release_unused()
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *extra).mapInArrow(run, schema)
 
 
 def keep_by_text(df, fn, limit: int = BLOCK):
     """The rows of df, all columns, for whose texts fn(list of bytes or None) -> array of booleans is true."""
-    from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    n = len(df.columns)
     # mapInArrow takes no names with dots
     held = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(df.schema.fields)])
 
+    at = df.columns.index("text")
+
     def run(batches):
         for batch in batches:
-            texts = batch.column(n).to_pylist()
-            keep = np.concatenate([np.zeros(0, bool), *(fn(texts[lo:hi]) for lo, hi in blocks(texts, limit))])
-            rest = pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)], schema=pa.schema([batch.schema.field(i) for i in range(n)]))
-            yield rest.filter(pa.array(keep))
+            keep = [fn(texts) for _, _, texts in text_blocks(batch.column(at), limit)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
+            pa.default_memory_pool().release_unused()
 
-    plain = [c.alias(f"c{i}") for i, c in enumerate(cols(df.columns))]
-    return df.select(*plain, F.col("text").cast("binary").alias("bytes")).mapInArrow(run, held).toDF(*df.columns)
+    return df.select(*[c.alias(f"c{i}") for i, c in enumerate(cols(df.columns))]).mapInArrow(run, held).toDF(*df.columns)
