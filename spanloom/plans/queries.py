@@ -625,3 +625,107 @@ def sentence_at(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("transcript_id"), F.col("turn").cast("int").alias("idx")).distinct()
     points = c.select("transcript_id").distinct().select("transcript_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("x")).select("transcript_id", (F.col("x") * F.lit(9.0)).alias("t"))
     return segment.sentence_at(c.withColumn("end", (F.col("idx") + 1) * F.lit(7.0)), points).select("transcript_id", "t", "idx")
+
+
+# ---- picks, logs and plans of whole tables -------------------------------------------
+
+
+@query("SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders) WHERE rank IN (1, 3)")
+def rank_selection(spark, d):
+    """Clips of chosen ranks."""
+    o = rank.top_k(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 1 << 30)
+    return rank.pick_ranks(o, [1, 3]).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderkey AS rank, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE o_orderkey % 89 END::DOUBLE AS virality, (o_orderkey % 71)::DOUBLE AS overall FROM orders)
+SELECT o_custkey, rank, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(nullif(virality, 0.0), overall) DESC, rank)::INT AS place FROM c QUALIFY place <= 3""")
+def compilation_pick(spark, d):
+    """T5: the most viral clips, by score where there is no virality."""
+    k = F.col("o_orderkey")
+    c = table(spark, d, "orders").select("o_custkey", k.alias("rank"), F.when(k % 3 == 0, 0.0).otherwise((k % 89).cast("double")).alias("virality"), (k % 71).cast("double").alias("overall"))
+    return rank.compilation_pick(c, 3, "o_custkey").select("o_custkey", "rank", "place")
+
+
+@query("""WITH j AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'done' WHEN 2 THEN 'error' ELSE 'cancelled' END AS status, o_orderdate AS finished_at FROM orders),
+o AS (SELECT id, row_number() OVER (ORDER BY finished_at, id) AS age FROM j WHERE status <> 'running')
+SELECT id, status FROM j WHERE id NOT IN (SELECT id FROM o WHERE age <= (SELECT greatest(0, count(*) - 12) FROM j))""")
+def prune_jobs(spark, d):
+    """Jobs less the oldest finished ones beyond twelve."""
+    k = F.col("o_orderkey") % 4
+    j = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(k == 0, "running").when(k == 1, "done").when(k == 2, "error").otherwise("cancelled").alias("status"), F.col("o_orderdate").alias("finished_at"))
+    return rank.prune_jobs(j).select("id", "status")
+
+
+@query("""WITH p AS (SELECT user_id::VARCHAR AS g, value FROM events WHERE user_id % 40 < 3 UNION ALL SELECT 'alone', 1.0), w AS (SELECT count(*) OVER (PARTITION BY g) AS n, stddev_pop(value) OVER (PARTITION BY g) AS sd FROM p)
+SELECT count(*) AS count, count(*) FILTER (n >= 2 AND sd > 0) AS with_signal, 5 AS need, count(*) FILTER (n >= 2 AND sd > 0) >= 5 AS ready FROM w""")
+def readiness(spark, d):
+    """Whether enough rows can be compared."""
+    p = table(spark, d, "events").where("user_id % 40 < 3").select(F.col("user_id").cast("string").alias("video_hash"), F.col("value").alias("engagement"))
+    return insights.readiness(p.union(spark.createDataFrame([("alone", 1.0)], p.schema))).drop("reason")
+
+
+@query("""SELECT o_orderkey AS id, o_custkey::VARCHAR AS video_hash, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 25)::DOUBLE END AS hook, (o_orderkey % 1000 + 3 * (o_orderkey % 50))::DOUBLE AS engagement
+FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500)""")
+def performance_scan(spark, d):
+    """The newest rows with scores decoded (broken JSON: none) and engagement."""
+    k = F.col("o_orderkey")
+    raw = F.when(k % 5 == 0, F.lit('{"hook": ')).otherwise(F.concat(F.lit('{"hook": '), (k % 25).cast("string"), F.lit("}")))
+    p = table(spark, d, "orders").select(k.alias("id"), F.col("o_custkey").cast("string").alias("video_hash"), raw.alias("scores"), (k % 1000).alias("views"), (k % 50).alias("likes"), F.lit(0).alias("comments"), F.lit(None).cast("long").alias("shares"), F.col("o_orderdate").alias("logged_at"))
+    return insights.scan(p, 500).select("id", "video_hash", F.try_element_at("scores", F.lit("hook")).alias("hook"), "engagement")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def performance_delete(spark, d):
+    """K7: the log less some ids."""
+    ids = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("id"))
+    return insights.without(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), ids)
+
+
+@query(f"""WITH {_TURNS}, a AS (SELECT conv_id, turn, s, e, false AS recovered FROM seg UNION ALL SELECT conv_id, turn, greatest(0.0, e - 0.2) + 0.1, greatest(0.0, e - 0.2) + 0.9, true FROM seg WHERE turn % 2 = 0)
+SELECT conv_id::VARCHAR AS transcript_id, (row_number() OVER (PARTITION BY conv_id ORDER BY s, recovered, e) - 1)::INT AS seg_idx, s AS start, e AS "end", recovered FROM a""")
+def gap_fill(spark, d):
+    """What is heard again in the gap after every other turn, among the turns."""
+    s = TR.segments_from_conversations(table(spark, d, "conversations"))
+    again = s.where("seg_idx % 2 = 0").select("transcript_id", F.lit(0.1).alias("start"), F.lit(0.9).alias("end"), F.lit("heard again after all of it").alias("text"), F.col("end").alias("gap_start"), F.lit(0.1).alias("no_speech_prob"), F.lit(-0.1).alias("avg_logprob"))
+    return TR.fill_gaps(s, again).select("transcript_id", "seg_idx", "start", "end", "recovered")
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderkey, o_totalprice AS score, (o_orderkey % 60)::INT AS start_idx, (o_orderkey % 60 + o_orderkey % 7)::INT AS end_idx FROM orders),
+b AS (SELECT o_custkey, unnest([0, 1, 2]) AS block FROM (SELECT DISTINCT o_custkey FROM orders))
+SELECT o_custkey::VARCHAR AS transcript_id, block, o_orderkey, row_number() OVER (PARTITION BY o_custkey, block ORDER BY score DESC, start_idx, end_idx)::INT AS rank FROM c JOIN b USING (o_custkey) WHERE start_idx >= block * 20 AND end_idx <= block * 20 + 25 QUALIFY rank <= 6""")
+def hotspots(spark, d):
+    """The six best candidates that lie inside each block."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    c = o.select(F.col("o_custkey").cast("string").alias("transcript_id"), k, F.col("o_totalprice").alias("score"), (k % 60).cast("int").alias("start_idx"), (k % 60 + k % 7).cast("int").alias("end_idx"))
+    b = c.select("transcript_id").distinct().select("transcript_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("block"))
+    return intervals.hotspots(c, b.select("transcript_id", "block", (F.col("block") * 20).alias("start_idx"), (F.col("block") * 20 + 25).alias("end_idx"))).select("transcript_id", "block", "o_orderkey", "rank")
+
+
+@query("""WITH s AS (SELECT conv_id::VARCHAR AS tid, turn::INT AS idx, (turn + 1) * 7.0 AS e FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+r AS (SELECT DISTINCT conv_id::VARCHAR AS tid, (x * 11.0)::DOUBLE AS a, (x * 11.0 + 15)::DOUBLE AS b FROM conversations, range(4) t(x))
+SELECT r.tid AS transcript_id, a AS start, b AS "end", coalesce(min(idx) FILTER (e >= a), max(idx)) AS start_idx, coalesce(min(idx) FILTER (e >= b), max(idx)) AS end_idx FROM r JOIN s USING (tid) GROUP BY ALL""")
+def snap_range(spark, d):
+    """The sentences at either end of a range."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("transcript_id"), F.col("turn").cast("int").alias("idx")).distinct()
+    r = c.select("transcript_id").distinct().select("transcript_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("x")).select("transcript_id", (F.col("x") * F.lit(11.0)).alias("start"), (F.col("x") * F.lit(11.0) + 15).alias("end"))
+    return segment.snap_range(c.withColumn("end", (F.col("idx") + 1) * F.lit(7.0)), r).select("transcript_id", "start", "end", "start_idx", "end_idx")
+
+
+@query("""SELECT p_partkey, array_to_string(['ffmpeg', '-y', '-hide_banner', '-loglevel', 'error', '-ss', printf('%.3f', p_size / 8.0), '-i', 'in.mp4', '-t', printf('%.3f', greatest(0.2, p_size / 4.0 - 1)), '-vf', 'scale=1080:1920',
+ '-c:v', 'libx264', '-preset', 'veryfast', '-crf', '21', '-pix_fmt', 'yuv420p', '-c:a', 'aac', '-b:a', '192k', '-movflags', '+faststart', p_partkey || '.mp4'], ' ') AS render,
+ array_to_string(['ffmpeg', '-y', '-hide_banner', '-loglevel', 'error', '-ss', printf('%.3f', p_size / 8.0), '-i', 'in.mp4', '-frames:v', '1', '-vf', 'scale=480:-2', p_partkey || '.jpg'], ' ') AS thumbnail FROM part""")
+def command_plans(spark, d):
+    """K9: render and thumbnail commands as argument vectors."""
+    at, k = F.col("p_size") / 8.0, F.col("p_partkey").cast("string")
+    render = exports.render_command(F.lit("in.mp4"), at, at + F.col("p_size") / 4.0 - 1, F.lit("scale=1080:1920"), F.concat(k, F.lit(".mp4")))
+    return table(spark, d, "part").select("p_partkey", F.array_join(render, " ").alias("render"), F.array_join(exports.thumbnail_command(F.lit("in.mp4"), at, F.concat(k, F.lit(".jpg"))), " ").alias("thumbnail"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n, CASE p_size % 3 WHEN 2 THEN NULL ELSE p_size + 0.5 END::DOUBLE AS start FROM part""")
+def clip_words(spark, d):
+    """Words of clips as objects or triples; broken items are skipped."""
+    s = F.col("p_size").cast("string")
+    both = F.concat(F.lit('[{"start": '), s, F.lit('.5, "end": 99, "text": "a"}, ['), s, F.lit('.5, 99, "b"], ["x", 1], {"end": 2}]'))
+    one = F.concat(F.lit("[["), s, F.lit('.5, 99, "b"], 7, null, {}]'))
+    w = TR.clip_words(F.when(F.col("p_size") % 3 == 0, both).when(F.col("p_size") % 3 == 1, one).otherwise(F.lit("no json")))
+    return table(spark, d, "part").select("p_partkey", w.alias("w")).select("p_partkey", F.size("w").alias("n"), F.get("w", F.lit(0))["start"].alias("start"))

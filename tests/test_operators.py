@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom import config
-from spanloom.functions import lexicon
+from spanloom.functions import lexicon, register
 from spanloom.operators import camera, captions, insights, intervals, models, rank, segment, trimming, windows
 from spanloom.plans import analyze
 from spanloom.sinks import exports
@@ -150,6 +150,57 @@ def test_plan_with_a_model(spark):
     assert {(r.start, r.end) for r in analyze.with_model(t, models.Offline()).collect()} == plain
 
 
+def _clips(spark, ids):
+    rows = [(t, 1, 10.0, 40.5, 77.25, "story", "A title, with a comma", "because\nso", "the text", *[9.0] * 6, 0.4, 60.0) for t in ids]
+    return spark.createDataFrame(rows, "transcript_id string, rank int, start double, end double, overall double, clip_type string, title string, reason string, text string, hook double, payoff double, emotion double, curiosity double, standalone double, editability double, confidence double, virality double")
+
+
+def test_reports_replace_only_their_own(spark, tmp_path):
+    exports.write_reports(_clips(spark, [f"t{i}" for i in range(5)]), str(tmp_path / "out"))
+    exports.write_reports(_clips(spark, ["t3"]), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out" / "csv").glob("transcript_id=*")) == [f"transcript_id=t{i}" for i in range(5)]
+    assert spark.read.text(str(tmp_path / "out" / "txt")).select("transcript_id").distinct().count() == 5
+    text = exports.csv_document(_clips(spark, ["t"])).first().csv
+    assert text.startswith("\ufeffrank,start,end,") and text.split("\n")[1].startswith('1,10.0,40.5,00:10,00:40,30.5,77.3,story,"A title, with a comma",because so,9.0') and text.endswith("\n")
+
+
+def test_cache_folders(spark, tmp_path):
+    for name in ("a", "b", "models", "thumbs"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metadata.json").write_text('{"n": 1}' if name != "b" else "{broken")
+    got = transcripts.read_json_cache(spark, f"{tmp_path}/*/metadata.json", "n int").collect()
+    assert sorted(r.transcript_id for r in got) == ["a", "models", "thumbs"] and {r.n for r in got} == {1}
+    assert exports.clear_cache(spark, str(tmp_path), "b") == ["b"] and exports.clear_cache(spark, str(tmp_path), "models") == []
+    assert exports.clear_cache(spark, str(tmp_path)) == ["a"] and sorted(p.name for p in tmp_path.iterdir()) == ["models", "thumbs"]
+    key = spark.range(1).select(transcripts.cache_key(F.lit("large v3/é"), F.lit("")).alias("k")).first().k
+    assert key == "transcript_v2_large_v3_é_auto.json"
+
+
+def test_metadata_files(spark):
+    reply = '{"youtube_title": "", "youtube_tags": [" a ", "", "b"], "tiktok_description": " short ", "tiktok_hashtags": "none", "mentions": ["@x"]}'
+    d = models.metadata(_clips(spark, ["t", "u"]), models.Canned({"A title": reply}), wait=0.0)
+    r = exports.metadata_text(d).first()
+    assert r.file == "clip_01_A_title_with_a_comma_metadata.txt"
+    lines = r.body.split("\n")
+    assert lines[:3] == ["CLIP #1 — A title, with a comma", "00:10 -> 00:40  (30s)", "=" * 66] and "Title: A title, with a comma" in lines and "Tags: a, b" in lines and "short" in lines and "@x" in lines and "Hashtags: " in lines
+    assert exports.metadata_text(d.withColumn("metadata", F.lit(None).cast("string"))).count() == 0
+
+
+def test_sql_functions(spark):
+    register.register(spark)
+    assert spark.sql("SELECT repaired_json('{\"a\": [1, 2,]') AS j").first().j is not None
+    assert [r.item for r in spark.sql("SELECT * FROM reply_items('{\"c\": [{\"x\": 1}, {\"x\": 2}, {\"x', 'c')").collect()] == ['{"x": 1}', '{"x": 2}']
+
+
+def test_run_stats_and_speech(spark):
+    one = lambda n, kind="story": spark.createDataFrame([("t", kind) for _ in range(n)], "transcript_id string, clip_type string")
+    r = insights.run_stats(one(9), one(2), one(7), one(5), one(3).union(one(1, "opinion")), 12).first()
+    assert (r.sentences, r.blocks, r.candidates_pass1, r.candidates_after_merge, r.final, r.requested, r.types) == (9, 2, 7, 5, 4, 12, {"story": 3, "opinion": 1})
+    s = spark.createDataFrame([("t", 0.0, 5.0, 20), ("t", 6.0, 8.0, 3), ("t", 8.0, 9.0, 3), ("t", 9.0, 10.0, 3)], "transcript_id string, start double, end double, n_words int")
+    got = {x.transcript_id: (x.enough, x.speech_ratio) for x in segment.require_speech(s, spark.createDataFrame([("t", 18.0), ("silent", 5.0)], "transcript_id string, duration double")).collect()}
+    assert got == {"t": (True, 0.5), "silent": (False, 0.0)}
+
+
 def test_top_up():
     out = rank.top_up([clip(0, 10)], [clip(5, 12), clip(20, 30), clip(25, 40), clip(50, 60)], 3)
     assert [c["start"] for c in out] == [0, 20, 50]
