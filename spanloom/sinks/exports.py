@@ -122,6 +122,9 @@ def plan_compilation(clips: DataFrame, group: str, order: str) -> DataFrame:
     return d.withColumn("music_offset", F.coalesce(F.sum(F.col("cut_end") - F.col("cut_start")).over(w), F.lit(0.0)))
 
 
+# Filter names, labels and options in the next functions are fixed values: they are another program's interface.
+
+
 def music_graph(duration: float, input_index: int, volume: float = 0.15, fade: float = 0.6, offset: float = 0.0, fade_in: bool = True, fade_out: bool = True) -> str:
     """Filter fragment that mixes a looped, faded track under the first audio stream into [aout]."""
     duration = max(0.05, duration)
