@@ -9,6 +9,7 @@ are trained here, by dual coordinate descent on the hinge loss.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -31,6 +32,8 @@ FAMILIES = {
     "uralic": ("et", "fi", "hu"),
     "turkic": ("az", "kk", "tr", "uz"),
 }
+#: Three-letter codes of languages in the table (fixed values).
+THREE = dict(x.split(":") for x in "afr:af dan:da deu:de ger:de eng:en fry:fy isl:is ice:is nld:nl dut:nl nor:no swe:sv cat:ca spa:es fra:fr fre:fr glg:gl ita:it oci:oc por:pt ron:ro rum:ro bel:be bul:bg bos:bs ces:cs cze:cs hrv:hr mkd:mk pol:pl rus:ru slk:sk slv:sl srp:sr ukr:uk est:et fin:fi hun:hu aze:az kaz:kk tur:tr uzb:uz".split())
 _FOLD = np.full(256, 0x20, np.uint32)
 _FOLD[128:] = np.arange(128, 256)
 for _c in range(26):
@@ -38,7 +41,10 @@ for _c in range(26):
 
 
 def family(lang: str) -> str:
-    return next((f for f, langs in FAMILIES.items() if lang in langs), lang)
+    """The family of a code, by its first part in two or three letters (en-US, eng); a language not listed is its own."""
+    code = re.split("[-_]", lang.lower())[0]
+    code = THREE.get(code, code)
+    return next((f for f, langs in FAMILIES.items() if code in langs), lang)
 
 
 def features(raw: np.ndarray) -> np.ndarray:

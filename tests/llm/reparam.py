@@ -46,7 +46,7 @@ def suite(seed=1, each=12):
 
 
 def chance(seed=2, each=12):
-    """(item, text) of the same subject that is another question: names trade places, or the other half is different."""
+    """(item, text) that is another question: of another shape, or the same words in another order."""
     r = random.Random(seed)
     for shape in SHAPES:
         for _ in range(each):
