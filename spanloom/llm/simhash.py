@@ -373,8 +373,9 @@ def components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame
     deleted when the next one is.
     """
     spark, since = edges.sparkSession, scratch.mark()
-    e = edges.where(F.col("a") != F.col("b"))
-    e = scratch.stored(e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
+    # written before it is turned round: a second run of the comparison may give another forest
+    e = scratch.stored(edges.where(F.col("a") != F.col("b")).select("a", "b"), name)
+    e = scratch.stored(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
     labels = scratch.stored(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), name)
     for _ in range(limit):
         up = e.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
