@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, langid, mixing, pii, quality, simhash, substring_dedup, toxicity, url_filter, warc
+from spanloom.llm import decontam, divergence, langid, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, toxicity, url_filter, vector_codes, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs)).select("doc_id", F.coalesce(langid.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_salvage, op3_url_filter, op4_substring_dedup, op5_source_mixing, op6_quality_cascade, op7_simhash_near_dedup, op8_toxicity, op9_pii, op10_language_id)}
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), 200, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_salvage, op3_url_filter, op4_substring_dedup, op5_source_mixing, op6_quality_cascade, op7_simhash_near_dedup, op8_toxicity, op9_pii, op10_language_id, op11_suffix_dedup, op12_vector_codes, op13_source_divergence)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -97,6 +109,27 @@ cut AS (SELECT coalesce(list_sort(list(x))[len(list(x)) // 2 + 1] * 8.0 / {url_f
 SELECT page_id, host, path, rule, CASE WHEN rule IN ({allowed}) OR (rule IS NULL AND ratio >= cut) THEN 'allow' ELSE 'block' END AS verdict FROM p JOIN score USING (n), cut"""
 
 
+def _codes_sql() -> str:
+    """The Lloyd rounds one after another; a part meets every entry of its codebook."""
+    steps = []
+    for r in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT n, p, arg_min(e, (d * 256 + e)::BIGINT) AS e, min(d)::BIGINT AS d FROM (SELECT n, x.p, e, list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS d FROM x JOIN b{r} USING (p)) GROUP BY n, p)""")
+        if r < vector_codes.ROUNDS:
+            steps.append(f"""
+s{r} AS (SELECT p, e, list(floor(s / n) ORDER BY j) AS c FROM (SELECT p, e, j, sum(v[j]) AS s, count(*) AS n FROM x JOIN a{r} USING (n, p), range(1, len(v) + 1) t(j) GROUP BY ALL) GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(s{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN s{r} USING (p, e))""")
+    last = vector_codes.ROUNDS
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n, vec_id, label, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT n, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS v FROM k, range(4) t(p)),
+b0 AS MATERIALIZED (SELECT p, n - 1 AS e, v AS c FROM x WHERE n <= 256),{",".join(steps)},
+o AS (SELECT n, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY n),
+h AS (SELECT sha256(string_agg(c[j]::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) AS h FROM b{last}, range(1, len(c) + 1) t(j))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM k JOIN o USING (n), h"""
+
+
 ORACLE_SQL = {
     "op2_warc_salvage": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -139,4 +172,27 @@ f AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > 2 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 2 * n_upper > word_chars) AS kept FROM b""",
+    "op11_suffix_dedup": """
+WITH b AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT n, i, count(*) OVER (PARTITION BY substr(h, 2 * i + 1, 400)) AS c FROM (SELECT n, h, unnest(range(len(h) // 2 - 199)) AS i FROM b WHERE len(h) >= 400)),
+r AS (SELECT n, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY n ORDER BY i) AS run FROM (SELECT n, i, lag(i) OVER (PARTITION BY n ORDER BY i) AS before FROM w WHERE c > 1)),
+s AS (SELECT n, min(i) AS a, max(i) + 200 AS z FROM r GROUP BY n, run),
+e AS (SELECT n, a, z, coalesce(lag(z) OVER (PARTITION BY n ORDER BY a), 0) AS p FROM s),
+k AS (SELECT n, sum(z - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM e JOIN b USING (n) GROUP BY n)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN k USING (n)""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_source_divergence": r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS MATERIALIZED (SELECT id, lang, source, unnest(ws) AS w FROM d),
+t AS MATERIALIZED (SELECT lang, w FROM w GROUP BY lang, w HAVING count(DISTINCT id) >= 10),
+c AS MATERIALIZED (SELECT lang, source, w, count(*) AS n FROM w JOIN t USING (lang, w) GROUP BY ALL),
+g AS MATERIALIZED (SELECT lang, source, coalesce(total, 0)::HUGEINT AS total, coalesce(v, 0)::HUGEINT AS v FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS v FROM t GROUP BY lang) USING (lang)),
+p AS MATERIALIZED (SELECT g.lang, source, w, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v) AS p FROM g JOIN t USING (lang) LEFT JOIN c USING (lang, source, w)),
+q AS (SELECT lang, w, 1 + 1000000000::HUGEINT * (sum(n) + 2)::HUGEINT // (any_value(whole)::HUGEINT + 2 * any_value(v)) AS q FROM p JOIN (SELECT lang, sum(total) AS whole, max(v) AS v FROM g GROUP BY lang) USING (lang) GROUP BY lang, w),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', w, ((p - q) * (p - q) // (p + q))::BIGINT FROM p JOIN q USING (lang, w) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM o) WHERE part = 'pair' OR rank <= 10""",
 }
