@@ -174,7 +174,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR 10 * n_symbols > 2 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 2 * n_upper > word_chars) AS kept FROM b""",
     "op11_suffix_dedup": """
 WITH b AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT n, i, count(*) OVER (PARTITION BY substr(h, 2 * i + 1, 400)) AS c FROM (SELECT n, h, unnest(range(len(h) // 2 - 199)) AS i FROM b WHERE len(h) >= 400)),
+c AS (SELECT n, j, len(h) // 2 - 199 - 500 * j AS m, substr(h, 1000 * j + 1, 1398) AS piece FROM (SELECT n, h, unnest(range((len(h) // 2 - 200) // 500 + 1)) AS j FROM b WHERE len(h) >= 400)),
+w AS (SELECT n, 500 * j + k AS i, count(*) OVER (PARTITION BY substr(piece, 2 * k + 1, 400)) AS c FROM (SELECT *, unnest(range(least(500, m))) AS k FROM c)),
 r AS (SELECT n, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY n ORDER BY i) AS run FROM (SELECT n, i, lag(i) OVER (PARTITION BY n ORDER BY i) AS before FROM w WHERE c > 1)),
 s AS (SELECT n, min(i) AS a, max(i) + 200 AS z FROM r GROUP BY n, run),
 e AS (SELECT n, a, z, coalesce(lag(z) OVER (PARTITION BY n ORDER BY a), 0) AS p FROM s),
