@@ -18,13 +18,14 @@ STYLE = {
 GAP_BREAK = 0.55
 
 
-def phrase_starts(start, end, texts: list[str], max_words: int = 4, longest: float = 2.4, gap: float = GAP_BREAK, max_chars: int = 0) -> list[int]:
-    """Index of the first word of each phrase (texts hold no blanks)."""
+def phrase_starts(start, end, texts: list[str], max_words: int = 4, longest: float = 2.4, gap: float = GAP_BREAK, max_chars: int = 0, first: int = 0) -> list[int]:
+    """Index of the first word of each phrase (texts hold no blanks), where one begins at `first`."""
     out: list[int] = []
     n = width = 0
     closed = True
-    for k, t in enumerate(texts):
-        first = out[-1] if out else 0
+    for k in range(first, len(texts)):
+        t = texts[k]
+        first = out[-1] if out else first
         if closed or n >= max_words or end[k] - start[first] > longest or start[k] - end[k - 1] >= gap or 0 < max_chars < width + len(t):
             out.append(k)
             n = width = 0

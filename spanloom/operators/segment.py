@@ -41,31 +41,35 @@ def ends_sentence(token: str) -> bool:
     return bool(SENTENCE_END.search(token)) and token.lower() not in ABBREVIATIONS
 
 
-def sentence_ranges(start, end, words: list[str], o: Options = Options()) -> list[tuple[int, int]]:
-    """First and last word of each sentence.
-
-    A word closes a sentence at a hard pause (two words or more), at a sentence mark
-    (min_words and min_duration) or at a pause (min_words); at max_words the sentence is
-    cut after the nearest clause mark among its last words, if there is one.
-    """
-    out, begin, n = [], 0, len(words)
-    for i in range(n - 1):
+def closings(start, end, words: list[str], o: Options = Options(), begin: int = 0, scan: int = 0):
+    """(first word, last word, where the scan stood) of each sentence that closes before the last word, for a sentence open from `begin` on and words before `scan` seen."""
+    for i in range(scan, len(words) - 1):
         size = i - begin + 1
         gap = start[i + 1] - end[i]
+        mark = i
         if size >= 2 and gap >= o.hard_pause:
-            out.append((begin, i))
+            pass
         elif size >= o.min_words and (gap >= o.pause_break or (end[i] - start[begin] >= o.min_duration and ends_sentence(words[i]))):
-            out.append((begin, i))
+            pass
         elif size >= o.max_words:
             reach = min(9, max(2, size - 3))
             mark = next((i - b for b in range(reach - 1) if CLAUSE_END.search(words[i - b])), i)
-            out.append((begin, mark))
         else:
             continue
-        begin = out[-1][1] + 1
-    if n > begin:
-        out.append((begin, n - 1))
-    return out
+        yield begin, mark, i
+        begin = mark + 1
+
+
+def sentence_ranges(start, end, words: list[str], o: Options = Options()) -> list[tuple[int, int]]:
+    """First and last word of each sentence.
+
+    A word closes a sentence at a hard pause (two words or more), at a sentence mark
+    (min_words and min_duration) or at a pause (min_words); at max_words the sentence is
+    cut after the nearest clause mark among its last words, if there is one.
+    """
+    out = [(a, m) for a, m, _ in closings(start, end, words, o)]
+    begin = out[-1][1] + 1 if out else 0
+    return out + [(begin, len(words) - 1)] if len(words) > begin else out
 
 
 def sentence_text(words: list[str]) -> str:

@@ -25,6 +25,13 @@ w AS (SELECT conv_id::VARCHAR AS tid, 'en' AS language, max(b) AS duration, flat
   flatten(list(list_transform(range(len(ws)), lambda i: a + (b - a) / len(ws) * (i + 1)) ORDER BY turn)) AS e FROM g GROUP BY conv_id)"""
 
 
+#: All conversations as one transcript: each begins where its number times the longest one's time, and two seconds, says.
+JOINED_WORDS = f"""{TURN_WORDS.replace("w AS (SELECT conv_id::VARCHAR", "each AS (SELECT conv_id::VARCHAR")},
+slot AS (SELECT ceil(max(b)) + 2 AS z FROM g),
+jw AS (SELECT tid::BIGINT AS conv, list_transform(s, lambda x: tid::BIGINT * z + x) AS s, list_transform(e, lambda x: tid::BIGINT * z + x) AS e, ws FROM each, slot),
+w AS (SELECT 'all' AS tid, 'en' AS language, max(e[len(e)]) AS duration, flatten(list(ws ORDER BY conv)) AS ws, flatten(list(s ORDER BY conv)) AS s, flatten(list(e ORDER BY conv)) AS e FROM jw)"""
+
+
 def sentences(words: str) -> str:
     """CTEs down to sent (tid, language, idx, start, end, text, pause_before, pause_after, n_words).
 
@@ -66,6 +73,14 @@ r AS (SELECT tid, 0::BIGINT AS k, 0::BIGINT AS a FROM f WHERE n > 0 UNION ALL
 b AS (SELECT tid, k, a, lead(a) OVER (PARTITION BY tid ORDER BY k) AS z FROM r)
 SELECT tid AS transcript_id, k::INT AS phrase, s[a + 1] AS start, e[coalesce(z, len(ws))] AS "end", (coalesce(z, len(ws)) - a)::INT AS n_words, array_to_string(ws[a + 1 : coalesce(z, len(ws))], ' ') AS text FROM b JOIN w USING (tid)"""
 
+#: The same for conversations as one transcript, turn by turn: the pause between turns ends a phrase.
+PHRASES_LONG = f"""WITH RECURSIVE {JOINED_WORDS}, f AS (SELECT conv_id, turn, len(ws) AS n, list_transform(ws, lambda x: regexp_matches(x, '[.!?…:;][''"»”\\)\\]]*$')) AS stop FROM g),
+r AS (SELECT conv_id, turn, 0::BIGINT AS a FROM f WHERE n > 0 UNION ALL
+  SELECT conv_id, turn, z FROM (SELECT conv_id, turn, n, least(r.a + 4, coalesce(r.a + 1 + nullif(list_position(stop[r.a + 2 : r.a + 4], true), 0), n)) AS z FROM r JOIN f USING (conv_id, turn)) WHERE z < n),
+x AS (SELECT conv_id, turn, a AS lo, lead(a) OVER (PARTITION BY conv_id, turn ORDER BY a) AS hi FROM r),
+y AS (SELECT conv_id, turn, lo, coalesce(hi, len(ws)) AS hi, ws, conv_id * z + (a + (b - a) / len(ws) * lo) AS s, conv_id * z + (a + (b - a) / len(ws) * coalesce(hi, len(ws))) AS e FROM x JOIN g USING (conv_id, turn), slot)
+SELECT 'all' AS transcript_id, row_number() OVER (ORDER BY conv_id, turn, lo) - 1 AS phrase, s AS start, e AS "end", (hi - lo)::INT AS n_words, array_to_string(ws[lo + 1 : hi], ' ') AS text FROM y"""
+
 #: Fillers with a pad and what pauses have beyond 0.35 s are cut out of each conversation; pieces of 0.12 s or more stay, or all of it.
 KEEP_SPANS = f"""WITH {TURN_WORDS}, u AS (SELECT tid, duration AS fe, unnest(ws) AS x, unnest(s) AS a, unnest(e) AS b FROM w),
 p AS (SELECT *, greatest(0.0, coalesce(max(b) OVER (PARTITION BY tid ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS before FROM u WHERE b > 0 AND a < fe),
@@ -111,12 +126,14 @@ def _score(category: str) -> str:
 
 _CATEGORIES = [*lexicon.CATEGORIES, "weak_start"]
 
-#: CTEs down to prof: the sentences of documents with the score of each category.
-PROFILES = f"""WITH RECURSIVE {sentences(DOCUMENT_WORDS)},
+def profiles(words: str) -> str:
+    """CTEs down to prof: sentences with the score of each category."""
+    return f"""WITH RECURSIVE {sentences(words)},
 pl AS (SELECT *, regexp_replace(lower(text), '[^\\x00-\\x7F\\PL]', '_', 'g') AS plain, regexp_replace(translate(lower(text), '{"".join(_ACCENTS)}', '{"".join(_ACCENTS.values())}'), '[^\\x00-\\x7F\\PL]', '_', 'g') AS kept FROM sent),
 prof AS MATERIALIZED (SELECT tid, language, idx, start, "end", text, pause_before, pause_after, n_words, {", ".join(map(_score, _CATEGORIES))} FROM pl)"""
 
-SIGNAL_PROFILES = f"""{PROFILES} SELECT tid AS transcript_id, idx, {", ".join(_CATEGORIES)}, concat_ws(',', {", ".join(f"CASE WHEN {c} >= 0.5 THEN '{c}' END" for c in lexicon.CATEGORIES)}) AS tags FROM prof"""
+
+SIGNAL_PROFILES = f"""{profiles(DOCUMENT_WORDS)} SELECT tid AS transcript_id, idx, {", ".join(_CATEGORIES)}, concat_ws(',', {", ".join(f"CASE WHEN {c} >= 0.5 THEN '{c}' END" for c in lexicon.CATEGORIES)}) AS tags FROM prof"""
 
 _LISTS = ", ".join(f"list({c} ORDER BY idx) AS {c}" for c in _CATEGORIES)
 _STOPS = _quoted(dict.fromkeys(T.STOPWORDS))
@@ -126,20 +143,21 @@ def _top(category: str, lo: str, hi: str) -> str:
     return f"list_max({category}[{lo} + 1 : {hi} + 1])"
 
 
-#: CTEs down to win (tid, i, j, start, end, score): every window of 20 to 90 s by its features.  Topic shifts are rounded as they print.
-WINDOWS = f"""{PROFILES},
+def scored(words: str, block: int = 1 << 40) -> str:
+    """CTEs down to win (tid, i, j, start, end, score): every window of 20 to 90 s by its features.  Topic shifts are rounded as they print.  Arrays hold `block` sentences and three times as many after them."""
+    return f"""{profiles(words)},
 tk AS (SELECT tid, idx, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\pL]{{3,}}'), lambda x: NOT list_contains([{_STOPS}], x))) AS k FROM prof),
 tl AS (SELECT tid, list(k ORDER BY idx) AS k, count(*) AS n FROM tk GROUP BY tid),
 ts AS (SELECT tid, i, n, list_distinct(flatten(k[i - 5 : i])) AS l, list_distinct(flatten(k[i + 1 : i + 6])) AS r FROM tl, range(n) x(i) WHERE i >= 6 AND i < n - 6),
 tr AS (SELECT tid, i, CASE WHEN least(len(l), len(r)) > 0 THEN 1 - len(list_intersect(l, r)) / least(len(l), len(r))::DOUBLE ELSE 0.0 END AS s FROM ts),
 tq AS (SELECT tid, i, s / coalesce(nullif(max(s) OVER (PARTITION BY tid), 0.0), 1.0) AS x FROM tr),
 tp AS (SELECT tid, i, round((x::VARCHAR)::DECIMAL(38, 20), 3)::DOUBLE AS topic FROM tq),
-ar AS (SELECT prof.tid AS tid, list(start ORDER BY idx) AS s, list("end" ORDER BY idx) AS e, list(pause_before ORDER BY idx) AS pb, list(pause_after ORDER BY idx) AS pa, list(n_words ORDER BY idx) AS nw, {_LISTS},
+ar AS MATERIALIZED (SELECT tid, blk, list(start ORDER BY idx) AS s, list("end" ORDER BY idx) AS e, list(pause_before ORDER BY idx) AS pb, list(pause_after ORDER BY idx) AS pa, list(n_words ORDER BY idx) AS nw, {_LISTS},
   list(regexp_matches(lower(trim(text)), '^(and|but|so|because|which|that''?s why|et|mais|donc|parce)') ORDER BY idx) AS opens, list(regexp_matches(text, '[.!?…。！？؟][''"»”\\)\\]]*\\s*$') ORDER BY idx) AS closes, list(coalesce(topic, 0.0) ORDER BY idx) AS topic
-  FROM prof LEFT JOIN tp ON prof.tid = tp.tid AND idx = i GROUP BY prof.tid),
+  FROM (SELECT prof.*, topic, unnest(range(greatest(0, idx // {block} - 3), idx // {block} + 1)) AS blk FROM prof LEFT JOIN tp ON prof.tid = tp.tid AND idx = i) GROUP BY tid, blk),
 sp AS (SELECT a.tid, a.idx AS i, b.idx AS j FROM prof a JOIN prof b ON a.tid = b.tid AND b.idx >= a.idx AND b."end" - a.start BETWEEN 20.0 AND 90.0 WHERE a.weak_start < 0.95),
-ft AS (SELECT *, j - i + 1 AS n, e[j + 1] - s[i + 1] AS span, least(j, i + 2) AS head, least(j, i + greatest(1, trunc((j - i + 1) * 0.55::DOUBLE)::INT)) AS tail, least(j, i + trunc((j - i + 1) * 0.7::DOUBLE)::INT) AS early, weak_start[i + 1] AS weak, topic[i + 1] AS shift FROM sp JOIN ar USING (tid)),
-pt AS (SELECT tid, i, j, s[i + 1] AS start, e[j + 1] AS "end", span,
+ft AS (SELECT *, j - i + 1 AS n, e[j + 1] - s[i + 1] AS span, least(j, i + 2) AS head, least(j, i + greatest(1, trunc((j - i + 1) * 0.55::DOUBLE)::INT)) AS tail, least(j, i + trunc((j - i + 1) * 0.7::DOUBLE)::INT) AS early, weak_start[i + 1] AS weak, topic[i + 1] AS shift FROM (SELECT tid, i // {block} AS blk, i % {block} AS i, j - i // {block} * {block} AS j FROM sp) JOIN ar USING (tid, blk)),
+pt AS (SELECT tid, blk, i, j, s[i + 1] AS start, e[j + 1] AS "end", span,
   least(1.0, greatest({_top("hook", "i", "head")}, 0.6 * {_top("curiosity", "i", "head")}, 0.5 * {_top("opinion", "i", "head")}) * (1.0 - 0.45 * weak) + 0.15 * shift) AS hook,
   least(1.0, greatest({_top("payoff", "tail", "j")}, 0.75 * {_top("value", "tail", "j")}, 0.6 * {_top("emotion", "tail", "j")})) AS payoff,
   least(1.0, 0.7 * {_top("emotion", "i", "j")} + 0.3 * list_sum(emotion[i + 1 : j + 1]) / n) AS emotion,
@@ -147,17 +165,23 @@ pt AS (SELECT tid, i, j, s[i + 1] AS start, e[j + 1] AS "end", span,
   greatest(0.0, least(1.0, 1.0 - 0.6 * weak + 0.25 * shift) * CASE WHEN opens[i + 1] THEN 0.75 ELSE 1.0 END) AS standalone,
   least(1.0, greatest(0.0, 0.35 + least(0.3, pb[i + 1] / 1.2 * 0.3) + least(0.25, pa[j + 1] / 1.2 * 0.25) + CASE WHEN closes[j + 1] THEN 0.15 ELSE -0.10 END)) AS editability,
   list_sum(nw[i + 1 : j + 1]) / span AS pace FROM ft),
-win AS (SELECT tid, i, j, start, "end", CASE WHEN span > 0 THEN (25::DOUBLE * hook + 25 * payoff + 15 * emotion + 15 * curiosity + 10 * standalone + 10 * editability)
+win AS MATERIALIZED (SELECT tid, (i + blk * {block})::INT AS i, (j + blk * {block})::INT AS j, start, "end", CASE WHEN span > 0 THEN (25::DOUBLE * hook + 25 * payoff + 15 * emotion + 15 * curiosity + 10 * standalone + 10 * editability)
   * (0.72 + 0.18 * exp(-((span - 45.0) ** 2) / (2 * 22.0 * 22.0)) + 0.10 * CASE WHEN pace < 2.6 THEN least(1.0, pace / 2.6) ELSE greatest(0.5, 1.0 - (pace - 2.6) / 4) END) ELSE 0.0 END AS score FROM pt)"""
 
-WINDOW_SCORES = f'{WINDOWS} SELECT tid AS transcript_id, i AS start_idx, j AS end_idx, start, "end", score FROM win'
+
+WINDOW_SCORES = f'{scored(DOCUMENT_WORDS)} SELECT tid AS transcript_id, i AS start_idx, j AS end_idx, start, "end", score FROM win'
 
 _KINDS = "CASE " + " ".join(f"WHEN top = t[{k}] THEN '{lexicon.TYPE_OF[c]}'" for k, c in enumerate(lexicon.CATEGORIES, 1)) + " END"
 
-#: The best window left is kept and what overlaps it by over 0.6 goes, until none is left or 400 are kept.
-NMS = f"""{WINDOWS},
+def kept(words: str, block: int = 1 << 40) -> str:
+    """The best window left is kept and what overlaps it by over 0.6 goes, until none is left or 400 are kept."""
+    return f"""{scored(words, block)},
 n AS (SELECT tid, i, j, start, "end", score, false AS kept, 0 AS step FROM win UNION ALL
   SELECT tid, i, j, start, "end", score, first, step + 1 FROM (SELECT *, row_number() OVER o = 1 AS first, first_value(start) OVER o AS ts, first_value("end") OVER o AS te FROM n WHERE NOT kept AND step < 400 WINDOW o AS (PARTITION BY tid ORDER BY score DESC, i DESC, j DESC))
   WHERE first OR NOT (greatest(te, "end") - least(ts, start) > 0 AND greatest(0.0, least(te, "end") - greatest(ts, start)) / (greatest(te, "end") - least(ts, start)) > 0.6)),
-k AS (SELECT n.*, list_transform([{", ".join(lexicon.CATEGORIES)}], lambda x: list_sum(x[i + 1 : j + 1])) AS t FROM n JOIN ar USING (tid) WHERE kept)
+k AS (SELECT n.*, list_transform([{", ".join(lexicon.CATEGORIES)}], lambda x: list_sum(x[i % {block} + 1 : j - i // {block} * {block} + 1])) AS t FROM n JOIN ar ON n.tid = ar.tid AND i // {block} = blk WHERE kept)
 SELECT tid AS transcript_id, i AS start_idx, j AS end_idx, start, "end", score, CASE WHEN top > 0.6 THEN {_KINDS} ELSE 'other' END AS clip_type FROM (SELECT *, list_max(t) AS top FROM k)"""
+
+
+NMS = kept(DOCUMENT_WORDS)
+NMS_LONG = kept(JOINED_WORDS, 100)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom import shared
 from spanloom.functions import jsonrepair, lexicon, scoring
 from spanloom.functions import text as T
-from spanloom.operators import camera, captions, insights, intervals, rank, segment, trimming, windows
+from spanloom.operators import camera, captions, insights, intervals, long, rank, segment, trimming, windows
 from spanloom.plans import analyze, folds
 from spanloom.sinks import exports
 from spanloom.sources import media
@@ -400,6 +401,30 @@ def nms(spark, d):
     return windows.windows(analyze.ready(_documents(spark, d)))
 
 
+def _joined(spark, d) -> DataFrame:
+    """Rows of words of all conversations as one transcript, each at its number times the longest one's time and two seconds."""
+    s = TR.segments_from_conversations(table(spark, d, "conversations"))
+    slot = s.agg((F.ceil(F.max("end")) + 2).cast("double").alias("z"))  # one row
+    each = TR.flatten(s).select(F.col("transcript_id").cast("long").alias("conv"), "language", F.posexplode("words").alias("k", "w")).crossJoin(F.broadcast(slot))
+    at = lambda c: (F.col("conv") * F.col("z") + F.col(f"w.{c}")).alias(c)
+    return each.select(F.lit("all").alias("transcript_id"), "language", at("start"), at("end"), F.col("w.text").alias("text"), "conv", "k")
+
+
+@query(folds.NMS_LONG)
+def nms_long(spark, d):
+    """Suppressed windows of one transcript that no task holds whole."""
+    found = long.windows(_joined(spark, d), ["conv", "k"])
+    return found.withColumns({c: F.col(c).cast("int") for c in ("start_idx", "end_idx")})
+
+
+@query(folds.PHRASES_LONG)
+def phrases_long(spark, d):
+    """Caption phrases of one transcript that no task holds whole."""
+    tables = shared.Tables(spark)
+    p = long.pieces(long.with_positions(_joined(spark, d), ["conv", "k"], tables), long.Phrases(), tables)
+    return p.select("transcript_id", F.col("idx").alias("phrase"), "start", "end", "n_words", "text")
+
+
 @query(folds.BLOCKS)
 def blocks(spark, d):
     """Overlapping blocks."""
