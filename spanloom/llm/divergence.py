@@ -1,10 +1,13 @@
 """Source divergence audit: how the sources of a language differ in their words, counted in mergeable radix tries.
 
-1. A task counts terms in one radix trie a language, keyed by UTF-8 bytes; a leaf holds the documents that have the term
-   and a counter for each source.  A trie that grows past `COUNTERS` is walked in byte order, sent, and begun anew.
-2. Walked leaves are dealt by ranges of (language, term), so every prefix range is one partition in byte order; there
-   tries of the same range merge leaf by leaf, and terms of too few documents go.
-3. Sums over the leaves give each source's and language's totals.  Each range then meets the totals of its languages and
+1. A task counts terms in one radix trie a language, keyed by UTF-8 bytes.  A trie is laid out in preorder, which is byte order:
+   for each leaf how many bytes of its path it shares with the leaf before, and the bytes of its own; beside it the
+   documents that have the term and a counter for each source.  Tries of blocks of text merge until they hold
+   `LEAVES`; then the task sends them, cut into subtries by prefix.
+2. Subtries of one prefix are one range.  A prefix whose subtries hold over `RANGE` leaves is cut again, one byte deeper,
+   until none does, so a range fits a task whatever the script.  Subtries of a range merge, and terms of too few
+   documents go.
+3. Sums over the leaves give each source's and language's totals.  Each range then meets the totals of its language and
    is traversed once more in byte order.  The traversal adds up divergences of pairs of sources and keeps each source's
    best terms, earlier terms first among equals.
 4. Spark adds the ranges' sums and ranks.
@@ -17,90 +20,131 @@ The result holds all pairs of a language's sources, so its size is the square of
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import kern, scratch
 
 LEAST_DOCS, TOP = 10, 10
-#: Leaves and counters of a task's tries, leaves of a range before they merge, bytes of text counted at once.
-COUNTERS, RANGE, BLOCK = 400_000, 50_000, 4 << 20
+#: Leaves at which a task's tries are merged and sent, leaves of a range before they merge, bytes of text counted at once.
+LEAVES, RANGE, BLOCK = 1_000_000, 1_000_000, 4 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-_LEAF_SQL = "lang string, term binary, docs long, sources array<string>, counts array<long>"
-_MERGED = pa.schema([("range", pa.int32()), *_LEAF])
+_BLOBS = ("shared", "size", "data", "docs", "counters", "source", "counts")
+_TRIE = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("leaves", pa.int64()), ("names", pa.list_(pa.string())), *((c, pa.binary()) for c in _BLOBS)])
+_TRIE_SQL = "lang string, prefix binary, leaves long, names array<string>, " + ", ".join(f"{c} binary" for c in _BLOBS)
+_LEAF = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_LEAF_SQL = "lang string, prefix binary, term binary, docs long, sources array<string>, counts array<long>"
 _SUM = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 _SUM_SQL = "lang string, source string, part string, item string, value long"
 
 
-class Leaf:
-    """Documents that have a term, and its occurrences by source."""
+def _spans(terms: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an array of terms, and where each begins and ends."""
+    _, offsets, data = terms.buffers()
+    at = np.frombuffer(offsets, np.int64)[terms.offset : terms.offset + len(terms) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
-    __slots__ = ("counts", "docs")
 
-    def __init__(self):
-        self.docs, self.counts = 0, {}
+def _binary(parts: list[bytes]) -> pa.LargeBinaryArray:
+    return pa.array(parts, pa.large_binary())
 
 
+@dataclass
 class Trie:
-    """A radix trie over byte strings: a node is [edge, children by first byte, leaf]."""
-
-    def __init__(self):
-        self.root: list = [b"", {}, None]
-        self.leaves = 0
-
-    def leaf(self, term: bytes) -> Leaf:
-        """The leaf of a term, made if missing."""
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
-            if child is None:
-                node[1][term[at]] = node = [term[at:], {}, None]
-                break
-            edge = child[0]
-            if not term.startswith(edge, at):
-                same = 1
-                while at + same < len(term) and edge[same] == term[at + same]:
-                    same += 1
-                upper = [edge[:same], {edge[same]: child}, None]
-                child[0] = edge[same:]
-                node[1][term[at]] = child = upper
-                edge = upper[0]
-            node, at = child, at + len(edge)
-        if node[2] is None:
-            node[2] = Leaf()
-            self.leaves += 1
-        return node[2]
-
-    def add(self, term: bytes, docs: int, sources, counts) -> None:
-        leaf = self.leaf(term)
-        leaf.docs += docs
-        for s, n in zip(sources, counts):
-            leaf.counts[s] = leaf.counts.get(s, 0) + n
-
-    def merge(self, other: Trie) -> None:
-        for term, leaf in other.walk():
-            self.add(term, leaf.docs, leaf.counts.keys(), leaf.counts.values())
-
-    def walk(self):
-        """(term, leaf) in byte order, which is UTF-8 order."""
-        stack = [(b"", self.root)]
-        while stack:
-            before, node = stack.pop()
-            term = before + node[0]
-            if node[2] is not None:
-                yield term, node[2]
-            stack += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
-
-
-def terms(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Leaves in byte order: terms, documents, counters a leaf, and the counters' sources (in `names`) and counts, leaf after leaf."""
+
+    terms: pa.LargeBinaryArray
+    docs: np.ndarray
+    counters: np.ndarray
+    source: np.ndarray
+    counts: np.ndarray
+    names: list[str]
+
+    @staticmethod
+    def of(terms: pa.LargeBinaryArray, docs: np.ndarray, leaf: np.ndarray, source: np.ndarray, counts: np.ndarray, names: list[str]) -> Trie:
+        """A trie of terms in any order, which may repeat; counter k belongs to terms[leaf[k]]."""
+        held = terms.dictionary_encode()
+        order = pc.sort_indices(held.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place = rank[held.indices.to_numpy()]
+        total = np.zeros(len(order), np.int64)
+        np.add.at(total, place, docs)
+        key = place[leaf] * len(names) + source
+        by = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[by], prepend=-1))
+        sums = np.add.reduceat(counts[by], first) if len(first) else np.zeros(0, np.int64)
+        u = key[by][first]
+        return Trie(held.dictionary.take(pa.array(order)), total, np.bincount(u // max(1, len(names)), minlength=len(order)), u % max(1, len(names)), sums, names)
+
+    @staticmethod
+    def merged(tries: list[Trie]) -> Trie:
+        names = sorted({n for t in tries for n in t.names})
+        at = {n: k for k, n in enumerate(names)}
+        source = np.concatenate([np.array([at[n] for n in t.names], np.int64)[t.source] for t in tries])
+        base = np.cumsum([0, *(len(t.terms) for t in tries)])
+        leaf = np.concatenate([np.repeat(np.arange(len(t.terms)) + b, t.counters) for t, b in zip(tries, base)])
+        return Trie.of(pa.concat_arrays([t.terms for t in tries]), np.concatenate([t.docs for t in tries]), leaf, source, np.concatenate([t.counts for t in tries]), names)
+
+    def common(self) -> np.ndarray:
+        """Bytes that each leaf's path shares with the one before, byte by byte for those still equal."""
+        data, at = _spans(self.terms)
+        begin, size = at[:-1], np.diff(at)
+        out = np.zeros(len(size), np.int64)
+        live, depth = np.arange(1, len(size)), 0
+        while len(live):
+            live = live[np.minimum(size[live], size[live - 1]) > depth]
+            live = live[data[begin[live] + depth] == data[begin[live - 1] + depth]]
+            depth += 1
+            out[live] = depth
+        return out
+
+    def rows(self, lang: str, depth: int) -> pa.RecordBatch:
+        """The subtries of all prefixes of `depth` bytes (shorter terms are their own)."""
+        shared = self.common()
+        cut = np.flatnonzero(np.where(np.arange(len(shared)) == 0, True, shared < depth))
+        data, at = _spans(self.terms)
+        own = self.counters.cumsum()
+        out: dict[str, list] = {f.name: [] for f in _TRIE}
+        shared[cut] = 0
+        size = np.diff(at) - shared
+        begin = at[:-1] + shared
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shared)]):
+            lo, hi = (own[a - 1] if a else 0), (own[b - 1] if b else 0)
+            keep = np.zeros(at[b] - at[a] + 1, np.int8)
+            np.add.at(keep, begin[a:b] - at[a], 1)
+            np.add.at(keep, at[a + 1 : b + 1] - at[a], -1)
+            used, source = np.unique(self.source[lo:hi], return_inverse=True)
+            out["lang"].append(lang)
+            out["prefix"].append(data[at[a] : min(at[a + 1], at[a] + depth)].tobytes())
+            out["leaves"].append(b - a)
+            out["names"].append([self.names[k] for k in used])
+            blobs = (shared[a:b].astype("<u4"), size[a:b].astype("<u4"), data[at[a] : at[b]][np.cumsum(keep[:-1]) > 0], self.docs[a:b].astype("<i8"), self.counters[a:b].astype("<u4"), source.astype("<u4"), self.counts[lo:hi].astype("<i8"))
+            for c, x in zip(_BLOBS, blobs):
+                out[c].append(x.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _TRIE], schema=_TRIE)
+
+    @staticmethod
+    def read(row: dict) -> Trie:
+        """A subtrie of a row; a path is what it shares with the one before and its own bytes."""
+        b = {c: np.frombuffer(row[c], "<i8" if c in ("docs", "counts") else "<u4").astype(np.int64) for c in _BLOBS if c != "data"}
+        terms, path, at, data = [], b"", 0, row["data"]
+        for shared, size in zip(b["shared"].tolist(), b["size"].tolist()):
+            path = path[:shared] + data[at : at + size]
+            at += size
+            terms.append(path)
+        return Trie(_binary(terms), b["docs"], b["counters"], b["source"], b["counts"], row["names"])
+
+
+def terms(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
     """Distinct terms of texts, and for each occurrence its term and its text."""
     low = np.frombuffer(b"\n".join(texts).lower(), np.uint8)  # bytes.lower changes A-Z only
     inside = np.zeros(len(low) + 2, np.int8)
@@ -110,85 +154,74 @@ def terms(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(end - start)])
     data = np.ascontiguousarray(low[inside[1:-1].view(bool)])
     found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    return found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(begins, start, "right") - 1
+    count = np.diff(np.append(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]), len(start)))
+    return found.dictionary, found.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), count)
+
+
+def block_tries(langs: list[str], sources: list[str], texts: list[bytes]) -> dict[str, Trie]:
+    """A trie for each language of a block; the empty term has all sources with a count of zero."""
+    names, lang_names = sorted(set(sources)), sorted(set(langs))
+    s, g = np.searchsorted(names, sources), np.searchsorted(lang_names, langs)
+    found, term, text = terms(texts)
+    n, k = len(texts), len(lang_names)
+    u = np.unique(term * n + text)  # a term and a text that has it
+    leaf, docs = np.unique(u // n * k + g[u % n], return_counts=True)
+    both, counts = np.unique((term * k + g[text]) * len(names) + s[text], return_counts=True)
+    out = {}
+    for x, lang in enumerate(lang_names):
+        own = leaf[leaf % k == x]
+        mine = both[both // len(names) % k == x]
+        seen = np.unique(s[g == x])
+        place = np.concatenate([np.searchsorted(own, mine // len(names)), np.full(len(seen), len(own))])
+        held = pa.concat_arrays([found.take(pa.array(own // k)), _binary([b""])])
+        total = np.concatenate([counts[both // len(names) % k == x], np.zeros(len(seen), np.int64)])
+        out[lang] = Trie.of(held, np.append(docs[leaf % k == x], 0), place, np.concatenate([mine % len(names), seen]), total, names)
+    return out
 
 
 def _count(batches):
-    """Leaves of this task's tries; the empty term of a language has its sources."""
-    tries: dict[str, Trie] = {}
+    held: dict[str, list[Trie]] = {}
     size = 0
 
     def sent():
-        rows = []
-        for lang, trie in tries.items():
-            for term, leaf in trie.walk():
-                rows.append((lang, term, leaf.docs, list(leaf.counts), list(leaf.counts.values())))
-                if len(rows) == 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LEAF)], schema=_LEAF)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LEAF)], schema=_LEAF)
+        for lang, tries in held.items():
+            yield Trie.merged(tries).rows(lang, 1)
 
     for batch in batches:
         for lo, hi, texts in kern.text_blocks(batch.column(2), BLOCK):
-            pairs, groups = {}, np.empty(hi - lo, np.int64)
-            for i, pair in enumerate(zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist())):
-                groups[i] = pairs.setdefault(pair, len(pairs))
-            pairs = list(pairs)
-            langs = sorted({lang for lang, _ in pairs})
-            lang_of = np.array([langs.index(lang) for lang, _ in pairs])
-            for lang, source in pairs:
-                tries.setdefault(lang, Trie()).add(b"", 0, [source], [0])
-            names, term, text = terms(texts)
-            u = np.unique(term * np.int64(hi - lo) + text)  # a term and a text that has it
-            key, docs = np.unique(u // (hi - lo) * len(langs) + lang_of[groups[u % (hi - lo)]], return_counts=True)
-            leaves = {}
-            for k, n in zip(key.tolist(), docs.tolist()):
-                leaf = leaves[k] = tries[langs[k % len(langs)]].leaf(names[k // len(langs)])
-                leaf.docs += n
-            key, n = np.unique(term * np.int64(len(pairs)) + groups[text], return_counts=True)
-            at = key // len(pairs) * len(langs) + lang_of[key % len(pairs)]
-            for k, g, c in zip(at.tolist(), (key % len(pairs)).tolist(), n.tolist()):
-                counts, source = leaves[k].counts, pairs[g][1]
-                if source not in counts:
-                    size += 1
-                    counts[source] = c
-                else:
-                    counts[source] += c
-            if size + sum(t.leaves for t in tries.values()) > COUNTERS:
-                yield from sent()
-                tries, size = {}, 0
+            for lang, trie in block_tries(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist(), texts).items():
+                held.setdefault(lang, []).append(trie)
+                size += len(trie.terms)
+            if size > LEAVES:
+                held = {lang: [Trie.merged(tries)] for lang, tries in held.items()}
+                size = sum(len(t[0].terms) for t in held.values())
+                if 2 * size > LEAVES:
+                    yield from sent()
+                    held, size = {}, 0
+            pa.default_memory_pool().release_unused()
     yield from sent()
 
 
-def _merge(least_docs):
-    """Merge the leaves of one range, which come in order; all but the last term of a batch are done with it."""
-
+def _deeper(depth):
     def run(batches):
-        number = TaskContext.get().partitionId()
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield Trie.read(row).rows(row["lang"], depth)
 
-        def done(lang, trie, last=None):
-            rows = [(number, lang, term, leaf.docs, list(leaf.counts), list(leaf.counts.values())) for term, leaf in trie.walk() if (leaf.docs >= least_docs or not term) and term != last]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MERGED)], schema=_MERGED)
+    return run
 
-        lang, trie = None, Trie()
-        for batch in batches:
-            term = None
-            for row in zip(*(batch.column(i).to_pylist() for i in range(len(_LEAF)))):
-                if row[0] != lang:
-                    yield from done(lang, trie)
-                    lang, trie = row[0], Trie()
-                term = row[1]
-                trie.add(*row[1:])
-            if term is not None:
-                yield from done(lang, trie, term)
-                rest = Trie()
-                leaf = trie.leaf(term)
-                rest.add(term, leaf.docs, leaf.counts.keys(), leaf.counts.values())
-                trie = rest
-        yield from done(lang, trie)
+
+def _merge(least_docs):
+    def run(key, tab):
+        t = Trie.merged([Trie.read(row) for row in tab.to_pylist()])
+        size = pc.binary_length(t.terms).to_numpy(zero_copy_only=False)
+        keep = (t.docs >= least_docs) | (size == 0)
+        live = np.repeat(keep, t.counters)
+        ends = np.concatenate([[0], np.cumsum(t.counters[keep])])
+        names = pa.array(t.names, pa.string()).take(pa.array(t.source[live]))
+        columns = {"lang": pa.repeat(key[0], int(keep.sum())), "prefix": pa.repeat(key[1], int(keep.sum())), "term": t.terms.filter(pa.array(keep)).cast(pa.binary()), "docs": t.docs[keep]}
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (names, pa.array(t.counts[live], pa.int64()))]
+        return pa.Table.from_arrays([*(pa.array(columns[c], _LEAF.field(c).type) if c == "docs" else columns[c] for c in columns), *lists], schema=_LEAF)
 
     return run
 
@@ -260,32 +293,34 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     language's sources are the one thing a task holds whole.  An empty table gives an empty table.
     """
     text = [F.coalesce(c, F.lit("")) for c in kern.cols(["lang", "source", "text"])]
-    leaves = docs.select(text[0].alias("lang"), text[1].alias("source"), text[2].cast("binary").alias("text")).mapInArrow(_count, _LEAF_SQL)
-    leaves = scratch.stored(leaves, "audit-leaves")
-    n_ranges = max(8, -(-leaves.count() // RANGE))
-    merged = leaves.repartitionByRange(n_ranges, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merge(least_docs), f"range int, {_LEAF_SQL}")
-    merged = scratch.stored(merged, "audit-merged")
-    scratch.drop(docs.sparkSession, leaves._spanloom_path)
+    tries = scratch.stored(docs.select(text[0].alias("lang"), text[1].alias("source"), text[2].cast("binary").alias("text")).mapInArrow(_count, _TRIE_SQL), "audit-tries")
+    parts, depth = [], 1
+    while True:
+        large = tries.groupBy("lang", "prefix").agg(F.sum("leaves").alias("all")).where((F.col("all") > RANGE) & (F.octet_length("prefix") == depth)).select("lang", "prefix")
+        if large.isEmpty():
+            break
+        parts.append(tries.join(large, ["lang", "prefix"], "left_anti"))
+        depth += 1
+        tries = scratch.stored(tries.join(large, ["lang", "prefix"], "left_semi").select(*_TRIE.names).mapInArrow(_deeper(depth), _TRIE_SQL), "audit-tries")
+    for part in parts:
+        tries = tries.unionByName(part)
+    merged = scratch.stored(tries.select(*_TRIE.names).groupBy("lang", "prefix").applyInArrow(_merge(least_docs), _LEAF_SQL), "audit-merged")
     words = merged.where(F.octet_length("term") > 0)
     kept = words.groupBy("lang").agg(F.count("*").alias("kept"))
     totals = merged.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("c")).groupBy("lang", F.col("c.sources").alias("source")).agg(F.sum("c.counts").alias("total"))
     totals = scratch.stored(totals.join(kept, "lang", "left").select("lang", "source", "total", F.coalesce("kept", F.lit(0)).cast("long").alias("kept")), "audit-totals")
 
     def walk(key, tab, stats):
-        rows = []
-        for lang in pc.unique(tab.column("lang")).to_pylist():
-            of = stats.filter(pc.equal(stats.column("of"), lang)).sort_by("name").combine_chunks()
-            part = tab.filter(pc.equal(tab.column("lang"), lang)).sort_by("term").combine_chunks()
-            lists, counts = (part.column(c).combine_chunks() for c in ("sources", "counts"))
-            names = of.column("name").to_pylist()
-            source = pc.index_in(lists.flatten(), value_set=of.column("name").combine_chunks()).to_numpy(zero_copy_only=False)
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            rows += traverse(lang, part.column("term").to_pylist(), sizes, source.astype(np.int64), counts.flatten().to_numpy(), names, of.column("n").to_numpy(), of.column("v")[0].as_py(), top)
+        of, part = stats.sort_by("name").combine_chunks(), tab.sort_by("term").combine_chunks()
+        lists, counts = (part.column(c).combine_chunks() for c in ("sources", "counts"))
+        source = pc.index_in(lists.flatten(), value_set=of.column("name").combine_chunks()).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        rows = list(traverse(key[0].as_py(), part.column("term").to_pylist(), sizes, source.astype(np.int64), counts.flatten().to_numpy(), of.column("name").to_pylist(), of.column("n").to_numpy(), of.column("v")[0].as_py(), top))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SUM)], schema=_SUM) if rows else _SUM.empty_table()
 
-    held = words.select(F.col("range").alias("at"), F.col("lang").alias("of")).distinct()
-    stats = totals.join(held, F.col("lang") == F.col("of")).select("at", F.col("of"), F.col("source").alias("name"), F.col("total").alias("n"), F.col("kept").alias("v"))
-    sums = words.groupBy("range").cogroup(stats.groupBy("at")).applyInArrow(walk, _SUM_SQL)
+    held = words.select(F.col("lang").alias("of"), F.col("prefix").alias("at")).distinct()
+    stats = totals.join(held, F.col("lang") == F.col("of")).select("of", "at", F.col("source").alias("name"), F.col("total").alias("n"), F.col("kept").alias("v"))
+    sums = words.groupBy("lang", "prefix").cogroup(stats.groupBy("of", "at")).applyInArrow(walk, _SUM_SQL)
     sums = scratch.stored(sums, "audit-sums")
     a, b = totals.select("lang", "kept", *(F.col(c).alias(f"{c}_a") for c in ("source", "total"))), totals.select("lang", *(F.col(c).alias(f"{c}_b") for c in ("source", "total")))
     zero = [f"(1 + 2000000000 div (total_{x} + 2 * kept))" for x in "ab"]
