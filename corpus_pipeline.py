@@ -42,10 +42,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each one's rows are written to the shared folder and reread as the next one's input, and what it needed on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    since = scratch.mark()
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.stored(docs, f"pipeline-{name}")
-            scratch.release(spark, since, docs)
+    with scratch.run():
+        for i, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = scratch.stored(docs, f"pipeline-{name}")
+                scratch.release(spark, docs)
     return docs
