@@ -32,7 +32,9 @@ from spanloom.llm import kern, scratch
 
 LEAST_DOCS, TOP = 10, 10
 #: Leaves at which a task's tries are merged and sent, leaves of a range before they merge, bytes of text counted at once.
-LEAVES, RANGE, BLOCK = 1_000_000, 1_000_000, 4 << 20
+LEAVES, RANGE, BLOCK = 1_000_000, 250_000, 4 << 20
+#: Prefixes to cut deeper that are broadcast; there is at most one for each RANGE leaves.
+MOST_LARGE = 100_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -297,8 +299,11 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     parts, depth = [], 1
     while True:
         large = tries.groupBy("lang", "prefix").agg(F.sum("leaves").alias("all")).where((F.col("all") > RANGE) & (F.octet_length("prefix") == depth)).select("lang", "prefix")
-        if large.isEmpty():
+        large = scratch.stored(large, "audit-large")
+        n = large.count()
+        if not n:
             break
+        large = F.broadcast(large) if n <= MOST_LARGE else large
         parts.append(tries.join(large, ["lang", "prefix"], "left_anti"))
         depth += 1
         tries = scratch.stored(tries.join(large, ["lang", "prefix"], "left_semi").select(*_TRIE.names).mapInArrow(_deeper(depth), _TRIE_SQL), "audit-tries")
