@@ -35,8 +35,10 @@ from spanloom.llm import kern, scratch
 WINDOW = 8
 #: Literal (not placeholder) tokens a window needs, as a share, and the least where no window of an item has so many; such an item must meet whole.
 LITERALS, FEWEST = 0.5, 2
-#: Numbers of an item that may stand for two values each: by chance two slots of an item can hold the same number.
+#: Values beyond the first, over all numbers and units of an item: by chance two slots of an item can hold the same number.
 SPLIT = 1
+#: Literal tokens that an item of fewer tokens than a window needs for its template to match; with fewer only its words do.
+SHORT = 4
 #: Share of an item's windows that must meet, and a run of windows that is enough: of template tokens, of plain words.
 COVERAGE, RUN = (0.5, 0.75), (12, 24)
 #: Tokens by which the alignment may shift from one met window to the next.
@@ -172,7 +174,7 @@ def readings(text: bytes, k: int = WINDOW):
     """(raw or not, window length, windows that must meet, hashes, first tokens, template) of an item's readings; of fewer than 4 tokens there is none."""
     t = Template([text])
     for raw, n in ((False, len(t.kind)), (True, len(t.raw[0]))):
-        if n < 4:
+        if n < 4 or not raw and n < k and (t.kind == 0).sum() < SHORT:
             continue
         # short templates have shorter windows, so that one inserted word does not spoil most of them
         length = min(k, n) if raw or n < k else min(k, max(4, (n - 3) // 2))
@@ -196,15 +198,19 @@ def _clash(held: dict, key: tuple[int, bytes], value: bytes) -> bool:
 
 def _consistent(item: Item, t: Template, pairs: list[tuple[int, int]], k: int, raw: bool) -> tuple[bool, bool]:
     """(slots map to one value each and names apart, all tokens are the same) over the aligned windows."""
-    forward, back, same, split = {}, {}, True, set()
+    forward, back, same, extra = {}, {}, True, 0
+    seen: dict[tuple[int, bytes], set[bytes]] = {}  # all values that a number or unit stands for
     for i, of in dict.fromkeys((at + j, of + j) for at, of in pairs for j in range(k)):
         a, b, kind = item.values[of], t.value(i, raw), item.kinds[of]
         same &= a == b
-        if kind and _clash(forward, (kind, a), b):
-            split.add((kind, a))
-        if kind == 3 and _clash(back, (kind, b), a):
-            return False, False
-    return len(split) <= SPLIT and all(kind != 3 for kind, _ in split), same
+        if kind == 3:
+            if _clash(forward, (kind, a), b) or _clash(back, (kind, b), a):
+                return False, False
+        elif kind:
+            values = seen.setdefault((kind, a), set())
+            extra += bool(values) and b not in values
+            values.add(b)
+    return extra <= SPLIT, same
 
 
 def _chain(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:

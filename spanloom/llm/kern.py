@@ -193,6 +193,35 @@ def cols(names) -> list:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def lower_part(share: float, *columns):
+    """Whether the 64-bit hash of the columns lies in the lower `share` of its range: a sample that no size of a table empties."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64(*columns) <= F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63)))
+
+
+def sampled(df, by: str, most: dict, *columns):
+    """At most most[v] rows of each value v of `by`, exactly, whatever repeats: the least by a hash of the columns.
+
+    Rows are thinned by the same hash to about twice that first, so that only those are sorted.
+    """
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    if not most:
+        return df.limit(0)
+    have = {r[0]: r[1] for r in df.where(F.col(by).isin(list(most))).groupBy(by).agg(F.count(F.lit(1))).collect()}
+    if not have:
+        return df.limit(0)
+    wide = F.create_map(*[F.lit(x) for v, n in have.items() for x in (v, min((1 << 63) - 1, int(min(1.0, (2 * most[v] + 1000) / n) * 2.0**64) - (1 << 63)))])
+    top = F.create_map(*[F.lit(x) for v in have for x in (v, most[v])])
+    draw = F.xxhash64(*columns)
+    thin = df.where(draw <= F.try_element_at(wide, F.col(by))).withColumn("_draw", draw)
+    place = F.row_number().over(W.partitionBy(by).orderBy("_draw", *[c for c in columns if isinstance(c, str)]))
+    largest = max(most.values())
+    return thin.withColumn("_place", place).where(F.col("_place") <= largest).where(F.col("_place") <= F.try_element_at(top, F.col(by))).drop("_draw", "_place")
+
+
 def text_blocks(column, limit: int):
     """Runs (lo, hi, texts as bytes) of about `limit` bytes of an Arrow column of texts; only one run at a time becomes Python values."""
     raw = column.cast(pa.binary())

@@ -23,6 +23,8 @@ from spanloom.llm.toxicity import fold
 
 #: Features, and the bound of the training sample: documents of each language.
 DIM, PER_LANG = 1 << 13, 400
+#: Languages learned, and rows that all of them train on.
+MAX_LANGS, MAX_ROWS = 200, 16_000
 _SCALE = 20.0
 #: Families of closely related languages, by ISO 639-1 code (fixed values); a code not listed is its own family.
 FAMILIES = {
@@ -112,13 +114,16 @@ _BAG = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("at", pa.binar
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """Train on about PER_LANG documents of each language outside the held-out fold, chosen by a hash of doc_id; executors make the bags."""
+    """Train on at most PER_LANG documents of each language outside the held-out fold, the least by a hash of doc_id and text; executors make the bags.
+
+    Rows count, not ids: repeated rows are one document each, and no more than the bound reach the driver.  The MAX_LANGS largest
+    languages are learned (equal sizes: by code), and all together train on MAX_ROWS rows, which is 0.5 GB.
+    """
     d = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != 2) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    have = {r.lang: r.n for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not have:
+    langs = [r.lang for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
+    if not langs:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, int(min(1.0, PER_LANG / n) * 1e6))])
-    part = d.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")))
+    part = kern.sampled(d.select("doc_id", "lang", "text"), "lang", dict.fromkeys(langs, min(PER_LANG, max(20, MAX_ROWS // len(langs)))), "doc_id", "text")
 
     def run(block):
         bags = [bag(t) for t in block["text"]]

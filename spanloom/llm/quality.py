@@ -148,14 +148,14 @@ _FIGURE = pa.schema([("rule", pa.string()), ("sec", pa.float64()), ("rejected",
 
 
 def plan(docs: DataFrame, rules=RULES, sample: int = SAMPLE) -> list[Rule]:
-    """Order the rules by a sample of about `sample` documents, a part of the hash space of doc_id; executors measure, only figures return."""
+    """Order the rules by a sample of about `sample` documents, a part of the hash space of doc_id and text; executors measure, only figures return."""
     share = min(1.0, sample / max(1, docs.count()))
 
     def run(block):
         got = measure(block["text"], rules)
         return dict(zip(_FIGURE.names, zip(*got))) if got else None
 
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    part = docs.where(kern.lower_part(share, "doc_id", "text"))
     figures = kern.map_text(part, run, "rule string, sec double, rejected long, docs long", _FIGURE).groupBy("rule").agg(F.sum("sec"), F.sum("rejected"), F.sum("docs")).collect()
     return ordered(rules, figures)
 

@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset and Spark runs in one process."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = getattr(spark, "_spanloom_scratch", None)
-        if not at:
-            at = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-            spark._spanloom_scratch = at
-    return at.rstrip("/")
-
-
-#: Folders made by this process, in order.
-_MADE: list[str] = []
+#: Folders of the run that is open in this thread; another thread's run has its own.
+_RUN: ContextVar[list[str] | None] = ContextVar("run", default=None)
 
 
 def place(spark: SparkSession, name: str) -> str:
-    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    """A new folder; it belongs to the innermost open run, if there is one."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _RUN.get() is not None:
+        _RUN.get().append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -42,21 +33,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def mark() -> int:
-    """Where the list of folders stands now."""
-    return len(_MADE)
-
-
 def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete folders that place made."""
-    jvm = spark.sparkContext._jvm
+    """Delete folders that place made and nothing reads any more."""
+    jvm, made = spark.sparkContext._jvm, _RUN.get()
     for path in paths:
-        if path in _MADE:
-            _MADE.remove(path)
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
-    """Delete the folders made since a mark, less the stored tables to keep; nothing else may still read them."""
-    drop(spark, *[p for p in _MADE[since:] if p not in {k._spanloom_path for k in keep}])
+        if made is not None and path in made:
+            made.remove(path)
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def run():
+    """Collects the folders made inside; those that `release` has not deleted pass to the run around it."""
+    outer, mine = _RUN.get(), []
+    token = _RUN.set(mine)
+    try:
+        yield mine
+    finally:
+        _RUN.reset(token)
+        if outer is not None:
+            outer += mine
+
+
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete the folders of the open run, less the stored tables to keep; nothing else may still read them."""
+    drop(spark, *[p for p in list(_RUN.get() or []) if p not in {k._spanloom_path for k in keep}])

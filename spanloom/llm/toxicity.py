@@ -169,14 +169,13 @@ def fold(doc_id, of: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on at most about MAX_TOXIC and MAX_ORDINARY labelled documents that are not held out, chosen by a hash of doc_id."""
+    """Train on at most MAX_TOXIC and MAX_ORDINARY rows of labelled documents that are not held out, the least by a hash of doc_id and text; repeated rows count each."""
     lab = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    have = {r.y: r.n for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000))
-    share = {1: min(1.0, MAX_TOXIC / max(1, have.get(1, 0))), 0: min(1.0, MAX_ORDINARY / max(1, have.get(0, 0)))}
-    lab = lab.where(draw < F.when(F.col("y") == 1, int(share[1] * 1e6)).otherwise(int(share[0] * 1e6)))
-    # the sample is bounded by the parameters above
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") <= MAX_BYTES).join(F.broadcast(lab), "doc_id").select("doc_id", "text", "y").collect()
+    most = {1: MAX_TOXIC, 0: MAX_ORDINARY}
+    # ids are thinned before they meet their texts, rows counted after
+    lab = kern.sampled(lab, "y", most, "doc_id", F.lit(7))
+    held = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") <= MAX_BYTES).join(F.broadcast(lab), "doc_id").select("doc_id", "text", "y")
+    rows = kern.sampled(held, "y", most, "doc_id", "text").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.text)))
     random.Random(7).shuffle(rows)
     return train([bytes(r.text) for r in rows if r.y == 1], [bytes(r.text) for r in rows if r.y == 0])

@@ -211,28 +211,38 @@ class _Plain:
 
 
 def _inflated(view, at: int):
-    """Pieces of the gzip member at an offset; returns (bytes of the member, "") or (0, reason) where it breaks, after all that inflates before that."""
+    """Pieces of the gzip member at an offset; returns (bytes of the member, "", where it ends), or where it breaks (0, reason, where it was broken), after all that inflates before that."""
     z, fed, rest = zlib.decompressobj(31), at, b""
     while not z.eof:
         before = z.copy() if fed > at else zlib.decompressobj(31)
         if not rest:
             if fed >= len(view):
-                return 0, "truncated"
+                return 0, "truncated", fed
             rest = view[fed : fed + _FEED]
             fed += len(rest)
         try:
             out = z.decompress(rest, _DRAWN)
         except zlib.error as e:
-            # the failing call's output is lost: go there again in small steps
-            try:
-                for a in range(0, len(rest), _LEAST):
-                    yield before.decompress(rest[a : a + _LEAST])
-            except zlib.error:
-                pass
-            return 0, f"gzip: {str(e).partition(':')[2].strip() or 'error'}"
+            # the failing call's output is lost: go there again in small steps, and in the one that fails byte by byte
+            b = len(rest)
+            for a in range(0, len(rest), _LEAST):
+                saved = before.copy()
+                try:
+                    out = before.decompress(rest[a : a + _LEAST])
+                except zlib.error:
+                    for b in range(a, a + _LEAST):
+                        try:
+                            out = saved.decompress(rest[b : b + 1])
+                        except zlib.error:
+                            break
+                        if out:
+                            yield out
+                    break
+                yield out
+            return 0, f"gzip: {str(e).partition(':')[2].strip() or 'error'}", fed - len(rest) + b
         rest = z.unconsumed_tail
         yield out
-    return fed - at - len(z.unused_data), ""
+    return fed - at - len(z.unused_data), "", fed - len(z.unused_data)
 
 
 def _drained(pieces):
@@ -244,24 +254,37 @@ def _drained(pieces):
             return e.value
 
 
+def _key(r: Record) -> bytes:
+    return hashlib.sha1(repr(sorted(r.headers.items())).encode() + r.block).digest()
+
+
 def scan(data):
     """Every record of an archive (plain, or gzip by record, by several or whole) that passes all checks, and every gap, as they are met.
 
     Sound members, plain records and gaps without `inside` cover the archive once.  Records
-    from a member that breaks lie in its gap.  The bytes are searched once from front to end.
+    from a member that breaks lie in its gap.  The bytes are searched once from front to end; records that a
+    broken member has given are not given again where its stored blocks hold them in plain bytes.
     """
     view = memoryview(data).cast("B")
     at, bad, why = 0, -1, ""
+    given: set[bytes] = set()
+    until = 0
     while at < len(view):
         length, found = 0, False
         if view[at : at + 3] == b"\x1f\x8b\x08":
             # once for its length, once for its records, so that neither is held
-            length, reason = _drained(_inflated(view, at))
+            length, reason, reach = _drained(_inflated(view, at))
+            if at >= until:
+                given.clear()
             plain, held = _Plain(), []
             for piece in itertools.chain(_inflated(view, at), [None]):
                 for inside, got in plain.feed(piece or b"", piece is None):
                     if isinstance(got, Record):
                         found = True
+                        if not length:
+                            if at < until and _key(got) in given:
+                                continue
+                            given.add(_key(got))
                         yield Record(at, length, got.headers, got.block, got.checked, inside)
                     else:
                         held.append((inside, got))
@@ -270,8 +293,15 @@ def scan(data):
             elif length:
                 for inside, got in held:
                     yield Gap(at, length, got, inside)
+            else:
+                until = max(until, reach)
         else:
             record, reason, _ = _parse(view, at)
+            if record and at < until and _key(record) in given:
+                bad, why = (at, "given before") if bad < 0 else (bad, why)
+                hit = _MARKER.search(view, at + record.length)
+                at = hit.start() if hit else len(view)
+                continue
             if record:
                 length = record.length
         if length:

@@ -486,6 +486,36 @@ def test_salvage_inside_a_member():
     assert 19 <= len(got) < 40 and all(r.checked for r in got) and len(gaps) == 1
 
 
+@pytest.mark.parametrize("level", [0, 1, 9])
+@pytest.mark.parametrize("damage", ["crc", "size", "cut", "middle"])
+def test_salvage_gives_what_inflates_once(level, damage):
+    """A broken member of stored or of incompressible records: each record that inflates whole, once, the last one too."""
+    for n, noise in ((1, 20_000), (3, 0), (6, 20_000), (40, 300)):
+        r = random.Random(n)
+        bodies = [r.randbytes(noise) if noise else f"text {i} ".encode() * 30 for i in range(n)]
+        recs = [warc.record(i, f"http://h/{i}", b, warc.sha1_base32(b)) for i, b in enumerate(bodies)]
+        z = bytearray(gzip.compress(b"".join(recs), level, mtime=0))
+        if damage == "cut":
+            del z[-5:]
+        else:
+            z[{"crc": -8, "size": -1, "middle": len(z) // 2}[damage]] ^= 0x55
+        after = gzip.compress(warc.record(99, "u", b"later", "x"), mtime=0)
+        got, gaps = warc.salvage(bytes(z) + after)
+        ids = [x.headers["warc-record-id"] for x in got]
+        assert len(set(ids)) == len(ids) and ids[-1] == warc.record_id(99)
+        if damage != "middle":
+            assert ids[:-1] == [warc.record_id(i) for i in range(n)]
+        assert [(g.offset, g.length) for g in gaps if not g.inside] == [(0, len(z))]
+
+
+def test_equal_records_in_sound_members_stay():
+    rec = warc.record(1, "u", b"same", "x")
+    broken = bytearray(gzip.compress(rec, 0, mtime=0))
+    broken[-8] ^= 1
+    got, _ = warc.salvage(bytes(broken) + rec + gzip.compress(rec, mtime=0))
+    assert len(got) == 3
+
+
 def test_salvage_accounts_for_every_byte():
     r = random.Random(21)
     for _ in range(60):
@@ -656,3 +686,24 @@ def test_langid(spark, empty):
     assert held and np.mean([got[i].lang_pred == rows[i][2] for i in held]) > 0.97
     assert langid.identify(d, None).where("lang_pred != 'und'").count() == 0 and langid.identify(empty, m).count() == 0
     assert langid.family("es") == "romance" and langid.family("xx") == "xx" and langid.family("en-US") == langid.family("deu") == langid.family("nl_BE") == "germanic"
+
+
+def test_a_number_stands_for_two_values_at_most(spark):
+    item = "take 4 eggs then 4 cups of flour then 4 spoons of sugar and 4 pinches of salt to bake the old cake"
+    texts = [item.replace("4", "9"), item.replace("4 eggs", "7 eggs").replace("4 c", "8 c").replace("4 s", "8 s").replace("4 p", "8 p"), item.replace("4 eggs", "5 eggs").replace("4 cups", "6 cups").replace("4 spoons", "7 spoons").replace("4 pinches", "8 pinches")]
+    bench = spark.createDataFrame([(1, item), (2, "What is 12 of 30")], "item_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts), (9, "so what is 3 of 9 then"), (10, "so what is 12 of 30 then")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()) == [(0, 1), (1, 1), (10, 2)]
+
+
+def test_samples_are_exact_at_any_count(spark):
+    rows = [(7, "same text", "a")] * 3000 + [(i, f"t{i}", "b") for i in range(2500)] + [(None, None, "c")] * 5
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = kern.sampled(d, "lang", {"a": 40, "b": 100, "c": 40, "x": 3}, "doc_id", "text").collect()
+    assert Counter(r.lang for r in got) == {"a": 40, "b": 100, "c": 5}
+    again = kern.sampled(d.repartition(3), "lang", {"a": 40, "b": 100, "c": 40}, "doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, again), key=key)
+    assert d.where(kern.lower_part(1.0, "doc_id")).count() == len(rows)
+    # a share far below one in a million still has its part of the hash range
+    n = spark.range(1 << 21).where(kern.lower_part(3e-6, "id")).count()
+    assert 0 < n < 40

@@ -87,5 +87,5 @@ def test_scores_and_languages_against_loops(spark):
 
 
 def test_queries_and_sql_names():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
