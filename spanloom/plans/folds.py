@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.functions import lexicon
+from spanloom.functions import lexicon, scoring
 from spanloom.functions import text as T
 from spanloom.operators import segment
 
@@ -126,11 +126,16 @@ def _score(category: str) -> str:
 
 _CATEGORIES = [*lexicon.CATEGORIES, "weak_start"]
 
+def _any(rules) -> str:
+    return "(" + " OR ".join(_rule(p) for p, _ in rules) + ")"
+
+
 def profiles(words: str) -> str:
     """CTEs down to prof: sentences with the score of each category."""
     return f"""WITH RECURSIVE {sentences(words)},
 pl AS (SELECT *, regexp_replace(lower(text), '[^\\x00-\\x7F\\PL]', '_', 'g') AS plain, regexp_replace(translate(lower(text), '{"".join(_ACCENTS)}', '{"".join(_ACCENTS.values())}'), '[^\\x00-\\x7F\\PL]', '_', 'g') AS kept FROM sent),
-prof AS MATERIALIZED (SELECT tid, language, idx, start, "end", text, pause_before, pause_after, n_words, {", ".join(map(_score, _CATEGORIES))} FROM pl)"""
+prof AS MATERIALIZED (SELECT tid, language, idx, start, "end", text, pause_before, pause_after, n_words, {", ".join(map(_score, _CATEGORIES))},
+  {_any(lexicon.FILLER_ONLY)} AND n_words <= 5 AS filler, {_any(lexicon.TRANSITION_OUT)} AS transition FROM pl)"""
 
 
 SIGNAL_PROFILES = f"""{profiles(DOCUMENT_WORDS)} SELECT tid AS transcript_id, idx, {", ".join(_CATEGORIES)}, concat_ws(',', {", ".join(f"CASE WHEN {c} >= 0.5 THEN '{c}' END" for c in lexicon.CATEGORIES)}) AS tags FROM prof"""
@@ -166,7 +171,7 @@ pt AS (SELECT tid, blk, i, j, s[i + 1] AS start, e[j + 1] AS "end", span,
   least(1.0, greatest(0.0, 0.35 + least(0.3, pb[i + 1] / 1.2 * 0.3) + least(0.25, pa[j + 1] / 1.2 * 0.25) + CASE WHEN closes[j + 1] THEN 0.15 ELSE -0.10 END)) AS editability,
   list_sum(nw[i + 1 : j + 1]) / span AS pace FROM ft),
 win AS MATERIALIZED (SELECT tid, (i + blk * {block})::INT AS i, (j + blk * {block})::INT AS j, start, "end", CASE WHEN span > 0 THEN (25::DOUBLE * hook + 25 * payoff + 15 * emotion + 15 * curiosity + 10 * standalone + 10 * editability)
-  * (0.72 + 0.18 * exp(-((span - 45.0) ** 2) / (2 * 22.0 * 22.0)) + 0.10 * CASE WHEN pace < 2.6 THEN least(1.0, pace / 2.6) ELSE greatest(0.5, 1.0 - (pace - 2.6) / 4) END) ELSE 0.0 END AS score FROM pt)"""
+  * (0.72 + 0.18 * exp(-((span - 45.0) ** 2) / (2 * 22.0 * 22.0)) + 0.10 * CASE WHEN pace < 2.6 THEN least(1.0, pace / 2.6) ELSE greatest(0.5, 1.0 - (pace - 2.6) / 4) END) ELSE 0.0 END AS score, hook, payoff, emotion, curiosity, standalone, editability FROM pt)"""
 
 
 WINDOW_SCORES = f'{scored(DOCUMENT_WORDS)} SELECT tid AS transcript_id, i AS start_idx, j AS end_idx, start, "end", score FROM win'
@@ -179,9 +184,88 @@ def kept(words: str, block: int = 1 << 40) -> str:
 n AS (SELECT tid, i, j, start, "end", score, false AS kept, 0 AS step FROM win UNION ALL
   SELECT tid, i, j, start, "end", score, first, step + 1 FROM (SELECT *, row_number() OVER o = 1 AS first, first_value(start) OVER o AS ts, first_value("end") OVER o AS te FROM n WHERE NOT kept AND step < 400 WINDOW o AS (PARTITION BY tid ORDER BY score DESC, i DESC, j DESC))
   WHERE first OR NOT (greatest(te, "end") - least(ts, start) > 0 AND greatest(0.0, least(te, "end") - greatest(ts, start)) / (greatest(te, "end") - least(ts, start)) > 0.6)),
-k AS (SELECT n.*, list_transform([{", ".join(lexicon.CATEGORIES)}], lambda x: list_sum(x[i % {block} + 1 : j - i // {block} * {block} + 1])) AS t FROM n JOIN ar ON n.tid = ar.tid AND i // {block} = blk WHERE kept)
-SELECT tid AS transcript_id, i AS start_idx, j AS end_idx, start, "end", score, CASE WHEN top > 0.6 THEN {_KINDS} ELSE 'other' END AS clip_type FROM (SELECT *, list_max(t) AS top FROM k)"""
+k AS (SELECT n.*, list_transform([{", ".join(lexicon.CATEGORIES)}], lambda x: list_sum(x[i % {block} + 1 : j - i // {block} * {block} + 1])) AS t FROM n JOIN ar ON n.tid = ar.tid AND i // {block} = blk WHERE kept),
+found AS (SELECT tid, i, j, start, "end", score, CASE WHEN top > 0.6 THEN {_KINDS} ELSE 'other' END AS clip_type FROM (SELECT *, list_max(t) AS top FROM k))"""
+
+
+_FOUND = ' SELECT tid AS transcript_id, i AS start_idx, j AS end_idx, start, "end", score, clip_type FROM found'
+NMS = kept(DOCUMENT_WORDS) + _FOUND
+NMS_LONG = kept(JOINED_WORDS, 100) + _FOUND
+
+
+# ---- from windows to a final set --------------------------------------------------------
 
 
-NMS = kept(DOCUMENT_WORDS)
-NMS_LONG = kept(JOINED_WORDS, 100)
+def _iou(a: str, b: str) -> str:
+    return f"""(CASE WHEN greatest({a}."end", {b}."end") - least({a}.start, {b}.start) > 0 THEN greatest(0.0, least({a}."end", {b}."end") - greatest({a}.start, {b}.start)) / (greatest({a}."end", {b}."end") - least({a}.start, {b}.start)) ELSE 0.0 END)"""
+
+
+_KEYS = tuple(scoring.CATEGORY_MAX)
+
+
+def merged(pool: str, iou: float = 0.4, longest: float = 90.0, ceiling: float = 0.75, keys=_KEYS) -> str:
+    """CTEs down to merged (tid, l): the clips of `pool` (tid, pos, i, j, start, end, keys, overall, heuristic, confidence, clip_type) after the merge of overlaps, best first.
+
+    Clips are visited best first; each joins the kept one it overlaps most, or is kept.
+    """
+    pack = ", ".join(f"{c} := {v}" for c, v in {"pos": "pos", "i": "i", "j": "j", "start": "start", '"end"': '"end"', **{c: c for c in keys}, "overall": "overall", "heuristic": "heuristic", "confidence": "confidence", "clip_type": "clip_type", "source": "'heuristic'", "merged_from": "1"}.items())
+    wider = {"i": "least(x.i, c.i)", "j": "greatest(x.j, c.j)", "start": "CASE WHEN x.i <= c.i THEN x.start ELSE c.start END", '"end"': 'CASE WHEN x.j >= c.j THEN x."end" ELSE c."end" END'}
+    wider |= {k: f"greatest(x.{k}, c.{k})" for k in (*keys, "overall", "heuristic")} | {"source": "'merged'"}
+    fits = f"share < {ceiling} AND {wider[chr(34) + 'end' + chr(34)]} - {wider['start']} <= {longest}"
+    new = ", ".join(f"{f} := CASE WHEN {fits} THEN {wider[f]} ELSE x.{f} END" for f in wider)
+    return f"""mq AS (SELECT tid, list(struct_pack({pack}) ORDER BY overall DESC, start, pos) AS l, count(*) AS n FROM {pool} GROUP BY tid),
+md AS (SELECT tid, l, n, 1::BIGINT AS step, l[1:0] AS kept FROM mq UNION ALL
+  SELECT tid, l, n, step + 1, CASE WHEN share IS NULL OR share <= 0 OR share < {iou} THEN list_append(kept, c) ELSE list_transform(kept, lambda x, p: CASE WHEN p = best THEN
+      struct_pack(pos := x.pos, {new}, confidence := greatest(x.confidence, 0.9::DOUBLE * c.confidence), clip_type := x.clip_type, merged_from := x.merged_from + 1) ELSE x END) END FROM (
+    SELECT *, list_position(ov, share) AS best FROM (SELECT *, list_max(ov) AS share FROM (SELECT *, l[step] AS c, list_transform(kept, lambda x: {_iou("l[step]", "x")}) AS ov FROM md WHERE step <= n)))),
+merged AS (SELECT tid, kept AS l FROM md WHERE step = n + 1)"""
+
+
+def varied(clips: str, target: int = 12, lam: float = 0.7, min_gap: float = 5.0) -> str:
+    """CTEs down to varied (tid, rank, c): maximal marginal relevance over merged (tid, l) with `duration`, ranked by overall."""
+    near = f"""{_iou("c", "z")} > 0.05 OR (c.start < z."end" + {min_gap} AND z.start < c."end" + {min_gap})"""
+    like = f"""least(1.0, CASE WHEN c.clip_type = z.clip_type THEN 0.55::DOUBLE ELSE 0.0 END + 0.45::DOUBLE * greatest(0.0, 1.0 - abs((c.start + c."end") - (z.start + z."end")) / 2 / (greatest(1.0, duration) * 0.25)))"""
+    return f"""vo AS (SELECT tid, duration, list(c ORDER BY c.overall DESC, p) AS l FROM (SELECT tid, duration, unnest(l) AS c, unnest(range(len(l))) AS p FROM {clips}) GROUP BY tid, duration),
+vs AS (SELECT tid, duration, l, 1::BIGINT AS n, [1::BIGINT] AS chosen, list_transform(l, lambda c: 0.0::DOUBLE) AS near, list_transform(l, lambda c, p: p > 1) AS free FROM vo UNION ALL
+  SELECT tid, duration, l, n + 1, list_append(chosen, best), near, list_transform(free, lambda f, p: f AND p <> best) FROM (SELECT *, list_position(v, list_max(v)) AS best FROM (
+    SELECT tid, duration, l, n, chosen, near, free, list_transform(l, lambda c, p: CASE WHEN free[p] THEN {lam}::DOUBLE * c.overall / 100.0 - (1.0::DOUBLE - {lam}::DOUBLE) * near[p] END) AS v FROM (
+      SELECT tid, duration, l, n, chosen, list_transform(l, lambda c, p: greatest(near[p], {like})) AS near, list_transform(l, lambda c, p: free[p] AND NOT ({near})) AS free FROM (SELECT *, l[chosen[n]] AS z FROM vs WHERE n < {target})))
+  WHERE list_max(v) IS NOT NULL)),
+vl AS (SELECT tid, l, chosen FROM vs QUALIFY row_number() OVER (PARTITION BY tid ORDER BY n DESC) = 1),
+varied AS (SELECT tid, row_number() OVER (PARTITION BY tid ORDER BY c.overall DESC, k)::INT AS rank, c FROM (SELECT tid, unnest(list_transform(chosen, lambda x: l[x])) AS c, unnest(range(len(chosen))) AS k FROM vl))"""
+
+
+def trimmed(clips: str, low: float, most: int = 3) -> str:
+    """CTEs down to trimmed: clips (tid, i, j, ...) joined with fl, i and j moved in over fillers and transitions at the ends."""
+    out = []
+    for k in range(most):
+        out.append(f"tj{k} AS (SELECT * REPLACE (CASE WHEN j > i AND tail[j + 1] AND e[j] - s[i + 1] >= {low} THEN j - 1 ELSE j END AS j) FROM {clips if k == 0 else f'tj{k - 1}'})")
+    for k in range(most):
+        out.append(f"ti{k} AS (SELECT * REPLACE (CASE WHEN i < j AND head[i + 1] AND e[j + 1] - s[i + 2] >= {low} THEN i + 1 ELSE i END AS i) FROM {f'tj{most - 1}' if k == 0 else f'ti{k - 1}'})")
+    return ",\n".join(out) + f",\ntrimmed AS (SELECT * FROM ti{most - 1})"
+
+
+def analysis(words: str, low: float = 20.0, high: float = 90.0) -> str:
+    """CTEs down to clips, the columns of rank.finish: windows scored offline, the best sixty merged, a varied set, edges trimmed and padded."""
+    caps = scoring.CATEGORY_MAX
+    cap = ", ".join(f"round_even({k} * {v}, 1) AS {k}" for k, v in caps.items())
+    total = " + ".join(f"least({v}::DOUBLE, greatest(0.0, {k})) / {v} * {v}" for k, v in caps.items())
+    base = " + ".join(f"{share}::DOUBLE * c.{k} / {caps[k]} * 100" for k, share in scoring.VIRALITY_SHARE.items())
+    bonus = "CASE c.clip_type " + " ".join(f"WHEN '{t}' THEN {b}" for t, b in scoring.VIRALITY_BONUS.items()) + " ELSE 0.0 END"
+    return f"""{kept(words).replace("BETWEEN 20.0 AND 90.0", f"BETWEEN {low} AND {high}")},
+po AS (SELECT tid, pos, i, j, start, "end", heuristic, clip_type, {cap} FROM (SELECT *, round_even(score, 2) AS heuristic, row_number() OVER (PARTITION BY tid ORDER BY score DESC, i DESC, j DESC) AS pos FROM found JOIN win USING (tid, i, j, start, "end", score)) WHERE pos <= 60),
+pool AS (SELECT *, round_even(({total}) * 100.0 / 100.0, 2) AS overall, 0.35::DOUBLE AS confidence FROM po),
+{merged("pool", longest=high)},
+mw AS (SELECT tid, duration, l FROM merged JOIN w USING (tid)),
+{varied("mw")},
+fl AS (SELECT tid, list(start ORDER BY idx) AS s, list("end" ORDER BY idx) AS e, list(pause_before ORDER BY idx) AS pb, list(pause_after ORDER BY idx) AS pa, list(text ORDER BY idx) AS x, list(filler OR transition ORDER BY idx) AS tail, list(filler ORDER BY idx) AS head FROM prof GROUP BY tid),
+vf AS (SELECT tid, rank, c, c.i AS i, c.j AS j, s, e, pb, pa, x, tail, head FROM varied JOIN fl USING (tid)),
+{trimmed("vf", low)},
+tt AS (SELECT *, trim(array_to_string(x[i + 1 : j + 1], ' ')) AS body FROM trimmed),
+clips AS (SELECT tid AS transcript_id, rank, i AS start_idx, j AS end_idx, greatest(0.0, s[i + 1] - least(0.25::DOUBLE, 0.6::DOUBLE * pb[i + 1])) AS start, e[j + 1] + least(0.4::DOUBLE, 0.6::DOUBLE * greatest(0.0, pa[j + 1])) AS "end",
+  c.heuristic AS heuristic, c.overall AS overall, c.confidence AS confidence, c.clip_type AS clip_type, c.source AS source, c.merged_from::INT AS merged_from, {", ".join(f"c.{k} AS {k}" for k in caps)},
+  round_even(least(100.0, ({base}) + {bonus}), 1) AS virality, trim(left(CASE WHEN split_part(body, '.', 1) = '' THEN body ELSE split_part(body, '.', 1) END, 70)) AS title, left(x[i + 1], 200) AS hook_line, body AS text FROM tt)"""
+
+
+ANALYZE_DOCUMENTS = analysis(DOCUMENT_WORDS) + " SELECT * FROM clips"
+ANALYZE_CONVERSATIONS = analysis(TURN_WORDS, 5.0, 60.0) + " SELECT * FROM clips"

@@ -358,13 +358,13 @@ def _conversations(spark, d):
     return TR.flatten(TR.segments_from_conversations(table(spark, d, "conversations")))
 
 
-@query()
+@query(folds.ANALYZE_DOCUMENTS)
 def analyze_documents(spark, d):
     """The whole offline path: ranked clips of every document."""
     return analyze.clips(_documents(spark, d))
 
 
-@query()
+@query(folds.ANALYZE_CONVERSATIONS)
 def analyze_conversations(spark, d):
     return analyze.clips(_conversations(spark, d), {"min_duration": 5.0, "max_duration": 60.0})
 
