@@ -7,22 +7,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.operators import insights
+
 # Fixed values.
 FORMATS = {"9:16": (1080, 1920), "4:5": (1080, 1350), "1:1": (1080, 1080), "16:9": (1920, 1080)}
 ALPHA, MOVE, PIECE, SAME, DWELL, MOST = 0.35, 0.035, 0.7, 0.006, 0.45, 80
 
 
-def upper_median(values: str):
-    """Element floor(n / 2) of the sorted values, as an aggregate: no interpolation."""
-    s = F.array_sort(F.collect_list(values))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
-
-
 def mark_cuts(samples: DataFrame, group: str, order: str, diff: str) -> DataFrame:
     """samples with `cut`: a difference over 20 and over three times the median positive one; none if over 35 % of a group is flagged."""
     w = W.partitionBy(group)
     d = samples.withColumn("_i", F.row_number().over(w.orderBy(order)))
-    m = d.where((F.col("_i") > 1) & (F.col(diff) > 0)).groupBy(group).agg(upper_median(diff).alias("_m"))
+    m = insights.upper_median(d.where((F.col("_i") > 1) & (F.col(diff) > 0)), group, diff).withColumnRenamed("median", "_m")
     d = d.join(m, group, "left").withColumn("_f", F.coalesce((F.col("_i") > 1) & (F.col(diff) > F.greatest(F.lit(20.0), F.col("_m") * 3.0)), F.lit(False)))
     busy = F.sum(F.col("_f").cast("int")).over(w) / F.count(F.lit(1)).over(w) > 0.35
     return d.withColumn("cut", F.col("_f") & ~busy).drop("_i", "_m", "_f")

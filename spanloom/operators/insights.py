@@ -109,8 +109,8 @@ def without(performance: DataFrame, ids: DataFrame) -> DataFrame:
 
 def readiness(performance: DataFrame, group: str = "video_hash", value: str = "engagement") -> DataFrame:
     """One row: rows logged, rows with a signal (two or more in their group, with spread), how many it takes, and whether that is enough."""
-    some = zscores(performance, group, value).agg(F.count(F.lit(1)).alias("with_signal")).withColumn("_one", F.lit(1))
-    both = performance.agg(F.count(F.lit(1)).alias("count")).withColumn("_one", F.lit(1)).join(some, "_one").drop("_one")
+    g = performance.groupBy(group).agg(F.count(F.lit(1)).alias("_all"), F.count(value).alias("_n"), (F.max(value) > F.min(value)).alias("_spread"))
+    both = g.agg(F.coalesce(F.sum("_all"), F.lit(0)).alias("count"), F.coalesce(F.sum(F.when((F.col("_n") >= 2) & F.col("_spread"), F.col("_n"))), F.lit(0)).alias("with_signal"))
     reason = F.when(F.col("count") == 0, "No performance logged yet.").when(F.col("with_signal") < MIN_SAMPLE, F.concat(F.lit("only "), F.col("with_signal").cast("string"), F.lit(f" rows can be compared, {MIN_SAMPLE} are needed")))
     return both.select("count", "with_signal", F.lit(MIN_SAMPLE).alias("need"), (F.col("with_signal") >= MIN_SAMPLE).alias("ready"), reason.alias("reason"))
 

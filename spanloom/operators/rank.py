@@ -197,12 +197,16 @@ def compilation_pick(clips: DataFrame, most: int, group: str = "transcript_id")
 
 
 def prune_jobs(jobs: DataFrame, keep: int = 12) -> DataFrame:
-    """Jobs (id, status, finished_at) less the oldest finished ones beyond `keep`; jobs that still run stay."""
-    over = jobs.agg(F.greatest(F.lit(0), F.count(F.lit(1)) - keep).alias("_over"))
-    done = jobs.where(F.col("status").isin("done", "error", "cancelled"))
-    # one row against one row: the count goes with each finished job by a join on a constant
-    old = done.withColumns({"_age": F.row_number().over(W.partitionBy(F.lit(1)).orderBy("finished_at", "id")), "_one": F.lit(1)}).join(over.withColumn("_one", F.lit(1)), "_one").where(F.col("_age") <= F.col("_over"))
-    return jobs.join(old.select("id"), "id", "left_anti")
+    """Jobs (id, status, finished_at) less the oldest finished ones beyond `keep`; jobs that still run stay.
+
+    The finished jobs that stay are the newest `keep` less the running ones: a top-k over partitions, then a window over at most `keep` rows.
+    """
+    finished = F.col("status").isin("done", "error", "cancelled")
+    newest = jobs.where(finished).orderBy(F.desc("finished_at"), F.desc("id")).limit(keep)
+    newest = newest.withColumn("_place", F.row_number().over(W.orderBy(F.desc("finished_at"), F.desc("id"))))
+    running = jobs.agg(F.count(F.when(~F.coalesce(finished, F.lit(False)), 1)).alias("_running"))
+    stay = newest.crossJoin(F.broadcast(running)).where(F.col("_place") + F.col("_running") <= keep).select(*jobs.columns)  # one row
+    return jobs.where(~F.coalesce(finished, F.lit(False))).unionByName(stay)
 
 
 def rescored(pool: DataFrame, ranked: DataFrame, target: int) -> DataFrame:

@@ -188,8 +188,9 @@ def sentence_at(sents: DataFrame, points: DataFrame) -> DataFrame:
     """
     s = sents.select("transcript_id", F.col("end").alias("t"), F.col("idx").alias("_idx"))
     p = points.select("transcript_id", "t").distinct().withColumn("_idx", F.lit(None).cast(dict(sents.dtypes)["idx"]))
-    w = W.partitionBy("transcript_id").orderBy("t", F.col("_idx").asc_nulls_first())
-    after = F.first("_idx", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    # backwards, so that the frame only grows: one step a row
+    w = W.partitionBy("transcript_id").orderBy(F.desc("t"), F.col("_idx").desc_nulls_last())
+    after = F.last("_idx", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     last = F.max("_idx").over(W.partitionBy("transcript_id"))
     at = s.unionByName(p).withColumns({"idx": F.coalesce(after, last), "_known": F.col("_idx").isNotNull()}).where("not _known and idx is not null").select("transcript_id", "t", "idx")
     return points.join(at, ["transcript_id", "t"])

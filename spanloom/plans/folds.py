@@ -269,3 +269,37 @@ clips AS (SELECT tid AS transcript_id, rank, i AS start_idx, j AS end_idx, great
 
 ANALYZE_DOCUMENTS = analysis(DOCUMENT_WORDS) + " SELECT * FROM clips"
 ANALYZE_CONVERSATIONS = analysis(TURN_WORDS, 5.0, 60.0) + " SELECT * FROM clips"
+
+
+# ---- exports of the ranked clips ------------------------------------------------------------
+
+
+def _half_up(x: str, digits: int) -> str:
+    return f"round(({x})::VARCHAR::DECIMAL(38, 18), {digits})::DOUBLE"
+
+
+def _clock(x: str) -> str:
+    s = f"floor(greatest(0.0, {x}))::BIGINT"
+    return f"CASE WHEN {s} >= 3600 THEN lpad(({s} // 3600)::VARCHAR, greatest(2, length(({s} // 3600)::VARCHAR))::INT, '0') || ':' ELSE '' END || lpad(({s} % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad(({s} % 60)::VARCHAR, 2, '0')"
+
+
+_REPORT = f"""{analysis(DOCUMENT_WORDS)},
+report AS MATERIALIZED (SELECT transcript_id, rank, {_half_up("start", 2)} AS start, {_half_up('"end"', 2)} AS "end", {_clock("start")} AS start_tc, {_clock('"end"')} AS end_tc, {_half_up('"end" - start', 2)} AS duration, {_half_up("overall", 1)} AS score,
+  clip_type AS "type", title, '' AS reason, {", ".join(f"{_half_up(k, 1)} AS {k}" for k in _KEYS)}, confidence, text FROM clips)"""
+
+EXPORT_CSV = _REPORT + f""" SELECT transcript_id, rank, start, "end", start_tc, end_tc, duration, score, "type", title, reason, {", ".join(_KEYS)} FROM report"""
+EXPORT_JSON = _REPORT + f""", j AS (SELECT transcript_id, list(struct_pack(rank := rank, start := start, "end" := "end", duration := duration, start_tc := start_tc, end_tc := end_tc, score := score, scores := struct_pack({", ".join(f"{k} := {k}" for k in _KEYS)}),
+  confidence := confidence, "type" := "type", title := title, reason := reason, transcript := text) ORDER BY rank) AS clips FROM report GROUP BY transcript_id)
+SELECT transcript_id, to_json(struct_pack(video := transcript_id, clips := clips))::VARCHAR AS json FROM j"""
+EXPORT_TEXT = _REPORT + f""" SELECT transcript_id, rank, concat_ws(chr(10), '#' || rank || ' - ' || score || '/100   [' || "type" || ']', start_tc || ' -> ' || end_tc || '   (' || duration || 's)', 'Title: ' || title,
+  concat_ws(' | ', {", ".join(f"'{k.capitalize()} ' || {k} || '/{int(v)}'" for k, v in scoring.CATEGORY_MAX.items())}), 'Why: ', 'Transcript:', '  ' || array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' '), '{"-" * 66}') AS report FROM report"""
+
+_CUT = f"""{analysis(DOCUMENT_WORDS)},
+cut AS (SELECT clips.*, greatest(0.0, start - 0.15::DOUBLE) AS cut_start, CASE WHEN duration > 0 THEN least("end" + 0.35::DOUBLE, duration) ELSE "end" + 0.35::DOUBLE END AS cut_end FROM clips JOIN w ON tid = transcript_id)"""
+EXPORT_PLAN = _CUT + """, ef AS (SELECT *, unnest(['16:9', '9:16']) AS format, left(replace(trim(regexp_replace(title, '[^\\pL\\pN\\pM_\\s.-]', '', 'g')), ' ', '_'), 40) AS stem FROM cut),
+eg AS (SELECT *, 'clip_' || lpad(rank::VARCHAR, 2, '0') || '_' || CASE WHEN stem = '' THEN 'clips' ELSE stem END || '_' || replace(format, ':', 'x') || '.mp4' AS file, format = '16:9' AS stream_copy FROM ef)
+SELECT transcript_id, rank, format, cut_start, cut_end, file, stream_copy, concat_ws(' ', 'ffmpeg -y -ss', printf('%.3f', cut_start), '-i in.mp4 -t', printf('%.3f', cut_end - cut_start),
+  CASE WHEN stream_copy THEN '-c copy -avoid_negative_ts make_zero' ELSE '-c:v libx264 -preset veryfast -crf 20 -c:a aac' END, file) AS command FROM eg"""
+COMPILATION_PLAN = f"""{analysis(DOCUMENT_WORDS)},
+cut AS (SELECT transcript_id, rank, greatest(0.0, start - 0.15::DOUBLE) AS cut_start, "end" + 0.35::DOUBLE AS cut_end FROM clips)
+SELECT *, coalesce(sum(cut_end - cut_start) OVER (PARTITION BY transcript_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS music_offset FROM cut"""

@@ -472,33 +472,33 @@ def _reported(spark, d) -> DataFrame:
     return analyze.clips(_documents(spark, d)).withColumn("reason", F.lit(""))
 
 
-@query()
+@query(folds.EXPORT_CSV)
 def export_csv(spark, d):
     """K2: the CSV export's rows."""
     return exports.csv_rows(_reported(spark, d))
 
 
-@query()
+@query(folds.EXPORT_JSON)
 def export_json(spark, d):
     """K1: one JSON document a transcript."""
     return exports.json_rows(_reported(spark, d))
 
 
-@query()
+@query(folds.EXPORT_TEXT)
 def export_text(spark, d):
     """K3: text reports."""
     return exports.text_rows(_reported(spark, d))
 
 
-@query()
+@query(folds.EXPORT_PLAN)
 def export_plan(spark, d):
     """Cut commands of every clip and format."""
     t = _documents(spark, d)
     p = exports.plan_clips(analyze.clips(t), t.select("transcript_id", "duration"), ("16:9", "9:16"))
-    return p.select("transcript_id", "rank", "format", "cut_start", "cut_end", "file", "stream_copy", exports.cut_command(F.lit("in.mp4"), F.col("cut_start"), F.col("cut_end"), F.col("file"), F.col("stream_copy")).alias("command"))
+    return p.select("transcript_id", "rank", "format", "cut_start", "cut_end", "file", "stream_copy", F.array_join(exports.cut_command(F.lit("in.mp4"), F.col("cut_start"), F.col("cut_end"), F.col("file"), F.col("stream_copy")), " ").alias("command"))
 
 
-@query()
+@query(folds.COMPILATION_PLAN)
 def compilation_plan(spark, d):
     """Spans of a compilation with running music offsets."""
     return exports.plan_compilation(analyze.clips(_documents(spark, d)), "transcript_id", "rank").select("transcript_id", "rank", "cut_start", "cut_end", "music_offset")
@@ -519,17 +519,25 @@ def speech_check(spark, d):
     return segment.require_speech(segment.explode(segment.build(_documents(spark, d))))
 
 
-# ---- predicates and scalars over lines of a fixed set -------------------------------
+# ---- predicates and scalars over the lines and words of conversations -----------------------
 
-_LINES = ["Yeah.", "okay", "OK, so we left", "Let's move on to it", "thanks", "um", "Uh,", "...hmm!", "Anyway, that was it", "[music]", "Thank you for watching!", "  ", "you", "we should probably talk about it", "exactly right you are", "Sure!"]
-_LINES_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _LINES) + "]"
-_PART_LINES = f"l AS (SELECT p_partkey, CASE WHEN p_partkey % 17 = 16 THEN p_name ELSE ({_LINES_SQL})[(p_partkey % 17)::INT + 1] END AS line, (p_size % 10) / 10.0 AS ns, -(p_size % 7) / 5.0 AS lp FROM part)"
+#: Every turn whole, and its sentences' worth of lines: what lies between marks.
+_TURN_LINES = r"""l AS (SELECT conv_id, turn, k, line, (conv_id + turn + k) % 10 / 10.0 AS ns, -((conv_id + turn + k) % 7) / 5.0 AS lp FROM (
+  SELECT conv_id, turn, unnest(x) AS line, unnest(range(len(x))) AS k FROM (SELECT conv_id, turn, list_prepend(coalesce(text, ''), regexp_split_to_array(coalesce(text, ''), '[.!?,;:]')) AS x FROM conversations)))"""
+_TURN_TOKENS = r"l AS (SELECT conv_id, turn, unnest(x) AS line, unnest(range(len(x))) AS k FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS x FROM conversations))"
 
 
 def _lines(spark, d) -> DataFrame:
-    p = table(spark, d, "part")
-    line = F.when(F.col("p_partkey") % 17 == 16, F.col("p_name")).otherwise(F.get(F.array(*[F.lit(x) for x in _LINES]), (F.col("p_partkey") % 17).cast("int")))
-    return p.select("p_partkey", line.alias("line"), (F.col("p_size") % 10 / 10.0).alias("ns"), (-(F.col("p_size") % 7) / 5.0).alias("lp"))
+    text = F.coalesce("text", F.lit(""))
+    all_ = F.concat(F.array(text), F.split(text, "[.!?,;:]"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(all_).alias("k", "line"))
+    n = F.col("conv_id") + F.col("turn") + F.col("k")
+    return c.select("conv_id", "turn", F.col("k").cast("long").alias("k"), "line", (n % 10 / 10.0).alias("ns"), (-(n % 7) / 5.0).alias("lp"))
+
+
+def _tokens(spark, d) -> DataFrame:
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.words(F.coalesce("text", F.lit("")))).alias("k", "line"))
+    return c.withColumn("k", F.col("k").cast("long"))
 
 
 def _any(rules) -> str:
@@ -543,29 +551,29 @@ def _among(values) -> str:
 _N_WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
 
 
-@query(f"WITH {_PART_LINES} SELECT p_partkey, {_any(lexicon.FILLER_ONLY)} AND {_N_WORDS.format('line')} <= 5 AS filler, {_any(lexicon.TRANSITION_OUT)} AS transition FROM l")
+@query(f"WITH {_TURN_LINES} SELECT conv_id, turn, k, {_any(lexicon.FILLER_ONLY)} AND {_N_WORDS.format('line')} <= 5 AS filler, {_any(lexicon.TRANSITION_OUT)} AS transition FROM l")
 def line_kinds(spark, d):
     """Bare acknowledgements and lines that change the subject."""
-    return _lines(spark, d).select("p_partkey", T.is_filler(F.col("line")).alias("filler"), T.is_transition(F.col("line")).alias("transition"))
+    return _lines(spark, d).select("conv_id", "turn", "k", T.is_filler(F.col("line")).alias("filler"), T.is_transition(F.col("line")).alias("transition"))
 
 
-@query(f"WITH {_PART_LINES} SELECT p_partkey, lower(regexp_replace(line, '^[ .,!?…-]+|[ .,!?…-]+$', '', 'g')) IN ({_among(T.FILLER_WORDS)}) AS filler_word FROM l")
+@query(f"WITH {_TURN_TOKENS} SELECT conv_id, turn, k, lower(regexp_replace(line, '^[ .,!?…-]+|[ .,!?…-]+$', '', 'g')) IN ({_among(T.FILLER_WORDS)}) AS filler_word FROM l")
 def filler_words(spark, d):
     """P5: words that only fill a pause."""
-    return _lines(spark, d).select("p_partkey", T.is_filler_word(F.col("line")).alias("filler_word"))
+    return _tokens(spark, d).select("conv_id", "turn", "k", T.is_filler_word(F.col("line")).alias("filler_word"))
 
 
-@query(rf"""WITH {_PART_LINES}, n AS (SELECT *, trim(line) AS t, trim(regexp_replace(lower(line), '[^\pL\pN\s]', '', 'g')) AS n FROM l)
-SELECT p_partkey, line FROM n WHERE NOT (t = '' OR (ns >= 0.6 AND lp < -0.5 AND {_N_WORDS.format('n')} <= 3) OR regexp_full_match(t, '[\[(♪].*[\])♪]') OR t = '♪' OR (ns >= 0.5 AND n IN ({_among(T.HALLUCINATIONS)})))""")
+@query(rf"""WITH {_TURN_LINES}, n AS (SELECT *, trim(line) AS t, trim(regexp_replace(lower(line), '[^\pL\pN\s]', '', 'g')) AS n FROM l)
+SELECT conv_id, turn, k, line FROM n WHERE NOT (t = '' OR (ns >= 0.6 AND lp < -0.5 AND {_N_WORDS.format('n')} <= 3) OR regexp_full_match(t, '[\[(♪].*[\])♪]') OR t = '♪' OR (ns >= 0.5 AND n IN ({_among(T.HALLUCINATIONS)})))""")
 def hallucination_filter(spark, d):
     """Lines left without what a recogniser makes up over silence."""
-    return _lines(spark, d).where(~T.is_hallucination(F.col("line"), F.col("ns"), F.col("lp"))).select("p_partkey", "line")
+    return _lines(spark, d).where(~T.is_hallucination(F.col("line"), F.col("ns"), F.col("lp"))).select("conv_id", "turn", "k", "line")
 
 
-@query(f"""WITH {_PART_LINES} SELECT p_partkey, translate(upper(regexp_replace(trim(line), '[,.!?;:"“”«»]+$', '', 'g')), '{{}}', '()') AS caption FROM l""")
+@query(f"""WITH {_TURN_TOKENS} SELECT conv_id, turn, k, translate(upper(replace(regexp_replace(trim(line), '[,.!?;:"“”«»]+$', '', 'g'), 'ß', 'SS')), '{{}}', '()') AS caption FROM l""")
 def caption_text(spark, d):
     """the words of a caption, upper case without closing punctuation."""
-    return _lines(spark, d).select("p_partkey", T.caption_text(F.col("line")).alias("caption"))
+    return _tokens(spark, d).select("conv_id", "turn", "k", T.caption_text(F.col("line")).alias("caption"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey)::INT AS rank FROM lineitem QUALIFY rank <= 3")
@@ -681,12 +689,12 @@ def prune_jobs(spark, d):
     return rank.prune_jobs(j).select("id", "status")
 
 
-@query("""WITH p AS (SELECT user_id::VARCHAR AS g, value FROM events WHERE user_id % 40 < 3 UNION ALL SELECT 'alone', 1.0), w AS (SELECT count(*) OVER (PARTITION BY g) AS n, stddev_pop(value) OVER (PARTITION BY g) AS sd FROM p)
-SELECT count(*) AS count, count(*) FILTER (n >= 2 AND sd > 0) AS with_signal, 5 AS need, count(*) FILTER (n >= 2 AND sd > 0) >= 5 AS ready FROM w""")
+@query("""WITH w AS (SELECT count(*) OVER (PARTITION BY user_id) AS n, min(value) OVER (PARTITION BY user_id) < max(value) OVER (PARTITION BY user_id) AS spread FROM events)
+SELECT count(*) AS count, count(*) FILTER (n >= 2 AND spread) AS with_signal, 5 AS need, count(*) FILTER (n >= 2 AND spread) >= 5 AS ready FROM w""")
 def readiness(spark, d):
-    """Whether enough rows can be compared."""
-    p = table(spark, d, "events").where("user_id % 40 < 3").select(F.col("user_id").cast("string").alias("video_hash"), F.col("value").alias("engagement"))
-    return insights.readiness(p.union(spark.createDataFrame([("alone", 1.0)], p.schema))).drop("reason")
+    """Whether enough rows can be compared, over all events."""
+    p = table(spark, d, "events").select(F.col("user_id").cast("string").alias("video_hash"), F.col("value").alias("engagement"))
+    return insights.readiness(p).drop("reason")
 
 
 @query("""SELECT o_orderkey AS id, o_custkey::VARCHAR AS video_hash, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 25)::DOUBLE END AS hook, (o_orderkey % 1000 + 3 * (o_orderkey % 50))::DOUBLE AS engagement
