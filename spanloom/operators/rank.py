@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,30 +79,32 @@ def similarity(a: dict, b: dict, duration: float) -> float:
 
 
 def select(clips: list[dict], target: int, duration: float, lam: float = 0.7, min_gap: float = 5.0) -> list[dict]:
-    """Maximal marginal relevance: the best first, then the best of quality less likeness, away from all chosen; ranks by overall."""
+    """Maximal marginal relevance: the best first, then the best of quality less likeness, away from all chosen; ranks by overall.
+
+    Likeness only grows with what is chosen, so a value worked out earlier is an upper bound: clips wait in a heap by that
+    bound, and only the one on top is brought up to date, until the top already is.  Equal values go by overall order.
+    """
     pool = sorted(clips, key=lambda c: -c["overall"])
-    if not pool:
-        return []
     lam = min(1.0, max(0.0, lam))
-    chosen, pool = [pool[0]], pool[1:]
-    likeness = [0.0] * len(pool)
-    free = [True] * len(pool)
-    while len(chosen) < target:
-        last, best = chosen[-1], None
-        for k, c in enumerate(pool):
-            if not free[k]:
-                continue
-            if overlap(c, last) > 0.05 or (c["start"] < last["end"] + min_gap and last["start"] < c["end"] + min_gap):
-                free[k] = False  # what clashes once clashes for good
-                continue
-            likeness[k] = max(likeness[k], similarity(c, last, duration))
-            value = lam * c["overall"] / 100.0 - (1.0 - lam) * likeness[k]
-            if best is None or value > best[0]:
-                best = (value, k)
-        if best is None:
-            break
-        free[best[1]] = False
-        chosen.append(pool[best[1]])
+    chosen = pool[:1]
+
+    def value(c, likeness):
+        return lam * c["overall"] / 100.0 - (1.0 - lam) * likeness
+
+    heap = [(-value(c, 0.0), k, 0, 0.0) for k, c in enumerate(pool) if k]
+    heapq.heapify(heap)
+    while heap and len(chosen) < target:
+        _, k, seen, likeness = heap[0]
+        if seen == len(chosen):
+            heapq.heappop(heap)
+            chosen.append(pool[k])
+            continue
+        c, new = pool[k], chosen[seen:]
+        if any(overlap(c, x) > 0.05 or (c["start"] < x["end"] + min_gap and x["start"] < c["end"] + min_gap) for x in new):
+            heapq.heappop(heap)  # what clashes once clashes for good
+            continue
+        likeness = max(likeness, *(similarity(c, x, duration) for x in new))
+        heapq.heapreplace(heap, (-value(c, likeness), k, len(chosen), likeness))
     chosen.sort(key=lambda c: -c["overall"])
     return [{**c, "rank": n} for n, c in enumerate(chosen, 1)]
 
@@ -142,6 +146,50 @@ def trim_edges(s: dict, i: int, j: int, low: float, tail_flags, head_flags, most
     return i, j
 
 
+def _pool(pdf: pd.DataFrame) -> list[dict]:
+    return [{**r, "scores": {k: r[k] for k in scoring.CATEGORY_MAX if k in r}} for r in pdf.sort_values("pos").to_dict("records")]
+
+
+def dedupe_rows(clips: DataFrame, group: str, iou: float = 0.4, longest: float = 90.0, ceiling: float = 0.75) -> DataFrame:
+    """dedupe over rows (group, pos, start_idx, end_idx, start, end, overall, heuristic, confidence, clip_type, source, merged_from, some of the six scores), pos the order of equal clips; a group is a pool, which the caller has capped."""
+    names = clips.columns
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, end = dict(zip(pdf["start_idx"], pdf["start"])), dict(zip(pdf["end_idx"], pdf["end"]))
+        return pd.DataFrame([{**c, **c["scores"]} for c in dedupe(_pool(pdf), start, end, iou, longest, ceiling)], columns=[*names, "reason", "title"])[names]
+
+    return clips.groupBy(group).applyInPandas(run, clips.schema)
+
+
+def mmr_rows(clips: DataFrame, group: str, target: int = 12, lam: float = 0.7, min_gap: float = 5.0) -> DataFrame:
+    """select over rows (group, pos, start, end, overall, clip_type, duration), pos the order of equal clips, with `rank`; a group is a pool, which the caller has capped."""
+    schema = clips.withColumn("rank", F.lit(0)).schema
+    names = schema.names
+    return clips.groupBy(group).applyInPandas(lambda pdf: pd.DataFrame(select(_pool(pdf), target, float(pdf["duration"].iloc[0]), lam, min_gap), columns=names), schema)
+
+
+def fit_rows(built: DataFrame, spans: str, low: float = 20.0, high: float = 90.0) -> DataFrame:
+    """(transcript_id, start_idx, end_idx, fit_start, fit_end, trim_start, trim_end) of rows with sentences and an array column of spans {start_idx, end_idx}: fitted to the length band (null: cannot be), then with fillers and transitions off its ends."""
+    from spanloom.functions import text as T
+
+    names = ["transcript_id", "start_idx", "end_idx", "fit_start", "fit_end", "trim_start", "trim_end"]
+    flags = [F.transform("sentences", lambda s: T.is_transition(s["text"]) | T.is_filler(s["text"])).alias("_tail"), F.transform("sentences", lambda s: T.is_filler(s["text"])).alias("_head")]
+    fields = [F.col(f"sentences.{c}").alias(f"_{c}") for c in ("start", "end", "pause_before", "pause_after")]
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for tid, tail, head, start, end, before, after, wanted in f.itertuples(index=False):
+                s = {"start": start, "end": end, "pause_before": before, "pause_after": after}
+                for w in wanted if len(start) else ():
+                    got = fit_duration(s, w["start_idx"], w["end_idx"], low, high)
+                    cut = trim_edges(s, *got, low, tail, head) if got else (None, None)
+                    rows.append((tid, w["start_idx"], w["end_idx"], *(got or (None, None)), *cut))
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names[1:]})
+
+    return built.select("transcript_id", *flags, *fields, spans).mapInPandas(run, "transcript_id string, " + ", ".join(f"{c} int" for c in names[1:]))
+
+
 def padded(s: dict, i: int, j: int, lead: float = 0.25, tail: float = 0.40) -> tuple[float, float]:
     return max(0.0, s["start"][i] - min(lead, 0.6 * s["pause_before"][i])), s["end"][j] + min(tail, 0.6 * max(0.0, s["pause_after"][j]))
 

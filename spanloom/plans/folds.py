@@ -303,3 +303,34 @@ SELECT transcript_id, rank, format, cut_start, cut_end, file, stream_copy, conca
 COMPILATION_PLAN = f"""{analysis(DOCUMENT_WORDS)},
 cut AS (SELECT transcript_id, rank, greatest(0.0, start - 0.15::DOUBLE) AS cut_start, "end" + 0.35::DOUBLE AS cut_end FROM clips)
 SELECT *, coalesce(sum(cut_end - cut_start) OVER (PARTITION BY transcript_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS music_offset FROM cut"""
+
+
+# ---- the steps of the offline path on pools of their own -----------------------------------
+
+#: Orders of a customer as clips of five-second sentences.
+_ORDER_POOL = """pool AS (SELECT o_custkey::VARCHAR AS tid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, i, j, i * 5.0::DOUBLE AS start, (j + 1) * 5.0::DOUBLE AS "end", hook, payoff, overall, heuristic, confidence, clip_type FROM (
+  SELECT o_custkey, o_orderkey, o_orderkey % 60 AS i, o_orderkey % 60 + 3 + o_orderkey % 11 AS j, (o_orderkey % 250) / 10.0::DOUBLE AS hook, (o_orderkey % 90) / 4.0::DOUBLE AS payoff, (o_orderkey * 7 % 1000) / 10.0::DOUBLE AS overall,
+    (o_orderkey % 77)::DOUBLE AS heuristic, (o_orderkey % 10) / 10.0::DOUBLE AS confidence, o_orderpriority AS clip_type FROM orders))"""
+
+DEDUPE_MERGE = f"""WITH RECURSIVE {_ORDER_POOL}, {merged("pool", keys=("hook", "payoff"))}
+SELECT tid AS customer, c.pos AS pos, c.i AS start_idx, c.j AS end_idx, c.start AS start, c."end" AS "end", c.hook AS hook, c.payoff AS payoff, c.overall AS overall, c.heuristic AS heuristic, c.confidence AS confidence, c.clip_type AS clip_type, c.source AS source, c.merged_from::INT AS merged_from
+FROM (SELECT tid, unnest(l) AS c FROM merged)"""
+
+MMR = f"""WITH RECURSIVE {_ORDER_POOL}, mp AS (SELECT tid, 400.0::DOUBLE AS duration, list(struct_pack(pos := pos, start := start, "end" := "end", overall := overall, clip_type := clip_type) ORDER BY pos) AS l FROM pool GROUP BY tid),
+{varied("mp", 5)} SELECT tid AS customer, c.pos AS pos, c.start AS start, c."end" AS "end", c.overall AS overall, c.clip_type AS clip_type, rank FROM varied"""
+
+
+def fitted(words: str, low: float, high: float, span: str) -> str:
+    """Spans that begin at each sentence, grown towards the smaller pause until long enough, shrunk from the weaker end until short enough, then trimmed."""
+    return f"""{profiles(words)},
+fl AS (SELECT tid, count(*) AS n, list(start ORDER BY idx) AS s, list("end" ORDER BY idx) AS e, list(pause_before ORDER BY idx) AS pb, list(pause_after ORDER BY idx) AS pa, list(filler OR transition ORDER BY idx) AS tail, list(filler ORDER BY idx) AS head FROM prof GROUP BY tid),
+gr AS (SELECT tid, idx::BIGINT AS a, (idx + {span})::BIGINT AS z, least(n - 1, idx)::BIGINT AS i, least(n - 1, idx + {span})::BIGINT AS j, 1 AS phase FROM prof JOIN fl USING (tid) UNION ALL
+  SELECT tid, a, z, CASE WHEN phase = 1 AND NOT stop AND NOT later THEN i - 1 WHEN phase = 2 AND NOT stop AND NOT tail_weak THEN i + 1 ELSE i END, CASE WHEN phase = 1 AND NOT stop AND later THEN j + 1 WHEN phase = 2 AND NOT stop AND tail_weak THEN j - 1 ELSE j END,
+    CASE WHEN stop THEN phase + 1 ELSE phase END FROM (
+    SELECT gr.*, CASE phase WHEN 1 THEN e[j + 1] - s[i + 1] >= {low} OR (i = 0 AND j = n - 1) ELSE e[j + 1] - s[i + 1] <= {high} OR i >= j END AS stop, i = 0 OR (j < n - 1 AND pa[j + 1] <= pb[i + 1]) AS later, pb[j + 1] >= pa[i + 1] AS tail_weak FROM gr JOIN fl USING (tid) WHERE phase < 3)),
+fx AS (SELECT gr.tid AS tid, a, z, i, j, i AS fi, j AS fj, s, e, tail, head, e[j + 1] - s[i + 1] BETWEEN 0.6::DOUBLE * {low} AND 1.35::DOUBLE * {high} AS ok FROM gr JOIN fl USING (tid) WHERE phase = 3),
+{trimmed("fx", low)}
+SELECT tid AS transcript_id, a::INT AS start_idx, z::INT AS end_idx, CASE WHEN ok THEN fi END::INT AS fit_start, CASE WHEN ok THEN fj END::INT AS fit_end, CASE WHEN ok THEN i END::INT AS trim_start, CASE WHEN ok THEN j END::INT AS trim_end FROM trimmed"""
+
+
+FIT_TRIM = fitted(TURN_WORDS, 8.0, 30.0, "idx % 4")

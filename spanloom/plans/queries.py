@@ -425,6 +425,38 @@ def phrases_long(spark, d):
     return p.select("transcript_id", F.col("idx").alias("phrase"), "start", "end", "n_words", "text")
 
 
+def _order_pool(spark, d) -> DataFrame:
+    """Orders of a customer as clips of five-second sentences."""
+    k, i = F.col("o_orderkey"), F.col("o_orderkey") % 60
+    j = i + 3 + k % 11
+    number = lambda c: c.cast("double")
+    return table(spark, d, "orders").select(
+        F.col("o_custkey").cast("string").alias("customer"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("pos"), i.alias("start_idx"), j.alias("end_idx"), (i * 5.0).alias("start"), ((j + 1) * 5.0).alias("end"),
+        (k % 250 / 10.0).alias("hook"), (k % 90 / 4.0).alias("payoff"), (k * 7 % 1000 / 10.0).alias("overall"), number(k % 77).alias("heuristic"), (k % 10 / 10.0).alias("confidence"), F.col("o_orderpriority").alias("clip_type"), F.lit("heuristic").alias("source"), F.lit(1).alias("merged_from"),
+    )
+
+
+@query(folds.DEDUPE_MERGE)
+def dedupe_merge(spark, d):
+    """Overlapping clips of a pool merged, best first."""
+    return rank.dedupe_rows(_order_pool(spark, d), "customer")
+
+
+@query(folds.MMR)
+def mmr(spark, d):
+    """A varied set of five from each pool."""
+    p = _order_pool(spark, d).select("customer", "pos", "start", "end", "overall", "clip_type").withColumn("duration", F.lit(400.0))
+    return rank.mmr_rows(p, "customer", 5).drop("duration")
+
+
+@query(folds.FIT_TRIM)
+def fit_trim(spark, d):
+    """spans from each sentence of conversations, fitted to 8 to 30 seconds and trimmed at the edges."""
+    b = segment.build(_conversations(spark, d))
+    spans = b.withColumn("spans", F.transform("sentences", lambda s: F.struct(s["idx"].alias("start_idx"), (s["idx"] + s["idx"] % 4).alias("end_idx"))))
+    return rank.fit_rows(spans, "spans", 8.0, 30.0)
+
+
 @query(folds.BLOCKS)
 def blocks(spark, d):
     """Overlapping blocks."""
