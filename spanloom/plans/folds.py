@@ -245,16 +245,21 @@ def trimmed(clips: str, low: float, most: int = 3) -> str:
     return ",\n".join(out) + f",\ntrimmed AS (SELECT * FROM ti{most - 1})"
 
 
+def _exact(x: str, digits: int) -> str:
+    """Rounded by the exact value of a double, exact halves to even: as it prints."""
+    return f"printf('%.{digits}f', ({x})::DOUBLE)::DOUBLE"
+
+
 def analysis(words: str, low: float = 20.0, high: float = 90.0) -> str:
     """CTEs down to clips, the columns of rank.finish: windows scored offline, the best sixty merged, a varied set, edges trimmed and padded."""
     caps = scoring.CATEGORY_MAX
-    cap = ", ".join(f"round_even({k} * {v}, 1) AS {k}" for k, v in caps.items())
+    cap = ", ".join(f"{_exact(f'{k} * {v}', 1)} AS {k}" for k, v in caps.items())
     total = " + ".join(f"least({v}::DOUBLE, greatest(0.0, {k})) / {v} * {v}" for k, v in caps.items())
     base = " + ".join(f"{share}::DOUBLE * c.{k} / {caps[k]} * 100" for k, share in scoring.VIRALITY_SHARE.items())
     bonus = "CASE c.clip_type " + " ".join(f"WHEN '{t}' THEN {b}" for t, b in scoring.VIRALITY_BONUS.items()) + " ELSE 0.0 END"
     return f"""{kept(words).replace("BETWEEN 20.0 AND 90.0", f"BETWEEN {low} AND {high}")},
-po AS (SELECT tid, pos, i, j, start, "end", heuristic, clip_type, {cap} FROM (SELECT *, round_even(score, 2) AS heuristic, row_number() OVER (PARTITION BY tid ORDER BY score DESC, i DESC, j DESC) AS pos FROM found JOIN win USING (tid, i, j, start, "end", score)) WHERE pos <= 60),
-pool AS (SELECT *, round_even(({total}) * 100.0 / 100.0, 2) AS overall, 0.35::DOUBLE AS confidence FROM po),
+po AS (SELECT tid, pos, i, j, start, "end", heuristic, clip_type, {cap} FROM (SELECT *, {_exact("score", 2)} AS heuristic, row_number() OVER (PARTITION BY tid ORDER BY score DESC, i DESC, j DESC) AS pos FROM found JOIN win USING (tid, i, j, start, "end", score)) WHERE pos <= 60),
+pool AS (SELECT *, {_exact(f"({total}) * 100.0 / 100.0", 2)} AS overall, 0.35::DOUBLE AS confidence FROM po),
 {merged("pool", longest=high)},
 mw AS (SELECT tid, duration, l FROM merged JOIN w USING (tid)),
 {varied("mw")},
@@ -264,7 +269,7 @@ vf AS (SELECT tid, rank, c, c.i AS i, c.j AS j, s, e, pb, pa, x, tail, head FROM
 tt AS (SELECT *, trim(array_to_string(x[i + 1 : j + 1], ' ')) AS body FROM trimmed),
 clips AS (SELECT tid AS transcript_id, rank, i AS start_idx, j AS end_idx, greatest(0.0, s[i + 1] - least(0.25::DOUBLE, 0.6::DOUBLE * pb[i + 1])) AS start, e[j + 1] + least(0.4::DOUBLE, 0.6::DOUBLE * greatest(0.0, pa[j + 1])) AS "end",
   c.heuristic AS heuristic, c.overall AS overall, c.confidence AS confidence, c.clip_type AS clip_type, c.source AS source, c.merged_from::INT AS merged_from, {", ".join(f"c.{k} AS {k}" for k in caps)},
-  round_even(least(100.0, ({base}) + {bonus}), 1) AS virality, trim(left(CASE WHEN split_part(body, '.', 1) = '' THEN body ELSE split_part(body, '.', 1) END, 70)) AS title, left(x[i + 1], 200) AS hook_line, body AS text FROM tt)"""
+  {_exact(f"least(100.0, ({base}) + {bonus})", 1)} AS virality, trim(left(CASE WHEN split_part(body, '.', 1) = '' THEN body ELSE split_part(body, '.', 1) END, 70)) AS title, left(x[i + 1], 200) AS hook_line, body AS text FROM tt)"""
 
 
 ANALYZE_DOCUMENTS = analysis(DOCUMENT_WORDS) + " SELECT * FROM clips"
