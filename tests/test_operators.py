@@ -150,6 +150,47 @@ def test_plan_with_a_model(spark):
     assert {(r.start, r.end) for r in analyze.with_model(t, models.Offline()).collect()} == plain
 
 
+class Counting(Replies):
+    """Writes a line for each call."""
+
+    def __init__(self, log):
+        self.log = log
+
+    def complete(self, system, user, schema):
+        import hashlib
+
+        with open(self.log, "a") as f:
+            f.write(hashlib.sha1(user.encode()).hexdigest() + "\n")
+        return super().complete(system, user, schema)
+
+
+def test_the_model_is_asked_once(spark, tmp_path):
+    """Whatever is evaluated again, no prompt is asked twice; a run on the same ledger asks nothing."""
+    text = " ".join(f"This is sentence number {i} and it goes on for a few more words here." for i in range(80))
+    docs = spark.createDataFrame([(i, f"{i} {text}", "en") for i in range(4)] + [(9, f"0 {text}", "en")], "doc_id long, text string, lang string")
+    t = transcripts.from_documents(docs)
+    log, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    first = analyze.with_model(t, Counting(str(log)), {"wait": 0.0}, ledger)
+    want = sorted(map(str, first.collect()))
+    calls = log.read_text().split()
+    assert calls and len(calls) == len(set(calls))
+    spark.catalog.clearCache()
+    assert sorted(map(str, first.collect())) == want and log.read_text().split() == calls
+    assert sorted(map(str, analyze.with_model(t, Counting(str(log)), {"wait": 0.0}, ledger).collect())) == want
+    assert log.read_text().split() == calls
+    # the ledger gives the same replies to another backend
+    assert sorted(map(str, analyze.with_model(t, models.Offline(), {"wait": 0.0}, ledger).collect())) == want
+
+
+def test_failed_prompts_are_asked_again_by_the_next_run(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    d = spark.createDataFrame([(1, "an apple"), (2, "a pear"), (3, "an apple"), (4, None)], "i int, prompt string")
+    one = {r.i: r.reply for r in models.replies_once(d, models.Canned({"apple": "A"}), "s", ledger, wait=0.0).collect()}
+    two = {r.i: r.reply for r in models.replies_once(d, models.Canned({"pear": "P"}), "s", ledger, wait=0.0).collect()}
+    assert one == {1: "A", 2: None, 3: "A", 4: None} and two == {1: "A", 2: "P", 3: "A", 4: None}
+    assert models.ledger_table(spark, ledger).count() == 2
+
+
 def _clips(spark, ids):
     rows = [(t, 1, 10.0, 40.5, 77.25, "story", "A title, with a comma", "because\nso", "the text", *[9.0] * 6, 0.4, 60.0) for t in ids]
     return spark.createDataFrame(rows, "transcript_id string, rank int, start double, end double, overall double, clip_type string, title string, reason string, text string, hook double, payoff double, emotion double, curiosity double, standalone double, editability double, confidence double, virality double")
