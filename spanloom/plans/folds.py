@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from spanloom.functions import lexicon, scoring
 from spanloom.functions import text as T
-from spanloom.operators import segment
+from spanloom.operators import models, segment
 
 
 def _quoted(values) -> str:
@@ -66,6 +66,12 @@ k AS (SELECT tid, 0::BIGINT AS block, 0::BIGINT AS i, s, e, n, coalesce(list_pos
     SELECT *, greatest(i + 1, i + len(list_filter(s[i + 1 : j + 1], lambda x: x <= e[j + 1] - 45.0)) - 1) AS i2 FROM k) WHERE j < n - 1)
 SELECT tid AS transcript_id, block::INT AS block, i::INT AS start_idx, j::INT AS end_idx FROM k"""
 
+_ASKED = models._asked(5, 20.0, 90.0).replace("'", "''")
+#: The lines of each block under its task.
+BLOCK_PROMPTS = BLOCKS.replace("SELECT tid AS transcript_id, block::INT AS block", f"""SELECT transcript_id, block, start_idx, end_idx, sha256('{_ASKED}' || string_agg('[' || idx || '] ' || CASE WHEN pause_before >= 1.0 THEN '«pause» ' ELSE '' END || text, chr(10) ORDER BY idx)) AS prompt_sha256
+FROM (SELECT tid AS transcript_id, block::INT AS block""") + ") JOIN sent ON tid = transcript_id AND idx BETWEEN start_idx AND end_idx GROUP BY ALL"
+
+
 #: Phrases of four words at most that closing punctuation ends after two; even words of 0.4 s have no pauses and stay under 2.4 s.
 PHRASES = f"""WITH RECURSIVE {DOCUMENT_WORDS}, f AS (SELECT tid, len(ws) AS n, list_transform(ws, lambda x: regexp_matches(x, '[.!?…:;][''"»”\\)\\]]*$')) AS stop FROM w),
 r AS (SELECT tid, 0::BIGINT AS k, 0::BIGINT AS a FROM f WHERE n > 0 UNION ALL

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,10 +13,10 @@ from pyspark.sql import functions as F
 from spanloom import shared
 from spanloom.functions import jsonrepair, lexicon, scoring
 from spanloom.functions import text as T
-from spanloom.operators import camera, captions, insights, intervals, long, rank, segment, trimming, windows
+from spanloom.operators import camera, captions, insights, intervals, long, models, rank, segment, trimming, windows
 from spanloom.plans import analyze, folds
 from spanloom.sinks import exports
-from spanloom.sources import media
+from spanloom.sources import audio, media
 from spanloom.sources import transcripts as TR
 
 QUERIES: dict = {}
@@ -545,6 +549,61 @@ def subtitles(spark, d):
     return captions.subtitles(c.withColumn("words", w))
 
 
+_SOUND = """i AS (SELECT user_id, (floor(abs(value) * 37.0::DOUBLE))::BIGINT % 20000 * CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS amp, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+g AS (SELECT user_id, k, k * 0.25::DOUBLE AS s, k * 0.25::DOUBLE + 0.625 AS e, least(250 * n, 250 * k + 625) - 250 * k AS frames, 250 * amp * amp + coalesce(250 * (lead(amp) OVER w) * (lead(amp) OVER w), 0) + coalesce(125 * (lead(amp, 2) OVER w) * (lead(amp, 2) OVER w), 0) AS energy FROM i WINDOW w AS (PARTITION BY user_id ORDER BY k))"""
+
+
+def _sound(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A WAV file for each user, a quarter second of its own loudness for each event, written to the shared folder, and a gap after every third event."""
+    e = table(spark, d, "events")
+    loud = (F.floor(F.abs("value") * 37.0).cast("long") % 20000 * F.when(F.col("event_type") == "view", 0).otherwise(1)).cast("int")
+    each = F.flatten(F.transform("l", lambda x: F.transform(F.sequence(F.lit(1), F.lit(250)), lambda k: F.when(k % 2 == 0, x["loud"]).otherwise(-x["loud"]).cast("short"))))
+    users = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", loud.alias("loud")))).alias("l"))
+    folder = f"{shared.shared_dir(spark)}/sound-{uuid.uuid4().hex}"
+    audio.write(users.select(F.col("user_id").alias("name"), F.lit(1000).alias("rate"), each.alias("samples")), folder)
+    spans = audio.read(spark, folder, 1500)
+    files = spans.groupBy("path").agg(F.first("total").alias("total"))
+    gaps = files.select("path", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / 250).cast("int"), F.lit(3))).alias("k"))
+    return spans, gaps.select("path", (F.col("k") * F.lit(0.25)).alias("start"), (F.col("k") * F.lit(0.25) + 0.625).alias("end"))
+
+
+@query(f"""WITH {_SOUND}, l AS (SELECT user_id, s, e, CASE WHEN energy = 0 THEN -180.0 ELSE 20 * log10(sqrt(energy / frames::DOUBLE) / 32768.0) END AS db FROM g WHERE k % 3 = 0)
+SELECT user_id, s AS gap_start, e AS gap_end, db FROM l WHERE db > -38.0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s) <= 40""")
+def loud_gaps(spark, d):
+    """Gaps of WAV files that are loud enough to hear again, levels from byte ranges of the files."""
+    spans, gaps = _sound(spark, d)
+    user = F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long")
+    found = audio.levels(spans, gaps, 1500).select(user.alias("user_id"), F.col("start").alias("gap_start"), F.col("end").alias("gap_end"), "db")
+    return intervals.louder_gaps(found.select("user_id", "gap_start", "gap_end"), found, ["user_id", "gap_start", "gap_end"])
+
+
+class _Script:
+    """Answers by rule from what a prompt shows: the first lines of a block, one line less at the end, the finalists by number."""
+
+    def complete(self, system, user, schema):
+        at = [int(x) for x in re.findall(r"^\[(\d+)\]", user, re.M)]
+        if '"candidates"' in user:
+            picks = [at[k] for k in range(0, len(at), 12)]
+            return json.dumps({"candidates": [{"start_index": k, "end_index": k + 4, "hook": k % 26, "payoff": k % 24, "emotion": k % 15, "curiosity": 7, "standalone": 6, "editability": 5, "clip_type": ("story", "hot take", "funny")[k % 3], "confidence": 0.8, "suggested_title": f"Part {k}"} for k in picks]})
+        if "Move its bounds" in user:
+            a, z = (int(x) for x in re.search(r"from (\d+) to (\d+)", user).groups())
+            return json.dumps({"start_index": a, "end_index": max(a, z - 1), "title": f"From line {a}"})
+        return json.dumps({"ranked": [{"id": k, "final_score": 100 - 3 * n, "title": "", "verdict": f"place {n}", "clip_type": "", "absorbed": []} for n, k in enumerate(at)]})
+
+
+@query()
+def model_clips(spark, d):
+    """Clips of conversations with a scripted model in its three passes, replies through the ledger."""
+    return analyze.with_model(_conversations(spark, d), _Script(), {"min_duration": 5.0, "max_duration": 60.0, "wait": 0.0})
+
+
+@query(folds.BLOCK_PROMPTS)
+def block_prompts(spark, d):
+    """The prompt of each block, as a hash."""
+    b = segment.build(_documents(spark, d))
+    return models.block_prompts(segment.block_rows(b), b, 20.0, 90.0).select("transcript_id", "block", "start_idx", "end_idx", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
 @query(folds.SPEECH_CHECK)
 def speech_check(spark, d):
     """Whether a transcript holds enough speech."""

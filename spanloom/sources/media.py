@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources import ranged
+
 PROBE = (
     "format struct<filename:string,duration:string,size:string>, "
     "streams array<struct<codec_type:string,codec_name:string,duration:string,width:int,height:int,avg_frame_rate:string,r_frame_rate:string,disposition:struct<attached_pic:int>>>"
@@ -51,9 +55,23 @@ def cache_entries(spark: SparkSession, root: str, reserved=("models", "thumbs"))
 
 
 def fingerprints(spark: SparkSession, path: str, sample: int = 4 << 20) -> DataFrame:
-    """Content fingerprint of each file: SHA-256 over size, whole-second time, name, first and (over twice the sample) last bytes; 20 hex digits."""
+    """Content fingerprint of each file: SHA-256 over size, whole-second time, name, first and (over twice the sample) last bytes; 20 hex digits.
+
+    Spark lists the files; tasks seek to the two ends and read those alone, so a file may have any size.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    head = F.concat_ws("|", F.col("length").cast("string"), F.unix_timestamp("modificationTime").cast("string"), name).cast("binary")
-    tail = F.when(F.col("length") > 2 * sample, F.substring("content", -sample, sample)).otherwise(F.lit(b""))
-    return f.select("path", F.substring(F.sha2(F.concat(head, F.substring("content", 1, sample), tail), 256), 1, 20).alias("fingerprint"))
+    f = f.select("path", "length", F.unix_timestamp("modificationTime").alias("time")).repartition(4 * spark.sparkContext.defaultParallelism)
+
+    def run(frames):
+        for g in frames:
+            out = []
+            for at, length, time in g.itertuples(index=False):
+                h = hashlib.sha256(f"{length}|{time}|{at.rsplit('/', 1)[-1]}".encode())
+                with ranged.opened(at) as source:
+                    h.update(source.read_at(min(sample, length), 0))
+                    if length > 2 * sample:
+                        h.update(source.read_at(sample, length - sample))
+                out.append(h.hexdigest()[:20])
+            yield g.assign(fingerprint=out)[["path", "fingerprint"]]
+
+    return f.mapInPandas(run, "path string, fingerprint string")
