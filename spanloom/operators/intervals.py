@@ -115,3 +115,18 @@ def hotspots(candidates: DataFrame, blocks: DataFrame, top: int = 6) -> DataFram
     j = candidates.join(b, "transcript_id").where((F.col("start_idx") >= F.col("_a")) & (F.col("end_idx") <= F.col("_b")))
     w = W.partitionBy("transcript_id", "block").orderBy(F.desc("score"), "start_idx", "end_idx")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).drop("_a", "_b")
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, t: str, row: str, tolerance: float) -> DataFrame:
+    """left with `near_row`, `near_t` and `apart` of the nearest row of right in the same key, before or after, at most `tolerance` apart; null if there is none.
+
+    Equally near rows go by time, then by `row`, the earlier and lower first.  Both sides meet in bins as wide as the
+    tolerance, a left row in its own and the two beside it, so the work is in rows of a bin, not of a key.  `row` is
+    unique in left; rows without key or time have no partner.
+    """
+    bin_ = lambda: F.floor(F.col(t) / tolerance)
+    ls = left.select(F.col(row).alias("_l"), F.col(key).alias("_k"), F.col(t).alias("_t"), F.explode(F.array(bin_() - 1, bin_(), bin_() + 1)).alias("_b"))
+    rs = right.select(F.col(row).alias("_r"), F.col(key).alias("_k"), F.col(t).alias("_u"), bin_().alias("_b"))
+    apart = F.abs(F.col("_t") - F.col("_u"))
+    best = ls.join(rs, ["_k", "_b"]).where(apart <= tolerance).groupBy("_l").agg(F.min(F.struct(apart.alias("apart"), F.col("_u").alias("near_t"), F.col("_r").alias("near_row"))).alias("_m"))
+    return left.join(best, F.col(row) == F.col("_l"), "left").select(*left.columns, "_m.near_row", "_m.near_t", "_m.apart")

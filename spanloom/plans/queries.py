@@ -103,6 +103,16 @@ def level_db(spark, d):
     return intervals.level_db(table(spark, d, "events").withColumn("v", F.col("value") / 100.0), ["user_id", "event_type"], "v")
 
 
+@query(f"""WITH {_EV}, p AS (SELECT a.event_id AS event_id, b.event_id AS near_row, abs(a.s - b.s) AS apart, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.s - b.s), b.s, b.event_id) AS n
+  FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.s - b.s) <= 86400.0 WHERE a.event_type = 'click' AND b.event_type = 'view')
+SELECT e.event_id AS event_id, near_row, apart FROM ev e LEFT JOIN (SELECT * FROM p WHERE n = 1) p USING (event_id) WHERE event_type = 'click'""")
+def frame_zip(spark, d):
+    """Each sample with the nearest frame of its group, within a day."""
+    e = intervals_of_events(spark, d).select("event_id", "user_id", "event_type", "s")
+    of = lambda t: e.where(F.col("event_type") == t).drop("event_type")
+    return intervals.nearest(of("click"), of("view"), "user_id", "s", "event_id", 86400.0).select("event_id", "near_row", "apart")
+
+
 # ---- analytics ------------------------------------------------------------------
 
 _Z = "z AS (SELECT event_type, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z, value, count(*) OVER w AS n, stddev_pop(value) OVER w AS sd FROM events WINDOW w AS (PARTITION BY user_id))"

@@ -389,3 +389,40 @@ def test_plans_and_exports(spark, tmp_path):
 def test_config():
     c = config.load({"clips": {"min_duration": "30", "lambda": 7}, "weights": {"hook": 40, "bogus": 3}})
     assert c["clips"]["min_duration"] == 30 and c["clips"]["lambda"] == 1.0 and "bogus" not in c["weights"] and c["weights"]["payoff"] == 25
+
+
+def test_status_of_a_model_server():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = {"/api/tags": b'{"models": [{"name": "small:7b"}, {"name": "other:1b"}]}', "/v1/models": b'{"data": []}'}.get(self.path, b"no json")
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        got = models.ChatServer("ollama", url, "small").status()
+        assert got["ok"] and got["installed"] and got["models"] == ["small:7b", "other:1b"] and not got["error"]
+        got = models.ChatServer("ollama", url, "large").status()
+        assert got["ok"] and not got["installed"] and "large" in got["error"]
+        assert models.ChatServer("openai", url, "any").status()["installed"]
+        assert not models.ChatServer("openai", url + "/elsewhere", "any").status()["ok"]
+    finally:
+        server.shutdown()
+    assert not models.ChatServer("ollama", url, "small").status(timeout=0.5)["ok"]
+
+
+def test_nearest_both_ways_and_ties(spark):
+    left = spark.createDataFrame([(1, "a", 10.0), (2, "a", 20.0), (3, "a", 99.0), (4, "b", 10.0), (5, None, 1.0), (6, "a", None), (7, "a", -0.5)], "id int, k string, t double")
+    right = spark.createDataFrame([(11, "a", 8.0), (12, "a", 12.0), (13, "a", 12.0), (14, "a", 22.0), (15, "a", 22.0), (16, "b", 15.1), (17, None, 1.0), (18, "a", 4.5)], "id int, k string, t double")
+    got = {r.id: (r.near_row, r.apart) for r in intervals.nearest(left, right, "k", "t", "id", 5.0).collect()}
+    assert got == {1: (11, 2.0), 2: (14, 2.0), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None), 7: (18, 5.0)}
+    assert intervals.nearest(left.limit(0), right, "k", "t", "id", 5.0).count() == 0
