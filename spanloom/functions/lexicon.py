@@ -7,6 +7,8 @@ scores must equal the established ones for the same text.
 
 from __future__ import annotations
 
+import re
+
 CATEGORIES = ("hook", "emotion", "value", "story", "curiosity", "opinion", "payoff")
 
 # Patterns, weights and word lists.
@@ -189,3 +191,22 @@ LANGUAGES = {"en": EN, "fr": FR}
 def rules_for(language: str | None) -> dict:
     """Rules of a language by its first two letters; unknown languages use English."""
     return LANGUAGES.get((language or "en").lower()[:2], EN)
+
+
+def add_language(code: str, rules: dict[str, list[tuple[str, float]]]) -> None:
+    """Rules of one more language, or others for one there is, by its two letters; plans built from then on use them.
+
+    Categories without rules score zero; an unknown category, a pattern that is no expression or a weight that is not
+    above zero is an error.  English stays what unknown languages use.
+    """
+    code = code.lower()
+    if not re.fullmatch("[a-z]{2}", code):
+        raise ValueError(f"a language is two letters: {code!r}")
+    known = (*CATEGORIES, "weak_start")
+    if set(rules) - set(known):
+        raise ValueError(f"no such category: {', '.join(sorted(set(rules) - set(known)))}")
+    for pattern, weight in (r for rs in rules.values() for r in rs):
+        re.compile(pattern)
+        if not weight > 0:
+            raise ValueError(f"weight {weight} of {pattern!r}")
+    LANGUAGES[code] = {c: list(rules.get(c, [])) for c in known}

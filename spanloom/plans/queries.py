@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom import shared
-from spanloom.functions import jsonrepair, lexicon, scoring
+from spanloom.functions import jsonrepair, lexicon, register, scoring
 from spanloom.functions import text as T
 from spanloom.operators import camera, captions, insights, intervals, long, models, rank, segment, trimming, windows
 from spanloom.plans import analyze, folds
@@ -492,6 +492,14 @@ def keep_spans(spark, d):
     return trimming.keep_spans(words, clips)
 
 
+@query(folds.KEEP_SPANS)
+def keep_spans_sql(spark, d):
+    """F29 from SQL text: the table function over each conversation's words."""
+    register.register(spark)
+    words = _conversations(spark, d).select(F.col("transcript_id").alias("clip_id"), F.lit(0.0).alias("clip_start"), F.col("duration").alias("clip_end"), F.explode_outer("words").alias("w")).select("clip_id", "clip_start", "clip_end", "w.start", "w.end", "w.text")
+    return spark.sql("SELECT clip_id, start, end FROM keep_spans(TABLE({words}) PARTITION BY clip_id ORDER BY (start, end))", words=words)
+
+
 def _samples(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("transcript_id"), seconds(F.col("ts")).alias("s"), "event_type", "value", "event_id")
     w = W.partitionBy("transcript_id")
