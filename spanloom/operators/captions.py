@@ -139,6 +139,26 @@ def phrases(rows: DataFrame, max_words: int = 4, longest: float = 2.4, max_chars
     return rows.select("transcript_id", *fields).mapInPandas(run, "transcript_id string, phrase int, start double, end double, n_words int, text string")
 
 
+def event_rows(rows: DataFrame, style: dict | None = None) -> DataFrame:
+    """(transcript_id, phrase, word, start, end, first, last, text): the caption events of rows that hold a transcript's words, one for each word lit.
+
+    first and last (exclusive) are the words of its phrase, counted over the words that are not blank.
+    """
+    o = STYLE | (style or {})
+    names = ["transcript_id", "phrase", "word", "start", "end", "first", "last", "text"]
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for tid, start, end, text in zip(f["transcript_id"], f["_start"], f["_end"], f["_text"]):
+                w = [(x, y, t.strip()) for x, y, t in zip(start.tolist(), end.tolist(), text) if (t or "").strip()] if start is not None else []
+                out += [(tid, *e, w[e[4] + e[1]][2]) for e in events(w, o["max_chars"], o)]
+            yield pd.DataFrame(out, columns=names)
+
+    fields = [F.col(f"words.{c}").alias(f"_{c}") for c in ("start", "end", "text")]
+    return rows.select("transcript_id", *fields).mapInPandas(run, "transcript_id string, phrase int, word int, start double, end double, first int, last int, text string")
+
+
 def subtitles(clips: DataFrame, width: int = 1080, height: int = 1920, style: dict | None = None) -> DataFrame:
     """(transcript_id, rank, ass) of clips with their words; times are relative to the clip."""
 

@@ -87,6 +87,28 @@ x AS (SELECT conv_id, turn, a AS lo, lead(a) OVER (PARTITION BY conv_id, turn OR
 y AS (SELECT conv_id, turn, lo, coalesce(hi, len(ws)) AS hi, ws, conv_id * z + (a + (b - a) / len(ws) * lo) AS s, conv_id * z + (a + (b - a) / len(ws) * coalesce(hi, len(ws))) AS e FROM x JOIN g USING (conv_id, turn), slot)
 SELECT 'all' AS transcript_id, row_number() OVER (ORDER BY conv_id, turn, lo) - 1 AS phrase, s AS start, e AS "end", (hi - lo)::INT AS n_words, array_to_string(ws[lo + 1 : hi], ' ') AS text FROM y"""
 
+def _breaks(k: int) -> str:
+    """Whether word a + k (from 0) opens a phrase that word a does not reach."""
+    closed = f" OR stop[a + {k}]" if k > 1 else ""
+    return f"WHEN a + {k} < n AND (e[a + {k + 1}] - s[a + 1] > 2.4 OR s[a + {k + 1}] - e[a + {k}] >= 0.55{closed}) THEN a + {k}"
+
+
+_LIGHTS = ", ".join(f"CASE WHEN {k} > m THEN NULL WHEN r{k} > u{k - 1} THEN r{k} ELSE u{k - 1} + 0.04 END AS u{k}" for k in range(1, 5))
+
+#: Caption events: phrases by length, pauses and marks; words light up in order, and a phrase makes way for its neighbours.
+CAPTION_EVENTS = f"""WITH RECURSIVE {TURN_WORDS}, f AS (SELECT tid, len(ws) AS n, s, e, list_transform(ws, lambda x: regexp_matches(x, '[.!?…:;][''"»”\\)\\]]*$')) AS stop FROM w),
+r AS (SELECT tid, 0::BIGINT AS p, 0::BIGINT AS a FROM f WHERE n > 0 UNION ALL
+  SELECT tid, p + 1, z FROM (SELECT tid, p, n, CASE {" ".join(map(_breaks, (1, 2, 3)))} ELSE a + 4 END AS z FROM r JOIN f USING (tid)) WHERE z < n),
+b AS (SELECT r.tid, p, a, coalesce(lead(a) OVER (PARTITION BY r.tid ORDER BY p), n) AS z, s, e FROM r JOIN f USING (tid)),
+c AS (SELECT tid, p, a, z, z - a AS m, e[z] AS stop, s[a + 1] - 0.12 AS u0, {", ".join(f"CASE WHEN {k} < z - a THEN e[a + {k}] - least(0.12, greatest(0.0, s[a + {k + 1}] - e[a + {k}]) / 2) WHEN {k} = z - a THEN e[z] + 0.10 END AS r{k}" for k in range(1, 5))} FROM b),
+l AS (SELECT tid, p, a, z, m, stop, u0, {_LIGHTS} FROM c),
+o AS (SELECT *, CASE WHEN u0 < lag(stop) OVER q THEN least(lag(stop) OVER q, u1 - 0.04) ELSE u0 END AS f0 FROM l WINDOW q AS (PARTITION BY tid ORDER BY p)),
+h AS (SELECT *, list_slice([f0, u1, u2, u3, u4], 1, m) AS head, [u1, u2, u3, u4][m] AS tail, lead(f0) OVER (PARTITION BY tid ORDER BY p) AS nxt FROM o),
+lit AS (SELECT *, list_append(head, CASE WHEN tail > nxt THEN greatest(head[m] + 0.05, nxt - 0.02) ELSE tail END) AS lights FROM h),
+v AS (SELECT tid, p, a, z, k, lights[k + 1] - 0.05 AS x, lights[k + 2] - 0.05 AS y FROM (SELECT *, unnest(range(m)) AS k FROM lit)),
+n AS (SELECT tid, p, k, a, z, x, CASE WHEN y > x THEN y ELSE x + 0.08 END AS y FROM v)
+SELECT tid AS transcript_id, p::INT AS phrase, k::INT AS word, greatest(0.0, x) AS start, y AS "end", a::INT AS first, z::INT AS last, ws[a + k + 1] AS text FROM n JOIN w USING (tid) WHERE y > 0"""
+
 #: Fillers with a pad and what pauses have beyond 0.35 s are cut out of each conversation; pieces of 0.12 s or more stay, or all of it.
 KEEP_SPANS = f"""WITH {TURN_WORDS}, u AS (SELECT tid, duration AS fe, unnest(ws) AS x, unnest(s) AS a, unnest(e) AS b FROM w),
 p AS (SELECT *, greatest(0.0, coalesce(max(b) OVER (PARTITION BY tid ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS before FROM u WHERE b > 0 AND a < fe),

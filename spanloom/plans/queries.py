@@ -483,6 +483,12 @@ def phrases(spark, d):
     return captions.phrases(_documents(spark, d))
 
 
+@query(folds.CAPTION_EVENTS)
+def caption_events(spark, d):
+    """When each word of a caption lights up."""
+    return captions.event_rows(_conversations(spark, d))
+
+
 @query(folds.KEEP_SPANS)
 def keep_spans(spark, d):
     """spans to keep after cutting fillers and long pauses, each conversation whole."""
