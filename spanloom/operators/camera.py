@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -81,10 +83,38 @@ def merge(segs: list[tuple[float, float, float, float]], most: int = MOST) -> li
             out[-1] = (pa, b, p0, p1)
         else:
             out.append((a, b, x0, x1))
-    while len(out) > most:
-        k = min(range(1, len(out)), key=lambda i: (abs(out[i][3] - out[i][2]) + abs(out[i][2] - out[i - 1][3]), i))
-        out[k - 1 : k + 1] = [(out[k - 1][0], out[k][1], out[k - 1][2], out[k][3])]
-    return out
+    return fewer(out, most)
+
+
+def fewer(segs: list[tuple[float, float, float, float]], most: int) -> list[tuple[float, float, float, float]]:
+    """Join the piece of the least move (the earliest of equals) to the one before it, until `most` are left.
+
+    A heap holds the moves; a piece that grew gets a new entry and its old ones are skipped.
+    """
+    out, left = list(segs), len(segs)
+    if left <= most:
+        return out
+    before, version = list(range(-1, left - 1)), [0] * left
+    after = [*range(1, left), -1]
+
+    def move(i):
+        return abs(out[i][3] - out[i][2]) + abs(out[i][2] - out[before[i]][3])
+
+    heap = [(move(i), i, 0) for i in range(1, left)]
+    heapq.heapify(heap)
+    while left > max(1, most):
+        _, i, v = heapq.heappop(heap)
+        if version[i] != v:
+            continue
+        p, q = before[i], after[i]
+        out[p] = (out[p][0], out[i][1], out[p][2], out[i][3])
+        after[p], version[i], left = q, -1, left - 1
+        if q >= 0:
+            before[q] = p  # its own move is from where i ended, which is where p ends now
+        if before[p] >= 0:
+            version[p] += 1
+            heapq.heappush(heap, (move(p), p, version[p]))
+    return [x for x, v in zip(out, version) if v >= 0]
 
 
 def number(v: float) -> str:
@@ -109,10 +139,10 @@ def crop_expression(segs: list[tuple[float, float, float, float]], src_w: int, c
 
 
 def paths(samples: DataFrame, durations: DataFrame, group: str = "transcript_id") -> DataFrame:
-    """(group, seg, t0, t1, x0, x1) of samples (group, t, cx, cut) and durations (group, duration)."""
+    """(group, seg, t0, t1, x0, x1) of samples (group, t, cx, cut) and durations (group, duration); samples of one time go by cx, nulls last, then cut."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
+        pdf = pdf.sort_values(["t", "cx", "cut"])
         cx = [None if pd.isna(x) else float(x) for x in pdf["cx"]]
         segs = path(pdf["t"].tolist(), cx, pdf["cut"].tolist(), float(pdf["duration"].iloc[0]))
         return pd.DataFrame([(pdf[group].iloc[0], k, *s) for k, s in enumerate(segs)], columns=[group, "seg", "t0", "t1", "x0", "x1"])

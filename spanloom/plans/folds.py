@@ -367,3 +367,35 @@ SELECT tid AS transcript_id, a::INT AS start_idx, z::INT AS end_idx, CASE WHEN o
 
 
 FIT_TRIM = fitted(TURN_WORDS, 8.0, 30.0, "idx % 4")
+
+
+# ---- camera ---------------------------------------------------------------------------------
+
+_PIECE = 'struct_pack(t0 := t0, t1 := t1, x0 := x0, x1 := x1)'
+_MOVES = "list_transform(range(2, len(l) + 1), lambda i: abs(l[i].x1 - l[i].x0) + abs(l[i].x0 - l[i - 1].x1))"
+
+#: Samples are smoothed from cut to cut, each shot is one still frame or pieces of 0.7 s, still neighbours join, and the least moves go beyond 80 pieces.
+CAMERA_PATH = f"""WITH RECURSIVE i AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+m AS (SELECT user_id, list_sort(list(value))[(count(*) // 2) + 1] AS med FROM i WHERE k > 1 AND value > 0 GROUP BY 1),
+f AS (SELECT i.*, coalesce(k > 1 AND value > greatest(20.0, med * 3.0), false) AS fl FROM i LEFT JOIN m USING (user_id)),
+c AS (SELECT user_id, (s - min(s) OVER u) / 86400.0 AS t, CASE WHEN event_type <> 'signup' THEN least(1.0, abs(value) / 100.0) END AS cx, fl AND NOT (avg(fl::INT) OVER u > 0.35) AS cut FROM f WINDOW u AS (PARTITION BY user_id)),
+a AS (SELECT user_id, list(t ORDER BY t, cx NULLS LAST, cut) AS ts, list(cx ORDER BY t, cx NULLS LAST, cut) AS xs, list(cut ORDER BY t, cx NULLS LAST, cut) AS cuts, max(t) AS duration, count(*) AS n, count(cx) AS seen, list_sort(list(cx) FILTER (cx IS NOT NULL)) AS ordered FROM c GROUP BY user_id),
+sm AS (SELECT user_id, 0::BIGINT AS k, coalesce(list_filter(xs, lambda x: x IS NOT NULL)[1], 0.5) AS x FROM a WHERE seen / n >= 0.35 UNION ALL
+  SELECT user_id, k + 1, CASE WHEN xs[k + 1] IS NULL THEN x WHEN cuts[k + 1] THEN xs[k + 1] ELSE x + 0.35 * (xs[k + 1] - x) END FROM sm JOIN a USING (user_id) WHERE k < n),
+pt AS (SELECT user_id, k, ts[k] AS t, x, sum((cuts[k] AND k > 1)::INT) OVER (PARTITION BY user_id ORDER BY k) AS shot FROM sm JOIN a USING (user_id) WHERE k > 0),
+sh AS (SELECT user_id, shot, list(t ORDER BY k) AS ts, list(x ORDER BY k) AS xs, list_sort(list(x)) AS ordered, count(*) AS n, min(t) AS a, CASE WHEN max(t) > min(t) THEN max(t) ELSE min(t) + 0.2 END AS b FROM pt GROUP BY user_id, shot),
+sp AS (SELECT *, greatest(2, round_even(0.7 * n / greatest(0.1, b - a), 0)::BIGINT) AS step, n < 3 OR ordered[n] - ordered[1] < 0.035 AS still FROM sh),
+kn AS (SELECT *, unnest(range(1, n, step)) AS p FROM sp WHERE NOT still),
+pc AS (SELECT user_id, a AS t0, b AS t1, ordered[n // 2 + 1] AS x0, ordered[n // 2 + 1] AS x1 FROM sp WHERE still UNION ALL SELECT user_id, ts[p], ts[least(n, p + step)], xs[p], xs[least(n, p + step)] FROM kn),
+cl AS (SELECT user_id, row_number() OVER w AS k, CASE WHEN row_number() OVER w = 1 AND t0 > 0 THEN 0.0 ELSE t0 END AS t0, CASE WHEN lead(t0) OVER w IS NOT NULL THEN greatest(t1, lead(t0) OVER w) WHEN t1 >= duration THEN t1 ELSE duration + 0.5 END AS t1, x0, x1
+  FROM pc JOIN a USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY pc.t0, t1, x0, x1)),
+ps AS (SELECT user_id, list({_PIECE} ORDER BY k) AS q FROM cl GROUP BY user_id),
+mg AS (SELECT user_id, 1::BIGINT AS k, [q[1]] AS l FROM ps UNION ALL
+  SELECT user_id, k + 1, CASE WHEN still AND abs(z.x0 - y.x1) < 0.006 THEN list_append(l[: -2], struct_pack(t0 := y.t0, t1 := z.t1, x0 := y.x0, x1 := y.x0))
+    WHEN still AND z.t1 - z.t0 < 0.45 THEN list_append(l[: -2], struct_pack(t0 := y.t0, t1 := z.t1, x0 := y.x0, x1 := y.x1)) ELSE list_append(l, z) END
+  FROM (SELECT user_id, k, l, l[-1] AS y, q[k + 1] AS z, abs(l[-1].x1 - l[-1].x0) < 0.006 AND abs(q[k + 1].x1 - q[k + 1].x0) < 0.006 AS still FROM mg JOIN ps USING (user_id) WHERE k < len(q))),
+fw AS (SELECT user_id, l FROM mg JOIN ps USING (user_id) WHERE k = len(q) UNION ALL
+  SELECT user_id, list_concat(list_append(l[: j - 1], struct_pack(t0 := l[j].t0, t1 := l[j + 1].t1, x0 := l[j].x0, x1 := l[j + 1].x1)), l[j + 2 :]) FROM (SELECT user_id, l, list_position({_MOVES}, list_min({_MOVES})) AS j FROM fw WHERE len(l) > 80)),
+dn AS (SELECT user_id, unnest(l) AS y, unnest(range(len(l))) AS seg FROM fw WHERE len(l) <= 80)
+SELECT user_id::VARCHAR AS transcript_id, seg::INT AS seg, y.t0 AS t0, y.t1 AS t1, y.x0 AS x0, y.x1 AS x1 FROM dn UNION ALL
+SELECT user_id::VARCHAR, 0, 0.0, greatest(0.1, duration) + 0.5, coalesce(ordered[seen // 2 + 1], 0.5), coalesce(ordered[seen // 2 + 1], 0.5) FROM a WHERE seen / n < 0.35"""

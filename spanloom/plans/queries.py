@@ -514,7 +514,7 @@ def _samples(spark, d):
     return camera.mark_cuts(e.withColumn("o", F.struct("t", "event_id")), "transcript_id", "o", "value").select("transcript_id", "t", "cx", "cut")
 
 
-@query()
+@query(folds.CAMERA_PATH)
 def camera_path(spark, d):
     """Camera path segments."""
     s = _samples(spark, d)

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom import config
 from spanloom.functions import lexicon, register
 from spanloom.operators import camera, captions, insights, intervals, models, rank, segment, trimming, windows
-from spanloom.plans import analyze
+from spanloom.plans import analyze, queries
 from spanloom.sinks import exports
 from spanloom.sources import media, transcripts
 
@@ -426,3 +427,34 @@ def test_nearest_both_ways_and_ties(spark):
     got = {r.id: (r.near_row, r.apart) for r in intervals.nearest(left, right, "k", "t", "id", 5.0).collect()}
     assert got == {1: (11, 2.0), 2: (14, 2.0), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None), 7: (18, 5.0)}
     assert intervals.nearest(left.limit(0), right, "k", "t", "id", 5.0).count() == 0
+
+
+def test_fewer_pieces_drop_the_least_move_first():
+    rng = random.Random(5)
+    for n in (1, 2, 5, 30, 90):
+        for _ in range(20):
+            segs = [(float(i), i + 1.0, rng.randint(0, 6) / 8, rng.randint(0, 6) / 8) for i in range(n)]
+            for most in (1, 3, 29, 80):
+                want = list(segs)
+                while len(want) > most:
+                    move = [abs(b[3] - b[2]) + abs(b[2] - a[3]) for a, b in zip(want, want[1:])]
+                    k = move.index(min(move))
+                    want[k : k + 2] = [(want[k][0], want[k + 1][1], want[k][2], want[k + 1][3])]
+                assert camera.fewer(segs, most) == want
+
+
+def test_camera_path_sql_beyond_most_pieces(spark, tmp_path):
+    """One user with so many moves that pieces are joined, another who is rarely seen, a third with one event."""
+    n = F.col("id")
+    e = spark.range(900).select(
+        n.alias("event_id"), F.when(n < 800, 1).when(n < 899, 2).otherwise(3).cast("long").alias("user_id"), F.when((n >= 800) & (n % 4 > 0), "signup").otherwise("click").alias("event_type"),
+        (F.timestamp_seconds(1700000000 + n * 40000)).cast("timestamp_ntz").alias("ts"), (F.pmod(F.xxhash64("id"), F.lit(90)) + 5.0).alias("value"),
+    )
+    e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.QUERIES["camera_path"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(queries.SQL["camera_path"]).fetchall()
+    flat = lambda rows: sorted((r[0], r[1], *(round(x, 9) for x in r[2:])) for r in rows)
+    assert sum(r.transcript_id == "1" for r in got) == camera.MOST and {r.transcript_id for r in got} == {"1", "2", "3"}
+    assert flat(map(tuple, got)) == flat(want)
