@@ -28,23 +28,25 @@ def pearson(x: str, y: str) -> Column:
     return F.when((n >= 2) & (vx > 0) & (vy > 0), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))).otherwise(0.0)
 
 
-def upper_median(rows: DataFrame, group: str, value: str, buckets: int = 256) -> DataFrame:
-    """(group, median): element floor(n / 2) of the sorted values of each group, exactly, whatever its size.
+def upper_median(rows: DataFrame, group: str, value: str, accuracy: int = 10_000) -> DataFrame:
+    """(group, median): element floor(n / 2) of the sorted values of each group, exactly, whatever its size and however its values lie.
 
-    Counts by bucket of the value's range show which bucket holds the element; only that bucket's distinct
-    values are sorted.
+    Approximate percentiles, which are off by 1 / `accuracy` of the rows at most, give two values that the median lies
+    between; rows below are only counted and the distinct values between, a few thousandths of a large group, are
+    sorted.  Groups too small for that are sorted whole.
     """
-    d = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v")).groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
-    lim = d.groupBy(F.col("g").alias("lg")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)).otherwise(0)
-    d = d.join(lim, F.col("g").eqNullSafe(F.col("lg"))).drop("lg").withColumn("b", place)
-    w = W.partitionBy("g").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    held = d.groupBy("g", "b").agg(F.sum("c").alias("m"), F.first("n").alias("k")).withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))
-    held = held.where((F.col("before") <= F.floor(F.col("k") / 2)) & (F.floor(F.col("k") / 2) < F.col("before") + F.col("m"))).select(F.col("g").alias("hg"), F.col("b").alias("hb"), "before")
-    e = d.join(held, F.col("g").eqNullSafe(F.col("hg")) & (F.col("b") == F.col("hb")))
-    upto = F.col("before") + F.sum("c").over(W.partitionBy("g").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    d = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    off = 4 / accuracy
+    near = F.percentile_approx("v", F.array(F.lit(0.5 - off), F.lit(0.5 + off)), accuracy)
+    # n is large enough for a rank in the middle to be within the percentiles' own error of them
+    small = F.count(F.lit(1)) < 2 * accuracy
+    lim = d.groupBy(F.col("g").alias("lg")).agg(F.count(F.lit(1)).alias("n"), F.when(small, F.min("v")).otherwise(near[0]).alias("lo"), F.when(small, F.max("v")).otherwise(near[1]).alias("hi"))
+    d = d.join(lim, F.col("g").eqNullSafe(F.col("lg")))
+    # one row for what lies below, one for each distinct value between
+    d = d.where(F.col("v") <= F.col("hi")).groupBy("g", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    upto = F.sum("c").over(W.partitionBy("g").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
     half = F.floor(F.col("n") / 2)
-    return e.withColumn("upto", upto).where((F.col("upto") > half) & (F.col("upto") - F.col("c") <= half)).select(F.col("g").alias(group), F.col("v").alias("median"))
+    return d.withColumn("upto", upto).where((F.col("upto") > half) & (F.col("upto") - F.col("c") <= half)).select(F.col("g").alias(group), F.col("v").alias("median"))
 
 
 def note(corr: Column) -> Column:

@@ -714,13 +714,14 @@ def duration_guard(spark, d):
     return segment.duration_guard(s).select("s_suppkey", "verdict")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE 1 END AS a, 2 AS b, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS c FROM customer")
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 1 ELSE coalesce((props->>'$.k')::INT, 1) END AS k, user_id::INT AS u, CASE WHEN event_type = 'view' THEN NULL ELSE (props->>'$.x')::INT END AS x FROM events""")
 def merge_maps(spark, d):
-    """Settings over defaults, the right one wins."""
-    left = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))
-    right = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("a"), F.lit(5))).otherwise(F.create_map(F.lit("c"), F.col("c_nationkey")))
-    m = table(spark, d, "customer").select("c_custkey", T.merge_maps(left, right).alias("m"))
-    return m.select("c_custkey", *[F.try_element_at("m", F.lit(k)).alias(k) for k in "abc"])
+    """Each event's properties over defaults, the right one wins; a view's are left out."""
+    left = F.create_map(F.lit("k"), F.lit(1), F.lit("u"), F.col("user_id").cast("int"))
+    none = F.create_map().cast("map<string,int>")
+    right = F.when(F.col("event_type") == "view", none).otherwise(F.coalesce(F.from_json("props", "map<string,int>"), none))
+    m = table(spark, d, "events").select("event_id", T.merge_maps(left, right).alias("m"))
+    return m.select("event_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in "kux"])
 
 
 @query("""SELECT p_partkey, (p_size * 10.5)::DOUBLE AS duration, 320 + p_size AS width, 240 + p_size AS height, CASE WHEN p_partkey % 4 = 0 THEN 0.0 ELSE 30000 / 1001.0 END AS fps,
@@ -737,20 +738,25 @@ def media_probe(spark, d):
     return media.parse_probe(raw).drop("probe")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN 0 ELSE 2 END AS n, CASE WHEN p_partkey % 5 < 4 THEN p_size END AS first FROM part""")
+_DAMAGED = """SELECT conv_id, turn, text, (conv_id + turn) % 5 AS kind FROM conversations"""
+
+
+@query(f"""SELECT conv_id, turn, CASE kind WHEN 4 THEN 0 ELSE 2 END AS n, CASE WHEN kind < 4 THEN turn::INT END AS first, CASE WHEN kind < 4 THEN coalesce(text, '') END AS title FROM ({_DAMAGED})""")
 def json_repair(spark, d):
-    """Objects of replies that are fenced, cut off, commented or no JSON at all."""
-    s = F.col("p_size").cast("string")
-    a, b = F.concat(F.lit('{"start_index": '), s, F.lit("}")), F.lit('{"start_index": 7}')
+    """Objects that hold a turn's whole text, from replies that are fenced, cut off, commented or no JSON at all."""
+    c = table(spark, d, "conversations")
+    of = lambda at, title: F.to_json(F.struct(at.alias("start_index"), title.alias("title")))
+    a, b = of(F.col("turn"), F.coalesce("text", F.lit(""))), of(F.lit(7), F.lit("a \"quoted\" one"))
+    kind = (F.col("conv_id") + F.col("turn")) % 5
     reply = (
-        F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit('```json\n{"candidates": ['), a, F.lit(", "), b, F.lit("]}\n```")))
-        .when(F.col("p_partkey") % 5 == 1, F.concat(F.lit('{"candidates":['), a, F.lit(","), b, F.lit(',{"start_in')))
-        .when(F.col("p_partkey") % 5 == 2, F.concat(F.lit('Sure: {"candidates": ['), a, F.lit(", "), b, F.lit(",],}")))
-        .when(F.col("p_partkey") % 5 == 3, F.concat(F.lit("["), a, F.lit(","), b, F.lit("]")))
+        F.when(kind == 0, F.concat(F.lit('```json\n{"candidates": ['), a, F.lit(", "), b, F.lit("]}\n```")))
+        .when(kind == 1, F.concat(F.lit('{"candidates":['), a, F.lit(","), b, F.lit(',{"start_in')))
+        .when(kind == 2, F.concat(F.lit('Sure: {"candidates": ['), a, F.lit(", "), b, F.lit(",],}")))
+        .when(kind == 3, F.concat(F.lit("["), a, F.lit(","), b, F.lit("]")))
         .otherwise(F.lit("I cannot help with that."))
     )
-    r = jsonrepair.repair(table(spark, d, "part").select("p_partkey", "p_size", reply.alias("reply")), "reply", "candidates")
-    return r.select("p_partkey", F.size("items").alias("n"), F.get_json_object(F.get("items", F.lit(0)), "$.start_index").cast("int").alias("first"))
+    r = jsonrepair.repair(c.select("conv_id", "turn", reply.alias("reply")), "reply", "candidates").withColumn("f", F.get("items", F.lit(0)))
+    return r.select("conv_id", "turn", F.size("items").alias("n"), F.get_json_object("f", "$.start_index").cast("int").alias("first"), F.get_json_object("f", "$.title").alias("title"))
 
 
 @query("""WITH c AS (SELECT o_custkey::VARCHAR AS video_hash, o_orderkey AS rank, o_orderpriority AS clip_type, o_totalprice AS overall FROM orders),
@@ -869,11 +875,15 @@ def command_plans(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(render, " ").alias("render"), F.array_join(exports.thumbnail_command(F.lit("in.mp4"), at, F.concat(k, F.lit(".jpg"))), " ").alias("thumbnail"))
 
 
-@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n, CASE p_size % 3 WHEN 2 THEN NULL ELSE p_size + 0.5 END::DOUBLE AS start FROM part""")
+@query(r"""SELECT conv_id, turn, len(ws) AS n, CASE WHEN len(ws) > 0 THEN 0.5::DOUBLE END AS start, CASE WHEN len(ws) > 0 THEN (len(ws) - 1) + 0.75::DOUBLE END AS "end", array_to_string(ws, ' ') AS text
+FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM conversations)""")
 def clip_words(spark, d):
-    """Words of clips as objects or triples; broken items are skipped."""
-    s = F.col("p_size").cast("string")
-    both = F.concat(F.lit('[{"start": '), s, F.lit('.5, "end": 99, "text": "a"}, ['), s, F.lit('.5, 99, "b"], ["x", 1], {"end": 2}]'))
-    one = F.concat(F.lit("[["), s, F.lit('.5, 99, "b"], 7, null, {}]'))
-    w = TR.clip_words(F.when(F.col("p_size") % 3 == 0, both).when(F.col("p_size") % 3 == 1, one).otherwise(F.lit("no json")))
-    return table(spark, d, "part").select("p_partkey", w.alias("w")).select("p_partkey", F.size("w").alias("n"), F.get("w", F.lit(0))["start"].alias("start"))
+    """Every turn's words as JSON, objects and triples by turns with broken items between, read back."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", T.words(F.coalesce("text", F.lit(""))).alias("ws"))
+    quoted = lambda w: F.regexp_extract(F.to_json(F.array(w)), r"(?s)^\[(.*)\]$", 1)
+    at = lambda i, more: F.concat(i.cast("string"), F.lit(more))
+    thing = lambda w, i: F.concat(F.lit('{"start": '), at(i, ".5"), F.lit(', "end": '), at(i, ".75"), F.lit(', "text": '), quoted(w), F.lit('}, {"end": 2}'))
+    triple = lambda w, i: F.concat(F.lit("["), at(i, ".5"), F.lit(", "), at(i, ".75"), F.lit(", "), quoted(w), F.lit('], 7, null, ["x", 1]'))
+    text = F.concat(F.lit("["), F.array_join(F.transform("ws", lambda w, i: F.when(i % 2 == 0, thing(w, i)).otherwise(triple(w, i))), ", "), F.lit("]"))
+    w = c.select("conv_id", "turn", TR.clip_words(text).alias("w"))
+    return w.select("conv_id", "turn", F.size("w").alias("n"), F.get("w", F.lit(0))["start"].alias("start"), F.get("w", F.size("w") - 1)["end"].alias("end"), F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("text"))

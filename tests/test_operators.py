@@ -458,3 +458,17 @@ def test_camera_path_sql_beyond_most_pieces(spark, tmp_path):
     flat = lambda rows: sorted((r[0], r[1], *(round(x, 9) for x in r[2:])) for r in rows)
     assert sum(r.transcript_id == "1" for r in got) == camera.MOST and {r.transcript_id for r in got} == {"1", "2", "3"}
     assert flat(map(tuple, got)) == flat(want)
+
+
+def test_upper_median_of_large_groups_with_outliers(spark):
+    """A group past the size where percentiles bound it, with one far value and heavy ties; small ones, null groups and values."""
+    n = F.col("id")
+    d = spark.range(90_000).select(
+        F.when(n < 50_000, "a").when(n < 80_000, "b").when(n < 80_003, "c").when(n < 80_004, "d").when(n < 80_005, "n").alias("g"),
+        F.when(n == 7, 1e300).when(n < 50_000, F.pmod(F.xxhash64("id"), F.lit(40_000)) / 7.0).when(n < 80_000, F.pmod(F.xxhash64("id"), F.lit(3)).cast("double")).when(n < 80_004, n - 80_000.0).when(n > 80_004, -n.cast("double")).alias("v"),
+    )
+    want = {}
+    for g, v in d.where("v is not null").collect():
+        want.setdefault(g, []).append(v)
+    got = {r.g: r.median for r in insights.upper_median(d, "g", "v").collect()}
+    assert set(got) == {"a", "b", "c", "d", None} and got == {g: sorted(v)[len(v) // 2] for g, v in want.items()}
