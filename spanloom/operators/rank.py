@@ -210,7 +210,7 @@ def finish(ready: DataFrame, o: dict | None = None) -> DataFrame:
                     continue
                 s, p, t = WN.arrays(sents, profs, topic)
                 sc = WN.Scorer(s, p, t)
-                pool = [offline(sc, *w) for w in WN.candidates(sc, o["min_duration"], o["max_duration"])[: o["max_candidates"]]]
+                pool = [offline(sc, *w, o.get("weights") or scoring.CATEGORY_MAX) for w in WN.candidates(sc, o["min_duration"], o["max_duration"])[: o["max_candidates"]]]
                 merged = dedupe(pool, s["start"], s["end"], o["iou"], o["max_duration"], o["merge_ceiling"])
                 for c in select(merged, o["target_count"], duration, o["lambda"], o["min_gap"]):
                     i, j = trim_edges(s, c["start_idx"], c["end_idx"], o["min_duration"], [x["tail"] for x in flags], [x["head"] for x in flags])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,11 +59,22 @@ def text_rows(clips: DataFrame) -> DataFrame:
     return d.select("transcript_id", "rank", F.concat_ws("\n", *lines).alias("report"))
 
 
-def write_reports(clips: DataFrame, path: str) -> None:
-    """CSV, JSON lines and text under one folder, each partitioned by transcript: a rerun replaces its own transcripts and no other."""
+def write_reports(clips: DataFrame, path: str, names: DataFrame | None = None, at: Column | None = None) -> None:
+    """CSV, JSON lines and text under one folder, each partitioned by transcript: a rerun replaces its own transcripts and no other.
+
+    With names (transcript_id, filename) a transcript's folder has one for each export, named by `stem` from the file's
+    name without its extension and the time `at` (now): earlier exports stay.  A transcript without a name is `clips`.
+    """
+    by = ["transcript_id"] + ([] if names is None else ["export"])
+    if names is not None:
+        base = F.regexp_replace(F.regexp_extract(F.coalesce("filename", F.lit("clips")), r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+        label = names.groupBy("transcript_id").agg(F.min("filename").alias("filename")).select("transcript_id", stem(base, F.current_timestamp() if at is None else at).alias("export"))
+        none = stem(F.lit("clips"), F.current_timestamp() if at is None else at)
 
     def put(d: DataFrame):
-        return d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("transcript_id")
+        if names is not None:
+            d = d.join(label, "transcript_id", "left").withColumn("export", F.coalesce("export", none))
+        return d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
 
     put(csv_rows(clips)).option("header", True).csv(f"{path}/csv")
     put(json_rows(clips)).text(f"{path}/json")
@@ -91,9 +104,19 @@ def clear_cache(spark, root: str, name: str | None = None, reserved=("models", "
     return sorted(p.getName() for p in gone if fs.delete(p, True))
 
 
-def write_cache(transcripts: DataFrame, path: str) -> None:
-    """One partition a transcript; a rerun replaces only the transcripts it holds, and those without words are never cached."""
-    transcripts.where(F.size("words") > 0).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("transcript_id").parquet(path)
+def cache_folder(path: str, model: str, language: str | None = None) -> str:
+    """Folder of the transcripts that a model made for a language; other models, languages and versions have their own."""
+    safe = re.sub(r"[^\w.-]", "_", f"{model}_{language or 'auto'}")
+    return f"{path}/transcript_v2_{safe}"
+
+
+def write_cache(transcripts: DataFrame, path: str, model: str | None = None, language: str | None = None) -> None:
+    """One partition a transcript; a rerun replaces only the transcripts it holds, and those without words are never cached.
+
+    With a model, under its `cache_folder`.
+    """
+    at = path if model is None else cache_folder(path, model, language)
+    transcripts.where(F.size("words") > 0).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("transcript_id").parquet(at)
 
 
 def plan_clips(clips: DataFrame, durations: DataFrame, formats=("16:9",), src: tuple[int, int] = (1920, 1080), burn: bool = False, overlay: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom import config
-from spanloom.functions import lexicon, register
+from spanloom.functions import lexicon, register, scoring
 from spanloom.operators import camera, captions, insights, intervals, models, rank, segment, trimming, windows
 from spanloom.plans import analyze, queries
 from spanloom.sinks import exports
@@ -392,6 +392,43 @@ def test_config():
     assert c["clips"]["min_duration"] == 30 and c["clips"]["lambda"] == 1.0 and "bogus" not in c["weights"] and c["weights"]["payoff"] == 25
 
 
+def test_sections_of_options(tmp_path):
+    logo = tmp_path / "logo.png"
+    logo.write_bytes(b"x")
+    c = config.load({"watermark": {"enabled": True, "path": f" {logo} ", "opacity": 9, "scale": "wide", "position": "up"}, "music": {"enabled": True, "path": "/nowhere"}, "tightening": {"enabled": 1, "min_gap": "0.3", "keep_pause": 0.9}, "reframe": {"formats": ["1:1", "7:3", "1:1 ", "16:9"], "layout": "zoom"}, "weights": {"hook": "much"}})
+    assert config.usable(c, "watermark") == {"path": str(logo), "opacity": 1.0, "scale": 0.18, "margin": 0.04, "position": "top_right"}
+    assert config.usable(c, "music") is None and config.usable(c, "music", lambda p: p == "/nowhere") == {"path": "/nowhere", "volume": 0.15, "fade_seconds": 0.6}
+    assert config.usable(c, "tightening") == {"remove_fillers": True, "min_gap": 0.3, "keep_pause": pytest.approx(0.2)} and config.usable(c, "thumbnail") is None
+    assert c["reframe"] == {"formats": ["1:1", "16:9"], "layout": "crop"} and c["weights"]["hook"] == 25.0
+    assert config.load({"reframe": {"formats": "4:5"}})["reframe"]["formats"] == ["4:5"] and config.load({"reframe": {"formats": []}})["reframe"]["formats"] == ["9:16"]
+    assert config.load()["watermark"] == config.DEFAULTS["watermark"]
+
+
+def test_options_reach_the_plan(spark):
+    t = transcripts.from_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(6))
+    found, plan = analyze.configured(t, {"clips": {"target_count": 2, "min_duration": 15}, "weights": {"hook": 70, "payoff": 0}, "reframe": {"formats": ["1:1", "16:9"]}})
+    rows = found.collect()
+    assert rows and max(r["rank"] for r in rows) == 2 and {r.format for r in plan.collect()} == {"1:1", "16:9"}
+    w = scoring.CATEGORY_MAX | {"hook": 70.0, "payoff": 0.0}
+    alone = [r for r in rows if r.merged_from == 1]  # a merged clip has the better of each score
+    assert alone and all(r.overall == pytest.approx(rank.overall({k: r[k] for k in w}, w)) for r in alone)
+    assert any(abs(r.overall - rank.overall({k: r[k] for k in w}, scoring.CATEGORY_MAX)) > 1 for r in rows)
+
+
+def test_named_exports_stay_and_caches_part_by_model(spark, tmp_path):
+    c = _clips(spark, ["t0", "t1"])
+    names = spark.createDataFrame([("t0", "/in/My talk #1.final.mp4"), ("t0", "/in/other.mp4")], "transcript_id string, filename string")
+    for hour in (10, 11, 11):
+        exports.write_reports(c, str(tmp_path / "out"), names, F.lit(f"2024-05-01 {hour}:00:00").cast("timestamp"))
+    got = sorted(str(p.relative_to(tmp_path / "out" / "txt")) for p in (tmp_path / "out" / "txt").glob("*/*"))
+    assert got == sorted(f"transcript_id={t}/export={n}_20240501_{h}0000" for t, n in (("t0", "My_talk_1.final"), ("t1", "clips")) for h in (10, 11))
+    assert spark.read.text(str(tmp_path / "out" / "json")).count() == 4
+    t = transcripts.from_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(2))
+    for model in ("large v3/é", "small"):
+        exports.write_cache(t, str(tmp_path / "cache"), model)
+    assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == ["transcript_v2_large_v3_é_auto", "transcript_v2_small_auto"]
+
+
 def test_status_of_a_model_server():
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
