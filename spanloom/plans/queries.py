@@ -875,7 +875,7 @@ def command_plans(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(render, " ").alias("render"), F.array_join(exports.thumbnail_command(F.lit("in.mp4"), at, F.concat(k, F.lit(".jpg"))), " ").alias("thumbnail"))
 
 
-@query(r"""SELECT conv_id, turn, len(ws) AS n, CASE WHEN len(ws) > 0 THEN 0.5::DOUBLE END AS start, CASE WHEN len(ws) > 0 THEN (len(ws) - 1) + 0.75::DOUBLE END AS "end", array_to_string(ws, ' ') AS text
+@query(r"""SELECT conv_id, turn, len(ws)::INT AS n, CASE WHEN len(ws) > 0 THEN 0.5::DOUBLE END AS start, CASE WHEN len(ws) > 0 THEN (len(ws) - 1) + 0.75::DOUBLE END AS "end", array_to_string(ws, ' ') AS text
 FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM conversations)""")
 def clip_words(spark, d):
     """Every turn's words as JSON, objects and triples by turns with broken items between, read back."""
