@@ -87,3 +87,12 @@ def test_near_ties_are_ordered_as_in_sql(spark, few, name):
     want = con.execute(queries.SQL[name])
     names = [c[0] for c in want.description]
     assert sorted(map(str, queries.QUERIES[name](spark, at).select(*[f"`{c}`" for c in names]).toArrow().to_pylist())) == sorted(str(dict(zip(names, r))) for r in want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+@pytest.mark.parametrize("name", ["analyze_documents"])
+def test_clips_of_near_ties_equal_their_sql(spark, few, name):
+    at, con = few
+    want = con.execute(queries.SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(map(str, queries.QUERIES[name](spark, at).select(*[f"`{c}`" for c in names]).toArrow().to_pylist())) == sorted(str(dict(zip(names, r))) for r in want.fetchall())
