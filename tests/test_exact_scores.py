@@ -90,7 +90,7 @@ def test_near_ties_are_ordered_as_in_sql(spark, few, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
-@pytest.mark.parametrize("name", ["analyze_documents", "export_csv", "export_json", "export_text", "export_plan"])
+@pytest.mark.parametrize("name", ["analyze_documents", "export_csv", "export_json", "export_text", "export_plan", "compilation_plan"])
 def test_clips_of_near_ties_equal_their_sql(spark, few, name):
     at, con = few
     want = con.execute(queries.SQL[name])
