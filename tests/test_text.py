@@ -50,6 +50,11 @@ def test_codes(spark):
     assert one(spark, ["#22C55E", "80FFFFFF", "#abc", "", None, "red"], T.hex_to_ass) == ["&H005EC522", "&H80FFFFFF", "&H00CCBBAA", "&H00FFFFFF", "&H00FFFFFF", "&H00DDEERR"]
 
 
+def test_safe_stem_keeps_the_numbers_and_marks_that_sql_keeps(spark):
+    odd = ["x² ½ Ⅷ ①", "e\u0301te\u0301", "a\u203fb", "\u24d0bc", "no\u200dne", "_k-1.5"]
+    assert one(spark, odd, T.safe_stem) == ["x²_½_Ⅷ_①", "e\u0301te\u0301", "ab", "bc", "none", "_k-1.5"]
+
+
 def test_safe_stem_and_excerpt(spark):
     assert one(spark, ["Été: a/b c!", "???", "x" * 80], T.safe_stem) == ["Été_ab_c", "clips", "x" * 60]
     long = " ".join(f"w{i}" for i in range(400))
