@@ -143,7 +143,7 @@ def pieces(words: DataFrame, fold, tables: shared.Tables) -> DataFrame:
             body = fold.text(text[a : m + 1])
             before = round(start[a] - end[a - 1], 3) if a + low else start[a]
             after = round(start[m + 1] - end[m], 3) if m + 1 < len(text) else 2.0
-            rows.append((tid, language, idx + k, a + low, m + low, start[a], end[m], body, max(0.0, before), max(0.0, after), len(body.split())))
+            rows.append((tid, language, idx + k, a + low, m + low, start[a], end[m], body, max(0.0, before), max(0.0, after), len(segment.split(body))))
         return pd.DataFrame(rows, columns=names)
 
     key = ["transcript_id", "chunk"]
@@ -161,7 +161,7 @@ def profiled(sents: DataFrame) -> DataFrame:
     cats = (*lexicon.CATEGORIES, "weak_start")
 
     def of(rules, c):
-        return T.rule_score(F.col("text"), rules[c])
+        return T.rule_score(T.bare(F.col("text")), rules[c])
 
     def score(c):
         out = of(lexicon.EN, c)
