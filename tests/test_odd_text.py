@@ -34,7 +34,7 @@ def odd(spark, tmp_path_factory):
     return at, con
 
 
-@pytest.mark.parametrize("name", ["sentences_documents", "signal_profiles", "analyze_documents", "export_csv", "export_json", "export_text", "compilation_plan"])
+@pytest.mark.parametrize("name", ["sentences_documents", "signal_profiles", "analyze_documents", "export_csv", "export_json", "export_text", "compilation_plan", "export_plan"])
 def test_odd_text_equals_its_sql(spark, odd, name):
     at, con = odd
     want = con.execute(queries.SQL[name])
