@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +56,58 @@ def test_marks_end_words_of_rules(spark):
     d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.profile(F.col("t"), lexicon.EN).alias("p")).orderBy("k")
     rows = [r.p for r in d.collect()]
     assert rows[0].weak_start == rows[1].weak_start > 0 and rows[3].weak_start == 0 and rows[4].emotion > 0
+
+
+NEUTRAL = "paper lamp river stone window garden table bread cloud wheel copper basket".split()
+SAYINGS = "so crazy|nobody knows|the truth is|this blew my mind|let me tell you a secret|25 percent of people|honestly|it is amazing|i was crying|never again|it makes no sense|in 10 years".split("|")
+ARABIC = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+TURNED = {
+    "numbers": [lambda s: s.translate(ARABIC), lambda s: s + "٣", lambda s: "Ⅷ" + s, lambda s: s + "१ "],
+    "letters": [lambda s: s.replace("i", "ı"), lambda s: s.replace("s", "ſ"), lambda s: s.replace("i", "İ")],
+}
+
+
+def said(k: int, turned) -> str:
+    """Plain sentences, each with a saying of the rules, every second one turned odd."""
+    out = []
+    for i in range(14):
+        out += [NEUTRAL[(i * 5 + k + n) % 12] for n in range(5 + i * k % 4)]
+        out += [(turned[k % len(turned)] if i % 2 else str)(SAYINGS[(i * 7 + k) % 12]), "." if i % 3 else ", and"]
+    return " ".join(out)
+
+
+@pytest.fixture(scope="module")
+def sayings(spark, tmp_path_factory):
+    """A connection to a table of such documents for each kind, and their folder."""
+    at, con = str(tmp_path_factory.mktemp("sayings")), duckdb.connect()
+    for kind, turned in TURNED.items():
+        rows = [(k, said(k, turned), "fr" if k % 5 == 4 else "en", "s") for k in range(24)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{at}/{kind}/documents.parquet")
+    return at, con
+
+
+def differing(spark, sayings, kind, name) -> list:
+    at, con = sayings
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{at}/{kind}/documents.parquet/*.parquet'")
+    want = con.execute(queries.SQL[name])
+    names = [c[0] for c in want.description]
+    got = Counter(map(str, queries.QUERIES[name](spark, f"{at}/{kind}").select(*[f"`{c}`" for c in names]).toArrow().to_pylist()))
+    want = Counter(str(dict(zip(names, r))) for r in want.fetchall())
+    assert want
+    return [*(got - want).elements(), *(want - got).elements()]
+
+
+@pytest.mark.parametrize("kind", ["numbers", "letters"])
+@pytest.mark.parametrize("name", ["export_csv"])
+def test_sayings_equal_their_sql(spark, sayings, name, kind):
+    assert differing(spark, sayings, kind, name) == []
+
+
+def test_rules_read_numbers_spaces_and_letters_as_sql_does(spark):
+    texts = ["25 percent", "٢٥ percent", "so the", "so٣", "ſo", "İf", "ıf", "so\xa0the", "so\x0bthe", "a\x85so"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    hits = lambda p: [r.m for r in d.select("k", T.matches(T.bare(F.col("t")), p).alias("m")).orderBy("k").collect()]
+    assert hits(r"\b\d{2,}\s?percent\b") == [True] + [False] * 9
+    assert hits(r"\bso\b") == [False, False, True, True, False, False, False, True, True, True]
+    assert hits(r"\bso\s+the\b") == [k == 2 for k in range(10)] and hits(r"\bif\b") == [k == 5 for k in range(10)]
+    assert hits("a.so") == [k == 9 for k in range(10)]
