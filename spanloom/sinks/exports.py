@@ -41,7 +41,7 @@ def json_rows(clips: DataFrame) -> DataFrame:
     return g.select("transcript_id", F.to_json(F.struct(F.col("transcript_id").alias("video"), "clips")).alias("json"))
 
 
-def text_rows(clips: DataFrame) -> DataFrame:
+def text_rows(clips: DataFrame, white: T.White = T.UNICODE) -> DataFrame:
     """(transcript_id, rank, report): one block of lines for each clip."""
     d = report_rows(clips)
     s = lambda c: F.col(c).cast("string")
@@ -53,7 +53,7 @@ def text_rows(clips: DataFrame) -> DataFrame:
         cats,
         F.concat(F.lit("Why: "), F.col("reason")),
         F.lit("Transcript:"),
-        F.concat(F.lit("  "), F.array_join(T.words(F.coalesce("text", F.lit(""))), " ")),
+        F.concat(F.lit("  "), F.array_join(T.words(F.coalesce("text", F.lit("")), white), " ")),
         F.lit("-" * 66),
     ]
     return d.select("transcript_id", "rank", F.concat_ws("\n", *lines).alias("report"))
@@ -119,14 +119,14 @@ def write_cache(transcripts: DataFrame, path: str, model: str | None = None, lan
     transcripts.where(F.size("words") > 0).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("transcript_id").parquet(at)
 
 
-def plan_clips(clips: DataFrame, durations: DataFrame, formats=("16:9",), src: tuple[int, int] = (1920, 1080), burn: bool = False, overlay: bool = False) -> DataFrame:
+def plan_clips(clips: DataFrame, durations: DataFrame, formats=("16:9",), src: tuple[int, int] = (1920, 1080), burn: bool = False, overlay: bool = False, white: T.White = T.UNICODE) -> DataFrame:
     """A row for each clip and format: padded times within the recording, output name, and whether a stream copy will do."""
     wanted = [f for f in dict.fromkeys(formats) if f in camera.FORMATS] or ["16:9"]
     d = clips.join(durations.select("transcript_id", F.col("duration").alias("_d")), "transcript_id", "left")
     d = d.withColumns({"cut_start": F.greatest(F.lit(0.0), F.col("start") - PAD[0]), "cut_end": F.when(F.col("_d") > 0, F.least(F.col("end") + PAD[1], F.col("_d"))).otherwise(F.col("end") + PAD[1])})
     d = d.withColumn("format", F.explode(F.array(*[F.lit(f) for f in wanted])))
     native = (F.col("format") == "16:9") & F.lit(abs(src[0] / src[1] - 16 / 9) < 0.02)
-    name = F.concat(F.lit("clip_"), F.lpad(F.col("rank").cast("string"), 2, "0"), F.lit("_"), T.safe_stem(F.coalesce("title", F.lit("")), 40), F.lit("_"), F.replace("format", F.lit(":"), F.lit("x")), F.lit(".mp4"))
+    name = F.concat(F.lit("clip_"), F.lpad(F.col("rank").cast("string"), 2, "0"), F.lit("_"), T.safe_stem(F.coalesce("title", F.lit("")), 40, white), F.lit("_"), F.replace("format", F.lit(":"), F.lit("x")), F.lit(".mp4"))
     return d.withColumns({"file": name, "stream_copy": native & F.lit(not burn and not overlay)}).drop("_d")
 
 

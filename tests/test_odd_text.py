@@ -64,6 +64,7 @@ ARABIC = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
 TURNED = {
     "numbers": [lambda s: s.translate(ARABIC), lambda s: s + "٣", lambda s: "Ⅷ" + s, lambda s: s + "१ "],
     "letters": [lambda s: s.replace("i", "ı"), lambda s: s.replace("s", "ſ"), lambda s: s.replace("i", "İ")],
+    "gaps": [lambda s, x=x: s.replace(" ", x) for x in "\xa0\u3000\u2028\x0b\x85\u202f"] + [lambda s: s + " \xa0?", lambda s: "\u2009 " + s + "\xa0", lambda s: s + "\xa0 ,"],
 }
 
 
@@ -97,8 +98,8 @@ def differing(spark, sayings, kind, name) -> list:
     return [*(got - want).elements(), *(want - got).elements()]
 
 
-@pytest.mark.parametrize("kind", ["numbers", "letters"])
-@pytest.mark.parametrize("name", ["export_csv"])
+@pytest.mark.parametrize("kind", ["numbers", "letters", "gaps"])
+@pytest.mark.parametrize("name", ["export_csv", "export_text"])
 def test_sayings_equal_their_sql(spark, sayings, name, kind):
     assert differing(spark, sayings, kind, name) == []
 
@@ -111,3 +112,13 @@ def test_rules_read_numbers_spaces_and_letters_as_sql_does(spark):
     assert hits(r"\bso\b") == [False, False, True, True, False, False, False, True, True, True]
     assert hits(r"\bso\s+the\b") == [k == 2 for k in range(10)] and hits(r"\bif\b") == [k == 5 for k in range(10)]
     assert hits("a.so") == [k == 9 for k in range(10)]
+
+
+def test_white_space_is_unicodes_or_sqls(spark):
+    texts = ["a\xa0b c", "\u3000 a\x0b", "a\x85\tb"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for white in (T.UNICODE, T.SQL):
+        assert [segment.split(t, white) for t in texts] == [r.w for r in d.select(T.words(F.col("t"), white).alias("w")).collect()]
+    assert [segment.split(t, T.SQL) for t in texts] == [["a\xa0b", "c"], ["\u3000", "a\x0b"], ["a\x85", "b"]]
+    assert segment.sentence_text(["a\xa0,", "\xa0"], T.SQL) == "a\xa0, \xa0" and segment.sentence_text(["a\xa0,", "\xa0"]) == "a,"
+    assert d.select(T.safe_stem(F.col("t"), 60, T.SQL).alias("s")).first().s == "ab_c"
