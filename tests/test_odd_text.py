@@ -62,6 +62,7 @@ NEUTRAL = "paper lamp river stone window garden table bread cloud wheel copper b
 SAYINGS = "so crazy|nobody knows|the truth is|this blew my mind|let me tell you a secret|25 percent of people|honestly|it is amazing|i was crying|never again|it makes no sense|in 10 years".split("|")
 ARABIC = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
 TURNED = {
+    "none": [str],
     "numbers": [lambda s: s.translate(ARABIC), lambda s: s + "٣", lambda s: "Ⅷ" + s, lambda s: s + "१ "],
     "letters": [lambda s: s.replace("i", "ı"), lambda s: s.replace("s", "ſ"), lambda s: s.replace("i", "İ")],
     "gaps": [lambda s, x=x: s.replace(" ", x) for x in "\xa0\u3000\u2028\x0b\x85\u202f"] + [lambda s: s + " \xa0?", lambda s: "\u2009 " + s + "\xa0", lambda s: s + "\xa0 ,"],
@@ -83,6 +84,7 @@ def sayings(spark, tmp_path_factory):
     at, con = str(tmp_path_factory.mktemp("sayings")), duckdb.connect()
     for kind, turned in TURNED.items():
         rows = [(k, said(k, turned), "fr" if k % 5 == 4 else "en", "s") for k in range(24)]
+        rows += [(None, said(k, turned), "en", "s") for k in (24, 25)] if kind == "none" else []
         spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{at}/{kind}/documents.parquet")
     return at, con
 
@@ -98,8 +100,8 @@ def differing(spark, sayings, kind, name) -> list:
     return [*(got - want).elements(), *(want - got).elements()]
 
 
-@pytest.mark.parametrize("kind", ["numbers", "letters", "gaps"])
-@pytest.mark.parametrize("name", ["export_csv", "export_text"])
+@pytest.mark.parametrize("kind", ["none", "numbers", "letters", "gaps"])
+@pytest.mark.parametrize("name", ["export_csv", "export_text", "export_json"])
 def test_sayings_equal_their_sql(spark, sayings, name, kind):
     assert differing(spark, sayings, kind, name) == []
 
