@@ -65,6 +65,7 @@ TURNED = {
     "none": [str],
     "numbers": [lambda s: s.translate(ARABIC), lambda s: s + "٣", lambda s: "Ⅷ" + s, lambda s: s + "१ "],
     "letters": [lambda s: s.replace("i", "ı"), lambda s: s.replace("s", "ſ"), lambda s: s.replace("i", "İ")],
+    "capitals": [lambda s: s + " so said Partİ İnc. today", lambda s: s + " again . whİch we saw", lambda s: "KİTAP BİR ΟΔΟΣ " + s, lambda s: "kitap οδοσ " + s],
     "gaps": [lambda s, x=x: s.replace(" ", x) for x in "\xa0\u3000\u2028\x0b\x85\u202f"] + [lambda s: s + " \xa0?", lambda s: "\u2009 " + s + "\xa0", lambda s: s + "\xa0 ,"],
 }
 
@@ -100,8 +101,8 @@ def differing(spark, sayings, kind, name) -> list:
     return [*(got - want).elements(), *(want - got).elements()]
 
 
-@pytest.mark.parametrize("kind", ["none", "numbers", "letters", "gaps"])
-@pytest.mark.parametrize("name", ["export_csv", "export_text", "export_json"])
+@pytest.mark.parametrize("kind", list(TURNED))
+@pytest.mark.parametrize("name", ["export_csv", "export_text", "export_json", "compilation_plan"])
 def test_sayings_equal_their_sql(spark, sayings, name, kind):
     assert differing(spark, sayings, kind, name) == []
 
@@ -124,3 +125,9 @@ def test_white_space_is_unicodes_or_sqls(spark):
     assert [segment.split(t, T.SQL) for t in texts] == [["a\xa0b", "c"], ["\u3000", "a\x0b"], ["a\x85", "b"]]
     assert segment.sentence_text(["a\xa0,", "\xa0"], T.SQL) == "a\xa0, \xa0" and segment.sentence_text(["a\xa0,", "\xa0"]) == "a,"
     assert d.select(T.safe_stem(F.col("t"), 60, T.SQL).alias("s")).first().s == "ab_c"
+
+
+def test_capitals_are_lowered_as_in_sql(spark):
+    d = spark.createDataFrame([("KİTAP ΟΔΟΣ",)], "t string")
+    assert d.select(T.topic_tokens(F.col("t"), T.SQL).alias("k")).first().k == ["kitap", "οδοσ"]
+    assert not segment.ends_sentence("İnc.", T.SQL) and segment.ends_sentence("İnc.") and T.SQL.lower("WHİCH") == "which"
