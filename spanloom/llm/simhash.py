@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from spanloom.llm import kern, scratch
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: Fingerprints in a sub-tile of the size-cut tiles.
-TILE = 2048
+#: Fingerprints in a sub-tile of the size-cut tiles, at least and at most; in between, a TILES-th of all, so that a fingerprint is copied to about as many jobs at any size.
+TILE, MOST_TILE, TILES = 2048, 1 << 15, 128
+#: Bytes of blobs that a task deals out at once.
+DEAL = 4 << 20
 #: Shingle sets in a block of the exact comparison.
 SETS = 512
 
@@ -152,7 +154,7 @@ def links(own: np.ndarray, others: np.ndarray, radius: int) -> list[tuple[int, i
     """A spanning forest, as (row, root row), of own x own and own x others; rows of others follow those of own."""
     both = np.concatenate([own, others]) if len(others) else own
     forest = _Forest(len(both))
-    step = max(1, (1 << 22) // max(1, len(both)))
+    step = max(1, (1 << 22) // (own.shape[1] * max(1, len(both))))
     for a in range(0, len(own), step):
         i, j = _near(own[a : a + step], both[a:], radius)
         fresh = j > i
@@ -227,32 +229,37 @@ def links_by_counts(fps: DataFrame, radius: int, parts: int) -> DataFrame:
     return fps.mapInArrow(shed, "tile binary, own boolean, fps binary").groupBy("tile").applyInArrow(compare, "a binary, b binary")
 
 
+_JOB = pa.schema([("job", pa.string()), ("own", pa.bool_()), ("fps", pa.binary())])
+
+
+def deal_by_size(batches, held: dict[int, int]):
+    """Batches of (size class, sub-tile, fingerprints) to the jobs that compare them; held has the sub-tiles of each class.  One row's copies at a time, about DEAL bytes a batch."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            size, s, blob = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), b"".join(batch.column(2)[r].as_py())
+            jobs = [((size, i, size, s), i == s) for i in range(s + 1)] + [((size, s, size, j), True) for j in range(s + 1, held[size])]
+            jobs += [((size, s, size + 1, j), True) for j in range(held.get(size + 1, 0))]
+            jobs += [((size - 1, i, size, s), False) for i in range(held.get(size - 1, 0))]
+            step = max(1, DEAL // max(1, len(blob)))
+            for k in range(0, len(jobs), step):
+                some = jobs[k : k + step]
+                yield from kern.table(_JOB, job=[",".join(map(str, j)) for j, _ in some], own=[o for _, o in some], fps=[blob] * len(some)).to_batches()
+        pa.default_memory_pool().release_unused()
+
+
 def links_by_size(fps: DataFrame, radius: int, min_ratio: float, lanes: int) -> DataFrame:
     """Spanning links between distinct fingerprints (fp, n shingles) whose sizes are within min_ratio of each other.
 
-    Tiles are size classes a factor 1/min_ratio wide, cut into sub-tiles of about TILE
+    Tiles are size classes a factor 1/min_ratio wide, cut into sub-tiles of TILE to MOST_TILE
     fingerprints; a job compares two sub-tiles of the same or of adjacent classes.
     """
-    classes = fps.select("fp", "n", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / math.log(1 / min_ratio)).cast("int").alias("size"))
-    held = {r["size"]: max(1, -(-r["count"] // TILE)) for r in classes.groupBy("size").count().collect()}  # a row for each class: under 200 whatever the input
+    classes = fps.select("fp", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / math.log(1 / min_ratio)).cast("int").alias("size"))
+    sizes = {r["size"]: r["count"] for r in classes.groupBy("size").count().collect()}  # a row for each class: under 200 whatever the input
+    tile = max(TILE, min(MOST_TILE, sum(sizes.values()) // TILES))
+    held = {z: -(-n // tile) for z, n in sizes.items()}
     cut = F.create_map(*[F.lit(x) for kv in (held or {0: 1}).items() for x in kv])
     sub = F.pmod(F.xxhash64("fp"), F.try_element_at(cut, F.col("size")).cast("long")).cast("int")
-    packed = classes.withColumn("sub", sub).groupBy("size", "sub", F.pmod(F.spark_partition_id(), F.lit(8)).alias("part")).agg(F.collect_list("fp").alias("l"), F.collect_list("n").alias("n"))
-
-    def shed(batches):
-        for batch in batches:
-            out = {"job": [], "own": [], "fps": [], "n": []}
-            for size, s, l, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                blob, ns = b"".join(l), np.array(n, np.int64).tobytes()
-                jobs = [((size, i, size, s), i == s) for i in range(s + 1)] + [((size, s, size, j), True) for j in range(s + 1, held[size])]
-                jobs += [((size, s, size + 1, j), True) for j in range(held.get(size + 1, 0))]
-                jobs += [((size - 1, i, size, s), False) for i in range(held.get(size - 1, 0))]
-                for k, own in jobs:
-                    out["job"].append(",".join(map(str, k)))
-                    out["own"].append(own)
-                    out["fps"].append(blob)
-                    out["n"].append(ns)
-            yield from pa.table({"job": pa.array(out["job"], pa.string()), "own": pa.array(out["own"], pa.bool_()), "fps": pa.array(out["fps"], pa.binary()), "n": pa.array(out["n"], pa.binary())}).to_batches()
+    packed = classes.withColumn("sub", sub).groupBy("size", "sub", F.pmod(F.spark_partition_id(), F.lit(8)).alias("part")).agg(F.collect_list("fp").alias("l"))
 
     def compare(key, tab):
         own, blobs = kern.column(tab, "own"), kern.column(tab, "fps")
@@ -263,7 +270,7 @@ def links_by_size(fps: DataFrame, radius: int, min_ratio: float, lanes: int) ->
         _, i, _, j = key[0].as_py().split(",")
         if len(b) and a is not b:
             forest = _Forest(len(a) + len(b))
-            step = max(1, (1 << 21) // len(b))
+            step = max(1, (1 << 22) // (lanes * len(b)))
             for x in range(0, len(a), step):
                 p, q = _near(a[x : x + step], b, radius)
                 forest.join(p + x, q + len(a))
@@ -271,7 +278,7 @@ def links_by_size(fps: DataFrame, radius: int, min_ratio: float, lanes: int) ->
             return _edges(np.concatenate([a, b]), list(zip(child.tolist(), forest.label[child].tolist())))
         return _edges(a, links(a, b, radius))
 
-    return packed.select("size", "sub", "l", "n").mapInArrow(shed, "job string, own boolean, fps binary, n binary").groupBy("job").applyInArrow(compare, "a binary, b binary")
+    return packed.select("size", "sub", "l").mapInArrow(lambda batches: deal_by_size(batches, held), "job string, own boolean, fps binary").groupBy("job").applyInArrow(compare, "a binary, b binary")
 
 
 # ---- exact sets ----------------------------------------------------------
@@ -323,15 +330,19 @@ def links_by_sets(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle:
     # a row for each SETS candidates at most
     cand = cand.join(F.broadcast(large), "root", "left").withColumn("bundle", F.pmod(F.xxhash64("root"), F.lit(bundles)).cast("string"))
 
+    def packed(rows):
+        cols = list(zip(*rows))
+        return pa.table({"job": pa.array(cols[0], pa.string()), **{c: pa.array(x, pa.binary()) for c, x in zip(("root", "id", "blob"), cols[1:])}}).to_batches()
+
     def shed(batches):
+        rows, size = [], 0
         for batch in batches:
-            text, ids, root, bands, parts, bundle = (batch.column(i).to_pylist() for i in range(6))
-            for lo, hi in kern.blocks(text):
-                h, n = shingle_hashes(text[lo:hi], shingle, True)
+            for lo, hi, text in kern.text_blocks(batch.column(0), kern.BLOCK):
+                ids, root, bands, parts, bundle = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(1, 6))
+                h, n = shingle_hashes(text, shingle, True)
                 cut = np.concatenate([[0], np.cumsum(n)])
-                rows = []
-                for k in range(lo, hi):
-                    blob = h[cut[k - lo] : cut[k - lo + 1]].tobytes()
+                for k in range(hi - lo):
+                    blob = h[cut[k] : cut[k + 1]].tobytes()
                     if _digest(blob) != ids[k]:  # another text under the same key
                         continue
                     jobs = [bundle[k]]
@@ -341,10 +352,15 @@ def links_by_sets(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle:
                         jobs = [(z, min(i, own), z, max(i, own)) for i in range(held[z])]
                         jobs += [(z, own, z + 1, j) for j in range(held.get(z + 1, 0))] + [(z - 1, i, z, own) for i in range(held.get(z - 1, 0))]
                         jobs = [root[k].hex() + "," + ",".join(map(str, j)) for j in jobs]
-                    rows += [(j, root[k], ids[k], blob) for j in jobs]
-                if rows:
-                    cols = list(zip(*rows))
-                    yield from pa.table({"job": pa.array(cols[0], pa.string()), **{c: pa.array(x, pa.binary()) for c, x in zip(("root", "id", "blob"), cols[1:])}}).to_batches()
+                    for j in jobs:
+                        rows.append((j, root[k], ids[k], blob))
+                        size += len(blob)
+                        if size >= DEAL or len(rows) >= 1 << 14:
+                            yield from packed(rows)
+                            rows, size = [], 0
+            pa.default_memory_pool().release_unused()
+        if rows:
+            yield from packed(rows)
 
     def compare(key, tab):
         groups = {}

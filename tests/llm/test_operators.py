@@ -9,6 +9,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -707,3 +708,19 @@ def test_samples_are_exact_at_any_count(spark):
     # a share far below one in a million still has its part of the hash range
     n = spark.range(1 << 21).where(kern.lower_part(3e-6, "id")).count()
     assert 0 < n < 40
+
+
+def test_fingerprints_are_dealt_in_bounded_batches():
+    """A task's copies never meet in one batch, and every two sub-tiles of a class or of adjacent ones meet once."""
+    held, r = {3: 40, 4: 50, 5: 2}, np.random.default_rng(3)
+    rows = [(z, s, [x.tobytes() for x in r.integers(0, 2**63, (500, 4), dtype=np.uint64)]) for z in held for s in range(held[z])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["size", "sub", "l"])
+    met = Counter()
+    for out in simhash.deal_by_size([batch], held):
+        assert out.nbytes < 2 * simhash.DEAL
+        met.update(zip(out.column("job").to_pylist(), out.column("own").to_pylist()))
+    want = Counter()
+    for z in held:
+        want.update((f"{z},{i},{z},{j}", own) for i in range(held[z]) for j in range(i, held[z]) for own in ({True} if i == j else {True, False}))
+        want.update((f"{z},{i},{z + 1},{j}", own) for i in range(held[z]) for j in range(held.get(z + 1, 0)) for own in (True, False))
+    assert met == want
