@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import lexicon
 from spanloom.functions import text as T
-from spanloom.operators import segment
+from spanloom.operators import segment, windows
 from spanloom.plans import queries
 
 ODD = ["só", "été", "x\x1fy", "\x1funit", "x²", "½", "ⓐbc", "a‿b", "no‍ne", "क्षि", "cost̀", "İx", "ΣΑΣ", 'a"b\\c']
@@ -131,3 +131,23 @@ def test_capitals_are_lowered_as_in_sql(spark):
     d = spark.createDataFrame([("KİTAP ΟΔΟΣ",)], "t string")
     assert d.select(T.topic_tokens(F.col("t"), T.SQL).alias("k")).first().k == ["kitap", "οδοσ"]
     assert not segment.ends_sentence("İnc.", T.SQL) and segment.ends_sentence("İnc.") and T.SQL.lower("WHİCH") == "which"
+
+
+def test_rules_in_python_equal_those_in_columns(spark):
+    """Scores, fillers, transitions and topics of odd texts, bit by bit, and plans of clips without a rule in the JVM."""
+    texts = [" ".join(words(k)[i : i + 9]) for k in range(2 * len(ODD)) for i in range(0, 90, 9)] + [said(k, ts)[a : a + 60] for ts in TURNED.values() for k in range(9) for a in (0, 61, 130)]
+    texts += ["", "haha", "Yeah.", "yeah\xa0!", "let's move on", "İt turns out", "été́ est-ce que", "Ω 25 % .", "d'accord", "voilà pourquoi", "éso", "so"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    cats = (*lexicon.CATEGORIES, "weak_start")
+    for rules in (lexicon.EN, lexicon.FR):
+        want = [tuple(r.p[c] for c in cats) for r in d.select("k", T.profile(F.col("t"), rules).alias("p")).orderBy("k").collect()]
+        assert list(map(tuple, windows.Rules(rules).scores(texts).tolist())) == want
+    for white in (T.UNICODE, T.SQL):
+        got = d.select("k", T.is_filler(F.col("t")).alias("f"), (T.is_transition(F.col("t")) | T.is_filler(F.col("t"))).alias("x"), T.topic_tokens(F.col("t"), white).alias("k3")).orderBy("k").collect()
+        assert [(windows.is_filler(t), windows.is_tail(t), segment.topic_set(t, white)) for t in texts] == [(r.f, r.x, set(r.k3)) for r in got]
+    rows = spark.createDataFrame([("a", "en", 400.0, texts)], "transcript_id string, language string, duration double, w array<string>")
+    built = rows.select("transcript_id", F.transform("w", lambda t: F.struct(t.alias("text"))).alias("sentences"))
+    for white in (T.UNICODE, T.SQL):
+        assert segment.topic_shifts(texts, white=white) == segment.topic_array(built, white=white).first().topic
+    for name in ("analyze_documents", "window_scores", "nms", "signal_profiles"):
+        assert "RLIKE" not in queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
