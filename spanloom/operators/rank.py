@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom import schemas
 from spanloom.functions import lexicon, scoring
@@ -158,26 +159,53 @@ def trim_edges(s: dict, i: int, j: int, low: float, tail_flags, head_flags, most
     return i, j
 
 
-def _pool(pdf: pd.DataFrame) -> list[dict]:
-    return [{**r, "scores": {k: r[k] for k in scoring.CATEGORY_MAX if k in r}} for r in pdf.sort_values("pos").to_dict("records")]
+def by_group(rows: DataFrame, group: str, of, schema) -> DataFrame:
+    """of(a group's rows as dicts) -> rows, for rows that lie sorted with each group in one partition: one pass over the partition, where a call of Spark's for each group costs milliseconds."""
+    names, out = rows.columns, [f.name for f in schema.fields]
+    types = to_arrow_schema(schema)
+    key = names.index(group)
+
+    def packed(done):
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in done], types.field(c).type, from_pandas=True) for c in out], names=out)
+
+    def run(batches):
+        mine, done = [], []
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).tolist() if pa.types.is_floating(c.type) else c.to_pylist() for c in batch.columns]  # a null number is nan, as it is to pandas
+            for r in zip(*columns):
+                if mine and mine[0][key] != r[key]:
+                    done += of([dict(zip(names, x)) for x in mine])
+                    mine = []
+                    if len(done) >= 1 << 13:
+                        yield packed(done)
+                        done = []
+                mine.append(r)
+        if mine:
+            done += of([dict(zip(names, x)) for x in mine])
+        if done:
+            yield packed(done)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _pool(rows: list[dict]) -> list[dict]:
+    return [{**r, "scores": {k: r[k] for k in scoring.CATEGORY_MAX if k in r}} for r in rows]
 
 
 def dedupe_rows(clips: DataFrame, group: str, iou: float = 0.4, longest: float = 90.0, ceiling: float = 0.75) -> DataFrame:
     """dedupe over rows (group, pos, start_idx, end_idx, start, end, overall, heuristic, confidence, clip_type, source, merged_from, some of the six scores), pos the order of equal clips; a group is a pool, which the caller has capped."""
-    names = clips.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, end = dict(zip(pdf["start_idx"], pdf["start"])), dict(zip(pdf["end_idx"], pdf["end"]))
-        return pd.DataFrame([{**c, **c["scores"]} for c in dedupe(_pool(pdf), start, end, iou, longest, ceiling)], columns=[*names, "reason", "title"])[names]
+    def of(rows):
+        start, end = {r["start_idx"]: r["start"] for r in rows}, {r["end_idx"]: r["end"] for r in rows}
+        return [{**c, **c["scores"]} for c in dedupe(_pool(rows), start, end, iou, longest, ceiling)]
 
-    return clips.groupBy(group).applyInPandas(run, clips.schema)
+    return by_group(clips.repartition(F.col(group)).sortWithinPartitions(group, "pos"), group, of, clips.schema)
 
 
 def mmr_rows(clips: DataFrame, group: str, target: int = 12, lam: float = 0.7, min_gap: float = 5.0) -> DataFrame:
     """select over rows (group, pos, start, end, overall, clip_type, duration), pos the order of equal clips, with `rank`; a group is a pool, which the caller has capped."""
     schema = clips.withColumn("rank", F.lit(0)).schema
-    names = schema.names
-    return clips.groupBy(group).applyInPandas(lambda pdf: pd.DataFrame(select(_pool(pdf), target, float(pdf["duration"].iloc[0]), lam, min_gap), columns=names), schema)
+    return by_group(clips.repartition(F.col(group)).sortWithinPartitions(group, "pos"), group, lambda rows: select(_pool(rows), target, rows[0]["duration"], lam, min_gap), schema)
 
 
 def fit_rows(built: DataFrame, spans: str, low: float = 20.0, high: float = 90.0) -> DataFrame:
@@ -345,14 +373,13 @@ def retention(rows: DataFrame, group: str, score: str, payoff: str, clip_type: s
     """zigzag, then type swaps in the middle; a group is one compilation and must fit a task."""
     z = zigzag(rows, group, score, payoff, tie)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        if len(pdf) > 3:
-            mid = pdf.iloc[1:-1].iloc[spread_types(pdf[clip_type].iloc[1:-1].tolist())]
-            pdf = pd.concat([pdf.iloc[:1], mid, pdf.iloc[-1:]])
-        return pdf.assign(position=range(1, len(pdf) + 1))
+    def of(pool):
+        if len(pool) > 3:
+            mid = pool[1:-1]
+            pool = [pool[0], *[mid[k] for k in spread_types([r[clip_type] for r in mid])], pool[-1]]
+        return [{**r, "position": k} for k, r in enumerate(pool, 1)]
 
-    return z.groupBy(group).applyInPandas(run, z.schema)
+    return by_group(z.repartition(F.col(group)).sortWithinPartitions(group, "position"), group, of, z.schema)
 
 
 def normal_type(value) -> str:

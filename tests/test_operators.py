@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from spanloom import config
@@ -509,3 +510,28 @@ def test_upper_median_of_large_groups_with_outliers(spark):
         want.setdefault(g, []).append(v)
     got = {r.g: r.median for r in insights.upper_median(d, "g", "v").collect()}
     assert set(got) == {"a", "b", "c", "d", None} and got == {g: sorted(v)[len(v) // 2] for g, v in want.items()}
+
+
+def test_many_small_groups_are_one_pass(spark):
+    """dedupe, mmr and retention over thousands of pools call Python for batches, and give each pool what it has alone."""
+    r = random.Random(5)
+    rows = [(None if g == 7 else f"g{g}", k, i := r.randrange(50), i + 4, i * 5.0, (i + 5) * 5.0, float(r.randrange(40)), float(k), 0.5, r.choice("ab"), "heuristic", 1, float(r.randrange(25))) for g in range(6000) for k in range(1 + g % 5)]
+    names = "g string, pos long, start_idx int, end_idx int, start double, end double, overall double, heuristic double, confidence double, clip_type string, source string, merged_from int, hook double"
+    d = spark.createDataFrame(rows, names).repartition(7)
+    cols, pools = [c.split()[0] for c in names.split(", ")], {}
+    for x in rows:
+        pools.setdefault(x[0], []).append({**dict(zip(cols, x)), "duration": 400.0, "scores": {"hook": x[-1]}})
+    one = rank.dedupe_rows(d, "g")
+    want = [{**c, **c["scores"]} for p in pools.values() for c in rank.dedupe(p, {c["start_idx"]: c["start"] for c in p}, {c["end_idx"]: c["end"] for c in p})]
+    assert sorted(map(str, one.collect())) == sorted(str(Row(**{c: x[c] for c in cols})) for x in want)
+    two = rank.mmr_rows(d.withColumn("duration", F.lit(400.0)), "g", 3)
+    want = [{**c, "g": g} for g, p in pools.items() for c in rank.select(p, 3, 400.0)]
+    assert sorted((str(x.g), x.pos, x["rank"]) for x in two.collect()) == sorted((str(c["g"]), c["pos"], c["rank"]) for c in want)
+    three = rank.retention(d, "g", "overall", "hook", "clip_type", "pos")
+    for x in (one, two, three):
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "InPandas" not in plan and "MapInArrow" in plan
+    got = {}
+    for x in three.collect():
+        got.setdefault(x.g, []).append(x.position)
+    assert {g: sorted(x) for g, x in got.items()} == {g: list(range(1, len(p) + 1)) for g, p in pools.items()}
