@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,9 +52,15 @@ def walk(source, length: int) -> Pcm | None:
     return None
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, length: int, first: int):
-        self.path, self.length, self.first = path, length, first
+class Ranges(InputPartition):
+    """Runs of spans: (path, length, first frame) each."""
+
+    def __init__(self, runs: list[tuple[str, int, int]]):
+        self.runs = runs
+
+
+#: Small files make about so many partitions together, twice as many at most, if those would not hold more bytes than a run of spans; frames of a batch.
+BUNDLES, GATHER = 256, 1 << 16
 
 
 class PcmReader(DataSourceReader):
@@ -61,29 +68,52 @@ class PcmReader(DataSourceReader):
         self.path, self.frames, self.spans = options["path"], int(options.get("span", SPAN)), int(options.get("spans", SPANS))
 
     def partitions(self):
-        """A partition for each run of spans that the file's size allows; two bytes a frame is the least a plan must allow for."""
-        out = []
-        for path, length in ranged.listed(self.path):
-            step = self.frames * self.spans
-            out += [Range(path, length, first) for first in range(0, max(1, length // 2), step)]
-        return out
+        """Runs of spans that the files' sizes allow (two bytes a frame is the least a plan must allow for); short ones share a partition."""
+        files = ranged.listed(self.path)
+        step = self.frames * self.spans
+        most = min(2 * step, max(1, sum(length for _, length in files) // BUNDLES))
+        out, held = [], 0
+        for path, length in files:
+            for first in range(0, max(1, length // 2), step):
+                size = min(2 * step, length - 2 * first)
+                if not out or held + size > most:
+                    out.append([])
+                    held = 0
+                out[-1].append((path, length, first))
+                held += size
+        return [Ranges(runs) for runs in out]
 
     def read(self, part):
-        with ranged.opened(part.path) as source:
-            pcm = walk(source, part.length)
-            if pcm is None or pcm.bits != 16 or pcm.channels != 1:  # as the speech recogniser's input must be
-                return
-            total = pcm.size // 2
-            for first in range(part.first, min(total, part.first + self.frames * self.spans), self.frames):
-                n = min(self.frames, total - first)
-                raw = source.read_at(2 * n, pcm.at + 2 * first)
-                samples = pa.Array.from_buffers(pa.int16(), len(raw) // 2, [None, pa.py_buffer(raw)])
-                cell = pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), samples)
-                yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([first // self.frames], pa.int64()), pa.array([first], pa.int64()), pa.array([total], pa.int64()), pa.array([pcm.rate], pa.int32()), cell], names=["path", "span", "first", "total", "rate", "samples"])
+        rows, samples, held = [], [], 0
+        for path, length, begin in part.runs:
+            with ranged.opened(path) as source:
+                pcm = walk(source, length)
+                if pcm is None or pcm.bits != 16 or pcm.channels != 1:  # as the speech recogniser's input must be
+                    continue
+                total = pcm.size // 2
+                for first in range(begin, min(total, begin + self.frames * self.spans), self.frames):
+                    n = min(self.frames, total - first)
+                    raw = source.read_at(2 * n, pcm.at + 2 * first)
+                    rows.append((path, first // self.frames, first, total, pcm.rate))
+                    samples.append(pa.Array.from_buffers(pa.int16(), len(raw) // 2, [None, pa.py_buffer(raw)]))
+                    held += n
+                    if held >= GATHER:
+                        yield self.packed(rows, samples)
+                        rows, samples, held = [], [], 0
+        if rows:
+            yield self.packed(rows, samples)
+
+    def packed(self, rows, samples) -> pa.RecordBatch:
+        ends = [0]
+        for x in samples:
+            ends.append(ends[-1] + len(x))
+        kinds = {"path": pa.string(), "span": pa.int64(), "first": pa.int64(), "total": pa.int64(), "rate": pa.int32()}
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds.values())]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(samples))], names=[*kinds, "samples"])
 
 
 class PcmSource(DataSource):
-    """Mono 16-bit WAV files under `path` as rows (path, span, first frame, frames in all, rate, samples); no task holds more than a span."""
+    """Mono 16-bit WAV files under `path` as rows (path, span, first frame, frames in all, rate, samples); no task holds more than GATHER frames and a span."""
 
     @classmethod
     def name(cls):
@@ -118,7 +148,12 @@ def _met(spans: DataFrame, cuts: DataFrame, span: int) -> DataFrame:
 
 def levels(spans: DataFrame, cuts: DataFrame, span: int = SPAN) -> DataFrame:
     """cuts (path, start, end) with `db`, the root mean square in dBFS: SHORT under a tenth of a second, SILENT without a sound."""
-    m = _met(spans, cuts, span).withColumn("_e", F.aggregate(F.coalesce("_part", F.array()), F.lit(0).cast("long"), lambda acc, x: acc + x.cast("long") * x.cast("long")))
+
+    @F.pandas_udf("long")
+    def energy(parts: pd.Series) -> pd.Series:
+        return pd.Series([0 if p is None else int(np.square(p, dtype=np.int64).sum()) for p in parts], dtype="int64")
+
+    m = _met(spans, cuts, span).withColumn("_e", energy("_part"))
     g = m.groupBy(*cuts.columns).agg(F.sum("_e").alias("_e"), F.first("_a").alias("_a"), F.first("_b").alias("_b"), F.first("_rate").alias("_rate"))
     n = F.col("_b") - F.col("_a")
     db = F.when(n < F.floor(F.col("_rate") / 10), SHORT).when(F.col("_e") == 0, SILENT).otherwise(20 * F.log10(F.sqrt(F.col("_e") / n) / 32768.0))

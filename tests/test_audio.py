@@ -97,3 +97,18 @@ def test_fingerprint_of_a_file_beyond_two_gigabytes(spark, tmp_path):
     for f, head, tail in ((big, b"head" * 1000 + bytes((1 << 20) - 4000), bytes((1 << 20) - 4) + b"tail"), (small, b"abc" * 100, b"")):
         st = f.stat()
         assert got[f.name] == hashlib.sha256(f"{st.st_size}|{int(st.st_mtime)}|{f.name}".encode() + head + tail).hexdigest()[:20]
+
+
+def test_small_files_share_partitions(spark, tmp_path):
+    """A task for each of thousands of small files would cost more than reading them."""
+    r = random.Random(9)
+    made = {f"f{k}": [r.randint(-99, 99) for _ in range(k % 700)] for k in range(1500)}
+    for name, samples in made.items():
+        (tmp_path / f"{name}.wav").write_bytes(wav(samples))
+    d = audio.read(spark, str(tmp_path), 300)
+    assert d.rdd.getNumPartitions() <= 2 * audio.BUNDLES + 1
+    got = {}
+    for x in d.orderBy("path", "span").collect():
+        assert x.first == 300 * x.span and x.total == len(made[os.path.basename(x.path)[:-4]])
+        got.setdefault(os.path.basename(x.path)[:-4], []).extend(x.samples)
+    assert got == {k: v for k, v in made.items() if v}
