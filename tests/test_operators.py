@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -535,3 +536,12 @@ def test_many_small_groups_are_one_pass(spark):
     for x in three.collect():
         got.setdefault(x.g, []).append(x.position)
     assert {g: sorted(x) for g, x in got.items()} == {g: list(range(1, len(p) + 1)) for g, p in pools.items()}
+
+
+def test_caption_events_come_in_bounded_batches():
+    n, words = 300, [f"w{k}" for k in range(400)]
+    start = [k * 0.4 for k in range(400)]
+    batch = pa.RecordBatch.from_pydict({"id": [str(k) for k in range(n)], "s": [start] * n, "e": [[x + 0.4 for x in start]] * n, "w": [words] * n})
+    kinds = [("transcript_id", pa.string()), ("phrase", pa.int32()), ("word", pa.int32()), ("start", pa.float64()), ("end", pa.float64()), ("first", pa.int32()), ("last", pa.int32()), ("text", pa.string())]
+    got = list(captions.event_batches([batch], captions.STYLE, pa.schema(kinds)))
+    assert max(b.num_rows for b in got) <= captions.EVENTS and sum(b.num_rows for b in got) == n * len(words)
